@@ -55,7 +55,7 @@ def value_of(field: T.StructField) -> Column:
     """The column with NaN read as missing, as every operator here does."""
     column = ref(field.name)
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(column), column)
+        return F.nanvl(column, F.lit(None).cast(field.dataType))
     return column
 
 

@@ -54,15 +54,15 @@ def _chosen(
     )
 
     def take(state, item):
-        fits = state.used + item.cost <= budget
+        fits = state["used"] + item["cost"] <= budget
         return F.when(
             fits,
             F.struct(
-                (state.used + item.cost).alias("used"),
-                F.array_append(state.kept, item.position).alias("kept"),
-                state.truncated.alias("truncated"),
+                (state["used"] + item["cost"]).alias("used"),
+                F.array_append(state["kept"], item["position"]).alias("kept"),
+                state["truncated"].alias("truncated"),
             ),
-        ).otherwise(F.struct(state.used.alias("used"), state.kept.alias("kept"), F.lit(True).alias("truncated")))
+        ).otherwise(F.struct(state["used"].alias("used"), state["kept"].alias("kept"), F.lit(True).alias("truncated")))
 
     return grouped.select("group", F.aggregate("entries", start, take).alias("state")).select(
         "group", "state.used", "state.kept", "state.truncated"

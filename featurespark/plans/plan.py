@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,12 +49,8 @@ def proposals_in(text: Column) -> Column:
     items = F.coalesce(F.from_json(F.trim(body), PROPOSAL_TYPE), F.array().cast(PROPOSAL_TYPE))
 
     def complete(item: Column) -> Column:
-        return (
-            item.name.isNotNull()
-            & item.operation.isNotNull()
-            & item.source_columns.isNotNull()
-            & item.rationale.isNotNull()
-        )
+        required = ("name", "operation", "source_columns", "rationale")
+        return reduce(and_, [item[key].isNotNull() for key in required])
 
     return F.filter(items, complete)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -12,12 +12,8 @@ from pyspark.sql import DataFrame
 from featurespark.errors import DataAccessError
 from featurespark.functions.columns import type_class
 from featurespark.operators.correlation import CorrelationSummary, correlate
-from featurespark.operators.profile import (
-    ColumnProfile,
-    mark_duplicates,
-    profile_columns,
-    profiles_to_frame,
-)
+from featurespark.operators.duplicates import duplicate_of
+from featurespark.operators.profile import ColumnProfile, mark_duplicates, profile_columns, profiles_to_frame
 from featurespark.operators.sensitive import DEFAULT_THRESHOLD, PATTERN_DETECTOR, Detector, aggregate_votes
 from featurespark.operators.transforms import (
     Fitted,
@@ -143,7 +139,13 @@ class TableHandle:
 
     def column_profile(self, column: str) -> DataFrame:
         check_visible(self.df, [column], self.hidden_columns())
-        return profiles_to_frame(self._spark, [p for p in self._complete_profiles() if p.name == column])
+        state = self._versions[self.version]
+        profile = self._profiles([column])[0]
+        if not state.duplicates_marked:
+            kind = state.df.schema[column].dataType
+            alike = [member.name for member in state.df.schema.fields if member.dataType == kind]
+            profile = replace(profile, is_duplicate_of=duplicate_of(state.df, alike)[column])
+        return profiles_to_frame(self._spark, [profile])
 
     def correlation(self, method: str = "pearson") -> CorrelationSummary:
         """Correlation of the visible numeric columns."""
@@ -206,7 +208,9 @@ class TableHandle:
         if self._snapshot_path is not None:
             df = write_snapshot(df, self._snapshot_path, number)
         kept = [] if changed is None else [name for name in df.columns if name not in changed]
-        profiles = {name: _without_duplicate(before.profiles[name]) for name in kept if name in before.profiles}
+        profiles = {
+            name: replace(before.profiles[name], is_duplicate_of=None) for name in kept if name in before.profiles
+        }
         sensitive = {name: before.sensitive[name] for name in kept if name in before.sensitive}
         self._versions[number] = _Version(df, profiles, sensitive)
         self.version = number
@@ -219,10 +223,6 @@ class TableHandle:
         return to_version
 
 
-def _without_duplicate(profile: ColumnProfile) -> ColumnProfile:
-    return ColumnProfile(**{**profile.__dict__, "is_duplicate_of": None})
-
-
 def schema_table(df: DataFrame) -> DataFrame:
     """Name and type class of each column, from the schema alone."""
     rows = [(member.name, type_class(member)) for member in df.schema.fields]

@@ -52,7 +52,7 @@ def read_csv(
             integer = value.rlike(_INTEGER) & value.try_cast("bigint").isNotNull()
             number = value.rlike(_NUMBER) | value.rlike(_INFINITE)
             for kind, fits in (("integer", integer), ("double", number), ("boolean", value.rlike(_BOOLEAN))):
-                checks.append(F.bool_and(F.coalesce(fits, F.lit(True))).alias(f"{kind}{index}"))
+                checks.append(F.bool_and(value.isNull() | fits).alias(f"{kind}{index}"))
             checks.append(F.count(value).alias(f"filled{index}"))
         row = text.agg(*checks).first()
         for index, name in enumerate(names):
