@@ -428,9 +428,9 @@ ORACLES["plan_run"] = f"""WITH t AS (
   SELECT l_orderkey, l_partkey, l_quantity, l_extendedprice, l_tax, l_returnflag, nullif(l_discount, 0) AS gaps FROM lineitem),
 f AS (SELECT * EXCLUDE (gaps), coalesce(gaps, (SELECT quantile_cont(gaps, 0.5) FROM t)) AS discount,
   l_extendedprice / l_quantity AS unit FROM t)
-SELECT l_orderkey, l_partkey, l_quantity, l_extendedprice, l_tax, l_returnflag, round(discount, 6) AS discount,
-  round(unit, 6) AS unit_price,
-  round((unit - avg(unit) OVER ()) / stddev_samp(unit) OVER (), 6) AS unit_price_scaled,
+SELECT l_orderkey, l_partkey, l_quantity, l_extendedprice, l_tax, l_returnflag, round(discount, 7) AS discount,
+  round(unit, 7) AS unit_price,
+  round((unit - avg(unit) OVER ()) / stddev_samp(unit) OVER (), 7) AS unit_price_scaled,
   {equal_width('discount', 4)} AS discount_bin
 FROM f, {bounds('f', 'discount', 'b')}"""
 ORACLES["plan_log"] = """SELECT v.*, (SELECT count(*) FROM lineitem) AS row_count FROM (VALUES

@@ -475,7 +475,7 @@ def _run(table: TableHandle, spark: SparkSession):
 def plan_run(spark: SparkSession, folder: str) -> DataFrame:
     table = _plan_table(spark, folder)
     _run(table, spark)
-    return _as_bigint(rounded(table.df), "discount_bin")
+    return _as_bigint(rounded(table.df, DIGITS + 1), "discount_bin")
 
 
 @query

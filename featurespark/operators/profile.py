@@ -244,6 +244,13 @@ def mark_duplicates(df: DataFrame, profiles: Iterable[ColumnProfile]) -> None:
         profile.is_duplicate_of = found[profile.name]
 
 
+def complete_profiles(df: DataFrame, basics: Iterable[ColumnProfile], distinct: str = "exact") -> None:
+    """Fill in everything but duplicates, starting from basic statistics."""
+    basics = list(basics)
+    add_numeric_statistics(df, basics)
+    add_distinct_and_mode(df, basics, distinct)
+
+
 def profile_columns(
     df: DataFrame, columns: Iterable[str] | None = None, distinct: str = "exact", duplicates: bool = True
 ) -> list[ColumnProfile]:
@@ -251,8 +258,7 @@ def profile_columns(
     names = list(df.columns if columns is None else columns)
     _, basics = basic_statistics(df, names)
     profiles = [basics[name] for name in names]
-    add_numeric_statistics(df, profiles)
-    add_distinct_and_mode(df, profiles, distinct)
+    complete_profiles(df, profiles, distinct)
     if duplicates:
         mark_duplicates(df, profiles)
     return profiles

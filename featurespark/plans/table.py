@@ -13,7 +13,13 @@ from featurespark.errors import DataAccessError
 from featurespark.functions.columns import type_class
 from featurespark.operators.correlation import CorrelationSummary, correlate
 from featurespark.operators.duplicates import duplicate_of
-from featurespark.operators.profile import ColumnProfile, mark_duplicates, profile_columns, profiles_to_frame
+from featurespark.operators.profile import (
+    ColumnProfile,
+    basic_statistics,
+    complete_profiles,
+    mark_duplicates,
+    profiles_to_frame,
+)
 from featurespark.operators.sensitive import DEFAULT_THRESHOLD, PATTERN_DETECTOR, Detector, aggregate_votes
 from featurespark.operators.transforms import (
     Fitted,
@@ -46,6 +52,7 @@ class _Version:
     """One version of the table and what is known of its columns so far."""
 
     df: DataFrame
+    basics: dict[str, ColumnProfile] = field(default_factory=dict)
     profiles: dict[str, ColumnProfile] = field(default_factory=dict)
     sensitive: dict[str, bool] = field(default_factory=dict)
     duplicates_marked: bool = False
@@ -116,11 +123,20 @@ class TableHandle:
 
     # -- summaries
 
+    def _basics(self, names: Sequence[str]) -> list[ColumnProfile]:
+        """Row and null counts, sizes and ranges: one scan of the columns not seen yet."""
+        state = self._versions[self.version]
+        missing = [name for name in names if name not in state.basics]
+        if missing:
+            state.basics.update(basic_statistics(state.df, missing)[1])
+        return [state.basics[name] for name in names]
+
     def _profiles(self, names: Sequence[str]) -> list[ColumnProfile]:
         state = self._versions[self.version]
         missing = [name for name in names if name not in state.profiles]
         if missing:
-            fresh = profile_columns(state.df, missing, self._distinct, duplicates=False)
+            fresh = [replace(basic) for basic in self._basics(missing)]
+            complete_profiles(state.df, fresh, self._distinct)
             state.profiles.update({profile.name: profile for profile in fresh})
         return [state.profiles[name] for name in names]
 
@@ -156,15 +172,15 @@ class TableHandle:
         flags = self.sensitive()
         rows = [
             (p.name, p.dtype, p.null_count > 0, flags[p.name], p.name in self._blocked)
-            for p in self._profiles(self.df.columns)
+            for p in self._basics(self.df.columns)
         ]
         return self._spark.createDataFrame(rows, SCHEMA_SCHEMA)
 
     def metadata(self) -> DataFrame:
         """One row: counts, size and version."""
-        profiles = self._profiles(self.df.columns)
-        size = sum(profile.size_bytes for profile in profiles)
-        rows = profiles[0].rows if profiles else self.df.count()
+        basics = self._basics(self.df.columns)
+        size = sum(basic.size_bytes for basic in basics)
+        rows = basics[0].rows if basics else self.df.count()
         row = (self.dataset_id, "spark", rows, len(self.df.columns), size, size / 1024**3, self.version)
         return self._spark.createDataFrame([row], METADATA_SCHEMA)
 
@@ -208,11 +224,12 @@ class TableHandle:
         if self._snapshot_path is not None:
             df = write_snapshot(df, self._snapshot_path, number)
         kept = [] if changed is None else [name for name in df.columns if name not in changed]
+        basics = {name: before.basics[name] for name in kept if name in before.basics}
         profiles = {
             name: replace(before.profiles[name], is_duplicate_of=None) for name in kept if name in before.profiles
         }
         sensitive = {name: before.sensitive[name] for name in kept if name in before.sensitive}
-        self._versions[number] = _Version(df, profiles, sensitive)
+        self._versions[number] = _Version(df, basics, profiles, sensitive)
         self.version = number
         return number
 
