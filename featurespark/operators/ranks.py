@@ -16,40 +16,48 @@ HOT_SHARE = 1_000
 
 
 def average_ranks(counts: DataFrame) -> DataFrame:
-    """(value, n) with distinct values -> (value, n, rank), the mean rank of the value's rows.
+    """(column, value, n), one row per distinct value -> (column, value, n, rank), the mean rank of its rows.
 
-    Values are range-partitioned and sorted, each partition adds up its own counts, and the
-    partitions' offsets, one row each, are added afterwards. The partition number is stored with
-    the rows in a checkpoint, so a recomputed task cannot shift it.
+    All columns are range-partitioned and sorted together, each partition adds up its own counts,
+    and the partitions' offsets, one row per partition and column, are added afterwards. The
+    partition number is stored with the rows in a checkpoint, so a recomputed task cannot shift it.
     """
 
-    def running_total(batches):
+    def running_totals(batches):
         # Nested so that it travels to the workers by value.
+        import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        part, before = TaskContext.get().partitionId(), 0
+        part, column, before = TaskContext.get().partitionId(), None, 0
         for batch in batches:
-            if batch.num_rows:
-                upto = pc.add(pc.cumulative_sum(batch.column("n")), before)
-                before = upto[-1].as_py()
-                parts = pa.array([part] * batch.num_rows, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("value"), batch.column("n"), upto, parts], names=["value", "n", "upto", "part"]
-                )
+            if not batch.num_rows:
+                continue
+            columns = batch.column("column").to_numpy()
+            total = np.cumsum(batch.column("n").to_numpy())
+            starts = np.flatnonzero(np.diff(columns, prepend=columns[0] - 1))
+            base = np.concatenate([[0], total[starts[1:] - 1]])
+            if columns[0] == column:  # goes on from the batch before
+                base[0] -= before
+            upto = total - np.repeat(base, np.diff(np.append(starts, len(columns))))
+            column, before = columns[-1], upto[-1]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("column"), batch.column("value"), batch.column("n"), pa.array(upto),
+                 pa.array(np.full(len(upto), part, dtype=np.int32))],
+                names=["column", "value", "n", "upto", "part"],
+            )
 
-    ranged = counts.select("value", F.col("n").cast("bigint").alias("n")).repartitionByRange("value")
-    local = ranged.sortWithinPartitions("value").mapInArrow(
-        running_total, "value double, n bigint, upto bigint, part int"
+    slim = counts.select(F.col("column").cast("int"), F.col("value").cast("double"), F.col("n").cast("bigint"))
+    ordered = slim.repartitionByRange("column", "value").sortWithinPartitions("column", "value")
+    local = cut_lineage(
+        ordered.mapInArrow(running_totals, "column int, value double, n bigint, upto bigint, part int")
     )
-    local = cut_lineage(local)
-    totals = local.groupBy("part").agg(F.max("upto").alias("rows"))
-    # One row per partition.
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
+    totals = local.groupBy("column", "part").agg(F.max("upto").alias("rows"))
+    # At most one row per column and partition.
+    earlier = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("column", "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
     rank = F.col("start") + F.col("upto") - F.col("n") + (F.col("n") + 1) / 2
-    return local.join(F.broadcast(starts), "part").select("value", "n", rank.alias("rank"))
+    return local.join(F.broadcast(starts), ["column", "part"]).select("column", "value", "n", rank.alias("rank"))
 
 
 def rank_sums(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[tuple[str, str], float]]:
@@ -63,13 +71,15 @@ def rank_sums(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[tuple[st
     slim = df.select(*[number_of(field_of(df.schema, name)).alias(key) for name, key in zip(columns, keys)])
     merged = cut_lineage(slim.dropna().groupBy(*keys).agg(F.count("*").alias("n")))
     total = merged.agg(F.sum("n")).first()[0] or 0
+    long = merged.select("n", F.posexplode(F.array(*keys)).alias("column", "value"))
+    ranks = average_ranks(long.groupBy("column", "value").agg(F.sum("n").alias("n")))
+    ranks = ranks.withColumn("rank", F.col("rank") - (total + 1) / 2)
+    often = F.col("n") * HOT_SHARE > total
     ranked = merged
-    for key in keys:
-        values = merged.groupBy(F.col(key).alias("value")).agg(F.sum("n").alias("n"))
-        ranks = average_ranks(values).withColumn("rank", F.col("rank") - (total + 1) / 2)
-        often = F.col("n") * HOT_SHARE > total
-        hot = ranks.where(often).select(F.col("value").alias(key), F.col("rank").alias("hot_rank"))
-        cold = ranks.where(~often).select(F.col("value").alias(key), F.lit(0).alias("spread"), "rank")
+    for index, key in enumerate(keys):
+        own = ranks.where(F.col("column") == index)
+        hot = own.where(often).select(F.col("value").alias(key), F.col("rank").alias("hot_rank"))
+        cold = own.where(~often).select(F.col("value").alias(key), F.lit(0).alias("spread"), "rank")
         spread = F.when(F.col("hot_rank").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*keys), F.lit(1_000_003)))
         ranked = (
             ranked.join(F.broadcast(hot), key, "left")

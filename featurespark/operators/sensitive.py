@@ -81,9 +81,16 @@ def name_category(column_name: str) -> str:
     return next(hits, NONE)
 
 
+# Characters that Python's strip() removes.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def stripped(text: Column) -> Column:
     """Text without white space around it, tabs, line ends and Unicode spaces included."""
-    return F.regexp_replace(text, r"^(?U)[\s\x1c-\x1f]+|(?U)[\s\x1c-\x1f]+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def can_match(field: T.StructField) -> bool:
@@ -160,7 +167,6 @@ def aggregate_votes(
     """
     if not detectors:
         raise DataAccessError("at least one detector is needed")
-    spark = df.sparkSession
     votes = None
     for position, (stage, detect) in enumerate(detectors):
         part = detect(df).select(
@@ -185,14 +191,14 @@ def aggregate_votes(
     action = F.when(F.col("confidence") < threshold, "allow").otherwise(
         F.coalesce(F.try_element_at(advised, F.col("category")), F.lit("summarize_only"))
     )
-    columns = spark.createDataFrame(
-        [(index, name) for index, name in enumerate(df.columns)], "position int, column string"
-    )
+    names = F.array(*[F.lit(name) for name in df.columns])
+    # One row per column of the data: few enough for one sorted partition.
     return (
-        columns.join(F.broadcast(grouped), "column")
+        grouped.withColumn("place", F.array_position(names, F.col("column")))
+        .where(F.col("place") > 0)
         .withColumn("category", category)
         .select(
-            "position",
+            "place",
             F.col("column").alias("column_name"),
             "category",
             "confidence",
@@ -201,6 +207,7 @@ def aggregate_votes(
             F.array_join(F.col("ordered.explanation"), " | ").alias("explanation"),
             F.transform("ordered", lambda v: v.dropFields("position")).cast(f"array<{VOTE_TYPE}>").alias("votes"),
         )
-        .orderBy("position")
-        .drop("position")
+        .coalesce(1)
+        .sortWithinPartitions("place")
+        .drop("place")
     )

@@ -6,6 +6,7 @@ from collections.abc import Collection, Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featurespark.errors import PolicyViolationError
 from featurespark.functions.columns import field_of, ref, value_of
@@ -80,12 +81,17 @@ def sample_values(
     return result
 
 
-def sample_table(df: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
-    """Samples as a table of text columns, shorter samples filled up with nulls."""
+def sample_table(df: DataFrame, samples: dict[str, list[str]], without_text: Collection[str] = ()) -> DataFrame:
+    """Samples as a table of text columns, shorter samples filled up with nulls.
+
+    Columns in ``without_text`` were not sampled; they appear as empty boolean columns.
+    """
     longest = max((len(values) for values in samples.values()), default=0)
+    names = [name for name in df.columns if name in samples or name in without_text]
     rows = [
-        tuple(values[index] if index < len(values) else None for values in samples.values())
+        tuple(samples[name][index] if index < len(samples.get(name, ())) else None for name in names)
         for index in range(longest)
     ]
-    schema = ", ".join(f"`{name.replace('`', '``')}` string" for name in samples)
+    kinds = [T.BooleanType() if name in without_text else T.StringType() for name in names]
+    schema = T.StructType([T.StructField(name, kind) for name, kind in zip(names, kinds)])
     return df.sparkSession.createDataFrame(rows, schema)

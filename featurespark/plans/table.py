@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from featurespark.errors import DataAccessError
-from featurespark.functions.columns import type_class
+from featurespark.functions.columns import ref, type_class
 from featurespark.operators.correlation import CorrelationSummary, correlate
 from featurespark.operators.duplicates import duplicate_of
 from featurespark.operators.profile import (
@@ -20,7 +20,7 @@ from featurespark.operators.profile import (
     mark_duplicates,
     profiles_to_frame,
 )
-from featurespark.operators.sensitive import DEFAULT_THRESHOLD, PATTERN_DETECTOR, Detector, aggregate_votes
+from featurespark.operators.sensitive import DEFAULT_THRESHOLD, PATTERN_DETECTOR, Detector, aggregate_votes, can_match
 from featurespark.operators.transforms import (
     Fitted,
     WholeTableFunction,
@@ -103,10 +103,15 @@ class TableHandle:
         state = self._versions[self.version]
         missing = [name for name in state.df.columns if name not in state.sensitive]
         if missing:
-            values = state.df.select(*[f"`{name}`" for name in missing])
+            values = state.df.select(*[ref(name) for name in missing])
             if self._sample_size is not None:
-                samples = sample_values(state.df, missing, self._sample_size, self._order_by)
-                values = sample_table(state.df, samples)
+                # The built-in detector judges columns of other types by name alone.
+                built_in = tuple(self._detectors) == (PATTERN_DETECTOR,)
+                fields = {member.name: member for member in state.df.schema.fields}
+                unread = [name for name in missing if built_in and not can_match(fields[name])]
+                read = [name for name in missing if name not in unread]
+                samples = sample_values(state.df, read, self._sample_size, self._order_by) if read else {}
+                values = sample_table(state.df, samples, unread)
             for row in aggregate_votes(values, self._detectors, self._threshold).collect():
                 state.sensitive[row["column_name"]] = row["is_sensitive"]
         return {name: state.sensitive[name] for name in state.df.columns}
@@ -119,7 +124,7 @@ class TableHandle:
 
     def visible(self) -> DataFrame:
         """The current version without blocked and sensitive columns."""
-        return self.df.select(*[f"`{name}`" for name in self.visible_columns()])
+        return self.df.select(*[ref(name) for name in self.visible_columns()])
 
     # -- summaries
 

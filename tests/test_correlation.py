@@ -45,11 +45,23 @@ def test_rank_join_without_hot_values(spark, monkeypatch):
 
 def test_average_ranks(spark):
     rng = np.random.default_rng(2)
-    values = pd.Series(rng.integers(0, 300, 4000).astype(float))
-    counts = spark.createDataFrame(values.value_counts().reset_index().set_axis(["value", "n"], axis=1)).repartition(6)
-    found = {row["value"]: row["rank"] for row in average_ranks(counts).collect()}
-    expected = values.rank()
-    assert all(found[value] == rank for value, rank in zip(values, expected))
+    data = pd.DataFrame({0: rng.integers(0, 300, 4000), 1: rng.integers(0, 4000, 4000), 2: np.full(4000, 7)}).astype(float)
+    long = data.melt(var_name="column", value_name="value").groupby(["column", "value"]).size().reset_index(name="n")
+    counts = spark.createDataFrame(long).repartition(6)
+    found = {(row["column"], row["value"]): row["rank"] for row in average_ranks(counts).collect()}
+    expected = data.rank()
+    assert len(found) == len(long)
+    for column in data:
+        assert all(found[column, value] == rank for value, rank in zip(data[column], expected[column]))
+
+
+def test_average_ranks_in_small_batches(spark):
+    """Running totals go on over the batches of a partition and start anew with each column."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        test_average_ranks(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_people(people):
