@@ -17,7 +17,8 @@ from featurespark.operators.ranks import rank_sums
 
 HIGH_CORRELATION = 0.85
 COLUMNS_PER_JOB = 40
-PAIRS_PER_JOB = 60
+TILE = 8
+PAIRS_PER_JOB = TILE * TILE
 
 PAIR_SCHEMA = T.StructType(
     [
@@ -80,6 +81,20 @@ def _spreads(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, _Spr
     return total, result
 
 
+def _tiled_pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
+    """All pairs in column order, arranged so that a run of them reads few columns."""
+    place = {name: index for index, name in enumerate(columns)}
+    tiles = chunks(list(columns), TILE)
+    return [
+        (a, b)
+        for number, first in enumerate(tiles)
+        for second in tiles[number:]
+        for a in first
+        for b in second
+        if place[a] < place[b]
+    ]
+
+
 def _pearson(df: DataFrame, columns: Sequence[str], total: int, spreads: dict[str, _Spread]) -> dict[tuple, float]:
     """Two passes: means first, then plain sums of centred products.
 
@@ -103,14 +118,15 @@ def _pearson(df: DataFrame, columns: Sequence[str], total: int, spreads: dict[st
             *[F.sum(offsets[name] * offsets[name]).alias(f"q{i}") for i, name in enumerate(names)],
         ).first()
         own.update({name: (row[f"s{i}"], row[f"q{i}"]) for i, name in enumerate(names)})
-    pairs = list(combinations(varying, 2))
+    pairs = _tiled_pairs(varying)
     plain = [pair for pair in pairs if pair[0] in complete and pair[1] in complete]
     for part in chunks(plain, PAIRS_PER_JOB):
         row = df.agg(*[F.sum(offsets[a] * offsets[b]).alias(f"p{i}") for i, (a, b) in enumerate(part)]).first()
         for index, (a, b) in enumerate(part):
             (sa, saa), (sb, sbb) = own[a], own[b]
             result[a, b] = _coefficient(total, sa, sb, saa, sbb, row[f"p{index}"])
-    gapped = [pair for pair in pairs if pair not in set(plain)]
+    whole = set(plain)
+    gapped = [pair for pair in pairs if pair not in whole]
     for part in chunks(gapped, PAIRS_PER_JOB // 6):
         aggregates = []
         for index, (a, b) in enumerate(part):

@@ -26,6 +26,7 @@ SKETCH_ACCURACY = 2_000
 CUT_OFFSETS = (-4.0, -2.0, -1.0, -0.4, 0.0, 0.4, 1.0, 2.0, 4.0)
 MAX_INSIDE = 2_000_000
 INTERVALS_PER_JOB = 60
+DRAW = "featurespark_draw"
 
 
 @dataclass
@@ -101,28 +102,30 @@ def open_targets(
 def propose_cuts(df: DataFrame, targets: Iterable[Target]) -> dict[str, set[float]]:
     """Cut points per column from a sample of the rows in its targets' intervals.
 
-    The sample holds about ``SAMPLE_ROWS`` rows of the smallest interval however large the table
-    is, so the sketches that tasks send are bounded as well. Each proposed value gets a second cut
-    just below it: a value that repeats often then has an interval of its own.
+    Each interval is sampled at its own rate, about ``SAMPLE_ROWS`` rows of it however many it
+    holds, so the sketches that tasks send are bounded as well. Each proposed value gets a second
+    cut just below it: a value that repeats often then has an interval of its own.
     """
     shared: dict[tuple, list[Target]] = {}
     for target in targets:
         shared.setdefault((target.column, target.least, target.greatest), []).append(target)
     cuts: dict[str, set[float]] = {}
     for part in chunks(list(shared.items()), INTERVALS_PER_JOB):
-        fraction = min(1.0, SAMPLE_ROWS / min(members[0].inside for _, members in part))
-        sample = df if fraction == 1.0 else df.sample(fraction=fraction, seed=17)
         sketches = []
+        drawn = df.withColumn(DRAW, F.rand(17))
         for index, ((name, least, greatest), members) in enumerate(part):
             number = number_of(field_of(df.schema, name))
-            within = F.when((number >= F.lit(least)) & (number <= F.lit(greatest)), number)
+            taken = (number >= F.lit(least)) & (number <= F.lit(greatest))
+            if members[0].inside > SAMPLE_ROWS:
+                taken = (F.col(DRAW) < SAMPLE_ROWS / members[0].inside) & taken
             points = []
             for target in members:
                 spread = 0.5 / math.sqrt(min(SAMPLE_ROWS, target.inside)) + 1.0 / SKETCH_ACCURACY
                 centre = (target.position - target.before) / target.inside
                 points += [min(1.0, max(0.0, centre + offset * spread)) for offset in CUT_OFFSETS]
-            sketches.append(F.percentile_approx(within, points, SKETCH_ACCURACY).alias(f"cuts{index}"))
-        row = sample.agg(*sketches).first()
+            wanted = F.expr(f"array({', '.join(f'{point!r}D' for point in points)})")
+            sketches.append(F.percentile_approx(F.when(taken, number), wanted, SKETCH_ACCURACY).alias(f"cuts{index}"))
+        row = drawn.agg(*sketches).first()
         for index, ((name, _, _), _) in enumerate(part):
             for value in row[f"cuts{index}"] or []:
                 cuts.setdefault(name, set()).update((math.nextafter(value, -math.inf), value))

@@ -42,6 +42,17 @@ VALUE_PATTERNS: dict[str, str] = {
     "hash": r"^[a-fA-F0-9]{32,64}$",
 }
 
+# Shortest and longest text that a pattern can match; other values are not searched.
+VALUE_LENGTHS: dict[str, tuple[int, int | None]] = {
+    "email": (6, None),
+    "phone": (7, 16),
+    "ssn": (11, 11),
+    "credit_card": (13, 19),
+    "ip_address": (7, 15),
+    "uuid": (36, 36),
+    "hash": (32, 64),
+}
+
 # What is advised for a column of each category.
 ACTIONS: dict[str, str] = {
     "email": "mask",
@@ -109,12 +120,15 @@ def match_ratios(df: DataFrame, columns: Iterable[str] | None = None) -> DataFra
     rows = []
     for part in chunks(names, COLUMNS_PER_JOB // 4):
         slim = df.select(*[stripped(ref(name).cast("string")).alias(f"v{index}") for index, name in enumerate(part)])
+        slim = slim.select("*", *[F.length(f"v{index}").alias(f"length{index}") for index in range(len(part))])
         aggregates = []
         for index in range(len(part)):
-            value = F.col(f"v{index}")
+            value, length = F.col(f"v{index}"), F.col(f"length{index}")
             aggregates.append(F.count(value).alias(f"filled{index}"))
             for category, pattern in VALUE_PATTERNS.items():
-                aggregates.append(F.count_if(value.rlike(pattern)).alias(f"{category}{index}"))
+                shortest, longest = VALUE_LENGTHS[category]
+                fits = length >= shortest if longest is None else length.between(shortest, longest)
+                aggregates.append(F.count_if(fits & value.rlike(pattern)).alias(f"{category}{index}"))
         counts = slim.agg(*aggregates).first()
         for index, name in enumerate(part):
             filled = counts[f"filled{index}"]

@@ -46,16 +46,22 @@ def value_counts(df: DataFrame, columns: Iterable[str]) -> list[tuple[T.DataType
 
 
 def distinct_and_mode(df: DataFrame, columns: Iterable[str]) -> dict[str, tuple[int, str | None]]:
-    """Distinct count and mode text per column; of equally frequent values the smallest wins."""
+    """Distinct count per column, and mode text of those that are not numeric: the smallest of the most frequent.
+
+    Numeric columns, usually those with the most values, need only a count of the value counts.
+    """
     columns = list(columns)
     result: dict[str, tuple[int, str | None]] = {name: (0, None) for name in columns}
     summary = None
     for carrier, counts in value_counts(df, columns):
-        best = F.min(F.struct((-F.col("n")).alias("order"), F.col("value")))
-        part = counts.groupBy("column").agg(F.count("*").alias("distinct"), best.alias("best"))
-        part = part.select("column", "distinct", F.col("best.value").alias("value"))
-        mode = value_text(T.StructField("value", carrier)).alias("mode")
-        part = part.select("column", "distinct", mode)
+        if isinstance(carrier, (T.LongType, T.DoubleType)):
+            part = counts.groupBy("column").agg(F.count("*").alias("distinct"))
+            part = part.withColumn("mode", F.lit(None).cast("string"))
+        else:
+            best = F.min(F.struct((-F.col("n")).alias("order"), F.col("value")))
+            part = counts.groupBy("column").agg(F.count("*").alias("distinct"), best.alias("best"))
+            part = part.select("column", "distinct", F.col("best.value").alias("value"))
+            part = part.select("column", "distinct", value_text(T.StructField("value", carrier)).alias("mode"))
         summary = part if summary is None else summary.unionByName(part)
     if summary is not None:
         for row in summary.collect():
