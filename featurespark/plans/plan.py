@@ -27,6 +27,12 @@ LOG_SCHEMA = (
 )
 EXECUTED, FAILED = "executed", "failed"
 
+# Texts of the run log and its summary.
+EXECUTED_TEXT = "Executed '{name}' via {operation}"
+FAILED_TEXT = "Failed '{name}': {error}"
+SUMMARY_TEXT = "Executed {count} feature(s): {names}. Dataset moved from version {before} to {after}."
+NOTHING_RUN_TEXT = "No transformations were executed this round."
+
 
 @dataclass(frozen=True)
 class Proposal:
@@ -164,9 +170,9 @@ def run_plan(
                     table.apply(proposal.operation, dict(proposal.params), guard=guard)
                 else:
                     table.apply_fitted(ready)
-                status, message = EXECUTED, f"Executed '{proposal.name}' via {proposal.operation}"
+                status, message = EXECUTED, EXECUTED_TEXT.format(name=proposal.name, operation=proposal.operation)
             except Exception as error:  # the log, not the caller, gets a step's failure
-                status, message = FAILED, f"Failed '{proposal.name}': {error}"
+                status, message = FAILED, FAILED_TEXT.format(name=proposal.name, error=error)
             steps.append(
                 StepResult(index, proposal.name, proposal.operation, status, message, before, table.version)
             )
@@ -209,8 +215,8 @@ def _fit_batch(table: TableHandle, batch: Sequence[Proposal]) -> list[Fitted] |
 def run_summary(run: PlanRun | None) -> str:
     """What a run did, in one sentence pair."""
     if run is None:
-        return "No transformations were executed this round."
-    return (
-        f"Executed {len(run.executed)} feature(s): {', '.join(run.executed) or 'none'}. "
-        f"Dataset moved from version {run.version_before} to {run.version_after}."
+        return NOTHING_RUN_TEXT
+    names = ", ".join(run.executed) or "none"
+    return SUMMARY_TEXT.format(
+        count=len(run.executed), names=names, before=run.version_before, after=run.version_after
     )

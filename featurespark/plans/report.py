@@ -13,6 +13,18 @@ from featurespark.plans.table import TableHandle
 
 RECENT_STEPS = 5
 
+# Sections of a report in order, each with its priority and text.
+SECTIONS: dict[str, tuple[int, str]] = {
+    "schema": (0, "Visible columns: {}"),
+    "metadata": (0, "Dataset: {} rows, {} cols, version {}"),
+    "constraints": (0, "User constraints: {}"),
+    "profiles": (1, "Column profiles:\n{}"),
+    "correlation": (1, "Highly correlated pairs: {}"),
+    "summary": (2, "Prior conversation summary: {}"),
+    "history": (2, "Recent execution history: {}"),
+    "instruction": (0, "{}"),
+}
+
 
 def profile_lines(profiles: DataFrame) -> DataFrame:
     """One line per profiled column."""
@@ -42,27 +54,22 @@ def report_sections(
     """Sections (priority, position, label, text) of a report on the visible part of a table."""
     spark = table.df.sparkSession
     meta = table.metadata().first()
-    sections = [
-        (0, "schema", f"Visible columns: {', '.join(table.visible_columns())}"),
-        (0, "metadata", f"Dataset: {meta.row_count} rows, {meta.column_count} cols, version {meta.version}"),
-    ]
-    if constraints:
-        sections.append((0, "constraints", "User constraints: " + "; ".join(constraints)))
-    lines = [row["line"] for row in profile_lines(table.profiles()).collect()]
-    if lines:
-        sections.append((1, "profiles", "Column profiles:\n" + "\n".join(lines)))
     high = table.correlation().high_correlation_pairs
-    if high:
-        pairs = pair_lines(spark.createDataFrame(high, "col_a string, col_b string, corr double"))
-        texts = [row["line"] for row in pairs.collect()]
-        sections.append((1, "correlation", "Highly correlated pairs: " + "; ".join(texts)))
-    if last_summary:
-        sections.append((2, "summary", f"Prior conversation summary: {last_summary}"))
-    if history:
-        sections.append((2, "history", "Recent execution history: " + "; ".join(history[-RECENT_STEPS:])))
-    if instruction:
-        sections.append((0, "instruction", instruction))
-    rows = [(priority, position, label, text) for position, (priority, label, text) in enumerate(sections)]
+    pairs = pair_lines(spark.createDataFrame(high, "col_a string, col_b string, corr double")).collect()
+    found = {
+        "schema": [", ".join(table.visible_columns())],
+        "metadata": [meta.row_count, meta.column_count, meta.version],
+        "constraints": ["; ".join(constraints)],
+        "profiles": ["\n".join(row["line"] for row in profile_lines(table.profiles()).collect())],
+        "correlation": ["; ".join(row["line"] for row in pairs)],
+        "summary": [last_summary],
+        "history": ["; ".join(history[-RECENT_STEPS:])],
+        "instruction": [instruction],
+    }
+    rows = []
+    for position, (label, (priority, text)) in enumerate(SECTIONS.items()):
+        if label == "schema" or found[label] != [""]:
+            rows.append((priority, position, label, text.format(*found[label])))
     return spark.createDataFrame(rows, "priority int, position int, label string, text string")
 
 
