@@ -57,28 +57,34 @@ def sample_values(
 ) -> dict[str, list[str]]:
     """The first ``size`` non-missing values of each column as text.
 
-    One read serves all columns that have no gaps in the first rows; each other column gets a
-    read of its own, which stops early when no order is asked for.
+    The first rows serve all columns that have few gaps there; each other column gets a read of
+    its own, which stops early when no order is asked for.
     """
     names = list(df.columns if columns is None else columns)
 
-    def first_rows(table: DataFrame, wanted: Sequence[str]) -> list:
+    def first_rows(table: DataFrame, wanted: Sequence[str], rows: int) -> list:
         ordered = table if order_by is None else table.orderBy(ref(order_by))
         texts = []
         for index, name in enumerate(wanted):
             field = field_of(df.schema, name)
             texts.append(F.when(value_of(field).isNotNull(), value_text(field)).alias(f"v{index}"))
-        return ordered.limit(size).select(*texts).collect()
-
-    head = first_rows(df, names)
-    result = {}
-    for index, name in enumerate(names):
-        values = [row[index] for row in head]
-        if None in values and len(head) == size:
+        return ordered.limit(rows).select(*texts).collect()
+
+    found: dict[str, list[str]] = {}
+    for rows in (size, 10 * size):
+        waiting = [name for name in names if name not in found]
+        if not waiting:
+            break
+        head = first_rows(df, waiting, rows)
+        for index, name in enumerate(waiting):
+            values = [row[index] for row in head if row[index] is not None]
+            if len(values) >= size or len(head) < rows:
+                found[name] = values[:size]
+    for name in names:
+        if name not in found:
             gap_free = df.where(value_of(field_of(df.schema, name)).isNotNull())
-            values = [row[0] for row in first_rows(gap_free, [name])]
-        result[name] = [value for value in values if value is not None]
-    return result
+            found[name] = [row[0] for row in first_rows(gap_free, [name], size)]
+    return {name: found[name] for name in names}
 
 
 def sample_table(df: DataFrame, samples: dict[str, list[str]], without_text: Collection[str] = ()) -> DataFrame:
