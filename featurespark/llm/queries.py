@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurespark.llm import lexicon, packing, repair
+from featurespark.llm import exact, lexicon, near, packing, repair
 from featurespark.llm.common import read_table, work_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,11 @@ def op2_repair_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return repair.read_tokens(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op4_bloom_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    groups = exact.exact_groups(read_table(spark, folder, "documents"))
+    return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op8_transducer_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     encoded = lexicon.encode(read_table(spark, folder, "documents"), TOKENIZER)
     listed = lexicon.list_ids(encoded, TOKENIZER).withColumn("ids_sha256", F.sha2("listed", 256)).drop("listed")
@@ -32,12 +37,19 @@ def op8_transducer_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op10_tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = near.near_groups(read_table(spark, folder, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sum_of_squares_packing,
         op2_repair_tokens,
+        op4_bloom_exact_dedup,
         op8_transducer_lexicon,
+        op10_tensored_minhash,
     )
 }
 
