@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurespark.llm import exact, lexicon, near, packing, repair
-from featurespark.llm.common import read_table, work_path
+from featurespark.llm import exact, language, lexicon, near, packing, repair, toxicity
+from featurespark.llm.common import held_out, read_table, work_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -25,6 +25,12 @@ def op2_repair_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return repair.read_tokens(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op3_weak_supervision_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents, out = read_table(spark, folder, "documents"), held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(documents, read_table(spark, folder, "labels"), ~out)
+    return toxicity.score(documents, model).withColumn("held_out", out)
+
+
 def op4_bloom_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = exact.exact_groups(read_table(spark, folder, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -37,9 +43,16 @@ def op8_transducer_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op9_byte_gru_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents, out = read_table(spark, folder, "documents"), held_out(F.col("doc_id"), 3, 1)
+    languages, weights = language.fit(documents.filter(~out))
+    return language.predict(documents, languages, weights).withColumn("held_out", out)
+
+
 def op10_tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
     groups = near.near_groups(read_table(spark, folder, "documents"))
-    return groups.select("doc_id", "n_shingles", "component_id", "kept")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return groups.select("doc_id", "n_shingles", "component_id", kept)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -47,10 +60,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_sum_of_squares_packing,
         op2_repair_tokens,
+        op3_weak_supervision_toxicity,
         op4_bloom_exact_dedup,
         op8_transducer_lexicon,
+        op9_byte_gru_language,
         op10_tensored_minhash,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_bloom_exact_dedup": r"""
+        WITH normal AS (
+            SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+        )
+        SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+        FROM normal WINDOW same AS (PARTITION BY t)
+    """,
+    "op10_tensored_minhash": r"""
+        WITH RECURSIVE cut AS (
+            SELECT doc_id, list_filter(
+                string_split_regex(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[\x20\x09-\x0D]+'),
+                lambda x: x <> '') AS w
+            FROM documents
+        ),
+        sets AS (
+            SELECT doc_id, CASE len(w) WHEN 0 THEN [] WHEN 1 THEN w ELSE list_distinct(
+                list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+            FROM cut
+        ),
+        shingle AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM sets),
+        pair AS (
+            SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c
+            FROM shingle a JOIN shingle b
+              ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ),
+        edge AS (SELECT u, v FROM pair UNION SELECT v, u FROM pair),
+        reach AS (
+            SELECT doc_id, doc_id AS r FROM documents
+            UNION
+            SELECT reach.doc_id, edge.v FROM reach JOIN edge ON edge.u = reach.r
+        )
+        SELECT sets.doc_id, len(s) AS n_shingles, min(r) AS component_id, sets.doc_id = min(r) AS kept
+        FROM sets JOIN reach USING (doc_id) GROUP BY sets.doc_id, len(s)
+    """,
+}
