@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,9 @@ _SPREAD = _BITS.integers(0, 1 << 32, (2 * KEYS * ROWS, 1), dtype=np.uint32) | np
 #: Shingles hashed at once.
 CHUNK = 4_096
 
+#: Nodes of a first key that one group of comparisons takes from each of its two blocks.
+BLOCK = 1_024
+
 #: Words whose hashes a worker remembers.
 MEMO_WORDS = 500_000
 
@@ -120,11 +124,15 @@ def _tables(nodes: DataFrame) -> DataFrame:
                 own, i = owner[low : low + 20_000], index[low : low + 20_000]
                 pair = mixed(keys[own, i][:, None] * np.uint64(3) + keys[own][:, KEYS:])
                 node, size = (np.repeat(batch.column(c).to_numpy()[own], KEYS) for c in (0, 1))
+                first, index_ = np.repeat(keys[own, i].view(np.int64), KEYS), np.repeat(i.astype(np.int32), KEYS)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pair.ravel().view(np.int64)), pa.array(node), pa.array(size)], ["key", "node", "size"]
+                    [pa.array(x) for x in (pair.ravel().view(np.int64), node, size, first, index_)],
+                    ["key", "node", "size", "first_key", "i"],
                 )
 
-    return nodes.select("node", "size", "shared", "keys").mapInArrow(task, "key long, node long, size long")
+    return nodes.select("node", "size", "shared", "keys").mapInArrow(
+        task, "key long, node long, size long, first_key long, i int"
+    )
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -146,6 +154,48 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.mapInArrow(task, "u long, v long")
 
 
+def _across(open_: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components among nodes that share a table; `open_` has first_key, i, node and part.
+
+    The nodes of a first key are dealt out to blocks of about BLOCK nodes, and each pair of blocks is one group, so
+    that a group is bounded. In a group a node is compared with those that share a table with it, share no earlier
+    first key with it (there they meet too), have a fitting size and are still in another component; each link found
+    joins two components at once, so that a large group of copies takes about one comparison a node.
+    """
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        i, part = int(rows["i"].iloc[0]), rows["part"].to_numpy().copy()
+        node, size, block = (rows[c].to_numpy() for c in ("node", "size", "block"))
+        keys = np.frombuffer(b"".join(rows["keys"]), np.uint64).reshape(-1, 2 * KEYS)
+        members = [np.frombuffer(m, np.uint64) for m in rows["members"]]
+        one_block = rows["low"].iloc[0] == rows["high"].iloc[0]
+        found = []
+        for x in range(1, len(node)):
+            able = (part[:x] != part[x]) & (100 * np.minimum(size[:x], size[x]) >= percent * np.maximum(size[:x], size[x]))
+            if not one_block:
+                able &= block[:x] != block[x]
+            near = np.flatnonzero(able)
+            near = near[(keys[near, KEYS:] == keys[x, KEYS:]).any(1) & ~(keys[near, :i] == keys[x, :i]).any(1)]
+            while len(near):
+                y, near = near[0], near[1:]
+                both = np.sort(np.concatenate((members[x], members[y])))
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= percent * (len(both) - shared):
+                    found.append((node[y], node[x]))
+                    part[part == part[y]] = part[x]
+                    near = near[part[near] != part[x]]
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    counts = open_.groupBy("first_key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = open_.join(counts, "first_key").withColumn("block", block).withColumn("other", other)
+    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    full = dealt.drop("blocks", "other").join(nodes.select("node", "size", "keys"), "node").join(sets, "node")
+    return full.groupBy("first_key", "low", "high").applyInPandas(group, "u long, v long")
+
+
 def _sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """The full sets of the rows that take part in a pair."""
 
@@ -174,7 +224,7 @@ def near_groups(
     Columns: doc_id, `row` (number in reading order), n_shingles, component_id (smallest id of the component), kept
     (the row that stays, the first of the smallest id). Rows with equal sets are one node. Nodes that share a first
     key with another go on to the tables; in each table all are paired with its first node, confirmed on the full
-    sets, and joined to components; then pairs of different components that share a table are confirmed as well, so
+    sets, and joined to components; then nodes of different components that share a table are compared as well, so
     that every pair that shares a table is either confirmed, refuted, or already in one component. Sizes that rule a
     link out end a pair early. No words: no set, a component of its own. Rows with a null id take part in links but
     give no component its name; a component of such rows alone has a null name. The documents are read twice and must
@@ -212,15 +262,11 @@ def near_groups(
     sets = work_table(sets, "sets")
     links = work_table(_confirmed(stars, sets, percent), "links")
     first = components(links)
-    placed = members.join(first, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("part"))
-    placed = work_table(placed, "placed")
+    placed = members.join(first, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    placed = work_table(placed.select("key", "first_key", "i", "node", "part"), "placed")
     mixed_keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
-    open_ = placed.join(mixed_keys.select("key"), "key", "left_semi")
-    one = open_.select("key", F.col("node").alias("u"), F.col("size").alias("u_size"), F.col("part").alias("u_part"))
-    two = open_.select("key", F.col("node").alias("v"), F.col("size").alias("v_size"), F.col("part").alias("v_part"))
-    across = one.join(two, "key").filter("u_part < v_part").filter(fits).select("u", "v").distinct()
-    across = work_table(across.join(stars, ["u", "v"], "left_anti").join(stars.toDF("v", "u"), ["u", "v"], "left_anti"), "across")
-    later = _confirmed(across, sets, percent)
+    open_ = placed.join(mixed_keys.select("key"), "key", "left_semi").select("first_key", "i", "node", "part").distinct()
+    later = _across(work_table(open_, "open"), nodes, sets, percent)
     final = components(links.unionByName(later))
     named = groups.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = named.groupBy("component").agg(F.min("first").alias("lead"))
