@@ -13,13 +13,19 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import column_slices, once_per_worker, starts, take_runs
+from featurespark.llm.common import column_slices, once_per_worker, starts, take_runs, work_table
 from featurespark.llm.merges import Merger
 from featurespark.llm.words import TextEncoder
 
 #: Words in the lexicon; what is not in it is merged exactly, so that this bounds memory and not what is encoded.
 LEXICON_WORDS = 60_000
 
+#: A word is frequent when all texts together have it so often; steps of counts are eighths of a doubling.
+LEAST_COUNT = 16
+
+#: Words whose ids a worker remembers.
+MEMO_WORDS = 300_000
+
 #: Bytes of the longest word that the lexicon takes.
 LONGEST = 32
 
@@ -149,7 +155,7 @@ class LexiconWords:
 
 def _lexicon_encoder(tokenizer: str, name: str, packed: Broadcast) -> TextEncoder:
     lexicon = Transducer.map(packed.value)
-    return TextEncoder(tokenizer, LexiconWords(lexicon, once_per_worker(Merger, tokenizer)))
+    return TextEncoder(tokenizer, LexiconWords(lexicon, once_per_worker(Merger, tokenizer)), MEMO_WORDS)
 
 
 def count_words(documents: DataFrame, tokenizer: str, text_column: str = "text") -> DataFrame:
@@ -172,9 +178,15 @@ def count_words(documents: DataFrame, tokenizer: str, text_column: str = "text")
 def build_lexicon(
     documents: DataFrame, tokenizer: str, most: int = LEXICON_WORDS, text_column: str = "text"
 ) -> Transducer:
-    """Compile the `most` frequent words of all texts."""
-    frequent = count_words(documents, tokenizer, text_column).orderBy(F.desc("n"), "word").limit(most)
-    words = sorted(r.word.encode() for r in frequent.collect())
+    """Compile the frequent words of all texts: those above the lowest step of counts that leaves at most `most`."""
+    counts = count_words(documents, tokenizer, text_column).filter(F.col("n") >= LEAST_COUNT)
+    counts = work_table(counts.withColumn("step", F.floor(8 * F.log2("n"))), "frequent")
+    held, least = 0, None
+    for row in counts.groupBy("step").count().orderBy(F.desc("step")).collect():
+        if held + row["count"] > most:
+            break
+        held, least = held + row["count"], row["step"]
+    words = sorted(r.word.encode() for r in counts.filter(F.col("step") >= least).select("word").collect()) if held else []
     words = [w for w in words if 0 < len(w) <= LONGEST]
     flat, count = Merger(tokenizer).encode(words)
     ids = [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] if words else []
@@ -182,13 +194,20 @@ def build_lexicon(
 
 
 def encode(
-    documents: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", most: int = LEXICON_WORDS
+    documents: DataFrame,
+    tokenizer: str,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    most: int = LEXICON_WORDS,
+    decoded: bool = False,
+    listed: bool = False,
 ) -> DataFrame:
     """Token ids of every whole text, as little-endian 32-bit integers, by lexicon and exact merges.
 
-    The lexicon is compiled from the word counts of all texts; workers map its file into memory. Null texts are
-    empty and give no ids; null and repeated ids are kept as they are; an empty table gives an empty lexicon and no
-    rows; other columns are not read. Executors get the lexicon, whose size `most` bounds, by broadcast.
+    `decoded` adds the text that the ids stand for, in `text`; `listed` adds them as decimal numbers with commas
+    between. The lexicon is compiled from the word counts of all texts; workers map its file into memory. Null texts
+    are empty and give no ids; null and repeated ids are kept as they are; an empty table gives an empty lexicon and
+    no rows; other columns are not read. Executors get the lexicon, whose size `most` bounds, by broadcast.
     """
     lexicon = build_lexicon(documents, tokenizer, most, text_column)
     packed, name = documents.sparkSession.sparkContext.broadcast(lexicon.pack()), uuid.uuid4().hex
@@ -197,64 +216,58 @@ def encode(
         encoder = once_per_worker(_lexicon_encoder, tokenizer, name, using=(packed,))
         for batch, texts in column_slices(batches):
             flat, count = encoder.encode(texts)
-            raw, first = flat.astype("<u4").tobytes(), starts(count)
-            ids = [raw[4 * b : 4 * (b + n)] for b, n in zip(first.tolist(), count.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(count, pa.int64()), pa.array(ids, pa.binary())], [id_column, "n_tokens", "ids"]
-            )
+            ids = _cut(flat.astype("<u4").tobytes(), 4 * count)
+            columns, names = [batch.column(0), pa.array(count, pa.int64()), pa.array(ids, pa.binary())], ["n_tokens", "ids"]
+            if decoded:
+                columns.append(decode_ids(flat, count, tokenizer))
+                names.append("text")
+            if listed:
+                columns.append(list_ids(flat, count, tokenizer))
+                names.append("listed")
+            yield pa.RecordBatch.from_arrays(columns, [id_column, *names])
 
     kind = documents.schema[id_column].dataType.simpleString()
-    return documents.select(id_column, text_column).mapInArrow(task, f"`{id_column}` {kind}, n_tokens long, ids binary")
+    more = ", text string" * decoded + ", listed string" * listed
+    rows = documents.select(id_column, text_column)
+    return rows.mapInArrow(task, f"`{id_column}` {kind}, n_tokens long, ids binary{more}")
 
 
-def _token_bytes(tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all tokens one after the other, and where each begins and how long it is."""
-    known = once_per_worker(Merger, tokenizer).bytes_of
-    pieces = [known.get(i, b"") for i in range(max(known) + 1)]
-    size = np.array([len(p) for p in pieces], np.int64)
-    return np.frombuffer(b"".join(pieces), np.uint8), starts(size), size
+def _cut(raw: bytes, size: np.ndarray) -> list[bytes]:
+    first = starts(size)
+    return [raw[b : b + n] for b, n in zip(first.tolist(), size.tolist(), strict=True)]
 
 
-def _token_digits(tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each id as decimal digits with a comma behind."""
-    pieces = [b"%d," % i for i in range(len(_token_bytes(tokenizer)[1]))]
+def _table(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte strings one after the other, and where each begins and how long it is."""
     size = np.array([len(p) for p in pieces], np.int64)
     return np.frombuffer(b"".join(pieces), np.uint8), starts(size), size
 
 
-def _render(encoded: DataFrame, tokenizer: str, table, finish, name: str, kind: str, arrow: pa.DataType) -> DataFrame:
-    """Replace ids by the bytes that `table` has for each, and add what `finish` makes of a row's bytes."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, begin, size = once_per_worker(table, tokenizer)
-        at = encoded_names.index("ids")
-        for whole in batches:
-            for low in range(0, whole.num_rows, 64):
-                batch = whole.slice(low, 64)
-                out = []
-                for raw in batch.column(at).to_pylist():
-                    ids = np.frombuffer(raw or b"", "<u4")
-                    out.append(finish(take_runs(flat, begin[ids], size[ids]).tobytes()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], [*encoded_names, name])
-
-    encoded_names = encoded.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(task, f"{fields}, `{name}` {kind}")
+def _token_bytes(tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    known = once_per_worker(Merger, tokenizer).bytes_of
+    return _table([known.get(i, b"") for i in range(max(known) + 1)])
 
 
-def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """Add the decoded `text` to rows with `ids`; bytes that are not UTF-8 become replacement signs."""
-    return _render(encoded, tokenizer, _token_bytes, _as_text, "text", "string", pa.string())
+def _token_digits(tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _table([b"%d," % i for i in range(max(once_per_worker(Merger, tokenizer).bytes_of) + 1)])
 
 
-def list_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """Add `listed`, the ids as decimal numbers with commas between."""
-    return _render(encoded, tokenizer, _token_digits, _as_list, "listed", "string", pa.string())
+def _replaced(flat: np.ndarray, count: np.ndarray, table: tuple[np.ndarray, ...]) -> list[bytes]:
+    """What the ids of each text are replaced by."""
+    pieces, begin, size = table
+    length = size[flat]
+    total = np.append(0, np.cumsum(length))
+    ends = np.append(0, np.cumsum(count))
+    return _cut(take_runs(pieces, begin[flat], length).tobytes(), np.diff(total[ends]))
 
 
-def _as_text(raw: bytes) -> str:
-    return raw.decode("utf-8", "replace")
+def decode_ids(flat: np.ndarray, count: np.ndarray, tokenizer: str) -> pa.Array:
+    """Decoded texts; bytes that are not UTF-8 become replacement signs."""
+    raw = _replaced(flat, count, once_per_worker(_token_bytes, tokenizer))
+    return pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())
 
 
-def _as_list(raw: bytes) -> str:
-    return raw[:-1].decode("ascii")
+def list_ids(flat: np.ndarray, count: np.ndarray, tokenizer: str) -> pa.Array:
+    """The ids of each text as decimal numbers with commas between."""
+    raw = _replaced(flat, count, once_per_worker(_token_digits, tokenizer))
+    return pa.array([r[:-1].decode("ascii") for r in raw], pa.string())

@@ -37,10 +37,9 @@ def op4_bloom_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_transducer_lexicon(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = lexicon.encode(read_table(spark, folder, "documents"), TOKENIZER)
-    listed = lexicon.list_ids(encoded, TOKENIZER).withColumn("ids_sha256", F.sha2("listed", 256)).drop("listed")
-    decoded = lexicon.decode(listed, TOKENIZER)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    encoded = lexicon.encode(read_table(spark, folder, "documents"), TOKENIZER, decoded=True, listed=True)
+    digests = (F.sha2(c, 256).alias(n) for c, n in (("listed", "ids_sha256"), ("text", "decoded_sha256")))
+    return encoded.select("doc_id", "n_tokens", *digests)
 
 
 def op9_byte_gru_language(spark: SparkSession, folder: str) -> DataFrame:
