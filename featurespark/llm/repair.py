@@ -231,5 +231,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    based = shards.join(totals.select("part", before.alias("base")), "part")
+    based = shards.join(F.broadcast(totals.select("part", before.alias("base"))), "part")
     return based.mapInArrow(task, "doc_id long, start long, n_tokens long, ids binary")
