@@ -20,8 +20,8 @@ TRAIN_DOCUMENTS = 12_000
 #: Voters that the lexicon may have; each is a word or the beginning of words.
 MOST_VOTERS = 400
 
-#: How telling a voter must be: its toxic documents times the logarithm of how much likelier it is in them.
-LEAST_GAIN = 10
+#: A voter's part of toxic documents, counted with so many more documents that are none, must be so large.
+LEAST_PRECISION, CAUTION = 0.8, 1
 
 #: The part of the toxic documents in which a voter must occur.
 LEAST_COVER = 0.01
@@ -37,6 +37,12 @@ MEMO_WORDS = 400_000
 
 _TO_SPACE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
+#: Plain insults, voters whether or not the labels show them.
+INSULTS = (
+    "bastard clown creep cretin degenerate disgusting dumb filth freak garbage idiot imbecile jerk loser lowlife moron "
+    "parasite pathetic pig retard scum scumbag sleazy stupid trash vermin vile worthless"
+).split()
+
 #: Votes that look at the whole text instead of its words.
 PATTERNS = {
     "shouting": re.compile(r"\b[A-Z]{4,}\b(?:\W+[A-Z]{3,}\b){2,}"),
@@ -81,51 +87,62 @@ def _sample(documents: DataFrame, labels: DataFrame, trusted: Column, most: int)
 
 
 class LabelModel:
-    """Accuracies of voters that fire or stay silent, estimated without labels by expectation-maximisation.
+    """Accuracies of voters that fire or stay silent, by expectation-maximisation over their votes.
 
-    Each voter has a probability to fire for either class. Votes that go together more than the classes explain are
-    no independent evidence: from the residual correlations of the voters within the classes each gets a weight,
-    one over one plus the positive correlations with the others, and the estimation is repeated with these weights.
+    A voter fires with one probability in toxic documents and another in clean ones; what firing tells is their
+    ratio. That no voter fires is one more vote, for clean. Votes that go together in clean documents are no
+    independent evidence: from the residual correlations there each voter gets a weight, one over one plus its positive correlations with the others, and the estimation
+    goes on with these weights. How often a voter fired for trusted labels counts as much in it as the estimate
+    itself, so that the two classes keep their meaning.
     """
 
-    def __init__(self, rounds: int = 15) -> None:
+    def __init__(self, rounds: int = 6) -> None:
         self._rounds = rounds
 
-    def fit(self, votes: np.ndarray, prior: float) -> LabelModel:
-        """`votes` has a row per document and a column per voter; `prior` is the expected part of class one."""
-        self.weight = np.ones(votes.shape[1])
-        share = np.where(votes.any(1), 0.9, 0.02)
+    def fit(self, votes: np.ndarray, label: np.ndarray) -> LabelModel:
+        """`votes` has a row per document and a column per voter; trusted labels say how often voters were right."""
+        votes = self._with_silence(votes)
+        seen = np.stack((1 - label, label)) @ votes
+        size = np.array([(1 - label).sum(), label.sum()])[:, None]
+        self.prior, self.weight = float(np.clip(label.mean(), 0.01, 0.99)), np.ones(votes.shape[1])
+        share = 1 - np.exp(votes @ np.log1p(-np.clip(seen[1] / (seen.sum(0) + CAUTION), 0, 0.99)))
         for again in range(2):
             for _ in range(self._rounds):
-                self.fires = np.stack([((1 - share) @ votes + 0.01) / ((1 - share).sum() + 1), (share @ votes + 0.1) / (share.sum() + 1)])
-                self.fires = np.clip(self.fires, 1e-5, 1 - 1e-5)
-                self.prior = prior
-                share = self.posterior(votes)
+                classes = np.stack((1 - share, share))
+                self.fires = (classes @ votes + seen + 0.05) / (classes.sum(1)[:, None] + size + 1)
+                share = self._share(votes)
             if not again:
                 self.correlation = self._residual(votes, share)
                 self.weight = 1 / (1 + np.where(self.correlation > 0.1, self.correlation, 0).sum(1))
         return self
 
+    @staticmethod
+    def _with_silence(votes: np.ndarray) -> np.ndarray:
+        return np.column_stack((votes, ~votes.any(1)))
+
+    def _share(self, votes: np.ndarray) -> np.ndarray:
+        told = votes @ (np.log(self.fires[1] / self.fires[0]) * self.weight) + np.log(self.prior / (1 - self.prior))
+        return 1 / (1 + np.exp(-np.clip(told, -30, 30)))
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        on, off = np.log(self.fires[1] / self.fires[0]), np.log((1 - self.fires[1]) / (1 - self.fires[0]))
-        odds = np.log(self.prior / (1 - self.prior)) + votes @ ((on - off) * self.weight) + (off * self.weight).sum()
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        return self._share(self._with_silence(votes))
 
     def _residual(self, votes: np.ndarray, share: np.ndarray) -> np.ndarray:
-        rest = votes - share[:, None] * self.fires[1] - (1 - share)[:, None] * self.fires[0]
-        cover = rest.T @ rest / max(1, len(votes))
-        spread = np.sqrt(np.maximum(np.diag(cover), 1e-9))
+        """Correlations of the voters among clean documents, where votes that agree without a cause mislead."""
+        rest = (votes - self.fires[0]) * np.sqrt(1 - share)[:, None]
+        cover = rest.T @ rest
+        spread = np.sqrt(np.diag(cover) + 0.5)
         found = cover / spread / spread[:, None]
         np.fill_diagonal(found, 0)
         return found
 
 
 def _choose_voters(rows: np.ndarray, columns: np.ndarray, label: np.ndarray, width: int, most: int) -> np.ndarray:
-    """Features that occur far more often in documents labelled toxic, and mostly in others than those of a better one."""
+    """Features whose documents are mostly labelled toxic, and mostly not covered by one better feature."""
     count, toxic = np.bincount(columns, minlength=width), np.bincount(columns, label[rows], width)
-    ratio = (toxic + 0.5) / (label.sum() + 1) / ((count - toxic + 0.5) / (len(label) - label.sum() + 1))
-    gain = toxic * np.log(ratio)
-    likely = np.flatnonzero((toxic >= max(3, LEAST_COVER * label.sum())) & (ratio > 8) & (gain >= LEAST_GAIN))
+    surely = toxic / (count + CAUTION)
+    likely = np.flatnonzero((surely >= LEAST_PRECISION) & (toxic >= LEAST_COVER * label.sum()))
+    gain = toxic * surely
     likely = likely[np.argsort(-gain[likely], kind="stable")[: 5 * most]]
     place = np.full(width, -1)
     place[likely] = np.arange(len(likely))
@@ -162,8 +179,8 @@ def _logistic(rows: np.ndarray, columns: np.ndarray, n: int, width: int, label:
 def fit(documents: DataFrame, labels: DataFrame, trusted: Column, most: int = TRAIN_DOCUMENTS) -> dict:
     """Weights of the linear classifier: {"bias": b, "weights": {feature: weight}}.
 
-    Only rows of `labels` that fulfil `trusted` are read for labels: they choose the lexicon of voters and the part
-    of toxic documents. The label model then sees votes alone, and the classifier its posterior labels.
+    Only rows of `labels` that fulfil `trusted` are read for labels: they choose the lexicon of voters, state the part
+    of toxic documents and anchor the label model. The classifier sees its posterior labels alone.
     """
     sample = _sample(documents, labels, trusted, most)
     if not sample or len({y for _, y in sample}) < 2:
@@ -173,14 +190,15 @@ def fit(documents: DataFrame, labels: DataFrame, trusted: Column, most: int = TR
     features, columns = np.unique(np.concatenate([f for f, _ in sample]), return_inverse=True)
     rows = np.repeat(np.arange(len(sample)), size)
     voters = _choose_voters(rows, columns, label, len(features), MOST_VOTERS)
-    patterns = np.array([xxhash.xxh3_64_intdigest(b"~" + k.encode()) for k in PATTERNS], np.uint64)
-    voters = np.unique(np.concatenate((voters, np.flatnonzero(np.isin(features, patterns)))))
+    fixed = [b"~" + k.encode() for k in PATTERNS] + [b"=" + w.encode() for w in INSULTS]
+    stated = np.isin(features, np.array([xxhash.xxh3_64_intdigest(k) for k in fixed], np.uint64))
+    voters = np.unique(np.concatenate((voters, np.flatnonzero(stated))))
     place = np.full(len(features), -1)
     place[voters] = np.arange(len(voters))
     cast = place[columns] >= 0
     votes = np.zeros((len(sample), len(voters)))
     votes[rows[cast], place[columns[cast]]] = 1
-    share = LabelModel().fit(votes, float(np.clip(label.mean(), 0.01, 0.99))).posterior(votes)
+    share = LabelModel().fit(votes, label).posterior(votes)
     count, mass = np.bincount(columns, minlength=len(features)), np.bincount(columns, share[rows], len(features))
     expected = count * share.mean()
     used = (count >= 3) & ((mass - expected) ** 2 >= LEAST_CHI_SQUARE * expected * (1 - share.mean()))
