@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurespark.llm import exact, language, lexicon, near, packing, repair, toxicity
-from featurespark.llm.common import held_out, read_table, work_path
+from featurespark.llm import chat, exact, language, lexicon, licences, near, packing, repair, toxicity
+from featurespark.llm.common import held_out, read_table, work_path, work_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -36,6 +36,18 @@ def op4_bloom_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_offset_aligned_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    formatted = work_table(chat.format_conversations(turns.unionByName(planted), TOKENIZER), "chat")
+    return chat.digest_conversations(formatted)
+
+
+def op7_dice_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan_licences(read_table(spark, folder, "documents"))
+
+
 def op8_transducer_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     encoded = lexicon.encode(read_table(spark, folder, "documents"), TOKENIZER, decoded=True, listed=True)
     digests = (F.sha2(c, 256).alias(n) for c, n in (("listed", "ids_sha256"), ("text", "decoded_sha256")))
@@ -61,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_repair_tokens,
         op3_weak_supervision_toxicity,
         op4_bloom_exact_dedup,
+        op6_offset_aligned_chat,
+        op7_dice_licences,
         op8_transducer_lexicon,
         op9_byte_gru_language,
         op10_tensored_minhash,
@@ -68,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op7_dice_licences": licences.licence_sql(),
     "op4_bloom_exact_dedup": r"""
         WITH normal AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
