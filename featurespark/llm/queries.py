@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurespark.llm import chat, exact, language, lexicon, licences, near, packing, repair, toxicity
+from featurespark.llm import chat, exact, language, lexicon, licences, near, packing, partitions, repair, toxicity
 from featurespark.llm.common import held_out, read_table, work_path, work_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,10 @@ def op4_bloom_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    return partitions.nearest(read_table(spark, folder, "embeddings"))
+
+
 def op6_offset_aligned_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_repair_tokens,
         op3_weak_supervision_toxicity,
         op4_bloom_exact_dedup,
+        op5_learned_partitions,
         op6_offset_aligned_chat,
         op7_dice_licences,
         op8_transducer_lexicon,
