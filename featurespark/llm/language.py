@@ -81,7 +81,8 @@ class Labeller:
 def training_words(labelled: DataFrame, documents: int = TRAIN_DOCUMENTS, words: int = TRAIN_WORDS) -> list[tuple[str, str]]:
     """(language, word) from a bounded number of documents per language and words per document.
 
-    Documents are taken in the order of a hash of their id, words at even steps through the whole text.
+    Documents are taken in the order of a hash of their id, first within 64 slots of a language, so that a frequent
+    language does not meet in one task; words at even steps through the whole text.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +94,11 @@ def training_words(labelled: DataFrame, documents: int = TRAIN_DOCUMENTS, words:
                 found.append(" ".join(w[:LONGEST] for w in picked))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["lang", "words"])
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= documents)
+    digest = F.xxhash64("doc_id")
+    ids = labelled.select("doc_id", "lang").withColumn("slot", F.pmod(digest, F.lit(64)))
+    for keys in (["lang", "slot"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(digest, "doc_id")
+        ids = ids.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= documents)
     chosen = F.broadcast(ids.select("doc_id", "lang"))
     rows = labelled.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
     found = rows.mapInArrow(task, "lang string, words string").collect()
