@@ -102,9 +102,9 @@ def _probe(digests: DataFrame, filters: DataFrame, segments: int) -> DataFrame:
 
         def task(batches: Iterator[pa.RecordBatch], low: int = low, held=held) -> Iterator[pa.RecordBatch]:
             names = sorted(held.value)
-            table = np.frombuffer(b"".join(held.value[n] for n in names), np.uint8).reshape(len(names), -1)
+            table = np.frombuffer(b"".join(held.value[n] for n in names), np.uint8).reshape(len(names), SEGMENT_BITS // 8)
             row_of = np.full(each, -1, np.int64)
-            row_of[[n - low for n in names]] = np.arange(len(names))
+            row_of[np.array(names, np.int64) - low] = np.arange(len(names))
             for batch in batches:
                 segment, places = _places(batch.column(3).to_numpy().astype(np.uint64), segments)
                 here = np.flatnonzero((segment >= low) & (segment < low + each))
