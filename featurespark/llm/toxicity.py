@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from featurespark.llm.common import column_slices, once_per_worker
 
 #: Labelled documents that voters, label model and classifier are fitted on, the first by a hash of their id.
-TRAIN_DOCUMENTS = 12_000
+TRAIN_DOCUMENTS = 6_000
 
 #: Voters that the lexicon may have; each is a word or the beginning of words.
 MOST_VOTERS = 400
@@ -143,7 +144,7 @@ def _choose_voters(rows: np.ndarray, columns: np.ndarray, label: np.ndarray, wid
     surely = toxic / (count + CAUTION)
     likely = np.flatnonzero((surely >= LEAST_PRECISION) & (toxic >= LEAST_COVER * label.sum()))
     gain = toxic * surely
-    likely = likely[np.argsort(-gain[likely], kind="stable")[: 5 * most]]
+    likely = likely[np.argsort(-gain[likely], kind="stable")[: 3 * most]]
     place = np.full(width, -1)
     place[likely] = np.arange(len(likely))
     cast = place[columns] >= 0
@@ -187,8 +188,10 @@ def fit(documents: DataFrame, labels: DataFrame, trusted: Column, most: int = TR
         return {"bias": -2.0 if not sample or not sample[0][1] else 2.0, "weights": {}}
     label = np.array([y for _, y in sample])
     size = np.array([len(f) for f, _ in sample])
-    features, columns = np.unique(np.concatenate([f for f, _ in sample]), return_inverse=True)
-    rows = np.repeat(np.arange(len(sample)), size)
+    columns, features = pd.factorize(np.concatenate([f for f, _ in sample]), sort=True)
+    columns = columns.astype(np.int32)
+    rows = np.repeat(np.arange(len(label), dtype=np.int32), size)
+    sample.clear()
     voters = _choose_voters(rows, columns, label, len(features), MOST_VOTERS)
     fixed = [b"~" + k.encode() for k in PATTERNS] + [b"=" + w.encode() for w in INSULTS]
     stated = np.isin(features, np.array([xxhash.xxh3_64_intdigest(k) for k in fixed], np.uint64))
@@ -196,7 +199,7 @@ def fit(documents: DataFrame, labels: DataFrame, trusted: Column, most: int = TR
     place = np.full(len(features), -1)
     place[voters] = np.arange(len(voters))
     cast = place[columns] >= 0
-    votes = np.zeros((len(sample), len(voters)))
+    votes = np.zeros((len(label), len(voters)))
     votes[rows[cast], place[columns[cast]]] = 1
     share = LabelModel().fit(votes, label).posterior(votes)
     count, mass = np.bincount(columns, minlength=len(features)), np.bincount(columns, share[rows], len(features))
@@ -204,7 +207,7 @@ def fit(documents: DataFrame, labels: DataFrame, trusted: Column, most: int = TR
     used = (count >= 3) & ((mass - expected) ** 2 >= LEAST_CHI_SQUARE * expected * (1 - share.mean()))
     number = np.cumsum(used) - 1
     kept = used[columns]
-    weight, bias = _logistic(rows[kept], number[columns[kept]], len(sample), int(used.sum()), share)
+    weight, bias = _logistic(rows[kept], number[columns[kept]], len(label), int(used.sum()), share)
     strong = np.abs(weight) > 0.02
     return {"bias": bias, "weights": dict(zip(features[used][strong].tolist(), weight[strong].tolist(), strict=True))}
 
