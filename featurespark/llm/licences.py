@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featurespark.llm.common import column_slices
+
 #: Notices of public licences.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -28,57 +33,88 @@ TEMPLATES = (
 LEAST_PERCENT = 80
 
 
-def _bigrams(text: Column) -> Column:
-    """Distinct pairs of neighbouring words after ASCII lower case, where all else but letters and digits is space."""
-    plain = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.split(F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " ")), " ")
-    n = F.size(words) - 1
-    pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(words) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+_PLAIN = bytes(b if chr(b).isascii() and (chr(b).isalnum() or b == 10) else 32 for b in range(256))
+
+#: Words whose bigrams are added at a time, until there are more than any template allows.
+CHUNK = 256
+
+
+def _lines(text: str) -> list[list[bytes]]:
+    """The words of each line: ASCII lower case, all but letters and digits taken as space."""
+    return [line.split() for line in text.encode().lower().translate(_PLAIN).split(b"\n")]
+
 
+def _bigrams(words: list[bytes], most: int) -> set[tuple[bytes, bytes]]:
+    """Distinct pairs of neighbouring words; a set larger than `most` may be incomplete."""
+    found: set[tuple[bytes, bytes]] = set()
+    for begin in range(0, len(words) - 1, CHUNK):
+        part = words[begin : begin + CHUNK + 1]
+        found.update(zip(part, part[1:], strict=False))
+        if len(found) > most:
+            break
+    return found
 
-def _templates(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> DataFrame:
-    rows = spark.createDataFrame([(n, *t) for n, t in enumerate(templates)], "template int, license string, notice string")
-    return rows.withColumn("wanted", _bigrams(F.col("notice"))).withColumn("n_wanted", F.size("wanted")).drop("notice")
+
+class Scanner:
+    """Compares units with templates whose size leaves enough in reach."""
+
+    def __init__(self, templates: tuple[tuple[str, str], ...], percent: int) -> None:
+        self._percent = percent
+        self._wanted = [(name, _bigrams([w for line in _lines(t) for w in line], 1 << 30)) for name, t in templates]
+        sizes = [len(w) for _, w in self._wanted if w]
+        self._most = max((n * (200 - percent) // percent for n in sizes), default=0)
+        self._fits = {
+            n: [(name, w) for name, w in self._wanted if (200 - percent) * min(n, len(w)) >= percent * max(n, len(w))]
+            for n in range(1, self._most + 1)
+        }
+
+    def unit(self, words: list[bytes], found: dict[str, tuple[float, int]]) -> None:
+        """Add what one line or text matches: the best coefficient and the number of matches by licence."""
+        had = _bigrams(words, self._most)
+        for name, wanted in self._fits.get(len(had), ()):
+            common, both = len(had & wanted), len(had) + len(wanted)
+            if 200 * common >= self._percent * both:
+                best, n = found.get(name, (0.0, 0))
+                found[name] = max(best, 2 * common / both), n + 1
+
+    def text(self, text: str) -> dict[str, tuple[float, int]]:
+        found: dict[str, tuple[float, int]] = {}
+        lines = _lines(text)
+        for words in lines:
+            self.unit(words, found)
+        if len(lines) > 1:
+            self.unit([w for words in lines for w in words], found)
+        return found
 
 
 def scan_licences(
-    documents: DataFrame,
-    templates: tuple[tuple[str, str], ...] = TEMPLATES,
-    percent: int = LEAST_PERCENT,
-    id_column: str = "doc_id",
-    text_column: str = "text",
+    documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = LEAST_PERCENT
 ) -> DataFrame:
     """(doc_id, license, dice, n_units): the licences whose notices stand in a document.
 
     Compared are every line and, if a text has several lines, the whole text. The Dice coefficient is twice the
     common bigrams over all bigrams of both; as common ones are at most the smaller set, a unit is compared only with
-    templates whose size leaves `percent` in reach, and sizes near no template are dropped before their bigrams are
-    made from words. The templates are a stated table and so broadcast. `dice` is the best of a licence in a
-    document, n_units counts its units in reach of `percent`. Null, empty and one-word texts match nothing; rows with
-    equal ids count as one document; an empty table gives no rows.
+    templates whose size leaves `percent` in reach, and its bigrams are counted only as far as any template goes.
+    `dice` is the best of a licence in a document, n_units counts its units in reach. Null, empty and one-word texts
+    match nothing; rows with equal ids count as one document; an empty table gives no rows.
     """
-    spark = documents.sparkSession
-    known = _templates(spark, templates)
-    bounds = [r.n_wanted for r in known.select("n_wanted").distinct().collect()]
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    lines = F.split(text, "\n")
-    units = F.when(F.size(lines) > 1, F.concat(lines, F.array(text))).otherwise(lines)
-    rows = documents.select(F.col(id_column).alias("doc_id"), F.explode(units).alias("unit"))
-    spaced = F.regexp_replace(F.col("unit"), "[^A-Za-z0-9]+", " ")
-    most = max((b * (200 - percent) // percent for b in bounds), default=0)
-    least = min((-(-b * percent // (200 - percent)) for b in bounds), default=1)
-    words = F.length(F.trim(spaced)) - F.length(F.replace(F.trim(spaced), F.lit(" "), F.lit(""))) + 1
-    short = rows.filter(words > least)
-    found = short.withColumn("had", _bigrams(F.col("unit"))).drop("unit").withColumn("n_had", F.size("had"))
-    found = found.filter((F.col("n_had") >= max(1, least)) & (F.col("n_had") <= most))
-    fits = (200 - percent) * F.least("n_had", "n_wanted") >= percent * F.greatest("n_had", "n_wanted")
-    common = F.size(F.array_intersect("had", "wanted"))
-    scored = found.join(F.broadcast(known), fits).withColumn("common", common)
-    alike = scored.filter(200 * F.col("common") >= percent * (F.col("n_had") + F.col("n_wanted")))
-    dice = (2 * F.col("common")).cast("double") / (F.col("n_had") + F.col("n_wanted"))
-    best = alike.withColumn("dice", dice).select("doc_id", "license", "dice")
-    return best.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count("*").alias("n_units"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(templates, percent)
+        for batch, texts in column_slices(batches):
+            rows = [
+                (key, name, dice, n)
+                for key, text in zip(batch.column(0).to_pylist(), texts, strict=True)
+                for name, (dice, n) in scanner.text(text).items()
+            ]
+            if rows:
+                kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64())
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "license", "dice", "n_units"])
+
+    schema = "doc_id long, license string, dice double, n_units long"
+    found = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, schema)
+    return found.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.sum("n_units").alias("n_units"))
 
 
 def licence_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = LEAST_PERCENT) -> str:
