@@ -2,10 +2,40 @@
 
 from __future__ import annotations
 
-from featurespark.operators.sensitive import ACTIONS, NAME_HINTS, VALUE_PATTERNS
-
 ORACLES: dict[str, str] = {}
 
+# Fixed values, stated here on their own so that a wrong one in the package does not go unnoticed.
+NAME_HINTS = {
+    "email": "email|e_mail|mail_address",
+    "phone": "phone|mobile|contact_number|tel",
+    "ssn": "ssn|social_security",
+    "aadhaar": "aadhaar|aadhar",
+    "pan": "pan_number|pan_no",
+    "passport": "passport",
+    "credit_card": "credit_card|card_number|ccn",
+    "name": "first_name|last_name|full_name|customer_name|given_name|surname",
+    "address": "address|street|zipcode|postal_code",
+    "ip_address": "ip_address|ip_addr",
+    "uuid": "uuid|guid",
+    "device_id": "device_id|imei|mac_address",
+    "user_id": "user_id|customer_id|account_id",
+    "session_id": "session_id|session_token",
+}
+VALUE_PATTERNS = {
+    "email": r"^[\p{L}\p{N}_.\-]+@[\p{L}\p{N}_\-]+\.[a-zA-Z]{2,}$",
+    "phone": r"^\+?\p{Nd}{7,15}$",
+    "ssn": r"^\p{Nd}{3}-\p{Nd}{2}-\p{Nd}{4}$",
+    "credit_card": r"^(\p{Nd}{4}[- ]?){3}\p{Nd}{1,4}$",
+    "ip_address": r"^(\p{Nd}{1,3}\.){3}\p{Nd}{1,3}$",
+    "uuid": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    "hash": r"^[a-fA-F0-9]{32,64}$",
+}
+ACTIONS = {
+    "remove": ("ssn", "aadhaar", "pan", "passport", "credit_card"),
+    "mask": ("email", "phone", "name", "address"),
+    "summarize_only": ("ip_address", "uuid", "hash", "device_id", "user_id", "session_id"),
+}
+
 LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 LINE_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -140,19 +170,6 @@ ORACLES["table_schema"] = """WITH e AS (SELECT *, nullif(value > 50, false) AS l
 )
 
 
-def type_class(table: str) -> str:
-    return f"""SELECT column_name AS name, CASE
-  WHEN column_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT') THEN 'integer'
-  WHEN column_type IN ('FLOAT', 'DOUBLE') OR column_type LIKE 'DECIMAL%' THEN 'float'
-  WHEN column_type = 'BOOLEAN' THEN 'boolean' WHEN column_type = 'VARCHAR' THEN 'string'
-  WHEN column_type = 'DATE' OR column_type LIKE 'TIMESTAMP%' THEN 'datetime' ELSE 'unknown' END AS dtype
-FROM (DESCRIBE {table})"""
-
-
-ORACLES["type_classes"] = union(
-    [type_class(table) for table in ("lineitem", "orders", "events", "documents", "embeddings")]
-)
-
 ORACLES["single_profile"] = """SELECT 'value' AS name, 'float' AS dtype, count(*) - count(value) AS null_count,
   count(DISTINCT value) AS unique_count, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median,
   round(stddev_samp(value), 6) AS std FROM events"""
@@ -229,21 +246,10 @@ CONTACT_COLUMNS = ["event_id", "user_id", "event_type", "value", "props", *CONTA
 
 
 def hint_case(name: str) -> str:
-    cases = " ".join(
-        "WHEN " + " OR ".join(f"contains(lower({name}), '{part}')" for part in parts) + f" THEN '{category}'"
-        for category, parts in NAME_HINTS.items()
-    )
+    cases = " ".join(f"WHEN regexp_matches(lower({name}), '{parts}') THEN '{kind}'" for kind, parts in NAME_HINTS.items())
     return f"CASE {cases} ELSE 'none' END"
 
 
-ORACLES["name_hints"] = union(
-    [
-        f"SELECT '{table}' AS table_name, column_name, {hint_case('column_name')} AS category FROM (DESCRIBE {table})"
-        for table in ("events", "customer", "orders", "documents", "pages", "conversations")
-    ]
-)
-
-
 def ratios(source: str, columns: list[str]) -> str:
     return union(
         [
@@ -287,7 +293,9 @@ votes AS (SELECT column_name,
     WHEN hint <> 'none' THEN 'column name heuristic' ELSE 'no signal' END AS basis FROM joined)"""
 
 
-ADVICE = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ACTIONS.items()) + " ELSE 'summarize_only' END"
+ADVICE = "CASE " + " ".join(
+    f"WHEN {{0}} IN {kinds} THEN '{action}'" for action, kinds in ACTIONS.items()
+) + " ELSE 'summarize_only' END"
 
 ORACLES["sensitive_columns"] = f"""WITH {assessed(CONTACTS)}
 SELECT column_name, CASE WHEN confidence < 0.6 THEN 'none' ELSE category END AS category,
@@ -450,7 +458,7 @@ SELECT event_id, value, round(logged, 6) AS value_log,
   round((logged - avg(logged) OVER ()) / stddev_samp(logged) OVER (), 6) AS value_log_scaled FROM v"""
 ORACLES["csv_source"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 1 THEN o_custkey END AS customer,
   CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price, o_totalprice > 250000 AS is_large,
-  o_orderpriority || ', "so"' AS priority, o_orderdate::VARCHAR AS ordered FROM orders"""
+  o_orderpriority || ', "so"' || chr(10) || 'and so' AS priority, o_orderdate::VARCHAR AS ordered FROM orders"""
 ORACLES["stream_apply"] = f"""SELECT event_id,
   round((value - avg(value) OVER ()) / stddev_samp(value) OVER (), 6) AS value_scaled,
   {equal_width('value', 6)} AS value_bin FROM events, {bounds('events', 'value', 'b')}"""
@@ -502,3 +510,33 @@ ORACLES["profile_report"] = union(
 ORACLES["pair_report"] = f"""WITH {MEASURES}
 SELECT col_a, col_b, col_a || '~' || col_b || '=' || printf('%.2f', corr) AS line FROM ({UPPER}) AS p
 WHERE abs(corr) >= 0.5"""
+
+# -- hard rows
+
+ORACLES["profile_infinite"] = """WITH t AS (SELECT CASE l_linenumber WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE
+  ELSE l_tax END AS value FROM lineitem)
+SELECT 'value' AS name, 0::BIGINT AS null_count, count(DISTINCT value) AS unique_count, min(value) AS min,
+  max(value) AS max, quantile_cont(value, 0.5) AS median, 0::BIGINT AS bins FROM t"""
+ORACLES["profile_offset"] = """SELECT 'value' AS name, round(stddev_samp(l_quantity), 4) AS std,
+  round(skewness(l_quantity), 4) AS skewness, round(kurtosis(l_quantity), 4) AS kurtosis,
+  min(l_quantity) + 1e15 AS min, max(l_quantity) + 1e15 AS max FROM lineitem"""
+ORACLES["late_sensitive"] = """WITH t AS (SELECT count(*) FILTER (WHERE o_orderkey > 1000) AS hits, count(*) AS n FROM orders)
+SELECT 'note' AS name, least(0.95, 0.5 + 0.45 * hits / n) >= 0.6 AND hits > 0 AS is_pii, hits AS matches,
+  round(hits::DOUBLE / n, 6) AS ratio FROM t
+UNION ALL SELECT 'o_orderstatus', false, 0, 0.0"""
+ORACLES["one_hot_many"] = """SELECT l_orderkey, l_linenumber, l_partkey,
+  dense_rank() OVER (ORDER BY l_partkey) - 1 AS l_partkey_position FROM lineitem"""
+ORACLES["date_features_formats"] = """SELECT o_orderkey,
+  CASE WHEN o_orderkey % 10 = 0 THEN 'junk' ELSE strftime(o_orderdate, '%m/%d/%Y') END AS ordered,
+  CASE WHEN o_orderkey % 10 <> 0 THEN year(o_orderdate) END AS ordered_year,
+  CASE WHEN o_orderkey % 10 <> 0 THEN month(o_orderdate) END AS ordered_month,
+  CASE WHEN o_orderkey % 10 <> 0 THEN isodow(o_orderdate) - 1 END AS ordered_dayofweek FROM orders"""
+NULL_GROUPS = """(SELECT CASE WHEN conv_id % 7 <> 0 THEN conv_id ELSE -1 END AS grp, conv_id * 1000 + turn AS place, text, role
+  FROM conversations)"""
+ORACLES["budget_null_groups"] = f"""WITH {walk(NULL_GROUPS, 'grp', 'place', '0', 256)}
+SELECT nullif(c.grp, -1) AS grp, c.place, c.role FROM {NULL_GROUPS} AS c JOIN walk ON g = grp AND p = place WHERE taken"""
+ORACLES["guarded_requests"] = """SELECT v.*, n AS row_count, 1.0::DOUBLE AS scaled_std
+FROM (VALUES (0::BIGINT, 'one_hot_encode', 'refused', 1::BIGINT, true), (1, 'log_transform', 'refused', 1, true),
+  (2, 'fill_missing', 'refused', 1, true), (3, 'no_such_name', 'refused', 1, false),
+  (4, 'standard_scale', 'applied', 2, true)) AS v(step, name, answer, versions, is_known),
+  (SELECT count(*) AS n FROM customer) AS c"""

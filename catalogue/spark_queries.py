@@ -4,24 +4,24 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from featurespark.errors import FeatureSparkError
 from featurespark.functions.columns import numeric_columns, value_of
 from featurespark.functions.text import token_estimate
 from featurespark.operators.budget import budget_select, budget_summary
 from featurespark.operators.correlation import correlation_table, high_correlations
 from featurespark.operators.duplicates import duplicate_of
 from featurespark.operators.profile import profile_table
-from featurespark.operators.sensitive import PATTERN_DETECTOR, aggregate_votes, match_ratios, name_category
-from featurespark.operators.transforms import get_transformation, transform
+from featurespark.operators.sensitive import PATTERN_DETECTOR, aggregate_votes, match_ratios
+from featurespark.operators.transforms import get_transformation, list_transformations, one_hot_positions, transform
 from featurespark.operators.visibility import preview, sample_table, sample_values
 from featurespark.plans.plan import approved_names, parse_plan, run_plan, run_summary
-from featurespark.plans.report import pair_lines, profile_lines, report, report_sections
-from featurespark.plans.table import TableHandle, schema_table
+from featurespark.plans.report import pair_lines, profile_lines
+from featurespark.plans.table import TableHandle
 from featurespark.session import shared_folder
 from featurespark.sources.csv import read_csv
 from featurespark.sources.tables import read_table
@@ -144,10 +144,20 @@ def table_schema(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def type_classes(spark: SparkSession, folder: str) -> DataFrame:
-    tables = ("lineitem", "orders", "events", "documents", "embeddings")
-    parts = [schema_table(read_table(spark, folder, name)) for name in tables]
-    return reduce(DataFrame.unionByName, parts)
+def profile_infinite(spark: SparkSession, folder: str) -> DataFrame:
+    """A column with both infinities has a range and counts, but no histogram."""
+    line = F.col("l_linenumber")
+    value = F.when(line == 1, F.lit(float("inf"))).when(line == 2, F.lit(float("-inf"))).otherwise(F.col("l_tax"))
+    profile = profile_table(read_table(spark, folder, "lineitem").select(value.alias("value")))
+    bins = F.size("histogram_bins").cast("bigint").alias("bins")
+    return profile.select("name", "null_count", "unique_count", "min", "max", "median", bins)
+
+
+@query
+def profile_offset(spark: SparkSession, folder: str) -> DataFrame:
+    """Shape far from zero: the same as without the offset."""
+    lines = read_table(spark, folder, "lineitem").select((F.col("l_quantity") + F.lit(1e15)).alias("value"))
+    return rounded(profile_table(lines).select("name", "std", "skewness", "kurtosis", "min", "max"), 4)
 
 
 @query
@@ -241,14 +251,6 @@ def _contacts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
-def name_hints(spark: SparkSession, folder: str) -> DataFrame:
-    tables = ("events", "customer", "orders", "documents", "pages", "conversations")
-    names = [(table, name, name_category(name)) for table in tables
-             for name in read_table(spark, folder, table).columns]
-    return spark.createDataFrame(names, "table_name string, column_name string, category string")
-
-
 @query
 def value_ratio(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(match_ratios(_contacts(spark, folder)))
@@ -267,6 +269,16 @@ def sensitive_columns(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def late_sensitive(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses only after the first thousand keys: the whole column is judged."""
+    note = F.when(F.col("o_orderkey") <= 1000, "n/a").otherwise(F.concat(F.lit("c"), "o_custkey", F.lit("@example.com")))
+    orders = read_table(spark, folder, "orders").select(note.alias("note"), "o_orderstatus")
+    table = TableHandle(orders)
+    found = rounded(match_ratios(orders).where("category = 'email'").select(F.col("column").alias("name"), "matches", "ratio"))
+    return table.schema().select("name", "is_pii").join(found, "name")
+
+
 @query
 def sensitive_by_sample(spark: SparkSession, folder: str) -> DataFrame:
     events = _contacts(spark, folder)
@@ -394,6 +406,13 @@ def one_hot(spark: SparkSession, folder: str) -> DataFrame:
     return transform(orders, "one_hot_encode", {"column": "o_orderpriority"})
 
 
+@query
+def one_hot_many(spark: SparkSession, folder: str) -> DataFrame:
+    """More values than a row may have columns: positions from a dictionary table."""
+    lines = read_table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return _as_bigint(one_hot_positions(lines, "l_partkey"), "l_partkey_position")
+
+
 @query
 def one_hot_numbers(spark: SparkSession, folder: str) -> DataFrame:
     lines = read_table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
@@ -434,6 +453,15 @@ def date_features_text(spark: SparkSession, folder: str) -> DataFrame:
     return _as_bigint(dated, *dated.columns[2:])
 
 
+@query
+def date_features_formats(spark: SparkSession, folder: str) -> DataFrame:
+    """Text in another form than ISO, with some junk; the form is found."""
+    text = F.when(F.col("o_orderkey") % 10 == 0, "junk").otherwise(F.date_format("o_orderdate", "MM/dd/yyyy"))
+    orders = read_table(spark, folder, "orders").select("o_orderkey", text.alias("ordered"))
+    dated = transform(orders, "date_features", {"column": "ordered"})
+    return _as_bigint(dated, *dated.columns[2:])
+
+
 # -- versions and plans
 
 PLAN = """```json
@@ -505,6 +533,31 @@ def plan_rollback(spark: SparkSession, folder: str) -> DataFrame:
     return _as_bigint(rounded(table.df), "l_quantity_bin")
 
 
+@query
+def guarded_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """What a guarded table refuses, beside its versions and rows: a hidden column, a wrong strategy, unknown names."""
+    customer = read_table(spark, folder, "customer").withColumn("mail", F.concat("c_name", F.lit("@example.com")))
+    customer = customer.withColumn("mail", F.regexp_replace("mail", "#", "-"))
+    table = TableHandle(customer, blocked_columns=["c_acctbal"])
+    requests = (
+        ("one_hot_encode", {"column": "mail"}), ("log_transform", {"column": "c_acctbal"}),
+        ("fill_missing", {"column": "c_nationkey", "strategy": "guess"}), ("no_such_name", {}),
+        ("standard_scale", {"column": "c_nationkey"}),
+    )
+    rows = []
+    for step, (name, params) in enumerate(requests):
+        try:
+            table.apply(name, params)
+            answer = "applied"
+        except FeatureSparkError:
+            answer = "refused"
+        versions = len(table.list_versions())
+        rows.append((step, name, answer, versions, name in list_transformations()))
+    schema = "step bigint, name string, answer string, versions bigint, is_known boolean"
+    counts = table.df.agg(F.count("*").alias("row_count"), F.round(F.stddev_samp("c_nationkey_scaled"), 6).alias("scaled_std"))
+    return spark.createDataFrame(rows, schema).join(F.broadcast(counts))  # one row of counts
+
+
 @query
 def version_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     events = read_table(spark, folder, "events").select("event_id", "value")
@@ -524,7 +577,7 @@ def csv_source(spark: SparkSession, folder: str) -> DataFrame:
         F.when(key % 7 == 0, "NA").when(key % 7 == 1, "").otherwise(F.col("o_custkey").cast("string")).alias("customer"),
         F.when(key % 5 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("price"),
         F.when(F.col("o_totalprice") > 250000, "True").otherwise("False").alias("is_large"),
-        F.concat(F.col("o_orderpriority"), F.lit(', "so"')).alias("priority"),
+        F.concat(F.col("o_orderpriority"), F.lit(', "so"\nand so')).alias("priority"),
         F.col("o_orderdate").cast("string").alias("ordered"),
     )
     orders.write.option("header", True).option("escape", '"').csv(path)
@@ -566,6 +619,14 @@ def budget_turns(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("conv_id", "turn", "role", "text")
 
 
+@query
+def budget_null_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """A seventh of the conversations without a group: null is a group like others."""
+    turns = _turns(spark, folder).withColumn("grp", F.when(F.col("conv_id") % 7 != 0, F.col("conv_id")))
+    turns = turns.withColumn("place", F.col("conv_id") * 1000 + F.col("turn"))
+    return budget_select(turns, "grp", "place", "text", None, 320, 64).select("grp", "place", "role")
+
+
 @query
 def budget_totals(spark: SparkSession, folder: str) -> DataFrame:
     return budget_summary(_turns(spark, folder), "conv_id", "turn", "text", None, 320, 64)
@@ -588,10 +649,3 @@ def profile_report(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def pair_report(spark: SparkSession, folder: str) -> DataFrame:
     return pair_lines(high_correlations(_measures(spark, folder), high_corr_threshold=0.5))
-
-
-@query
-def table_report(spark: SparkSession, folder: str) -> DataFrame:
-    table = TableHandle(read_table(spark, folder, "lineitem"))
-    text, tokens, truncated = report(report_sections(table, instruction="Describe the table."), 1_500, 1_024)
-    return spark.createDataFrame([(text, tokens, truncated)], "report string, tokens bigint, truncated boolean")

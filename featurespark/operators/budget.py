@@ -102,6 +102,7 @@ def budget_select(
 ) -> DataFrame:
     """The kept rows with all their columns and whole texts."""
     chosen = _chosen(df, group, position, text, priority, max_tokens, reserved_tokens)
-    kept = chosen.select(ref("group").alias(group), F.explode("kept").alias(position))
-    # Joined on both columns, so the rows of one large group are spread over the join.
-    return df.join(kept, [group, position], "left_semi")
+    kept = chosen.select(F.col("group").alias("kept_group"), F.explode("kept").alias("kept_position"))
+    # Joined on both columns, so the rows of one large group are spread over the join; null equals null.
+    same = df[group].eqNullSafe(F.col("kept_group")) & df[position].eqNullSafe(F.col("kept_position"))
+    return df.join(kept, same, "left_semi")

@@ -30,6 +30,8 @@ class Interval:
 
 
 def _double(number: float) -> str:
+    if number != number:
+        return "double('NaN')"
     if number in (float("inf"), float("-inf")):
         return f"double('{'-' if number < 0 else ''}Infinity')"
     return f"{float(number)!r}D"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,8 +72,13 @@ ACTIONS: dict[str, str] = {
     "session_id": "summarize_only",
 }
 
+# Confidence of a name hint and of a value form, and the sentence that explains a vote.
 NONE = "none"
 NAME_CONFIDENCE = 0.7
+VALUE_CONFIDENCE_LEAST, VALUE_CONFIDENCE_SPAN, VALUE_CONFIDENCE_MOST = 0.5, 0.45, 0.95
+BASES = {"value": "value pattern match", "name": "column name heuristic", "none": "no signal"}
+EXPLANATION = "Regex stage classified column '%s' as %s based on %s (confidence=%.2f)."
+
 DEFAULT_THRESHOLD = 0.6
 SAMPLE_SIZE = 20
 COLUMNS_PER_JOB = 40
@@ -87,9 +92,10 @@ Detector = tuple[str, Callable[[DataFrame], DataFrame]]
 
 def name_category(column_name: str) -> str:
     """Category hinted at by a column name, or none."""
-    lowered = column_name.lower()
-    hits = (category for category, parts in NAME_HINTS.items() if any(part in lowered for part in parts))
-    return next(hits, NONE)
+    for category, parts in NAME_HINTS.items():
+        if re.search("|".join(map(re.escape, parts)), column_name, re.IGNORECASE):
+            return category
+    return NONE
 
 
 # Characters that Python's strip() removes.
@@ -140,34 +146,29 @@ def match_ratios(df: DataFrame, columns: Iterable[str] | None = None) -> DataFra
 
 
 def pattern_votes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """The built-in detector: a value form wins over a name hint of no greater confidence."""
+    """The built-in detector: of all candidates of a column the most confident one.
+
+    Candidates are the value forms that occur, the name hint, and none. At equal confidence forms come first, in
+    their stated order, and none comes last.
+    """
     names = list(df.columns if columns is None else columns)
     spark = df.sparkSession
-    order = {category: index for index, category in enumerate(VALUE_PATTERNS)}
-    best: dict[str, tuple[str, float]] = {}
-    for row in match_ratios(df, names).collect():  # seven rows per column
-        leader = best.get(row["column"], (NONE, 0.0))
-        ahead = row["ratio"] > leader[1]
-        tied_earlier = row["ratio"] == leader[1] > 0 and order[row["category"]] < order[leader[0]]
-        if ahead or tied_earlier:
-            best[row["column"]] = (row["category"], row["ratio"])
-    rows = []
-    for name in names:
-        value_kind, ratio = best.get(name, (NONE, 0.0))
-        value_confidence = min(0.95, 0.5 + ratio * 0.45) if value_kind != NONE else 0.0
-        name_kind = name_category(name)
-        name_confidence = NAME_CONFIDENCE if name_kind != NONE else 0.0
-        if value_kind != NONE and value_confidence >= name_confidence:
-            category, confidence, basis = value_kind, value_confidence, "value pattern match"
-        elif name_kind != NONE:
-            category, confidence, basis = name_kind, name_confidence, "column name heuristic"
-        else:
-            category, confidence, basis = NONE, 0.0, "no signal"
-        explanation = (
-            f"Regex stage classified column '{name}' as {category} based on {basis} (confidence={confidence:.2f})."
-        )
-        rows.append((name, category, confidence, explanation))
-    return spark.createDataFrame(rows, "column string, category string, confidence double, explanation string")
+    order = F.array_position(F.array(*map(F.lit, VALUE_PATTERNS)), F.col("category"))
+    sure = F.least(F.lit(VALUE_CONFIDENCE_MOST), F.lit(VALUE_CONFIDENCE_LEAST) + F.col("ratio") * VALUE_CONFIDENCE_SPAN)
+    forms = match_ratios(df, names).where("ratio > 0").select(
+        "column", F.col("ratio").alias("ratio"), sure.alias("confidence"), order.alias("place"), "category",
+        F.lit(BASES["value"]).alias("basis"),
+    )
+    hints = [(name, name_category(name)) for name in names]
+    stated = [(name, 0.0, NAME_CONFIDENCE, 100, kind, BASES["name"]) for name, kind in hints if kind != NONE]
+    stated += [(name, 0.0, 0.0, 200, NONE, BASES["none"]) for name in names]
+    schema = "column string, ratio double, confidence double, place long, category string, basis string"
+    candidates = forms.unionByName(spark.createDataFrame(stated, schema))
+    rank = F.struct(F.col("confidence"), F.col("ratio"), -F.col("place"))
+    best = candidates.groupBy("column").agg(F.max_by(F.struct("category", "confidence", "basis"), rank).alias("vote"))
+    vote = best.select("column", "vote.*")
+    shown = F.format_string(EXPLANATION, "column", "category", "basis", "confidence")
+    return vote.select("column", "category", "confidence", shown.alias("explanation"))
 
 
 PATTERN_DETECTOR: Detector = ("regex", pattern_votes)

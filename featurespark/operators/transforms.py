@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,8 +21,7 @@ from featurespark.functions.columns import DATETIME, STRING, field_of, is_numeri
 from featurespark.functions.numeric import bin_index, distinct_edges, equal_width_edges
 from featurespark.operators.quantiles import exact_quantiles
 from featurespark.operators.value_counts import most_frequent
-
-ONE_HOT_LIMIT = 1_000
+from featurespark.session import cut_lineage
 
 
 @dataclass
@@ -32,7 +31,7 @@ class Needs:
     aggregates: dict[str, Column] = field(default_factory=dict)
     medians: list[str] = field(default_factory=list)
     modes: list[str] = field(default_factory=list)
-    values: dict[str, int] = field(default_factory=dict)
+    values: dict[str, int | None] = field(default_factory=dict)
 
 
 @dataclass
@@ -94,41 +93,58 @@ class Transformation:
 
 
 class WholeTableFunction(Transformation):
-    """A registered plain function ``(df, params) -> df``; nothing is known about what it reads."""
+    """A registered plain function ``(df, params) -> df``; ``reads`` names the parameters that hold its input columns."""
+
+    def __init__(self, function: Callable[[DataFrame, dict[str, Any]], DataFrame], reads: Sequence[str] = ()) -> None:
+        self.function, self.reads = function, tuple(reads)
 
-    def __init__(self, function: Callable[[DataFrame, dict[str, Any]], DataFrame]) -> None:
-        self.function = function
+    @property
+    def declared(self) -> bool:
+        return bool(self.reads)
 
     def inputs(self, params: dict[str, Any]) -> list[str]:
-        return [params["column"]] if "column" in params else []
+        return [params[key] for key in self.reads or ("column",) if key in params]
 
     def __call__(self, df: DataFrame, params: dict[str, Any]) -> DataFrame:
         return self.function(df, params)
 
 
-_REGISTRY: dict[str, Transformation] = {}
+# Text of an error.
+UNKNOWN_NAME = "Unknown transformation '{}'. Available: {}"
+
+
+class Catalogue(dict):
+    """Transformations by name."""
+
+    def __missing__(self, name: str) -> Transformation:
+        raise DataAccessError(UNKNOWN_NAME.format(name, sorted(self)))
+
+    def adder(self, name: str, reads: Sequence[str]):
+        def add(target):
+            self[name] = target() if isinstance(target, type) else WholeTableFunction(target, reads)
+            self[name].operation = name
+            return target
+
+        return add
+
 
+CATALOGUE = Catalogue()
 
-def register(name: str):
-    """Add a ``Transformation`` subclass or a function ``(df, params) -> df`` under a name."""
 
-    def add(target):
-        entry = target() if isinstance(target, type) else WholeTableFunction(target)
-        entry.operation = name
-        _REGISTRY[name] = entry
-        return target
+def register(name: str, reads: Sequence[str] = ()):
+    """Add a ``Transformation`` subclass or a function ``(df, params) -> df`` under a name.
 
-    return add
+    A function on a guarded table has to say in ``reads`` which parameters name the columns that it looks at.
+    """
+    return CATALOGUE.adder(name, reads)
 
 
 def get_transformation(name: str) -> Transformation:
-    if name not in _REGISTRY:
-        raise DataAccessError(f"Unknown transformation '{name}'. Available: {list_transformations()}")
-    return _REGISTRY[name]
+    return CATALOGUE[name]
 
 
 def list_transformations() -> list[str]:
-    return sorted(_REGISTRY)
+    return sorted(CATALOGUE)
 
 
 def _param(params: dict[str, Any], key: str) -> Any:
@@ -176,24 +192,72 @@ def fit_steps(df: DataFrame, steps: Sequence[tuple[Transformation, str, dict[str
             values[name] = _distinct_values(df, name, limit)
     fitted = []
     for index, (step, operation, params) in enumerate(steps):
+        _check_outputs(schema, step, params)
         found = Found({key: value for (i, key), value in answers.items() if i == index}, middle, modes, values)
         fitted.append(Fitted(operation, dict(params), step.finish(schema, params, found)))
     return fitted
 
 
-def _distinct_values(df: DataFrame, name: str, limit: int) -> list[tuple[Any, str]]:
-    """Sorted distinct values with their text; more than ``limit`` is an error, never a cut-off list."""
+def _check_outputs(schema: T.StructType, step: Transformation, params: dict[str, Any]) -> None:
+    """An output may replace a column of exactly its name, not one that differs by case only."""
+    exact = set(schema.fieldNames())
+    known = {name.lower(): name for name in exact}
+    for output in step.outputs(params) or ():
+        if output not in exact and output.lower() in known:
+            raise DataAccessError(f"Column '{output}' would replace '{known[output.lower()]}'")
+
+
+def _distinct_values(df: DataFrame, name: str, limit: int | None) -> list[tuple[Any, str]]:
+    """Sorted distinct values with their text; more than a given ``limit`` is an error, never a cut-off list."""
     member = field_of(df.schema, name)
     if type_class(member) == "unknown":
         raise DataAccessError(f"Column '{name}' has no values to encode")
     value = value_of(member)
     distinct = df.select(value.alias("value")).where(F.col("value").isNotNull()).distinct()
-    rows = distinct.select("value", F.col("value").cast("string").alias("text")).limit(limit + 1).collect()
-    if len(rows) > limit:
+    listed = distinct.select("value", F.col("value").cast("string").alias("text"))
+    rows = (listed if limit is None else listed.limit(limit + 1)).collect()  # they become columns of the schema
+    if limit is not None and len(rows) > limit:
         raise DataAccessError(f"Column '{name}' has more than {limit} distinct values; raise 'max_values' to encode it")
     return sorted((row["value"], row["text"]) for row in rows)
 
 
+def value_dictionary(df: DataFrame, name: str) -> DataFrame:
+    """Distinct values of a column with the number of their one-hot position: (value, position).
+
+    For columns with too many values for one column each; the dictionary stays a table. Positions follow the sorted
+    values: they are ranked within ranges, and only the sizes of the ranges meet in one place.
+    """
+    value = value_of(field_of(df.schema, name))
+    distinct = df.select(value.alias("value")).where(F.col("value").isNotNull()).distinct()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = distinct.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    own = F.row_number().over(Window.partitionBy("part").orderBy("value"))
+    before = F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = ranged.groupBy("part").count().select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    ranked = ranged.withColumn("own", own).join(F.broadcast(sizes), "part")
+    return ranked.select("value", (F.col("own") - 1 + F.col("before")).alias("position"))
+
+
+def one_hot_positions(df: DataFrame, name: str, dictionary: DataFrame | None = None) -> DataFrame:
+    """The table with `<name>_position`, where its one-hot row has its one; null for missing or unknown values.
+
+    Values are first counted, and those with more than one row in a thousand, at most a thousand, are looked up in a
+    broadcast table, so that no value gathers its rows in one task.
+    """
+    found = value_dictionary(df, name) if dictionary is None else dictionary
+    value, output = value_of(field_of(df.schema, name)), f"{name}_position"
+    total = df.count()
+    counts = df.select(value.alias("value")).where("value is not null").groupBy("value").count()
+    hot = counts.where(F.col("count") > max(1, total // 1_000)).select("value")
+    common = F.broadcast(found.join(hot, "value", "left_semi").select(F.col("value").alias("_hot"), F.col("position").alias("_at")))
+    marked = df.join(common, value == F.col("_hot"), "left")
+    rest = marked.where("_at is null").drop("_hot", "_at")
+    other = found.withColumnsRenamed({"value": "_value", "position": output})
+    rare = rest.join(other, value == F.col("_value"), "left").drop("_value")
+    return marked.where("_at is not null").withColumn(output, F.col("_at")).drop("_hot", "_at").unionByName(rare)
+
+
 def fitted_columns(schema: T.StructType, fitted: Fitted) -> dict[str, Column]:
     return get_transformation(fitted.operation).columns(schema, fitted.params, fitted.state)
 
@@ -244,6 +308,11 @@ class FillMissing(Transformation):
             return F.lit(float(value))
         if is_numeric(member) or isinstance(member.dataType, T.BooleanType):
             return F.lit(value)
+        if not isinstance(member.dataType, T.StringType):
+            spark = SparkSession.active()
+            read = spark.range(1).select(F.lit(str(value)).try_cast(member.dataType).alias("v")).first()["v"]
+            if read is None:
+                raise DataAccessError(f"Column '{member.name}' cannot be filled with {value!r}")
         return F.lit(str(value)).cast(member.dataType)
 
     def needs(self, schema: T.StructType, params: dict[str, Any]) -> Needs:
@@ -340,17 +409,29 @@ class StandardScale(_NumericTransformation):
 
 @register("one_hot_encode")
 class OneHotEncode(Transformation):
-    """One boolean column per distinct value, in sorted order; a missing value is false everywhere."""
+    """One boolean column per distinct value, in sorted order; a missing value is false everywhere.
+
+    The values are all that occur, or the given ``values``; ``max_values`` refuses columns with more. For columns
+    with very many values use ``one_hot_positions``.
+    """
 
     def needs(self, schema: T.StructType, params: dict[str, Any]) -> Needs:
-        return Needs(values={params["column"]: int(params.get("max_values", ONE_HOT_LIMIT))})
+        if "values" in params:
+            return Needs()
+        limit = params.get("max_values")
+        return Needs(values={params["column"]: None if limit is None else int(limit)})
 
     def finish(self, schema: T.StructType, params: dict[str, Any], found: Found) -> dict[str, Any]:
         name = params["column"]
-        outputs = [[f"{name}_{value}", text] for value, text in found.values[name]]
-        taken = set(schema.fieldNames()).intersection(output for output, _ in outputs)
-        if taken:
-            raise DataAccessError(f"Column '{min(taken)}' exists already")
+        values = [(v, _literal_text(v)) for v in params["values"]] if "values" in params else found.values[name]
+        taken = {column.lower() for column in schema.fieldNames()}
+        outputs = []
+        for value, text in values:
+            output = f"{name}_{value}"
+            if output.lower() in taken:  # column names ignore case
+                raise DataAccessError(f"Column '{output}' exists already, or differs from another by case only")
+            taken.add(output.lower())
+            outputs.append([output, text])
         return {"outputs": outputs}
 
     def columns(self, schema: T.StructType, params: dict[str, Any], state: dict[str, Any]) -> dict[str, Column]:
@@ -397,9 +478,21 @@ class Binning(_NumericTransformation):
         return {self.outputs(params)[0]: bin_index(_numeric_input(schema, name), state["edges"])}
 
 
+# Formats of dates in text that are tried when none is given, ISO first.
+DATE_FORMATS = (
+    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy",
+    "MM-dd-yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "MM/dd/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "yyyyMMdd", "MMM d, yyyy",
+    "d MMM yyyy",
+)
+
+
 @register("date_features")
 class DateFeatures(Transformation):
-    """Year, month and day of week (Monday = 0) of a date, timestamp or text; unreadable text gives null."""
+    """Year, month and day of week (Monday = 0) of a date, timestamp or text; unreadable text gives null.
+
+    Text is read by the given ``format``, or else by the one of ISO form and DATE_FORMATS that reads most values,
+    the first of equals.
+    """
 
     def outputs(self, params: dict[str, Any]) -> list[str]:
         return [f"{params['column']}_{part}" for part in ("year", "month", "dayofweek")]
@@ -408,13 +501,31 @@ class DateFeatures(Transformation):
         member = field_of(schema, _param(params, "column"))
         if type_class(member) not in (STRING, DATETIME):
             raise DataAccessError(f"Column '{member.name}' is neither text nor a date")
+        if params.get("format") is not None:
+            try:
+                SparkSession.active().range(1).select(F.date_format(F.current_timestamp(), params["format"])).first()
+            except Exception as error:
+                raise DataAccessError(f"'{params['format']}' is no date format") from error
+
+    @staticmethod
+    def _moment(name: str, given: str | None) -> Column:
+        return ref(name).try_cast("timestamp_ntz") if given is None else F.try_to_timestamp(ref(name), F.lit(given))
+
+    def needs(self, schema: T.StructType, params: dict[str, Any]) -> Needs:
+        name = params["column"]
+        if type_class(field_of(schema, name)) != STRING or params.get("format") is not None:
+            return Needs()
+        tried = {form or "": F.count(self._moment(name, form)) for form in (None, *DATE_FORMATS)}
+        return Needs(aggregates=tried)
+
+    def finish(self, schema: T.StructType, params: dict[str, Any], found: Found) -> dict[str, Any]:
+        if not found.aggregates:
+            return {"format": params.get("format")}
+        return {"format": max(found.aggregates, key=found.aggregates.get) or None}
 
     def columns(self, schema: T.StructType, params: dict[str, Any], state: dict[str, Any]) -> dict[str, Column]:
         name = params["column"]
-        member = field_of(schema, name)
         moment = ref(name)
-        if type_class(member) == STRING:
-            given = params.get("format")
-            moment = moment.try_cast("timestamp_ntz") if given is None else F.try_to_timestamp(moment, F.lit(given))
+        if type_class(field_of(schema, name)) == STRING:
+            moment = self._moment(name, state.get("format"))
         return dict(zip(self.outputs(params), (F.year(moment), F.month(moment), F.weekday(moment))))
-

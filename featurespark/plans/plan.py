@@ -17,9 +17,9 @@ from featurespark.operators.transforms import Fitted, WholeTableFunction, fit_st
 from featurespark.operators.visibility import check_visible
 from featurespark.plans.table import TableHandle
 
-PROPOSAL_TYPE = (
-    "array<struct<name:string,operation:string,source_columns:array<string>,rationale:string,"
-    "risk_level:string,params:map<string,string>>>"
+ITEM_TYPE = (
+    "struct<name:string,operation:string,source_columns:array<string>,rationale:string,"
+    "risk_level:string,params:string>"
 )
 LOG_SCHEMA = (
     "step int, name string, operation string, status string, message string, "
@@ -49,10 +49,12 @@ class Proposal:
 def proposals_in(text: Column) -> Column:
     """Proposals in a JSON text, code fences around it removed; unreadable text gives an empty array.
 
-    Items without a name, operation, source columns or rationale are dropped.
+    Each item is judged by itself: one that is no object, or lacks a name, operation, source columns or rationale, is
+    dropped and the others stay. ``params`` keeps its JSON text.
     """
     body = F.regexp_replace(F.regexp_replace(F.trim(text), r"^\s*```(json)?", ""), r"```\s*$", "")
-    items = F.coalesce(F.from_json(F.trim(body), PROPOSAL_TYPE), F.array().cast(PROPOSAL_TYPE))
+    texts = F.coalesce(F.from_json(F.trim(body), "array<string>"), F.array().cast("array<string>"))
+    items = F.transform(texts, lambda item: F.from_json(item, ITEM_TYPE))
 
     def complete(item: Column) -> Column:
         required = ("name", "operation", "source_columns", "rationale")
@@ -61,19 +63,6 @@ def proposals_in(text: Column) -> Column:
     return F.filter(items, complete)
 
 
-def _param_value(text: str | None) -> Any:
-    """Parameters arrive as text; numbers, booleans and lists are read back."""
-    if text is None:
-        return None
-    try:
-        return json.loads(text)
-    except ValueError:
-        return text
-
-
-_TEXT_PARAMS = {"column", "numerator", "denominator", "new_column", "strategy", "format"}
-
-
 def read_plan(spark: SparkSession, path: str) -> list[Proposal]:
     """The proposals of one plan file; a plan is a short list, so it comes to the driver."""
     return parse_plan(spark.read.text(path, wholetext=True))
@@ -82,20 +71,13 @@ def read_plan(spark: SparkSession, path: str) -> list[Proposal]:
 def parse_plan(texts: DataFrame) -> list[Proposal]:
     """The proposals in a table with a text column ``value``."""
     items = texts.select(F.explode(proposals_in(F.col("value"))).alias("item")).select("item.*")
-    return [
-        Proposal(
-            row["name"],
-            row["operation"],
-            row["source_columns"],
-            row["rationale"],
-            row["risk_level"] or "low",
-            {
-                key: value if key in _TEXT_PARAMS else _param_value(value)
-                for key, value in (row["params"] or {}).items()
-            },
-        )
-        for row in items.collect()
-    ]
+    found = []
+    for row in items.collect():
+        params = json.loads(row["params"] or "{}")  # keeps the JSON types
+        if isinstance(params, dict):
+            fields = row["name"], row["operation"], row["source_columns"], row["rationale"], row["risk_level"] or "low"
+            found.append(Proposal(*fields, params))
+    return found
 
 
 def approved_names(
@@ -146,16 +128,22 @@ class PlanRun:
 
 
 def run_plan(
-    table: TableHandle, proposals: Sequence[Proposal], approved: Iterable[str] | str = "all", guard: bool = True
+    table: TableHandle,
+    proposals: Sequence[Proposal],
+    approved: Iterable[str] | str = (),
+    guard: bool = True,
+    validate: bool = False,
 ) -> PlanRun:
     """Run the approved proposals in order, each as a version; a failing step is logged and the rest go on.
 
-    Neighbouring steps that do not read each other's output are fitted together in one scan.
-    ``guard`` refuses steps that read blocked or sensitive columns.
+    ``approved`` holds names, one name, or "all"; by default nothing runs. Neighbouring steps that do not read each
+    other's output are fitted together in one scan. ``guard`` refuses steps that read blocked or sensitive columns.
+    ``validate`` computes the columns of each step at once, so that a failure on the data is logged where it happens
+    and the version taken back; else they are computed when read.
     """
     wanted = list(proposals)
     if approved != "all":
-        names = set(approved)
+        names = {approved} if isinstance(approved, str) else set(approved)
         wanted = [proposal for proposal in wanted if proposal.name in names]
     start = table.version
     steps: list[StepResult] = []
@@ -170,8 +158,11 @@ def run_plan(
                     table.apply(proposal.operation, dict(proposal.params), guard=guard)
                 else:
                     table.apply_fitted(ready)
+                if validate:
+                    table.df.write.format("noop").mode("overwrite").save()
                 status, message = EXECUTED, EXECUTED_TEXT.format(name=proposal.name, operation=proposal.operation)
             except Exception as error:  # the log, not the caller, gets a step's failure
+                table.rollback(before)
                 status, message = FAILED, FAILED_TEXT.format(name=proposal.name, error=error)
             steps.append(
                 StepResult(index, proposal.name, proposal.operation, status, message, before, table.version)
@@ -187,7 +178,9 @@ def _independent_prefix(table: TableHandle, proposals: Sequence[Proposal], guard
         try:
             step = get_transformation(proposal.operation)
             reads = step.inputs(proposal.params)
-            if isinstance(step, WholeTableFunction) or written.intersection(reads):
+            outputs = step.outputs(proposal.params)
+            clashes = {x.lower() for x in (*reads, *(outputs or ()))} & written
+            if isinstance(step, WholeTableFunction) or clashes or (outputs is None and batch):
                 break
             step.check(schema, proposal.params)
             if guard:
@@ -196,10 +189,9 @@ def _independent_prefix(table: TableHandle, proposals: Sequence[Proposal], guard
         except Exception:  # runs, and fails, as a step of its own
             break
         batch.append(proposal)
-        outputs = step.outputs(proposal.params)
         if outputs is None:
             break
-        written.update(outputs)
+        written.update(output.lower() for output in outputs)
     return batch
 
 

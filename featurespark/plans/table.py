@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from featurespark.errors import DataAccessError
-from featurespark.functions.columns import ref, type_class
+from featurespark.functions.columns import ref
 from featurespark.operators.correlation import CorrelationSummary, correlate
 from featurespark.operators.duplicates import duplicate_of
 from featurespark.operators.profile import (
@@ -31,7 +31,6 @@ from featurespark.operators.transforms import (
 )
 from featurespark.operators.visibility import (
     PREVIEW_CAP,
-    SAMPLE_SIZE,
     check_visible,
     preview,
     sample_table,
@@ -40,6 +39,9 @@ from featurespark.operators.visibility import (
 )
 from featurespark.sources.tables import write_snapshot
 
+# Text of an error.
+NO_VERSION = "No such dataset version: {}"
+
 METADATA_SCHEMA = (
     "dataset_id string, engine string, row_count bigint, column_count bigint, "
     "size_bytes bigint, size_gb double, version bigint"
@@ -63,7 +65,8 @@ class TableHandle:
 
     Versions are lazy plans, not copies. Profiles and classifications are computed when first asked
     for and carried over to later versions for columns that did not change. With ``snapshot_path``
-    every version is written as Parquet and read back.
+    every version is written as Parquet and read back. Columns are judged by all their values; ``sample_size``
+    judges them by so many first values instead.
     """
 
     def __init__(
@@ -73,7 +76,7 @@ class TableHandle:
         detectors: Sequence[Detector] = (PATTERN_DETECTOR,),
         threshold: float = DEFAULT_THRESHOLD,
         preview_row_cap: int = PREVIEW_CAP,
-        sample_size: int | None = SAMPLE_SIZE,
+        sample_size: int | None = None,
         order_by: str | None = None,
         snapshot_path: str | None = None,
         distinct: str = "exact",
@@ -209,11 +212,17 @@ class TableHandle:
     def list_versions(self) -> list[int]:
         return sorted(self._versions)
 
-    def apply(self, name: str, params: dict[str, Any], guard: bool = False) -> int:
-        """Apply a transformation as the next version; on failure the current version stays."""
+    def apply(self, name: str, params: dict[str, Any], guard: bool = True) -> int:
+        """Apply a transformation as the next version; on failure the current version stays.
+
+        The guard refuses blocked and sensitive inputs, and functions that do not declare their inputs when the
+        table has such columns.
+        """
         step = get_transformation(name)
         if guard:
             check_visible(self.df, step.inputs(params), self.hidden_columns())
+            if isinstance(step, WholeTableFunction) and not step.declared and self.hidden_columns():
+                raise DataAccessError(f"'{name}' does not declare what it reads, and the table has hidden columns")
         if isinstance(step, WholeTableFunction):
             return self._advance(step(self.df, params), None)
         return self.apply_fitted(fit_steps(self.df, [(step, name, params)])[0])
@@ -227,7 +236,7 @@ class TableHandle:
         before = self._versions[self.version]
         number = self.version + 1
         if self._snapshot_path is not None:
-            df = write_snapshot(df, self._snapshot_path, number)
+            df = write_snapshot(df, self._snapshot_path, self.dataset_id, number)
         kept = [] if changed is None else [name for name in df.columns if name not in changed]
         basics = {name: before.basics[name] for name in kept if name in before.basics}
         profiles = {
@@ -240,12 +249,6 @@ class TableHandle:
 
     def rollback(self, to_version: int) -> int:
         if to_version not in self._versions:
-            raise DataAccessError(f"No such dataset version: {to_version}")
+            raise DataAccessError(NO_VERSION.format(to_version))
         self.version = to_version
         return to_version
-
-
-def schema_table(df: DataFrame) -> DataFrame:
-    """Name and type class of each column, from the schema alone."""
-    rows = [(member.name, type_class(member)) for member in df.schema.fields]
-    return df.sparkSession.createDataFrame(rows, "name string, dtype string")

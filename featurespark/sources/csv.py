@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from featurespark.errors import DataAccessError
 from featurespark.functions.columns import chunks, ref
 
 # Words read as missing, as pandas reads them by default.
@@ -27,22 +28,31 @@ def _number(text: Column) -> Column:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, missing_words=MISSING_WORDS
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    missing_words=MISSING_WORDS,
+    multi_line: bool = True,
+    **options: str,
 ) -> DataFrame:
     """Read CSV with a header line.
 
-    With a schema there is a single pass. Without one, an aggregate over all rows picks for every
-    column the first of integer, double, boolean and text that reads each of its values; dates stay text.
+    With a schema its columns are taken by their names in the header, whatever their order there; a name that the
+    header lacks is an error. Without one, an aggregate over all rows picks for every column the first of integer,
+    double, boolean and text that reads each of its values; dates stay text. Values in quotes may hold line breaks;
+    such files can't be split, so `multi_line=False` reads large files without them faster. `options` go to Spark's
+    reader.
     """
-    reader = spark.read.option("header", True).option("escape", '"')
+    reader = spark.read.options(**{"header": "true", "escape": '"', "multiLine": str(multi_line).lower(), **options})
+    text = reader.csv(path)
     if schema is not None:
         target = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        plain = T.StructType([T.StructField(field.name, T.StringType()) for field in target.fields])
-        text = reader.schema(plain).csv(path)
+        unknown = [field.name for field in target.fields if field.name not in text.columns]
+        if unknown:
+            raise DataAccessError(f"Columns {unknown} are not in the header {text.columns}")
         return text.select(
             *[_present(field.name, missing_words).cast(field.dataType).alias(field.name) for field in target.fields]
         )
-    text = reader.csv(path)
     text = text.select(*[_present(name, missing_words).alias(name) for name in text.columns])
     readers = {"integer": {}, "double": {}, "boolean": {}}
     for names in chunks(text.columns, COLUMNS_PER_JOB):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -9,8 +11,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def write_snapshot(df: DataFrame, path: str, version: int) -> DataFrame:
-    """Write a table version and return it as read back, which also ends a long chain of steps."""
-    target = f"{path}/version={version}"
-    df.write.mode("overwrite").parquet(target)
-    return df.sparkSession.read.parquet(target)
+def write_snapshot(df: DataFrame, path: str, dataset: str, version: int) -> DataFrame:
+    """Write a table version to a folder of its own and return it as read back, which also ends a chain of steps.
+
+    The folder names data set and version, and a number that is used again after a rollback gets another one, so
+    that versions which are still read are never overwritten.
+    """
+    target = f"{path}/{dataset}/version={version}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)

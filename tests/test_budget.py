@@ -84,3 +84,10 @@ def test_missing_text_and_bad_budget(spark):
     assert budget_summary(df, "g", "pos", "text", None, 2, 0).first()["estimated_tokens"] == 2
     with pytest.raises(DataAccessError):
         budget_summary(df, "g", "pos", "text", None, 10, 11)
+
+
+def test_null_groups_and_positions_are_kept(spark):
+    rows = [(None, 1, "a" * 40), (None, 2, "b" * 4000), ("g", None, "c" * 40), ("g", 2, "d" * 40)]
+    df = spark.createDataFrame(rows, "grp string, place int, text string")
+    kept = budget_select(df, "grp", "place", "text", None, 100, 0).collect()
+    assert {(r.grp, r.place) for r in kept} == {(None, 1), ("g", None), ("g", 2)}

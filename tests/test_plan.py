@@ -12,8 +12,8 @@ from featurespark.plans.report import pair_lines, profile_lines, report, report_
 from featurespark.operators.profile import profile_table
 
 LOG_STEP = {
-    "name": "income_log", "operation": "log_transform", "source_columns": ["income"], "rationale": "reduce skew",
-    "risk_level": "low", "params": {"column": "income"},
+    "name": "income_log", "operation": "log_transform", "source_columns": ["income"],
+    "rationale": "incomes spread over several powers of ten", "risk_level": "medium", "params": {"column": "income"},
 }
 
 
@@ -28,7 +28,7 @@ def numbers(people):
 
 def test_plan_texts(spark):
     assert parsed(spark, json.dumps([LOG_STEP])) == [
-        Proposal("income_log", "log_transform", ["income"], "reduce skew", "low", {"column": "income"})
+        Proposal("income_log", "log_transform", ["income"], LOG_STEP["rationale"], "medium", {"column": "income"})
     ]
     assert parsed(spark, f"```json\n{json.dumps([LOG_STEP])}\n```") == parsed(spark, json.dumps([LOG_STEP]))
     for text in ("not json", "", "{}", json.dumps({"a": 1}), "[]"):
@@ -55,7 +55,7 @@ def test_decisions():
 
 
 def test_approved_plan_runs(spark, numbers):
-    run = run_plan(numbers, parsed(spark, json.dumps([LOG_STEP])))
+    run = run_plan(numbers, parsed(spark, json.dumps([LOG_STEP])), "income_log")
     assert (run.executed, run.version_before, run.version_after) == (["income_log"], 0, 1)
     assert run.log == ["Executed 'income_log' via log_transform"]
     assert run_summary(run) == "Executed 1 feature(s): income_log. Dataset moved from version 0 to 1."
@@ -63,7 +63,7 @@ def test_approved_plan_runs(spark, numbers):
 
 
 def test_rejected_plan_changes_nothing(spark, numbers):
-    run = run_plan(numbers, parsed(spark, json.dumps([LOG_STEP])), [])
+    run = run_plan(numbers, parsed(spark, json.dumps([LOG_STEP])))
     assert run.steps == [] and numbers.version == 0
     assert run_summary(run) == "Executed 0 feature(s): none. Dataset moved from version 0 to 0."
     assert run_summary(None) == "No transformations were executed this round."
@@ -79,7 +79,7 @@ def test_failures_are_logged_and_the_rest_runs(numbers):
         ("binning", {"column": "income", "bins": 0}), ("one_hot_encode", {"column": "age", "max_values": 2}),
         ("ratio", {"numerator": "income", "denominator": "age"}),
     )
-    run = run_plan(numbers, plan)
+    run = run_plan(numbers, plan, 'all')
     assert run.executed == ["s0", "s2", "s5"]
     assert [step.version_after for step in run.steps] == [1, 1, 2, 2, 2, 3]
     assert run.log[1].startswith("Failed 's1': Unknown transformation 'no_such'")
@@ -97,20 +97,48 @@ def test_shared_fits_equal_single_steps(people, monkeypatch):
     original = module.fit_steps
     monkeypatch.setattr(module, "fit_steps", lambda df, part: (batches.append(len(part)), original(df, part))[1])
     together, single = TableHandle(people), TableHandle(people)
-    run_plan(together, plan)
+    run_plan(together, plan, 'all')
     for proposal in plan:
         single.apply(proposal.operation, proposal.params)
-    assert batches == [3, 3]  # then the last step alone
+    assert batches == [3, 2]  # then the encoding and the last step alone
     assert together.version == single.version == len(plan)
     assert together.df.columns == single.df.columns
     assert sorted(map(str, together.df.collect())) == sorted(map(str, single.df.collect()))
 
 
+def test_items_are_judged_one_by_one(spark):
+    text = json.dumps([LOG_STEP, 5, {**LOG_STEP, "name": "listed", "params": [1]}, {**LOG_STEP, "name": "typed",
+                       "params": {"value": "true", "bins": "1e3", "empty": "null", "flag": True, "n": 3}}])
+    found = {p.name: p.params for p in parsed(spark, text)}
+    assert set(found) == {"income_log", "typed"}
+    assert found["typed"] == {"value": "true", "bins": "1e3", "empty": "null", "flag": True, "n": 3}
+
+
+def test_failures_on_the_data_are_logged_where_they_happen(numbers):
+    @register("test_failing", reads=["column"])
+    def failing(df, params):
+        return df.selectExpr("*", "raise_error('late') AS broken")
+
+    plan = steps(("test_failing", {"column": "age"}), ("log_transform", {"column": "income"}))
+    run = run_plan(numbers, plan, "all", validate=True)
+    assert run.executed == ["s1"] and "late" in run.log[0] and numbers.df.count() == 12
+
+
+def test_clashing_outputs_are_refused_like_single_steps(people):
+    plan = steps(
+        ("log_transform", {"column": "income", "new_column": "category_north"}), ("one_hot_encode", {"column": "category"}),
+        ("log_transform", {"column": "age", "new_column": "INCOME"}),
+        ("fill_missing", {"column": "category", "strategy": "constant", "value": "x"}),
+    )
+    table = TableHandle(people)
+    assert run_plan(table, plan, "all").executed == ["s0", "s3"]
+
+
 def test_guard_of_plans(people):
     plan = steps(("one_hot_encode", {"column": "email"}), ("log_transform", {"column": "income"}))
     guarded = TableHandle(people)
-    assert run_plan(guarded, plan).executed == ["s1"]
-    assert run_plan(TableHandle(people), plan, guard=False).executed == ["s0", "s1"]
+    assert run_plan(guarded, plan, 'all').executed == ["s1"]
+    assert run_plan(TableHandle(people), plan, 'all', guard=False).executed == ["s0", "s1"]
 
 
 def test_registered_function_in_a_plan(numbers):
@@ -118,15 +146,15 @@ def test_registered_function_in_a_plan(numbers):
     def twice(df, params):
         return df.withColumn("twice", df[params["column"]] * 2)
 
-    run = run_plan(numbers, steps(("test_twice", {"column": "age"}), ("log_transform", {"column": "twice"})))
+    run = run_plan(numbers, steps(("test_twice", {"column": "age"}), ("log_transform", {"column": "twice"})), "all")
     assert run.executed == ["s0", "s1"] and numbers.df.columns[-1] == "twice_log"
 
 
 def test_report_lines(spark, people):
     lines = {row["name"]: row["line"] for row in profile_lines(profile_table(people)).collect()}
-    assert lines["age"].startswith("age: dtype=float, nulls=10.0%, unique=9, mean=37.77777777777")
-    assert lines["income"] == "income: dtype=integer, nulls=0.0%, unique=10, mean=67800.0"
-    assert lines["email"] == "email: dtype=string, nulls=0.0%, unique=10, mean=None"
+    assert lines["age"].startswith("age: dtype=float, nulls=8.3333%, unique=11, mean=41.27272727")
+    assert lines["income"].startswith("income: dtype=integer, nulls=0.0%, unique=12, mean=47231.8333")
+    assert lines["email"] == "email: dtype=string, nulls=0.0%, unique=12, mean=None"
     pairs = spark.createDataFrame([("a", "b", 0.125), ("a", "c", -0.865)], "col_a string, col_b string, corr double")
     assert [row["line"] for row in pair_lines(pairs).collect()] == ["a~b=0.12", "a~c=-0.86"]
 
@@ -135,9 +163,8 @@ def test_report_within_a_budget(people):
     table = TableHandle(people)
     sections = report_sections(table, ["keep age"], "Nothing yet.", [f"step {n}" for n in range(7)], "Plan!")
     text, tokens, truncated = report(sections)
-    assert text.startswith("Visible columns: age, income, category\n\nDataset: 10 rows, 5 cols, version 0\n\n")
+    assert text.startswith("Visible columns: age, income, category\n\nDataset: 12 rows, 5 cols, version 0\n\n")
     assert "User constraints: keep age\n\nPlan!\n\nColumn profiles:\nage: " in text
-    assert "Highly correlated pairs: age~income=0.96" in text
     assert text.endswith("Recent execution history: step 2; step 3; step 4; step 5; step 6")
     assert not truncated and "email" not in text
     short, used, cut = report(sections, 60, 20)

@@ -52,6 +52,16 @@ def test_csv_with_schema_reads_once(spark, csv_path):
     assert df.schema["id"].dataType.simpleString() == "int"
 
 
+def test_csv_columns_go_by_name_and_quotes_hold_line_breaks(spark, tmp_path):
+    path = tmp_path / "two.csv"
+    path.write_text('a,b\n1,"x\ny"\n2,z\n')
+    assert sorted(map(tuple, read_csv(spark, str(path)).collect())) == [(1, "x\ny"), (2, "z")]
+    swapped = read_csv(spark, str(path), "b string, a int")
+    assert swapped.columns == ["b", "a"] and sorted(map(tuple, swapped.collect())) == [("x\ny", 1), ("z", 2)]
+    with pytest.raises(DataAccessError):
+        read_csv(spark, str(path), "c int")
+
+
 NUMBERS = [
     0.0, 1.0, -1.5, 1e7, 12345678.9, 1e15, 1e16, 1.5e16, 1e-3, 1e-4, 1.5e-4, 1e-5, -2.5e-7, 1e100,
     1.7976931348623157e308, math.inf, -math.inf, 0.1, 9999999.0, -12345678.25, 1e22,

@@ -16,6 +16,7 @@ from featurespark.operators.transforms import (
     fit_steps,
     get_transformation,
     list_transformations,
+    one_hot_positions,
     register,
     transform,
 )
@@ -206,3 +207,28 @@ def test_apply_is_a_projection(spark):
     out = transform(transform(df, "binning", {"column": "x"}), "one_hot_encode", {"column": "s"})
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Window" not in plan
+
+
+def test_one_hot_of_many_values(spark):
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else f"v{i % 700:04}") for i in range(4000)], "k int, v string")
+    assert len(transform(df, "one_hot_encode", {"column": "k"}).columns) == 4002
+    values = sorted({r.v for r in df.collect() if r.v})
+    found = {r.k: r.v_position for r in one_hot_positions(df.repartition(4), "v").collect()}
+    assert found == {r.k: values.index(r.v) if r.v else None for r in df.collect()}
+
+
+@pytest.mark.parametrize(("form", "texts"), [("%m/%d/%Y", ["01/31/2024", "12/25/1999"]), ("%d.%m.%Y", ["31.01.2024", "25.12.1999"])])
+def test_dates_in_other_forms(spark, form, texts):
+    df = spark.createDataFrame([(t,) for t in [*texts, "junk", None]], "d string")
+    found = [(r.d_year, r.d_month) for r in transform(df, "date_features", {"column": "d"}).collect()]
+    assert found == [(2024, 1), (1999, 12), (None, None), (None, None)]
+
+
+def test_bad_constants_and_names_fail_at_once(spark):
+    df = spark.createDataFrame([(None, "Yes"), (None, "yes")], "d date, INCOME string")
+    for name, params in (
+        ("fill_missing", {"column": "d", "strategy": "constant"}), ("one_hot_encode", {"column": "INCOME"}),
+        ("date_features", {"column": "INCOME", "format": "no {such} format"}),
+    ):
+        with pytest.raises(DataAccessError):
+            transform(df, name, params)
