@@ -166,9 +166,9 @@ def pattern_votes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     candidates = forms.unionByName(spark.createDataFrame(stated, schema))
     rank = F.struct(F.col("confidence"), F.col("ratio"), -F.col("place"))
     best = candidates.groupBy("column").agg(F.max_by(F.struct("category", "confidence", "basis"), rank).alias("vote"))
-    vote = best.select("column", "vote.*")
-    shown = F.format_string(EXPLANATION, "column", "category", "basis", "confidence")
-    return vote.select("column", "category", "confidence", shown.alias("explanation"))
+    votes = [(r["column"], *r["vote"]) for r in best.collect()]  # one row per column
+    rows = [(name, kind, sure, EXPLANATION % (name, kind, basis, sure)) for name, kind, sure, basis in votes]
+    return spark.createDataFrame(rows, "column string, category string, confidence double, explanation string")
 
 
 PATTERN_DETECTOR: Detector = ("regex", pattern_votes)
