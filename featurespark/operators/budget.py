@@ -42,7 +42,9 @@ def _chosen(
     candidates = slim
     for keys in (["group", "cost", part], ["group", "cost"]):
         order = Window.partitionBy(*keys).orderBy("priority", "position")
-        candidates = candidates.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= possible)
+        # The literal bound follows from the other, as no text is free; by it rows are dropped before the shuffle.
+        few = (F.col("nth") <= budget + 1) & (F.col("nth") <= possible)
+        candidates = candidates.withColumn("nth", F.row_number().over(order)).where(few)
     entry = F.struct("priority", "position", "cost")
     ordered = F.array_sort(F.collect_list(entry))
     grouped = candidates.groupBy("group").agg(ordered.alias("entries"))
