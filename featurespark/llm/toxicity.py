@@ -28,7 +28,7 @@ LEAST_PRECISION, CAUTION = 0.8, 1
 LEAST_COVER = 0.01
 
 #: Chi-square of a feature against the posterior labels from which on the classifier has a weight for it.
-LEAST_CHI_SQUARE = 8
+LEAST_CHI_SQUARE = 30
 
 #: Letters of the beginnings of words that are looked at besides whole words.
 BEGINNINGS = (4, 5, 6)
