@@ -24,8 +24,8 @@ LEAST_FOUND = 0.96
 #: Rows of one part, and queries, that are compared in one task at a time.
 BLOCK_ROWS, BLOCK_QUERIES = 20_000, 2_000
 
-#: Candidates beyond those wanted whose distance is computed exactly.
-SPARE = 22
+#: Candidates whose distance is computed exactly at a time.
+EXACT_ROWS = 4_096
 
 
 def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -33,6 +33,25 @@ def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left * left).sum(1)[:, None] + (right * right).sum(1) - 2 * left @ right.T
 
 
+def in_reach(left: np.ndarray, right: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
+    """Which of `right` may be among the k nearest of each of `left`, all that are as far as the k-th included.
+
+    `far` has the distances by products, infinite where a row is no candidate. They are off by rounding: at most by
+    `slack`, several times the bound for sums of that many products. k rows are surely within the k-th smallest of
+    far + slack, so a row can be left out only if far - slack is above that.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms = (left * left).sum(1)[:, None] + (right * right).sum(1)
+        slack = (8 * left.shape[1] + 32) * np.finfo(np.float64).eps * norms + np.finfo(np.float64).tiny
+        above, below = far + slack, far - slack
+    above[np.isnan(above)], below[np.isnan(below)] = np.inf, -np.inf
+    if k < above.shape[1]:
+        above.partition(k - 1, 1)
+        below = below <= above[:, k - 1 : k]
+        return below
+    return np.ones(far.shape, bool)
+
+
 def neighbour_graph(vectors: np.ndarray, k: int) -> np.ndarray:
     """The k nearest others of each vector."""
     out = np.empty((len(vectors), min(k, len(vectors) - 1)), np.int64)
@@ -164,8 +183,9 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
 
     A sample of bounded size teaches the parts; then every vector is filed under its most probable part and every
     query looks into the parts that together have the learned probability, the same for all. Parts and queries are
-    compared in blocks, so that a part with a third of all rows is spread over many tasks; each block sends k rows
-    per query, and these are ranked by distance (double precision, on the vectors as given) and id. Rows with the
+    compared in blocks, so that a part with a third of all rows is spread over many tasks; in each block all rows that
+    may be as near as the k-th nearest are ordered by distance (double precision, on the vectors as given) and id, and
+    the first k are sent and ranked the same way, so that of equally far rows those with smaller ids stay. Rows with the
     query's own id are no candidates. With fewer than two samples a part there is one part, so that small tables are
     searched whole; an empty table gives no rows.
     """
@@ -213,14 +233,13 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
                 name, block = names[begin : begin + 128], these[begin : begin + 128]
                 far = distances(block, those)
                 far[name[:, None] == ids] = np.inf
-                wanted = min(k + SPARE, len(ids))
-                close = np.argpartition(far, wanted - 1, 1)[:, :wanted]
-                exact = np.sqrt(((those[close] - block[:, None, :]) ** 2).sum(2))
-                for q, row, far_row in zip(name.tolist(), close, exact, strict=True):
-                    other = ids[row] != q
-                    row, far_row = row[other], far_row[other]
-                    first = np.lexsort((ids[row], far_row))[:k]
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[row[first]], "score": far_row[first]}))
+                close = in_reach(block, those, far, k)
+                for q, vector, may in zip(name.tolist(), block, close, strict=True):
+                    row = np.flatnonzero(may & (ids != q))
+                    parts = np.split(row, range(EXACT_ROWS, len(row), EXACT_ROWS))
+                    score = np.concatenate([np.sqrt(((those[x] - vector) ** 2).sum(1)) for x in parts])
+                    first = np.lexsort((ids[row], score))[:k]
+                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[row[first]], "score": score[first]}))
         if not out:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         return pd.concat(out)

@@ -53,6 +53,18 @@ def test_recall_and_blocks(spark, monkeypatch):
     assert hits / total >= 0.9
 
 
+def test_copies_and_close_vectors_far_from_zero_are_exact(spark):
+    random = np.random.default_rng(5)
+    for rows in (
+        [(i, [1.0] * 8 if i % 6 else [1.0 + i] * 8, 0) for i in range(240)],
+        [(i, (4e6 + random.integers(0, 9, 8) * 0.25).tolist(), 0) for i in range(240)],
+    ):
+        found = {}
+        for r in partitions.nearest(table(spark, [rows[i] for i in random.permutation(240)]), every=20).collect():
+            found.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+        assert {q: [(s, j) for _, s, j in sorted(near)] for q, near in found.items()} == brute(rows, every=20)
+
+
 def test_few_and_no_vectors(spark):
     few = table(spark, [(0, [1.0] * 8, 0), (1, [2.0] * 8, 0)])
     assert [tuple(r)[:3] for r in partitions.nearest(few).collect()] == [(0, 1, 1)]
