@@ -35,6 +35,11 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The table written with the number of each row in reading order, `_row`, the same for all who read it."""
+    return work_table(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def slices(texts: Sequence[str | None], most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `most` characters each, one row at least."""
     begin, held = 0, 0

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import join_groups, work_table
+from featurespark.llm.common import join_groups, numbered, work_table
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -35,10 +35,10 @@ def _places(hashes: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return segment.astype(np.int64), ((second >> step) & np.uint64(SEGMENT_BITS - 1)).astype(np.int64)
 
 
-def _digests(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _digests(documents: DataFrame, id_column: str, text_column: str, row: Column) -> DataFrame:
     text = F.regexp_replace(F.coalesce(F.col(text_column), F.lit("")), WHITE_SPACE, " ")
     sha = F.unhex(F.sha2(text.cast("binary"), 256))
-    rows = documents.select(F.col(id_column).alias("doc_id"), F.monotonically_increasing_id().alias("row"), sha.alias("sha"))
+    rows = documents.select(F.col(id_column).alias("doc_id"), row.alias("row"), sha.alias("sha"))
     return rows.withColumn("hash", F.xxhash64("sha"))
 
 
@@ -124,7 +124,9 @@ def _probe(digests: DataFrame, filters: DataFrame, segments: int) -> DataFrame:
     return out
 
 
-def exact_groups(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def exact_groups(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", row: Column | None = None
+) -> DataFrame:
     """One row per document: which row of its group of equal texts stays.
 
     Texts are equal when they are after each run of white space has become one space; null is empty. Of equal texts
@@ -133,7 +135,8 @@ def exact_groups(documents: DataFrame, id_column: str = "doc_id", text_column: s
     of one and are not shuffled; the others are counted before they meet, and groups with many rows are joined
     without a shuffle. The filter has a fixed number of bits per document. An empty table gives no rows.
     """
-    digests = work_table(_digests(documents, id_column, text_column), "digests")
+    row = F.monotonically_increasing_id() if row is None else row
+    digests = work_table(_digests(documents, id_column, text_column, row), "digests")
     total = digests.count()
     segments = max(1, -(-total * BITS_PER_DOCUMENT // SEGMENT_BITS))
     filters = work_table(repeated_filter(digests, segments), "filter")
@@ -153,7 +156,12 @@ def exact_groups(documents: DataFrame, id_column: str = "doc_id", text_column: s
 
 
 def drop_exact_copies(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; the rows to drop are looked up by their number in reading order."""
-    named = documents.withColumn("_row", F.monotonically_increasing_id())
-    dropped = exact_groups(documents, id_column, text_column).filter("not kept").select(F.col("row").alias("_row"))
-    return named.join(dropped, "_row", "left_anti").drop("_row")
+    """The rows that stay, with all their columns.
+
+    The rows to drop are looked up by a number that is written down with the documents, once: numbers given in two
+    scans differ when files are split otherwise in the second, as when an executor joins or is lost.
+    """
+    held = numbered(documents)
+    groups = exact_groups(held, id_column, text_column, F.col("_row"))
+    dropped = groups.filter("not kept").select(F.col("row").alias("_row"))
+    return held.join(dropped, "_row", "left_anti").drop("_row")

@@ -8,10 +8,10 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import join_groups, slices, work_table
+from featurespark.llm.common import join_groups, numbered, slices, work_table
 from featurespark.llm.components import components
 
 #: Two collections of so many keys of so many minhashes each; a table is a pair of keys, one of each collection.
@@ -216,22 +216,24 @@ def _sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
 
 def near_groups(
-    documents: DataFrame, percent: int = 80, width: int = 2, id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
+    documents: DataFrame, percent: int = 80, width: int = 2, id_column: str = "doc_id", text_column: str = "text",
+    row: Column | None = None,
+) -> DataFrame:
     """One row per document with the component of documents linked by similar sets of word shingles.
 
     Two documents are linked when 100 times their common shingles is at least `percent` times all their shingles.
-    Columns: doc_id, `row` (number in reading order), n_shingles, component_id (smallest id of the component), kept
+    Columns: doc_id, `row` (number in reading order, or what `row` says), n_shingles, component_id (smallest id of the component), kept
     (the row that stays, the first of the smallest id). Rows with equal sets are one node. Nodes that share a first
     key with another go on to the tables; in each table all are paired with its first node, confirmed on the full
     sets, and joined to components; then nodes of different components that share a table are compared as well, so
     that every pair that shares a table is either confirmed, refuted, or already in one component. Sizes that rule a
     link out end a pair early. No words: no set, a component of its own. Rows with a null id take part in links but
     give no component its name; a component of such rows alone has a null name. The documents are read twice and must
-    come in the same order.
+    come in the same order unless `row` numbers them.
     """
+    row = F.monotonically_increasing_id() if row is None else row
     rows = documents.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
+        F.col(id_column).cast("long").alias("doc_id"), row.alias("row"),
         F.col(text_column).alias("text"),
     )
     profiles = work_table(_profiles(rows, width), "profiles")
@@ -282,7 +284,7 @@ def near_groups(
 
 
 def drop_near_copies(documents: DataFrame, percent: int = 80, width: int = 2) -> DataFrame:
-    """The first document of each component, with all its columns."""
-    named = documents.withColumn("_row", F.monotonically_increasing_id())
-    dropped = near_groups(documents, percent, width).filter("not kept").select(F.col("row").alias("_row"))
-    return named.join(dropped, "_row", "left_anti").drop("_row")
+    """The first document of each component, with all its columns; numbered once, see drop_exact_copies."""
+    held = numbered(documents)
+    dropped = near_groups(held, percent, width, row=F.col("_row")).filter("not kept").select(F.col("row").alias("_row"))
+    return held.join(dropped, "_row", "left_anti").drop("_row")

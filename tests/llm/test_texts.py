@@ -43,6 +43,22 @@ def test_exact_groups(spark, documents, monkeypatch, round_bytes):
     assert kept.count() == len({normal(t) for t in TEXTS})
 
 
+@pytest.mark.parametrize("drop", [exact.drop_exact_copies, near.drop_near_copies])
+def test_copies_are_dropped_though_files_are_split_otherwise_later(spark, tmp_path, drop):
+    rows = spark.range(0, 90, 1, 9).selectExpr("id AS doc_id", "concat_ws(' ', 'own', id % 60, id % 60 + 1) AS text")
+    rows.write.parquet(str(tmp_path / "documents"))
+    splits = "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"
+    try:
+        spark.conf.set(splits[0], "128m")
+        kept = drop(spark.read.parquet(str(tmp_path / "documents")))
+        spark.conf.set(splits[0], "1")
+        spark.conf.set(splits[1], "1")
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
+    finally:
+        for name in splits:
+            spark.conf.unset(name)
+
+
 def test_hot_groups_are_joined_whole(spark):
     rows = spark.range(6000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'copy', concat('own ', id)) AS text")
     found = exact.exact_groups(rows).groupBy("keep_id", "group_size").count().orderBy(F.desc("count")).first()
