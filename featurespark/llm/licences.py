@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +30,18 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: Passages of licence texts and file headers that the notices above don't tell apart or don't reach; looked for as
+#: passages only. Of licences whose passages overlap the one most alike counts.
+PASSAGES = (
+    ("LGPL-3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License"),
+    ("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("CC-BY-4.0", "You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+)
+
 #: Bigrams alike, in hundredths of the Dice coefficient.
 LEAST_PERCENT = 80
 
@@ -58,7 +71,9 @@ def _bigrams(words: list[bytes], most: int) -> set[tuple[bytes, bytes]]:
 class Scanner:
     """Compares units with templates whose size leaves enough in reach."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...], percent: int) -> None:
+    def __init__(
+        self, templates: tuple[tuple[str, str], ...], percent: int, passages: tuple[tuple[str, str], ...] = ()
+    ) -> None:
         self._percent = percent
         self._wanted = [(name, _bigrams([w for line in _lines(t) for w in line], 1 << 30)) for name, t in templates]
         sizes = [len(w) for _, w in self._wanted if w]
@@ -67,40 +82,111 @@ class Scanner:
             n: [(name, w) for name, w in self._wanted if (200 - percent) * min(n, len(w)) >= percent * max(n, len(w))]
             for n in range(1, self._most + 1)
         }
-
-    def unit(self, words: list[bytes], found: dict[str, tuple[float, int]]) -> None:
-        """Add what one line or text matches: the best coefficient and the number of matches by licence."""
-        had = _bigrams(words, self._most)
+        self._sought = list({(n, frozenset(w)): None for n, w in self._wanted})
+        for name, text in passages:
+            self._sought.append((name, frozenset(_bigrams([w for line in _lines(text) for w in line], 1 << 30))))
+        self._sought = [(name, wanted) for name, wanted in self._sought if wanted]
+        self._known = frozenset().union(*(w for _, w in self._sought))
+
+    def unit(self, words: list[bytes], found: dict[str, tuple[float, int]]) -> dict[str, float]:
+        """Add what one line or text matches: the best coefficient and the number of matches by licence. Its own ones."""
+        had, names = _bigrams(words, self._most), {}
         for name, wanted in self._fits.get(len(had), ()):
             common, both = len(had & wanted), len(had) + len(wanted)
             if 200 * common >= self._percent * both:
                 best, n = found.get(name, (0.0, 0))
                 found[name] = max(best, 2 * common / both), n + 1
+                names[name] = max(names.get(name, 0.0), 2 * common / both)
+        return names
+
+    def _windows(self, words: list[bytes], hits: list[int], wanted: frozenset) -> Iterator[tuple[float, int, int]]:
+        """(dice, begin, stop) of the best window of words from each of `hits`, where it is in reach.
+
+        A best window begins and ends with bigrams of the template, and its first bigram doesn't come again in it:
+        without such ends it had no fewer common bigrams. Windows from a place go on until its bigram comes again or
+        there are more others than the template allows, so that at most one for each of its bigrams is open anywhere.
+        """
+        most = len(wanted) * (200 - self._percent) // self._percent
+        for begin in hits:
+            first, had, common, best = (words[begin], words[begin + 1]), set(), 0, None
+            for end in range(begin, len(words) - 1):
+                pair = words[end], words[end + 1]
+                if pair in had:
+                    if pair == first:
+                        break
+                    continue
+                had.add(pair)
+                if len(had) > most:
+                    break
+                if pair in wanted:
+                    common += 1
+                    both = len(had) + len(wanted)
+                    if 200 * common >= self._percent * both and (best is None or 2 * common / both > best[0]):
+                        best = 2 * common / both, begin, end + 2
+            if best:
+                yield best
+
+    def passages(
+        self, lines: list[list[bytes]], taken: list[dict[str, float]], found: dict[str, tuple[float, int]]
+    ) -> None:
+        """Add passages of the whole text; `taken` has the licences that each line matches, alone or in the whole text.
+
+        Of passages that overlap only the most alike is looked at, and it counts unless one of its lines matches the
+        same licence, or another one as well.
+        """
+        words = [w for line in lines for w in line]
+        own = self._known.intersection(zip(words, islice(words, 1, None), strict=False))
+        sought = [(n, w) for n, w in self._sought if (200 - self._percent) * len(own & w) >= self._percent * len(w)]
+        if not sought:
+            return
+        places = [i for i, pair in enumerate(zip(words, islice(words, 1, None), strict=False)) if pair in own]
+        candidates = []
+        for name, wanted in sought:
+            hits = [i for i in places if (words[i], words[i + 1]) in wanted]
+            candidates += [(-dice, begin, stop, name) for dice, begin, stop in self._windows(words, hits, wanted)]
+        if not candidates:
+            return
+        line_of = [i for i, line in enumerate(lines) for _ in line]
+        used = bytearray(len(words))
+        for low, begin, stop, name in sorted(candidates):
+            if any(used[begin:stop]):
+                continue
+            used[begin:stop] = b"\1" * (stop - begin)
+            across = (taken[i] for i in range(line_of[begin], line_of[stop - 1] + 1))
+            if not any(name in t or max(t.values(), default=0) >= -low for t in across):
+                best, n = found.get(name, (0.0, 0))
+                found[name] = max(best, -low), n + 1
 
     def text(self, text: str) -> dict[str, tuple[float, int]]:
         found: dict[str, tuple[float, int]] = {}
         lines = _lines(text)
-        for words in lines:
-            self.unit(words, found)
+        taken = [self.unit(words, found) for words in lines]
         if len(lines) > 1:
-            self.unit([w for words in lines for w in words], found)
+            whole = self.unit([w for words in lines for w in words], found)
+            taken = [names | whole for names in taken] if whole else taken
+        self.passages(lines, taken, found)
         return found
 
 
 def scan_licences(
-    documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = LEAST_PERCENT
+    documents: DataFrame,
+    templates: tuple[tuple[str, str], ...] = TEMPLATES,
+    percent: int = LEAST_PERCENT,
+    passages: tuple[tuple[str, str], ...] = PASSAGES,
 ) -> DataFrame:
     """(doc_id, license, dice, n_units): the licences whose notices stand in a document.
 
-    Compared are every line and, if a text has several lines, the whole text. The Dice coefficient is twice the
+    Compared are every line and, if a text has several lines, the whole text; what no line and not the whole text
+    matches is searched for passages of any words next to each other, over the ends of lines too, that are as much
+    alike (see Scanner.passages). A text that begins and ends elsewhere than a notice thus still counts. The Dice coefficient is twice the
     common bigrams over all bigrams of both; as common ones are at most the smaller set, a unit is compared only with
     templates whose size leaves `percent` in reach, and its bigrams are counted only as far as any template goes.
-    `dice` is the best of a licence in a document, n_units counts its units in reach. Null, empty and one-word texts
+    `dice` is the best of a licence in a document, n_units counts its units and passages in reach. Null, empty and one-word texts
     match nothing; rows with equal ids count as one document; an empty table gives no rows.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, percent)
+        scanner = Scanner(templates, percent, passages)
         for batch, texts in column_slices(batches):
             rows = [
                 (key, name, dice, n)
@@ -118,7 +204,7 @@ def scan_licences(
 
 
 def licence_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = LEAST_PERCENT) -> str:
-    """The same over a view `documents`, for an engine with list functions."""
+    """Lines and whole texts over a view `documents`, for an engine with list functions; it knows no passages."""
     values = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(templates))
     upper = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     words = f"string_split(trim(regexp_replace(translate(t, {upper}), '[^a-z0-9]+', ' ', 'g')), ' ')"

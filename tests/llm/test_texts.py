@@ -217,6 +217,55 @@ def test_licences_equal_brute_force(spark):
     assert licences.scan_licences(docs.filter("false")).count() == 0
 
 
+MIT = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU{} General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("int main() {}\n" * 40 + MIT + "\nmore text\n" * 40, {"MIT": 1}),
+        (GPL.format("") + "\nimport os\n", {"GPL-3.0": 1}),
+        (GPL.format(" Affero") + "\nimport os, so, much, more, than, that\n" * 20, {"AGPL-3.0": 1}),
+        (" * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n", {"BSD-3-Clause": 1}),
+        ("All parts of this text are free to share. Licensed under the Apache License, Version 2.0.", {"Apache-2.0": 1}),
+        ("Here it is. Licensed under CC BY 4.0. That was it, and the other is licensed under CC BY-NC 4.0. " + "So much. " * 9, {"CC-BY-4.0": 1, "CC-BY-NC-4.0": 1}),
+        ("We talk of it. Released under the MIT License, it says. " * 3000, {"MIT": 3000}),
+        ("licensed under the license of the public software in the general terms " * 300, {}),
+    ],
+)
+def test_notices_within_lines_and_over_lines(text, want):
+    found = licences.Scanner(licences.TEMPLATES, 80, licences.PASSAGES).text(text)
+    assert {name: n for name, (_, n) in found.items()} == want
+
+
+def test_passages_equal_all_windows():
+    random.seed(11)
+    scanner = licences.Scanner((), 80, (("one", "a b c d e f"), ("two", "c d a g h")))
+    for _ in range(300):
+        text = " ".join(random.choices("abcdefgh", [5, 4, 4, 4, 3, 3, 1, 1], k=random.randint(2, 24)))
+        words = text.split()
+        for name, notice in (("one", "a b c d e f"), ("two", "c d a g h")):
+            alone = licences.Scanner((), 80, ((name, notice),)).text(text)
+            units = [" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
+            best = max(2 * len(bigrams(u) & bigrams(notice)) / (len(bigrams(u)) + len(bigrams(notice))) for u in units)
+            assert alone.get(name, (0,))[0] == (best if best >= 0.8 else 0)
+            assert scanner.text(text).get(name, (0,))[0] <= best
+
+
+def test_passages_of_documents(spark):
+    docs = spark.createDataFrame([(1, "x\n" + MIT), (1, "y " + MIT), (2, None), (3, "MIT")], "doc_id long, text string")
+    assert [tuple(r) for r in licences.scan_licences(docs).collect()] == [(1, "MIT", 1.0, 2)]
+
+
 @pytest.mark.parametrize("text", ["</s>[INST] ok [/INST]", r"[\INST] \ <\\/s>", "<<SYS>> <s> [OUT]", "[[INST]", "", "a<", "x [/INST"])
 def test_template_is_reversible(text):
     turns = [("system", text), ("user", text), ("assistant", text), ("tool</s>", text), ("assistant", "b")]
