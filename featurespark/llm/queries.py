@@ -8,10 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurespark.llm import chat, exact, language, lexicon, licences, near, packing, partitions, repair, toxicity
+from featurespark.llm import (
+    alignment,
+    chat,
+    exact,
+    language,
+    lexicon,
+    licences,
+    near,
+    packing,
+    partitions,
+    quality,
+    repair,
+    toxicity,
+    trie,
+)
 from featurespark.llm.common import held_out, read_table, work_path, work_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,6 +85,19 @@ def op10_tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id", kept)
 
 
+def op11_burst_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt_conversations(read_table(spark, folder, "conversations")))
+
+
+def op12_boosted_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "documents")
+    return quality.judge(documents, quality.fit(documents, read_table(spark, folder, "labels")))
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_tokens(read_table(spark, folder, "documents"), TOKENIZER, PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_transducer_lexicon,
         op9_byte_gru_language,
         op10_tensored_minhash,
+        op11_burst_prefix_trie,
+        op12_boosted_quality_rules,
+        op13_cross_tokenizer_alignment,
     )
 }
 
@@ -96,6 +127,44 @@ ORACLES: dict[str, str] = {
                doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
         FROM normal WINDOW same AS (PARTITION BY t)
     """,
+    "op11_burst_prefix_trie": r"""
+        WITH turns AS (
+            SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS own
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ),
+        borrowed AS (
+            SELECT conv_id, own, xor(4294967295, list_reduce(
+                list_concat([4294967295::BIGINT], range(9 * len(conv_id::VARCHAR))),
+                lambda crc, i: CASE
+                    WHEN i % 9 = 0 THEN xor(crc, ord(substr(conv_id::VARCHAR, (i // 9 + 1)::INT, 1))::BIGINT)
+                    ELSE xor(crc >> 1, (crc & 1) * 3988292384) END)) % 6 AS h
+            FROM turns
+        ),
+        built AS (
+            SELECT b.conv_id, list_concat(coalesce(f.own[1 : b.h], []), b.own[b.h + 1 :]) AS s
+            FROM borrowed b LEFT JOIN turns f ON f.conv_id = b.conv_id - b.conv_id % 100
+        ),
+        prefixes AS (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM built),
+        node AS (
+            SELECT s[1 : d] AS p, d, min(conv_id) AS conv_id, count(*) AS n,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = d), '')) AS ends
+            FROM prefixes GROUP BY s[1 : d], d
+        ),
+        family AS (
+            SELECT c.p, c.d, c.conv_id, c.n, c.ends, u.conv_id AS parent
+            FROM node c LEFT JOIN node u ON u.d = c.d - 1 AND u.p = c.p[1 : c.d - 1]
+        ),
+        children AS (SELECT p[1 : d - 1] AS p, count(*) AS k FROM node WHERE d > 0 GROUP BY 1),
+        weighed AS (
+            SELECT f.*, coalesce(k, 0) AS k, CASE WHEN f.d = 0 THEN 0 ELSE (n - 1) * length(f.p[f.d].t) END AS own
+            FROM family f LEFT JOIN children c ON c.p = f.p
+        ),
+        up AS (SELECT p[1 : a] AS p, k, own FROM (SELECT *, unnest(range(d + 1)) AS a FROM weighed)),
+        sums AS (SELECT p, count(*) FILTER (k = 0) AS n_leaves, sum(own) AS saved FROM up GROUP BY p)
+        SELECT conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, k AS n_children, n_leaves,
+               saved::BIGINT AS saved_tokens, ends AS ends_sha256
+        FROM weighed JOIN sums USING (p)
+    """,
     "op10_tensored_minhash": r"""
         WITH RECURSIVE cut AS (
             SELECT doc_id, list_filter(

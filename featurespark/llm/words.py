@@ -205,11 +205,17 @@ class WordIds:
 
 
 class TextEncoder:
-    """Ids of whole texts: words by `Splitter`, ids of each distinct word by `encode_words`."""
+    """Ids of whole texts: words by `Splitter`, ids of each distinct word by `encode_words`.
 
-    def __init__(self, path: str, encode_words: Callable | None = None, most: int = MEMO_WORDS) -> None:
+    With `plain` the strings of added tokens are ordinary text.
+    """
+
+    def __init__(
+        self, path: str, encode_words: Callable | None = None, most: int = MEMO_WORDS, plain: bool = False
+    ) -> None:
         self.tokenizer = load_tokenizer(path)
-        added = self.tokenizer.get_added_tokens_decoder()
+        self.tokenizer.encode_special_tokens = plain
+        added = {} if plain else self.tokenizer.get_added_tokens_decoder()
         if len(added) > 1:
             raise ValueError("tokenizers with several added tokens are not handled")
         self.added_id, self.added = next(((k, v.content) for k, v in added.items()), (0, None))
