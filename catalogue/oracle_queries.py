@@ -367,6 +367,36 @@ ORACLES["spearman_nulls"] = (
     + union([correlation("r", a, b) for a in GAPPED for b in GAPPED])
 )
 
+
+
+def gapped(number: int) -> str:
+    measures = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey")
+    cells = [
+        f"CASE WHEN (l_orderkey + {k} * l_linenumber) % {k + 3} <> 0 THEN ({measures[k % 5]} + {k} * l_tax)::DOUBLE END AS g{k}"
+        for k in range(number)
+    ]
+    return f"g AS (SELECT {', '.join(cells)} FROM lineitem)"
+
+
+ORACLES["pearson_gaps"] = f"WITH {gapped(20)}\n" + union(
+    [correlation("g", f"g{a}", f"g{b}") for a in range(20) for b in range(20)]
+)
+
+
+def rank_pair(a: str, b: str) -> str:
+    ranks = ", ".join(
+        f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {n}" for c, n in ((a, "x"), (b, "y"))
+    )
+    both = f"(SELECT {ranks} FROM g WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+    return f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr(x, y), 6) AS corr FROM {both} AS p"
+
+
+ORACLES["spearman_gaps"] = f"WITH {gapped(5)}\n" + union([rank_pair(f"g{a}", f"g{b}") for a in range(5) for b in range(5)])
+ORACLES["correlation_limits"] = """
+SELECT 'two columns' AS "case", a AS col_a, b AS col_b, 1.0::DOUBLE AS corr
+FROM (VALUES ('r_regionkey'), ('r_double')) AS x(a), (VALUES ('r_regionkey'), ('r_double')) AS y(b)
+UNION ALL SELECT 'kendall', 'r_regionkey', 'kendall refused', count(*)::DOUBLE FROM region"""
+
 # -- transformations
 
 DISCOUNTS = "SELECT l_orderkey, l_linenumber, l_partkey, nullif(l_discount, 0) AS discount FROM lineitem"

@@ -345,6 +345,42 @@ def spearman_nulls(spark: SparkSession, folder: str) -> DataFrame:
     return correlation_table(columns, "spearman")
 
 
+def _gapped(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """Line item measures, each missing in rows of its own."""
+    measures = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey")
+    cells = [
+        F.when((F.col("l_orderkey") + k * F.col("l_linenumber")) % (k + 3) != 0, F.col(measures[k % 5]) + k * F.col("l_tax"))
+        for k in range(number)
+    ]
+    return read_table(spark, folder, "lineitem").select(*[cell.alias(f"g{k}") for k, cell in enumerate(cells)])
+
+
+@query
+def pearson_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    return correlation_table(_gapped(spark, folder, 20))
+
+
+@query
+def spearman_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    return correlation_table(_gapped(spark, folder, 5), "spearman")
+
+
+@query
+def correlation_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """What a correlation of one numeric column, of two, and by a method that isn't offered gives for each region."""
+    region = read_table(spark, folder, "region").select("r_regionkey", "r_name")
+    one = correlation_table(region).select(F.lit("one column").alias("case"), "col_a", "col_b", "corr")
+    twice = region.withColumn("r_double", F.col("r_regionkey") * 2.0)
+    two = correlation_table(twice).select(F.lit("two columns").alias("case"), "col_a", "col_b", "corr")
+    try:
+        refused = correlation_table(twice, "kendall")
+    except FeatureSparkError:
+        refused = twice.groupBy().agg(F.count("*").cast("double").alias("corr")).select(
+            F.lit("r_regionkey").alias("col_a"), F.lit("kendall refused").alias("col_b"), "corr"
+        )
+    return one.unionByName(two).unionByName(refused.select(F.lit("kendall").alias("case"), "col_a", "col_b", "corr"))
+
+
 # -- transformations
 
 

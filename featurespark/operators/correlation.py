@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -12,13 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featurespark.errors import DataAccessError
-from featurespark.functions.columns import chunks, field_of, number_of, numeric_columns
-from featurespark.operators.ranks import rank_sums
+from featurespark.functions.columns import numeric_columns
+from featurespark.operators.gram import pair_correlations
+from featurespark.operators.ranks import rank_correlations
 
 HIGH_CORRELATION = 0.85
-COLUMNS_PER_JOB = 40
-TILE = 8
-PAIRS_PER_JOB = TILE * TILE
+DIGITS = 6
 
 PAIR_SCHEMA = T.StructType(
     [
@@ -45,120 +43,15 @@ class CorrelationSummary:
         ] if self.matrix else []
 
 
-def _coefficient(n: int, sa: float, sb: float, saa: float, sbb: float, sab: float) -> float:
-    """Correlation from sums around any centre; 0 where it is undefined."""
-    spread = (saa - sa * sa / n) * (sbb - sb * sb / n) if n else 0.0
-    if not spread > 0 or math.isinf(spread):
-        return 0.0
-    value = (sab - sa * sb / n) / math.sqrt(spread)
-    return max(-1.0, min(1.0, value)) if not math.isnan(value) else 0.0
-
-
-@dataclass(frozen=True)
-class _Spread:
-    rows: int
-    mean: float | None
-    least: float | None
-    greatest: float | None
-
-
-def _spreads(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, _Spread]]:
-    total, result = 0, {}
-    for names in chunks(list(columns), COLUMNS_PER_JOB):
-        aggregates = [F.count("*").alias("rows")]
-        for index, name in enumerate(names):
-            number = number_of(field_of(df.schema, name))
-            aggregates += [
-                F.count(number).alias(f"n{index}"),
-                F.avg(number).alias(f"mean{index}"),
-                F.min(number).alias(f"min{index}"),
-                F.max(number).alias(f"max{index}"),
-            ]
-        row = df.agg(*aggregates).first()
-        total = row["rows"]
-        for index, name in enumerate(names):
-            result[name] = _Spread(*(row[f"{key}{index}"] for key in ("n", "mean", "min", "max")))
-    return total, result
-
-
-def _tiled_pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
-    """All pairs in column order, arranged so that a run of them reads few columns."""
-    place = {name: index for index, name in enumerate(columns)}
-    tiles = chunks(list(columns), TILE)
-    return [
-        (a, b)
-        for number, first in enumerate(tiles)
-        for second in tiles[number:]
-        for a in first
-        for b in second
-        if place[a] < place[b]
-    ]
-
-
-def _pearson(df: DataFrame, columns: Sequence[str], total: int, spreads: dict[str, _Spread]) -> dict[tuple, float]:
-    """Two passes: means first, then plain sums of centred products.
-
-    Complete pairs share each column's own sum of squares; pairs with nulls get sums of their own.
-    """
-    varying = [
-        name
-        for name in columns
-        if spreads[name].rows > 1
-        and spreads[name].least != spreads[name].greatest
-        and math.isfinite(spreads[name].least)
-        and math.isfinite(spreads[name].greatest)
-    ]
-    offsets = {name: number_of(field_of(df.schema, name)) - F.lit(spreads[name].mean) for name in varying}
-    complete = {name for name in varying if spreads[name].rows == total}
-    result = {(name, name): 1.0 for name in varying}
-    own: dict[str, tuple[float, float]] = {}
-    for names in chunks([name for name in varying if name in complete], PAIRS_PER_JOB):
-        row = df.agg(
-            *[F.sum(offsets[name]).alias(f"s{i}") for i, name in enumerate(names)],
-            *[F.sum(offsets[name] * offsets[name]).alias(f"q{i}") for i, name in enumerate(names)],
-        ).first()
-        own.update({name: (row[f"s{i}"], row[f"q{i}"]) for i, name in enumerate(names)})
-    pairs = _tiled_pairs(varying)
-    plain = [pair for pair in pairs if pair[0] in complete and pair[1] in complete]
-    for part in chunks(plain, PAIRS_PER_JOB):
-        row = df.agg(*[F.sum(offsets[a] * offsets[b]).alias(f"p{i}") for i, (a, b) in enumerate(part)]).first()
-        for index, (a, b) in enumerate(part):
-            (sa, saa), (sb, sbb) = own[a], own[b]
-            result[a, b] = _coefficient(total, sa, sb, saa, sbb, row[f"p{index}"])
-    whole = set(plain)
-    gapped = [pair for pair in pairs if pair not in whole]
-    for part in chunks(gapped, PAIRS_PER_JOB // 6):
-        aggregates = []
-        for index, (a, b) in enumerate(part):
-            x = F.when(offsets[b].isNotNull(), offsets[a])
-            y = F.when(offsets[a].isNotNull(), offsets[b])
-            for key, value in {"a": x, "b": y, "aa": x * x, "bb": y * y, "ab": x * y}.items():
-                aggregates.append(F.sum(value).alias(f"{key}{index}"))
-            aggregates.append(F.count(x).alias(f"n{index}"))
-            flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-            aggregates.append(F.coalesce(flat, F.lit(True)).alias(f"flat{index}"))
-        row = df.agg(*aggregates).first()
-        for index, (a, b) in enumerate(part):
-            if row[f"flat{index}"]:
-                result[a, b] = 0.0
-                continue
-            sums = (row[f"{key}{index}"] for key in ("a", "b", "aa", "bb", "ab"))
-            result[a, b] = _coefficient(row[f"n{index}"], *sums)
-    return result
-
-
-def _spearman(df: DataFrame, columns: Sequence[str], total: int, spreads: dict[str, _Spread]) -> dict[tuple, float]:
-    """Pearson on average ranks: ranked once for the complete columns, per pair where nulls take part."""
-    varying = [name for name in columns if spreads[name].rows > 1 and spreads[name].least != spreads[name].greatest]
-    result = {(name, name): 1.0 for name in varying}
-    complete = [name for name in varying if spreads[name].rows == total]
-    groups = [complete] if len(complete) > 1 else []
-    groups += [[a, b] for a, b in combinations(varying, 2) if a not in complete or b not in complete]
-    for group in groups:
-        rows, products = rank_sums(df, group)
-        for a, b in combinations(group, 2):
-            result[a, b] = _coefficient(rows, 0.0, 0.0, products[a, a], products[b, b], products[a, b])
-    return result
+def _pairs(df: DataFrame, method: str, columns: Iterable[str] | None) -> tuple[list[str], DataFrame | None]:
+    """The numeric columns asked for and, for two or more, rows (a, b, corr) of positions in them."""
+    if method not in ("pearson", "spearman"):
+        raise DataAccessError(f"Unknown correlation method '{method}'. Available: ['pearson', 'spearman']")
+    numeric = numeric_columns(df)
+    names = numeric if columns is None else [name for name in columns if name in numeric]
+    if len(names) < 2:
+        return names, None
+    return names, (pair_correlations if method == "pearson" else rank_correlations)(df, names, DIGITS)
 
 
 def correlate(
@@ -167,18 +60,16 @@ def correlate(
     columns: Iterable[str] | None = None,
     high_corr_threshold: float = HIGH_CORRELATION,
 ) -> CorrelationSummary:
-    """Correlation matrix of the numeric columns (booleans left out) and the pairs at or above the threshold."""
-    if method not in ("pearson", "spearman"):
-        raise DataAccessError(f"Unknown correlation method '{method}'. Available: ['pearson', 'spearman']")
-    numeric = numeric_columns(df)
-    names = numeric if columns is None else [name for name in columns if name in numeric]
-    if len(names) < 2:
+    """Correlation matrix of the numeric columns (booleans left out) and the pairs at or above the threshold.
+
+    The matrix is held by the driver; `correlation_table` is the form for very many columns.
+    """
+    names, pairs = _pairs(df, method, columns)
+    if pairs is None:
         return CorrelationSummary(method, names)
-    total, spreads = _spreads(df, names)
-    found = (_pearson if method == "pearson" else _spearman)(df, names, total, spreads)
-    matrix = [
-        [round(found.get((a, b), found.get((b, a), 0.0)), 6) for b in names] for a in names
-    ]
+    matrix = [[0.0] * len(names) for _ in names]
+    for row in pairs.collect():
+        matrix[row["a"]][row["b"]] = row["corr"]
     high = [
         (names[i], names[j], matrix[i][j])
         for i, j in combinations(range(len(names)), 2)
@@ -187,9 +78,16 @@ def correlate(
     return CorrelationSummary(method, names, matrix, high)
 
 
+def _named(pairs: DataFrame, names: list[str]) -> DataFrame:
+    listed = F.array(*[F.lit(name) for name in names])
+    col_a, col_b = (F.coalesce(F.get(listed, F.col(place)), F.lit("")).alias(f"col_{place}") for place in "ab")
+    return pairs.select(col_a, col_b, F.coalesce("corr", F.lit(0.0)).alias("corr"))
+
+
 def correlation_table(df: DataFrame, method: str = "pearson", columns: Iterable[str] | None = None) -> DataFrame:
     """The matrix in long form (col_a, col_b, corr); no rows for fewer than two numeric columns."""
-    return df.sparkSession.createDataFrame(correlate(df, method, columns).pairs(), PAIR_SCHEMA)
+    names, pairs = _pairs(df, method, columns)
+    return df.sparkSession.createDataFrame([], PAIR_SCHEMA) if pairs is None else _named(pairs, names)
 
 
 def high_correlations(
@@ -199,5 +97,8 @@ def high_correlations(
     high_corr_threshold: float = HIGH_CORRELATION,
 ) -> DataFrame:
     """Pairs whose rounded coefficient reaches the threshold in absolute value, in column order."""
-    summary = correlate(df, method, columns, high_corr_threshold)
-    return df.sparkSession.createDataFrame(summary.high_correlation_pairs, PAIR_SCHEMA)
+    names, pairs = _pairs(df, method, columns)
+    if pairs is None:
+        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
+    high = pairs.where((F.col("a") < F.col("b")) & (F.abs("corr") >= high_corr_threshold))
+    return _named(high.orderBy("a", "b"), names)

@@ -1,97 +1,298 @@
-"""Average ranks of whole columns, and sums of rank products, without a global window."""
+"""Spearman correlation of any number of columns with gaps, in two shuffles of single values.
+
+Pandas ranks the rows that both columns of a pair share, so the rank of a value depends on the other column
+only through the rows in which that is missing. Columns missing in the same rows ask for the same ranks. All
+values of all columns are therefore sorted together once, with a mark of what else their rows hold; one pass
+over the sorted values gives each of them its average rank under every such condition; the ranks go back to
+their rows, where products are added up. Equal values may lie in several partitions: the partitions' sums, a
+row per partition and column, settle their ranks, so no value has to meet in one task.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.functions.columns import field_of, number_of
+from featurespark.functions.columns import chunks, field_of, number_of
 from featurespark.session import cut_lineage
 
-# A value held by more than one row in HOT_SHARE is looked up in a broadcast table of at most HOT_SHARE rows.
-HOT_SHARE = 1_000
+#: Columns whose presence one number tells.
+MARKS = 62
+
+
+def sorted_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, row, there, part): one row per value, in order over the partitions, held in a checkpoint.
+
+    `there` has a bit for each column that its row holds. `part` is the number of the partition.
+    """
+    keys = [f"c{index}" for index in range(len(columns))]
+    numbers = [
+        (number_of(field_of(df.schema, name)) + F.lit(0.0)).alias(key)  # -0.0 becomes 0.0
+        for name, key in zip(columns, keys)
+    ]
+    slim = df.select(F.monotonically_increasing_id().alias("row"), *numbers)
+    bits = [
+        sum((F.when(F.col(key).isNotNull(), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, key in enumerate(part)), F.lit(0))
+        for part in chunks(keys, MARKS)
+    ]
+    there = F.array(*[bit.cast("bigint") for bit in bits]).alias("there")
+    long = slim.select("row", there, F.posexplode(F.array(*keys)).alias("column", "value")).where("value IS NOT NULL")
+    order = ["column", "value", "row"]
+    placed = long.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut_lineage(placed.select(*order, "there", F.spark_partition_id().alias("part")))
 
 
-def average_ranks(counts: DataFrame) -> DataFrame:
-    """(column, value, n), one row per distinct value -> (column, value, n, rank), the mean rank of its rows.
+def _conditions(values: DataFrame, size: int) -> tuple[np.ndarray, list[int]]:
+    """For each column the condition under which others are ranked against it, and a column that stands for each.
 
-    All columns are range-partitioned and sorted together, each partition adds up its own counts,
-    and the partitions' offsets, one row per partition and column, are added afterwards. The
-    partition number is stored with the rows in a checkpoint, so a recomputed task cannot shift it.
+    Condition 0 holds in all rows. Columns that imply each other share a condition. One row per column is read.
     """
+    words = -(-size // MARKS)
+    always = values.groupBy("column").agg(
+        *[F.bit_and(F.get("there", F.lit(word))).alias(f"w{word}") for word in range(words)]
+    )
+    implied = np.ones((size, size), bool)
+    for row in always.collect():
+        for other in range(size):
+            implied[row["column"], other] = bool(row[f"w{other // MARKS}"] >> (other % MARKS) & 1)
+    condition, stands = np.zeros(size, np.int64), [-1]
+    for column in range(size):
+        if implied[:, column].all():
+            continue
+        alike = [k for k in range(1, len(stands)) if implied[column, stands[k]] and implied[stands[k], column]]
+        if not alike:
+            stands.append(column)
+        condition[column] = alike[0] if alike else len(stands) - 1
+    return condition, stands
+
+
+def _presence(stands: Sequence[int]):
+    """A function from a batch to a row per value and a column per condition, 1 where it holds."""
+
+    def presence(batch):
+        import numpy as np
+
+        there = np.ones((batch.num_rows, len(stands)), np.int64)
+        if len(stands) > 1:
+            words = batch.column("there").flatten().to_numpy().reshape(batch.num_rows, -1)
+            for k, column in enumerate(stands):
+                if k:
+                    there[:, k] = words[:, column // MARKS] >> (column % MARKS) & 1
+        return there
+
+    return presence
 
-    def running_totals(batches):
-        # Nested so that it travels to the workers by value.
+
+def _summaries(values: DataFrame, stands: Sequence[int]) -> list:
+    """Per partition and column: counts of all its values and of its first and last one, under each condition."""
+    presence = _presence(stands)
+
+    def summarise(batches):
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        part, column, before = TaskContext.get().partitionId(), None, 0
+        found: dict = {}
+        part = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = batch.column("column").to_numpy()
-            total = np.cumsum(batch.column("n").to_numpy())
-            starts = np.flatnonzero(np.diff(columns, prepend=columns[0] - 1))
-            base = np.concatenate([[0], total[starts[1:] - 1]])
-            if columns[0] == column:  # goes on from the batch before
-                base[0] -= before
-            upto = total - np.repeat(base, np.diff(np.append(starts, len(columns))))
-            column, before = columns[-1], upto[-1]
+            part = batch.column("part")[0].as_py()
+            columns, numbers, there = batch.column("column").to_numpy(), batch.column("value").to_numpy(), presence(batch)
+            edges = np.flatnonzero(np.diff(columns, prepend=columns[0] - 1, append=columns[-1] + 1))
+            for low, high in zip(edges[:-1], edges[1:]):
+                inside, counts = numbers[low:high], there[low:high]
+                first, last = inside[0], inside[-1]
+                own = [first, last, counts.sum(0), counts[inside == first].sum(0), counts[inside == last].sum(0)]
+                held = found.get(int(columns[low]))
+                if held is not None:  # goes on from the batch before
+                    if first == held[0]:
+                        held[3] = held[3] + own[3]
+                    own[4] = own[4] + held[4] if last == held[1] else own[4]
+                    own = [held[0], last, held[2] + own[2], held[3], own[4]]
+                found[int(columns[low])] = own
+        rows = [(part, column, first, last, *(x.astype("<i8").tobytes() for x in sums))
+                for column, (first, last, *sums) in found.items()]
+        if rows:
+            kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("column"), batch.column("value"), batch.column("n"), pa.array(upto),
-                 pa.array(np.full(len(upto), part, dtype=np.int32))],
-                names=["column", "value", "n", "upto", "part"],
-            )
-
-    slim = counts.select(F.col("column").cast("int"), F.col("value").cast("double"), F.col("n").cast("bigint"))
-    ordered = slim.repartitionByRange("column", "value").sortWithinPartitions("column", "value")
-    local = cut_lineage(
-        ordered.mapInArrow(running_totals, "column int, value double, n bigint, upto bigint, part int")
-    )
-    totals = local.groupBy("column", "part").agg(F.max("upto").alias("rows"))
-    # At most one row per column and partition.
-    earlier = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("column", "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
-    rank = F.col("start") + F.col("upto") - F.col("n") + (F.col("n") + 1) / 2
-    return local.join(F.broadcast(starts), ["column", "part"]).select("column", "value", "n", rank.alias("rank"))
+                [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "column", "first", "last", "all", "head", "tail"]
+            )
 
+    schema = "part int, column int, first double, last double, all binary, head binary, tail binary"
+    return sorted(values.mapInArrow(summarise, schema).collect(), key=lambda r: (r["column"], r["part"]))
 
-def rank_sums(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[tuple[str, str], float]]:
-    """Rows without nulls in the columns, and sums of products of their centred average ranks per pair.
 
-    Equal rows are merged before any other shuffle. Ranks are joined back on the value; values
-    frequent enough to overload one task come from a broadcast table, and their rows are spread
-    over the join by a hash of the whole row.
-    """
-    keys = [f"c{index}" for index in range(len(columns))]
-    slim = df.select(*[number_of(field_of(df.schema, name)).alias(key) for name, key in zip(columns, keys)])
-    merged = cut_lineage(slim.dropna().groupBy(*keys).agg(F.count("*").alias("n")))
-    total = merged.agg(F.sum("n")).first()[0] or 0
-    long = merged.select("n", F.posexplode(F.array(*keys)).alias("column", "value"))
-    ranks = average_ranks(long.groupBy("column", "value").agg(F.sum("n").alias("n")))
-    ranks = ranks.withColumn("rank", F.col("rank") - (total + 1) / 2)
-    often = F.col("n") * HOT_SHARE > total
-    ranked = merged
-    for index, key in enumerate(keys):
-        own = ranks.where(F.col("column") == index)
-        hot = own.where(often).select(F.col("value").alias(key), F.col("rank").alias("hot_rank"))
-        cold = own.where(~often).select(F.col("value").alias(key), F.lit(0).alias("spread"), "rank")
-        spread = F.when(F.col("hot_rank").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*keys), F.lit(1_000_003)))
-        ranked = (
-            ranked.join(F.broadcast(hot), key, "left")
-            .withColumn("spread", spread.cast("int"))
-            .join(cold, [key, "spread"], "left")
-            .withColumn(f"rank_{key}", F.coalesce("hot_rank", "rank"))
-            .drop("hot_rank", "rank", "spread")
+def _offsets(summaries: list, size: int, width: int) -> tuple[dict, np.ndarray]:
+    """What precedes each partition's values, what its first and last value have elsewhere, and all counts."""
+    totals, offsets = np.zeros((size, width), np.int64), {}
+    nothing = np.zeros(width, np.int64)
+
+    def counts(raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, "<i8")
+
+    open_ = (None, None, nothing)  # column, value, and its rows so far
+    for row in summaries:
+        column = row["column"]
+        earlier = open_[2] if open_[:2] == (column, row["first"]) else nothing
+        offsets[row["part"], column] = [totals[column].copy(), earlier, nothing]
+        totals[column] += counts(row["all"])
+        whole = row["first"] == row["last"]
+        open_ = (column, row["last"], counts(row["tail"]) + (earlier if whole else nothing))
+    open_ = (None, None, nothing)
+    for row in reversed(summaries):
+        column = row["column"]
+        later = open_[2] if open_[:2] == (column, row["last"]) else nothing
+        offsets[row["part"], column][2] = later
+        whole = row["first"] == row["last"]
+        open_ = (column, row["first"], counts(row["head"]) + (later if whole else nothing))
+    return offsets, totals
+
+
+def centred_ranks(values: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(row, column, ranks): the average rank of each value under each condition, less the mean rank; 0 where the
+    condition does not hold. Also the condition of each column and the counts per column and condition."""
+    condition, stands = _conditions(values, size)
+    width = len(stands)
+    # One row per partition and column.
+    offsets, totals = _offsets(_summaries(values, stands), size, width)
+    held = values.sparkSession.sparkContext.broadcast((offsets, (totals + 1) / 2))
+    presence = _presence(stands)
+
+    def rank(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        offsets, middle = held.value
+        waiting: list = []  # rows of the last value, which may go on in the next batch
+        seen: dict = {}
+
+        def settle(part, column, numbers, rows, there, closed):
+            """Ranks of a column's values; the last value waits unless `closed`."""
+            start, earlier, later = offsets[part, column]
+            before = seen.get(column, np.zeros(width, np.int64))
+            edges = np.flatnonzero(np.diff(numbers, prepend=-np.inf) != 0)
+            edges = edges if len(edges) and edges[0] == 0 else np.concatenate(([0], edges))
+            if not closed:
+                cut = edges[-1]
+                waiting.append((part, column, numbers[cut:], rows[cut:], there[cut:]))
+                numbers, rows, there, edges = numbers[:cut], rows[:cut], there[:cut], edges[:-1]
+            if not len(numbers):
+                return None
+            sizes = np.add.reduceat(there, edges, 0)
+            smaller = start + before + np.cumsum(sizes, 0) - sizes
+            ties = sizes.copy()
+            if column not in seen:
+                smaller[0] -= earlier
+                ties[0] += earlier
+            seen[column] = before + sizes.sum(0)
+            if closed:
+                ties[-1] += later
+            ranks = smaller + (ties + 1) / 2 - middle[column]
+            found = np.repeat(ranks, np.diff(edges, append=len(numbers)), 0) * there
+            raw = pa.FixedSizeBinaryArray.from_buffers(
+                pa.binary(8 * width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(found, "<f8"))]
+            )
+            return pa.RecordBatch.from_arrays(
+                [pa.array(rows), pa.array(np.full(len(rows), column, np.int32)), raw.cast(pa.binary())], ["row", "column", "ranks"]
+            )
+
+        def taken(column):
+            """What waits of the column, or what waits of another one, which is closed."""
+            if not waiting:
+                return None, None
+            old = waiting.pop()
+            return (old, None) if old[1] == column else (None, settle(*old, True))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column("part")[0].as_py()
+            columns, there = batch.column("column").to_numpy(), presence(batch)
+            numbers, rows = batch.column("value").to_numpy(), batch.column("row").to_numpy()
+            edges = np.flatnonzero(np.diff(columns, prepend=columns[0] - 1, append=columns[-1] + 1))
+            for low, high in zip(edges[:-1], edges[1:]):
+                column = int(columns[low])
+                old, done = taken(column)
+                if done is not None:
+                    yield done
+                own = (numbers[low:high], rows[low:high], there[low:high])
+                if old is not None:
+                    own = tuple(np.concatenate(pair) for pair in zip(old[2:], own))
+                done = settle(part, column, *own, False)
+                if done is not None:
+                    yield done
+        if waiting:
+            done = settle(*waiting.pop(), True)
+            if done is not None:
+                yield done
+
+    return values.mapInArrow(rank, "row bigint, column int, ranks binary"), condition, totals
+
+
+def rank_correlations(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
+    """(a, b, corr) for all ordered pairs of positions in `columns`: Pearson on average ranks of the rows that both
+    columns hold; 0 where one of them does not vary in these rows."""
+    size = len(columns)
+    ranks, condition, totals = centred_ranks(sorted_values(df, columns), size)
+    width = totals.shape[1]
+
+    def products(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        cross, square = np.zeros((size, size)), np.zeros((size, size))
+
+        def add(rows, places, found):
+            number = np.cumsum(np.diff(rows, prepend=rows[0]) != 0)
+            table = np.zeros((int(number[-1]) + 1, size, width))
+            table[number, places] = found
+            if width == 1:
+                cross[:] += table[:, :, 0].T @ table[:, :, 0]
+                return
+            for a in range(size):
+                own = table[:, a, condition]
+                cross[a] += (own * table[:, :, condition[a]]).sum(0)
+                square[a] += (own * own).sum(0)
+
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, places = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            found = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f8").reshape(-1, width)
+            if rest is not None:
+                rows, places, found = (np.concatenate(pair) for pair in zip(rest, (rows, places, found)))
+            cut = int(np.searchsorted(rows, rows[-1]))
+            rest = rows[cut:], places[cut:], found[cut:]
+            if cut:
+                add(rows[:cut], places[:cut], found[:cut])
+        if rest is not None:
+            add(*rest)
+        if width == 1:
+            square = np.repeat(np.diag(cross)[:, None], size, 1)
+        a, b = np.triu_indices(size)
+        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x, k) for x, k in zip((a, b, cross[a, b], square[a, b], square[b, a]), kinds)],
+            ["a", "b", "cross", "left", "right"],
         )
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    sums = [
-        F.sum(F.col("n") * F.col(f"rank_{keys[a]}") * F.col(f"rank_{keys[b]}")).alias(f"p{index}")
-        for index, (a, b) in enumerate(pairs)
-    ]
-    row = ranked.agg(*sums).first()
-    return total, {(columns[a], columns[b]): row[f"p{index}"] for index, (a, b) in enumerate(pairs)}
+
+    schema = "a int, b int, cross double, left double, right double"
+    dealt = ranks.repartition("row").sortWithinPartitions("row")
+    place = F.col("id")
+    nothing = df.sparkSession.range(size * size).select(
+        F.floor(place / size).cast("int").alias("a"), (place % size).cast("int").alias("b"),
+        *[F.lit(0.0).alias(name) for name in ("cross", "left", "right")],
+    )
+    sums = dealt.mapInArrow(products, schema).unionByName(nothing.where("a <= b"))
+    sums = sums.groupBy("a", "b").agg(*[F.sum(name).alias(name) for name in ("cross", "left", "right")])
+    spread = F.col("left") * F.col("right")
+    plain = F.when(spread > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cross") / F.sqrt(spread)))).otherwise(0.0)
+    corr = F.when((F.col("a") == F.col("b")) & (spread > 0), F.lit(1.0)).otherwise(plain)
+    rounded = F.round(corr, digits) + F.lit(0.0)
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    ordered = F.when(F.col("a") == F.col("b"), F.slice(both, 1, 1)).otherwise(both)
+    return sums.select(F.explode(ordered).alias("pair"), rounded.alias("corr")).select("pair.a", "pair.b", "corr")

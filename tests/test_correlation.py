@@ -5,9 +5,8 @@ import pandas as pd
 import pytest
 
 from featurespark.errors import DataAccessError
-from featurespark.operators import ranks
+from featurespark.operators import gram, ranks
 from featurespark.operators.correlation import correlate, correlation_table, high_correlations
-from featurespark.operators.ranks import average_ranks
 
 
 def frames(spark, with_gaps=True):
@@ -33,35 +32,97 @@ def test_matrix_equals_pandas(spark, method):
     assert ("a", "b") in high and ("a", "gaps") in high and ("a", "n") not in high
 
 
-def test_rank_join_without_hot_values(spark, monkeypatch):
-    """The same ranks come out whether values are looked up in the broadcast table or joined."""
-    data, df = frames(spark, with_gaps=False)
-    expected = data.drop(columns="same").corr(method="spearman").round(6).values
-    for share in (1, 3, 10**9):
-        monkeypatch.setattr(ranks, "HOT_SHARE", share)
-        found = correlate(df.drop("same"), "spearman")
-        np.testing.assert_allclose(np.array(found.matrix), expected, atol=1.1e-6)
+def wide(spark, parts=7):
+    """Columns of few values, of one hot value, with gaps of their own, shared gaps, and one empty row."""
+    rng = np.random.default_rng(3)
+    n = 900
+    data = pd.DataFrame({"few": rng.integers(0, 4, n), "all": rng.normal(size=n), "day": np.arange(n)}).astype(float)
+    data["hot"] = np.where(rng.uniform(size=n) < 0.6, 2.5, rng.normal(size=n))
+    for name in ("g1", "g2", "g3"):
+        data[name] = np.where(rng.uniform(size=n) < 0.3, np.nan, data["few"] + rng.integers(0, 6, n))
+    data["as_g1"] = np.where(data["g1"].isna(), np.nan, -data["day"] % 7)
+    data["rare"] = np.where(rng.uniform(size=n) < 0.98, np.nan, data["all"])
+    data["zero"] = np.where(data["rare"].isna(), 1.0, -0.0)
+    data.loc[5] = np.nan
+    rows = [tuple(None if x != x and i % 2 else x for x in row) for i, row in enumerate(data.itertuples(index=False))]
+    return data, spark.createDataFrame(rows, ", ".join(f"{c} double" for c in data)).repartition(parts)
+
+
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+@pytest.mark.parametrize(("batch", "partitions", "tile"), [(10_000, 2, 16), (7, 9, 4), (64, 40, 1)])
+def test_gaps_batches_and_partitions(spark, monkeypatch, method, batch, partitions, tile):
+    """Sums go on over batches; equal values that lie in several partitions have one rank; tiles make one matrix."""
+    data, df = wide(spark)
+    monkeypatch.setattr(gram, "TILE", tile)
+    monkeypatch.setattr(gram, "SALTS", 2)
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch), "spark.sql.shuffle.partitions": str(partitions)}
+    before = {key: spark.conf.get(key) for key in settings}
+    settings["spark.sql.adaptive.coalescePartitions.enabled"] = "false"
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        found = correlate(df, method)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    np.testing.assert_allclose(np.array(found.matrix), data.corr(method=method).fillna(0.0).values, atol=1.1e-6)
 
 
 def test_average_ranks(spark):
-    rng = np.random.default_rng(2)
-    data = pd.DataFrame({0: rng.integers(0, 300, 4000), 1: rng.integers(0, 4000, 4000), 2: np.full(4000, 7)}).astype(float)
-    long = data.melt(var_name="column", value_name="value").groupby(["column", "value"]).size().reset_index(name="n")
-    counts = spark.createDataFrame(long).repartition(6)
-    found = {(row["column"], row["value"]): row["rank"] for row in average_ranks(counts).collect()}
-    expected = data.rank()
-    assert len(found) == len(long)
-    for column in data:
-        assert all(found[column, value] == rank for value, rank in zip(data[column], expected[column]))
-
-
-def test_average_ranks_in_small_batches(spark):
-    """Running totals go on over the batches of a partition and start anew with each column."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    """Less its mean, each value's rank is what pandas gives, and more so where a condition leaves rows out."""
+    data, df = wide(spark)
+    names = list(data)
+    values = ranks.sorted_values(df, names)
+    found, condition, _ = ranks.centred_ranks(values, len(names))
+    assert condition[names.index("g1")] == condition[names.index("as_g1")] != condition[names.index("g2")]
+    assert condition[names.index("few")] == condition[names.index("hot")] == 0
+    held = {(r["row"], r["column"]): np.frombuffer(r["ranks"], "<f8") for r in found.collect()}
+    assert len(held) == int(data.notna().sum().sum())
+    numbers = values.join(found, ["row", "column"]).select("column", "value", "ranks").collect()
+    for column, other in (("few", None), ("hot", "g1"), ("g2", "g3"), ("rare", "g2")):
+        kept = data[column][data[other].notna()] if other else data[column]
+        ranked = kept.rank() - (kept.notna().sum() + 1) / 2
+        expected = {v: r for v, r in zip(kept, ranked) if v == v}
+        k = condition[names.index(other)] if other else 0
+        got = {r["value"]: x for r in numbers if names[r["column"]] == column and (x := np.frombuffer(r["ranks"], "<f8")[k])}
+        assert got == {v: r for v, r in expected.items() if r}
+
+
+def jobs(spark, work):
+    """How many jobs run in `work`."""
+    tracker, group = spark.sparkContext.statusTracker(), f"count {id(work)}"
+    spark.sparkContext.setJobGroup(group, "")
     try:
-        test_average_ranks(spark)
+        work()
     finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(tracker.getJobIdsForGroup(group))
+
+
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+def test_jobs_do_not_grow_with_columns(spark, method):
+    def gapped(columns):
+        cells = [f"if(id % {k + 3} = 0, null, cast((id * {2 * k + 1}) % 97 as double)) as c{k}" for k in range(columns)]
+        df = spark.range(0, 300, 1, 3).selectExpr(*cells)
+        return jobs(spark, lambda: correlation_table(df, method).collect())
+
+    assert gapped(4) == gapped(30) <= 12
+
+
+def test_more_columns_than_one_mark_holds(spark):
+    rng = np.random.default_rng(8)
+    data = pd.DataFrame({f"c{k}": np.where(rng.uniform(size=60) < 0.1, np.nan, rng.integers(0, 9, 60)) for k in range(70)})
+    found = correlate(spark.createDataFrame(data), "spearman")
+    np.testing.assert_allclose(np.array(found.matrix), data.corr(method="spearman").fillna(0.0).values, atol=1.1e-6)
+
+
+def test_far_from_zero_and_a_misleading_beginning(spark):
+    """No sum is taken around a distant centre, wherever a task's rows lie."""
+    rows = [(1e15, -1e15)] * 3 + [(1e9 + i * 1e-3, 1e9 - i * 1e-3) for i in range(500)]
+    near = spark.createDataFrame(rows[3:], "a double, b double").coalesce(2)
+    assert correlate(near).matrix[0][1] == -1.0
+    assert correlate(spark.createDataFrame(rows, "a double, b double").coalesce(1)).matrix[0][1] == -1.0
 
 
 def test_people(people):
