@@ -132,7 +132,7 @@ def aligned_documents(documents: DataFrame, byte_level: str, pieces: str) -> Dat
     """DOCUMENT_SCHEMA: counts and digest of the groups of each document, its distinct linked pairs and their times."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = once_per_worker(Aligner, byte_level, pieces)
+        aligner = once_per_worker("alignment", Aligner, byte_level, pieces)
         names = [x.split()[0] for x in DOCUMENT_SCHEMA.split(", ")]
         for batch, texts in column_slices(batches, 2):
             rows = []

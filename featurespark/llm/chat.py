@@ -103,7 +103,7 @@ def format_conversations(turns: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = once_per_worker(load_tokenizer, tokenizer)
+        encoder = once_per_worker("chat", load_tokenizer, tokenizer)
         now, held, size, piece = None, [], 0, 0
 
         def done() -> pa.RecordBatch:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -18,6 +19,9 @@ BATCH_CHARS = 1_000_000
 #: A key is hot when it holds more than one row in so many; hence there are at most so many hot keys.
 HOT_PART = 1_000
 
+#: Objects that one operator keeps in a Python worker.
+MOST_KEPT = 6
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -35,9 +39,19 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """The table written with the number of each row in reading order, `_row`, the same for all who read it."""
-    return work_table(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table written with the number of each row in reading order, and the name of that column.
+
+    Whoever reads it sees the same numbers: numbers given in two scans differ when files are split otherwise in the
+    second, or when a plan deals its rows out anew. The name is a new one, so that no column of the table is hidden.
+    """
+    name = f"row_{uuid.uuid4().hex}"
+    return work_table(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def without_rows(held: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """The numbered table without the rows named by the one column of `dropped`, and without their numbers."""
+    return held.join(dropped.toDF(row), row, "left_anti").drop(row)
 
 
 def slices(texts: Sequence[str | None], most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
@@ -99,14 +113,22 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def once_per_worker(make: Callable, *key: object, using: tuple = ()) -> object:
-    """make(*key, *using), kept under its key for later tasks of the same Python worker; the last few are kept."""
+def once_per_worker(owner: str, make: Callable, *key: object, using: tuple = ()) -> object:
+    """make(*key, *using), kept under its key for later tasks of the same Python worker.
+
+    Workers outlive operators, so what another `owner` left is released first; of one owner the last few are kept.
+    """
     name = (make.__module__, make.__qualname__, *key)
+    if _KEPT.get("owner") != owner:
+        _KEPT.clear()
+        _KEPT["owner"] = owner
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     if name not in _KEPT:
-        while len(_KEPT) >= 6:
-            del _KEPT[next(iter(_KEPT))]
+        while len(_KEPT) > MOST_KEPT:
+            del _KEPT[next(k for k in _KEPT if k != "owner")]
         _KEPT[name] = make(*key, *using)
     return _KEPT[name]
 
 
-_KEPT: dict[tuple, object] = {}
+_KEPT: dict[object, object] = {}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import join_groups, numbered, work_table
+from featurespark.llm.common import join_groups, numbered, without_rows, work_table
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -158,10 +158,8 @@ def exact_groups(
 def drop_exact_copies(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows that stay, with all their columns.
 
-    The rows to drop are looked up by a number that is written down with the documents, once: numbers given in two
-    scans differ when files are split otherwise in the second, as when an executor joins or is lost.
+    Rows are numbered once, in a table that is written down, and dropped by their number.
     """
-    held = numbered(documents)
-    groups = exact_groups(held, id_column, text_column, F.col("_row"))
-    dropped = groups.filter("not kept").select(F.col("row").alias("_row"))
-    return held.join(dropped, "_row", "left_anti").drop("_row")
+    held, row = numbered(documents)
+    groups = exact_groups(held, id_column, text_column, F.col(row))
+    return without_rows(held, row, groups.filter("not kept").select("row"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import column_slices, once_per_worker
+from featurespark.llm.common import column_slices, numbered, once_per_worker, without_rows
 from featurespark.llm.gru import LONGEST, Network, pad
 
 #: Bounds of what the network learns from: documents of each language, and words of each document.
@@ -131,7 +131,7 @@ def predict(documents: DataFrame, languages: list[str], weights: dict[str, np.nd
     packed, name = documents.sparkSession.sparkContext.broadcast(weights), uuid.uuid4().hex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = once_per_worker(_labeller, name, using=(packed,))
+        labeller = once_per_worker("language", _labeller, name, using=(packed,))
         for batch, texts in column_slices(batches):
             mean, lettered = labeller(texts)
             known = lettered & (len(languages) > 0)
@@ -148,9 +148,14 @@ def predict(documents: DataFrame, languages: list[str], weights: dict[str, np.nd
 
 
 def keep_known(documents: DataFrame, trusted: Column) -> DataFrame:
-    """The documents whose language is told with LEAST_SCORE at least, learned from the `trusted` rows."""
-    named = documents.withColumn("_row", F.monotonically_increasing_id())
+    """The documents whose language is told with LEAST_SCORE at least, learned from the `trusted` rows.
+
+    All columns are kept, whatever their names. Null and empty texts and texts without a letter have no language and
+    go; repeated rows are judged each by itself, rows with a null id as well; an empty table stays empty. When nothing
+    can be learned no language is known, and all rows go.
+    """
+    held, row = numbered(documents)
     languages, weights = fit(documents.filter(trusted))
-    rows = named.select(F.col("_row").alias("doc_id"), "text")
-    found = predict(rows, languages, weights).filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_SCORE))
-    return named.join(found.select(F.col("doc_id").alias("_row")), "_row", "left_anti").drop("_row")
+    found = predict(held.select(F.col(row).alias("doc_id"), "text"), languages, weights)
+    unknown = found.filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_SCORE))
+    return without_rows(held, row, unknown.select("doc_id"))

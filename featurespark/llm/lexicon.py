@@ -155,14 +155,14 @@ class LexiconWords:
 
 def _lexicon_encoder(tokenizer: str, name: str, packed: Broadcast) -> TextEncoder:
     lexicon = Transducer.map(packed.value)
-    return TextEncoder(tokenizer, LexiconWords(lexicon, once_per_worker(Merger, tokenizer)), MEMO_WORDS)
+    return TextEncoder(tokenizer, LexiconWords(lexicon, once_per_worker("lexicon", Merger, tokenizer)), MEMO_WORDS)
 
 
 def count_words(documents: DataFrame, tokenizer: str, text_column: str = "text") -> DataFrame:
     """How often each word of the tokenizer occurs in all texts; tasks send their own totals."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = once_per_worker(TextEncoder, tokenizer).splitter
+        splitter = once_per_worker("lexicon", TextEncoder, tokenizer).splitter
         for _, texts in column_slices(batches, 0):
             words = splitter.split(texts)
             count = np.bincount(words.number[words.number >= 0], minlength=len(words.begin))
@@ -213,7 +213,7 @@ def encode(
     packed, name = documents.sparkSession.sparkContext.broadcast(lexicon.pack()), uuid.uuid4().hex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = once_per_worker(_lexicon_encoder, tokenizer, name, using=(packed,))
+        encoder = once_per_worker("lexicon", _lexicon_encoder, tokenizer, name, using=(packed,))
         for batch, texts in column_slices(batches):
             flat, count = encoder.encode(texts)
             ids = _cut(flat.astype("<u4").tobytes(), 4 * count)
@@ -244,12 +244,12 @@ def _table(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _token_bytes(tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    known = once_per_worker(Merger, tokenizer).bytes_of
+    known = once_per_worker("lexicon", Merger, tokenizer).bytes_of
     return _table([known.get(i, b"") for i in range(max(known) + 1)])
 
 
 def _token_digits(tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return _table([b"%d," % i for i in range(max(once_per_worker(Merger, tokenizer).bytes_of) + 1)])
+    return _table([b"%d," % i for i in range(max(once_per_worker("lexicon", Merger, tokenizer).bytes_of) + 1)])
 
 
 def _replaced(flat: np.ndarray, count: np.ndarray, table: tuple[np.ndarray, ...]) -> list[bytes]:
@@ -263,11 +263,11 @@ def _replaced(flat: np.ndarray, count: np.ndarray, table: tuple[np.ndarray, ...]
 
 def decode_ids(flat: np.ndarray, count: np.ndarray, tokenizer: str) -> pa.Array:
     """Decoded texts; bytes that are not UTF-8 become replacement signs."""
-    raw = _replaced(flat, count, once_per_worker(_token_bytes, tokenizer))
+    raw = _replaced(flat, count, once_per_worker("lexicon", _token_bytes, tokenizer))
     return pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())
 
 
 def list_ids(flat: np.ndarray, count: np.ndarray, tokenizer: str) -> pa.Array:
     """The ids of each text as decimal numbers with commas between."""
-    raw = _replaced(flat, count, once_per_worker(_token_digits, tokenizer))
+    raw = _replaced(flat, count, once_per_worker("lexicon", _token_digits, tokenizer))
     return pa.array([r[:-1].decode("ascii") for r in raw], pa.string())

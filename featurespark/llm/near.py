@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import join_groups, numbered, slices, work_table
+from featurespark.llm.common import join_groups, numbered, once_per_worker, slices, without_rows, work_table
 from featurespark.llm.components import components
 
 #: Two collections of so many keys of so many minhashes each; a table is a pair of keys, one of each collection.
@@ -30,10 +30,7 @@ CHUNK = 4_096
 BLOCK = 1_024
 
 #: Words whose hashes a worker remembers.
-MEMO_WORDS = 500_000
-
-_WORDS: dict[bytes, int] = {}
-
+MEMO_WORDS = 250_000
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers in which every bit depends on all others."""
@@ -43,15 +40,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
+    known = once_per_worker("near", dict)
     try:
-        return np.array([_WORDS[w] for w in words], np.uint64)
+        return np.array([known[w] for w in words], np.uint64)
     except KeyError:
-        if len(_WORDS) > MEMO_WORDS:
-            _WORDS.clear()
+        if len(known) > MEMO_WORDS:
+            known.clear()
         for w in words:
-            if w not in _WORDS:
-                _WORDS[w] = int.from_bytes(blake2b(w, digest_size=8).digest(), "little")
-        return np.array([_WORDS[w] for w in words], np.uint64)
+            if w not in known:
+                known[w] = int.from_bytes(blake2b(w, digest_size=8).digest(), "little")
+        return np.array([known[w] for w in words], np.uint64)
 
 
 def shingles(text: str | None, width: int = 2) -> np.ndarray:
@@ -136,22 +134,36 @@ def _tables(nodes: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
+    """The pairs (u, v) whose full sets are similar enough.
+
+    The pairs of a u are dealt out to blocks of about BLOCK, and its set is sent once to each of them, ahead of the
+    sets of the v; a task holds one u at a time.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = np.zeros(0, np.uint64)
         for batch in batches:
-            linked = []
-            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                one, two = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                both = np.sort(np.concatenate((one, two)))
+            found = []
+            for u, v, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                members = np.frombuffer(raw, np.uint64)
+                if v is None:
+                    lead = members
+                    continue
+                both = np.sort(np.concatenate((lead, members)))
                 shared = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(linked, pa.bool_()))
+                if 100 * shared >= percent * (len(both) - shared):
+                    found.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)] or [pa.array([], pa.int64())] * 2, ["u", "v"])
 
-    left = sets.select(F.col("node").alias("u"), F.col("members").alias("left"))
-    right = sets.select(F.col("node").alias("v"), F.col("members").alias("right"))
-    held = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "left", "right")
-    return held.mapInArrow(task, "u long, v long")
+    pairs = work_table(pairs.select("u", "v"), "pairs")
+    blocks = pairs.groupBy("u").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    leads = sets.withColumnRenamed("node", "u").join(blocks, "u").select("u", F.lit(None).cast("long").alias("v"), "members", every)
+    dealt = join_groups(pairs, blocks, "u", "n", pairs.count())
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    others = dealt.select("u", "v", "block").join(sets.withColumnRenamed("node", "v"), "v").select("u", "v", "members", "block")
+    rows = leads.unionByName(others).repartition("u", "block").sortWithinPartitions("u", "block", F.col("v").asc_nulls_first())
+    return rows.select("u", "v", "members").mapInArrow(task, "u long, v long")
 
 
 def _across(open_: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,10 +240,13 @@ def near_groups(
     sets, and joined to components; then nodes of different components that share a table are compared as well, so
     that every pair that shares a table is either confirmed, refuted, or already in one component. Sizes that rule a
     link out end a pair early. No words: no set, a component of its own. Rows with a null id take part in links but
-    give no component its name; a component of such rows alone has a null name. The documents are read twice and must
-    come in the same order unless `row` numbers them.
+    give no component its name; a component of such rows alone has a null name. The texts are read twice; unless `row`
+    numbers them for good, they are first written down with their numbers. Other columns are not read; an empty table
+    gives no rows.
     """
-    row = F.monotonically_increasing_id() if row is None else row
+    if row is None:
+        documents, name = numbered(documents.select(id_column, text_column))
+        row = F.col(name)
     rows = documents.select(
         F.col(id_column).cast("long").alias("doc_id"), row.alias("row"),
         F.col(text_column).alias("text"),
@@ -284,7 +299,10 @@ def near_groups(
 
 
 def drop_near_copies(documents: DataFrame, percent: int = 80, width: int = 2) -> DataFrame:
-    """The first document of each component, with all its columns; numbered once, see drop_exact_copies."""
-    held = numbered(documents)
-    dropped = near_groups(held, percent, width, row=F.col("_row")).filter("not kept").select(F.col("row").alias("_row"))
-    return held.join(dropped, "_row", "left_anti").drop("_row")
+    """The first document of each component, with all its columns, whatever their names.
+
+    Null texts and texts without a word stay; of repeated rows the first stays; rows with a null id take part; an
+    empty table stays empty.
+    """
+    held, row = numbered(documents)
+    return without_rows(held, row, near_groups(held, percent, width, row=F.col(row)).filter("not kept").select("row"))

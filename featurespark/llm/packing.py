@@ -120,7 +120,7 @@ def pack(
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = once_per_worker(TextEncoder, tokenizer)
+        encoder = once_per_worker("packing", TextEncoder, tokenizer)
         packer = Packer(window, TaskContext.get().partitionId() << TASK_BITS)
 
         def rows() -> Iterator[list[tuple]]:

@@ -248,7 +248,7 @@ def judge(documents: DataFrame, model: dict) -> DataFrame:
     packed, name = documents.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = once_per_worker(_model, name, using=(packed,))
+        held = once_per_worker("quality", _model, name, using=(packed,))
         for batch, texts in column_slices(batches):
             base, features = statistics(texts)
             failed = (base[:, 0] < LEAST_WORDS) | (100 * base[:, 4] > MOST_REPEATED * base[:, 0])

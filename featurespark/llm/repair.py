@@ -17,10 +17,7 @@ from featurespark.llm.words import TextEncoder
 SHARD_IDS = 1 << 20
 
 #: A pair becomes a rule when it occurs so often in what is left of the shard.
-LEAST_COUNT = 8
-
-#: Replacement ends when one round shortens the shard by less than this part.
-LEAST_GAIN = 0.03
+LEAST_COUNT = 2
 
 SHARD_SCHEMA = (
     "part int, shard int, first_token long, n_ids long, doc_ids binary, doc_null binary, doc_tokens binary, "
@@ -32,7 +29,7 @@ class Grammar:
     """Rules (left, right) for symbols from `terminals` on, and the length of what each symbol stands for."""
 
     def __init__(self, rules: np.ndarray, terminals: int, lengths: np.ndarray | None = None) -> None:
-        self.rules, self.terminals = rules, terminals
+        self.rules, self.terminals, self.opened = rules, terminals, 0
         self.lengths = np.ones(terminals + len(rules), np.int64) if lengths is None else lengths
         if lengths is None:
             for begin, end in self._layers():
@@ -63,63 +60,116 @@ class Grammar:
         return take_runs(flat, first[body], self.lengths[body])
 
     def part(self, body: np.ndarray, begin: int, end: int) -> np.ndarray:
-        """Ids begin..end of what `body` stands for; only the symbols that cover them are expanded."""
-        stop = np.cumsum(self.lengths[body])
-        low, high = np.searchsorted(stop, begin, "right"), np.searchsorted(stop, end, "left") + 1
-        before = int(stop[low - 1]) if low else 0
-        return self.expand(body[low:high])[begin - before : end - before]
-
-
-def compress(
-    ids: np.ndarray, last: np.ndarray, terminals: int, least: int = LEAST_COUNT, gain: float = LEAST_GAIN
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Replace frequent pairs by new symbols, round after round.
+        """Ids begin..end of what `body` stands for.
+
+        From the top down: rules whose ids all lie outside are dropped by their lengths, others replaced by their two
+        sides, so that about the depth of the grammar times the ids asked for is looked at; `self.opened` counts it.
+        """
+        symbols = body.astype(np.int64)
+        first = starts(self.lengths[symbols])
+        while True:
+            near = (first < end) & (first + self.lengths[symbols] > begin)
+            symbols, first = symbols[near], first[near]
+            rule = symbols >= self.terminals
+            if not rule.any():
+                return symbols.astype(np.uint32)
+            self.opened += int(rule.sum())
+            place = np.cumsum(rule + 1) - 1
+            spread, spread_first = np.empty(int(place[-1]) + 1, np.int64), np.empty(int(place[-1]) + 1, np.int64)
+            left, right = self.rules[symbols[rule] - self.terminals].astype(np.int64).T
+            spread[place[~rule]], spread_first[place[~rule]] = symbols[~rule], first[~rule]
+            spread[place[rule] - 1], spread_first[place[rule] - 1] = left, first[rule]
+            spread[place[rule]], spread_first[place[rule]] = right, first[rule] + self.lengths[left]
+            symbols, first = spread, spread_first
+
+
+def compress(ids: np.ndarray, last: np.ndarray, terminals: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Replace repeated pairs by new symbols, round after round, until no pair occurs `least` times.
 
     `last` marks the last id of each document; no pair crosses it. In a round all pairs that occur `least` times are
-    ranked by their count; a place is replaced when its pair ranks before those of both neighbours. A rule is kept
-    when it is used twice at least. Returns the rules, the remaining symbols and their marks.
+    ranked by their count, and a place is replaced when its pair ranks before those of both neighbours. In a run of
+    one symbol every second place is replaced at once. A rule is kept when it is used twice at least. A pair seen once
+    is never looked at again: only places next to a replaced one can hold a new pair. Returns the rules, the remaining
+    symbols and their marks.
     """
-    body, rules, made = ids.astype(np.uint32), [], 0
+    body, last, rules, made = ids.astype(np.uint32), last.copy(), [], 0
+    live = np.ones(len(body), bool)  # places whose pair may occur again
     while len(body) > 1:
-        key = (body[:-1].astype(np.uint64) << np.uint64(32)) | body[1:]
-        inner = np.flatnonzero(~last[:-1])
-        ordered = np.sort(key[inner])
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        often = np.diff(edge, append=len(ordered))
+        live[-1] = False
+        live &= ~last
+        spots = np.flatnonzero(live)
+        key = (body[spots].astype(np.uint64) << np.uint64(32)) | body[spots + 1]
+        spots, edges = _by_pair(key, spots, terminals + made, len(body))
+        often = np.diff(edges, append=len(spots))
         frequent = often >= least
-        pairs, often = ordered[edge[frequent]], often[frequent]
-        if not len(pairs):
+        if not frequent.any():
             break
-        rank = np.empty(len(pairs), np.int32)
-        rank[np.argsort(-often, kind="stable")] = np.arange(len(pairs))
+        by_count = np.argsort(-often[frequent], kind="stable")
+        rank = np.empty(len(by_count), np.int32)
+        rank[by_count] = np.arange(len(by_count), dtype=np.int32)
+        repeated = np.repeat(frequent, often)
+        live[spots[~repeated]] = False
+        spots = spots[repeated]
+        first = spots[starts(often[frequent])]
+        pairs = (body[first].astype(np.uint64) << np.uint64(32)) | body[first + 1]
         none = np.int32(len(pairs))
-        at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-        place = np.where((pairs[at] == key) & ~last[:-1], rank[at], none)
-        before = np.concatenate(([none], place[:-1]))
-        after = np.concatenate((place[1:], [none]))
-        chosen = (place < none) & (place < before) & (place <= after)
+        place = np.full(len(body), none, np.int32)
+        place[spots] = np.repeat(rank, often[frequent])
+        chosen = _chosen(place, none)
         used = np.bincount(place[chosen], minlength=len(pairs))
         kept = used >= 2
         if not kept.any():
             break
-        chosen[chosen] = kept[place[chosen]]
+        chosen = chosen[kept[place[chosen]]]
         name = np.cumsum(kept) - 1 + terminals + made
-        by_rank = pairs[np.argsort(rank)][kept]
+        by_rank = pairs[by_count][kept]
         rules.append(np.stack((by_rank >> np.uint64(32), by_rank & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
         made += int(kept.sum())
-        spot = np.flatnonzero(chosen)
-        body[spot] = name[place[spot]]
+        body[chosen] = name[place[chosen]]
+        last[chosen] |= last[chosen + 1]
+        live[chosen] = True
+        live[np.maximum(chosen - 1, 0)] = True
         stays = np.ones(len(body), bool)
-        stays[spot + 1] = False
-        last[spot] |= last[spot + 1]
-        size = len(body)
-        body, last = body[stays], last[stays]
-        if size - len(body) < gain * size:
-            break
+        stays[chosen + 1] = False
+        # A place before a replaced pair now stands before its new symbol.
+        moved = chosen[chosen >= 2] - 1
+        live[moved[~stays[moved]] - 1] = True
+        body, last, live = body[stays], last[stays], live[stays]
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return table, body, last
 
 
+def _by_pair(key: np.ndarray, spots: np.ndarray, symbols: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places in the order of their pairs, and where in it each pair begins.
+
+    Pair and place are sorted as one number where 64 bits hold both.
+    """
+    bits, place_bits = int(symbols).bit_length(), int(size).bit_length()
+    if 2 * bits + place_bits <= 64:
+        pair = ((key >> np.uint64(32)) << np.uint64(bits)) | (key & np.uint64(0xFFFFFFFF))
+        ordered = np.sort((pair << np.uint64(place_bits)) | spots.astype(np.uint64))
+        spots = (ordered & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+        ordered >>= np.uint64(place_bits)
+    else:
+        order = np.argsort(key, kind="stable")
+        spots, ordered = spots[order], key[order]
+    return spots, np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
+
+
+def _chosen(place: np.ndarray, none: np.int32) -> np.ndarray:
+    """The places that rank before their neighbours, every second one of a run of equal places."""
+    spots = np.flatnonzero(place < none)
+    own = place[spots]
+    after = np.append(place, none)[spots + 1]
+    before = np.where(spots > 0, place[spots - 1], none)
+    begins = before != own
+    run = np.cumsum(begins) - 1
+    # A run that follows a better place begins one later.
+    start = spots[begins] + (before[begins] < own[begins])
+    offset = spots - start[run]
+    return spots[(offset >= 0) & (offset % 2 == 0) & ((after == own) | (after > own))]
+
+
 def write_tokens(
     documents: DataFrame,
     tokenizer: str,
@@ -139,7 +189,7 @@ def write_tokens(
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = once_per_worker(TextEncoder, tokenizer)
+        encoder = once_per_worker("repair", TextEncoder, tokenizer)
         terminals = encoder.tokenizer.get_vocab_size()
         part, shard, first = TaskContext.get().partitionId(), 0, 0
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import column_slices, once_per_worker
+from featurespark.llm.common import column_slices, numbered, once_per_worker, without_rows
 
 #: Labelled documents that voters, label model and classifier are fitted on, the first by a hash of their id.
 TRAIN_DOCUMENTS = 6_000
@@ -245,7 +245,7 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
     packed, name = documents.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = once_per_worker(Scorer, name, using=(packed,))
+        scorer = once_per_worker("toxicity", Scorer, name, using=(packed,))
         for batch, texts in column_slices(batches):
             found = scorer(texts)
             yield pa.RecordBatch.from_arrays(
@@ -256,8 +256,11 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, trusted: Column) -> DataFrame:
-    """The documents that the classifier, fitted on the `trusted` labels, does not call toxic."""
-    named = documents.withColumn("_row", F.monotonically_increasing_id())
-    rows = named.select(F.col("_row").alias("doc_id"), "text")
-    found = score(rows, fit(documents, labels, trusted)).filter("predicted = 1")
-    return named.join(found.select(F.col("doc_id").alias("_row")), "_row", "left_anti").drop("_row")
+    """The documents that the classifier, fitted on the `trusted` labels, does not call toxic.
+
+    All columns are kept, whatever their names. Null and empty texts stay unless all trusted labels are toxic; repeated
+    rows are judged each by itself, rows with a null id as well; an empty table stays empty.
+    """
+    held, row = numbered(documents)
+    found = score(held.select(F.col(row).alias("doc_id"), "text"), fit(documents, labels, trusted))
+    return without_rows(held, row, found.filter("predicted = 1").select("doc_id"))

@@ -11,12 +11,16 @@ import numpy as np
 import pandas as pd
 
 from featurespark.llm.common import starts, take_runs
+from featurespark.llm.merges import byte_signs
 
 LETTER, NUMBER, OTHER, BLANK, END, UNKNOWN = 0, 1, 2, 3, 4, 255
 
 #: Codes beyond Unicode: the end of a text, an added token, the rest of an added token.
 TEXT_END, ADDED, SKIPPED = 0x110000, 0x110001, 0x110002
 
+#: The sign that stands for each byte, by the byte as a character.
+_SIGNS = dict(enumerate(byte_signs()))
+
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -219,29 +223,15 @@ class TextEncoder:
         if len(added) > 1:
             raise ValueError("tokenizers with several added tokens are not handled")
         self.added_id, self.added = next(((k, v.content) for k, v in added.items()), (0, None))
-        (self._line_id,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.splitter = Splitter(self.tokenizer, self.added)
         self.words = WordIds(encode_words or self._library, most)
 
     def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words that end in a letter, digit or plain sign are encoded together, a line each; others one by one."""
-        lined = np.array([w[-1].isalnum() or "!" <= w[-1] <= "~" for w in words], bool)
-        alone = np.flatnonzero(~lined).tolist()
-        text = "\n".join(w for w, yes in zip(words, lined.tolist(), strict=True) if yes) + "\n"
-        ids, *others = (
-            np.array(e.ids, np.uint32)
-            for e in self.tokenizer.encode_batch_fast([text, *(words[i] for i in alone)], add_special_tokens=False)
-        )
-        length = np.zeros(len(words), np.int64)
-        ends = np.flatnonzero(ids == self._line_id)
-        if lined.any():
-            length[lined] = np.diff(ends, prepend=-1) - 1
-        flat = np.delete(ids, ends)
-        if alone:
-            length[alone] = [len(x) for x in others]
-            at = starts(np.where(lined, length, 0))[alone]
-            flat = np.insert(flat, np.repeat(at, length[alone]), np.concatenate(others))
-        return flat, length
+        """Words are cut already, so the library's model gets them in its byte signs."""
+        cut = self.tokenizer.model.tokenize
+        ids = [[token.id for token in cut(w.encode().decode("latin-1").translate(_SIGNS))] for w in words]
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum())), length
 
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many belong to each text; `end_id` is added to each text."""

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from featurespark.llm import chat, exact, language, licences, near, toxicity
+from featurespark.llm import chat, common, exact, language, licences, near, toxicity
 from featurespark.llm.components import components
 from featurespark.llm.gru import Network, pad
 from featurespark.llm.near import shingles
@@ -43,20 +43,69 @@ def test_exact_groups(spark, documents, monkeypatch, round_bytes):
     assert kept.count() == len({normal(t) for t in TEXTS})
 
 
-@pytest.mark.parametrize("drop", [exact.drop_exact_copies, near.drop_near_copies])
-def test_copies_are_dropped_though_files_are_split_otherwise_later(spark, tmp_path, drop):
-    rows = spark.range(0, 90, 1, 9).selectExpr("id AS doc_id", "concat_ws(' ', 'own', id % 60, id % 60 + 1) AS text")
+def dropping(spark):
+    """The four dropping stages with a table of 100 rows on which each keeps the ids below 60."""
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(100)], "doc_id long, toxic int")
+    words = "concat_ws(' ', 'own', id % 60, id % 60 + 1, 'word', id % 60, 'end')"
+    return {
+        "exact": (words, exact.drop_exact_copies),
+        "near": (words, near.drop_near_copies),
+        "language": ("if(id < 60, 'aka bako cado', '12 34')", lambda d: language.keep_known(d, F.lit(True))),
+        "toxicity": ("if(id < 60, 'a kind word', 'you idiot scum')", lambda d: toxicity.drop_toxic(d, labels, F.lit(True))),
+    }
+
+
+SPLITS = "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"
+
+
+@pytest.mark.parametrize("stage", ["exact", "near", "language", "toxicity"])
+def test_stages_drop_the_right_rows_though_files_are_split_otherwise_later(spark, tmp_path, monkeypatch, stage):
+    """Also on an input that is dealt out anew, with clashing column names, and whatever the plan reads of it."""
+    monkeypatch.setattr(language, "EPOCHS", 40)
+    text, drop = dropping(spark)[stage]
+    rows = spark.range(0, 100, 1, 10).selectExpr("id AS doc_id", f"{text} AS text", "'aa' AS lang", "id AS _row", "id AS row", "'k' AS key")
+    rows.write.parquet(str(tmp_path / "documents"))
+    for dealt in (False, True):
+        try:
+            spark.conf.set(SPLITS[0], "128m")
+            docs = spark.read.parquet(str(tmp_path / "documents"))
+            docs = docs.repartition(4) if dealt else docs
+            kept = drop(docs)
+            spark.conf.set(SPLITS[0], "1")
+            spark.conf.set(SPLITS[1], "1")
+            assert kept.columns == docs.columns
+            assert sorted((r.doc_id, r["_row"]) for r in kept.collect()) == [(i, i) for i in range(60)]
+        finally:
+            for name in SPLITS:
+                spark.conf.unset(name)
+
+
+def test_links_are_found_though_files_are_split_otherwise_later(spark, tmp_path, monkeypatch):
+    """The split settings change after the first table that the operator writes."""
+    rows = spark.range(0, 90, 1, 9).selectExpr(
+        "id AS doc_id", "concat_ws(' ', transform(sequence(0, 40), i -> concat('w', id % 45, 'x', i)), if(id < 45, 'a', 'b')) AS text"
+    )
     rows.write.parquet(str(tmp_path / "documents"))
-    splits = "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"
-    try:
-        spark.conf.set(splits[0], "128m")
-        kept = drop(spark.read.parquet(str(tmp_path / "documents")))
-        spark.conf.set(splits[0], "1")
-        spark.conf.set(splits[1], "1")
-        assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
-    finally:
-        for name in splits:
-            spark.conf.unset(name)
+    for first, then in (("128m", "1"), ("1", "128m")):
+        written = []
+        plain = near.work_table
+
+        def counted(df, name):
+            out = plain(df, name)
+            written.append(name)
+            spark.conf.set(SPLITS[0], then)
+            spark.conf.set(SPLITS[1], "1")
+            return out
+
+        monkeypatch.setattr(near, "work_table", counted)
+        try:
+            spark.conf.set(SPLITS[0], first)
+            groups = near.near_groups(spark.read.parquet(str(tmp_path / "documents")))
+            assert groups.select("component_id").distinct().count() == 45 and written
+        finally:
+            monkeypatch.setattr(near, "work_table", plain)
+            for name in SPLITS:
+                spark.conf.unset(name)
 
 
 def test_hot_groups_are_joined_whole(spark):
@@ -320,5 +369,19 @@ def test_pipeline_of_nothing(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_held_out_rule():
-    assert zlib.crc32(b"12") % 5 in range(5)
+@pytest.mark.parametrize(("parts", "part"), [(5, 0), (3, 1)])
+def test_held_out_rule(spark, parts, part):
+    rows = spark.range(-3, 200).union(spark.sql("SELECT CAST(NULL AS bigint)")).withColumn("out", common.held_out(F.col("id"), parts, part))
+    for r in rows.collect():
+        assert r.out == (r.id is not None and zlib.crc32(str(r.id).encode()) % parts == part)
+
+
+def test_workers_keep_the_objects_of_one_operator_only():
+    first = common.once_per_worker("one", list, (1, 2))
+    assert common.once_per_worker("one", list, (1, 2)) is first
+    common.once_per_worker("two", dict)
+    assert common.once_per_worker("one", list, (1, 2)) is not first
+    for i in range(20):
+        common.once_per_worker("one", list, (i,))
+    assert len(common._KEPT) <= common.MOST_KEPT + 1
+    common._KEPT.clear()

@@ -80,7 +80,7 @@ def test_grammar_round_trip_and_random_access():
     ids = np.array([random.choice([1, 2, 3]) if random.random() < 0.4 else i % 5 for i in range(5000)] + [7] * 999 + [0], np.uint32)
     last = np.zeros(len(ids), bool)
     last[[10, 11, 2500, len(ids) - 1]] = True
-    rules, body, ends = repair.compress(ids.copy(), last.copy(), 10, least=2, gain=0.0)
+    rules, body, ends = repair.compress(ids, last, 10)
     grammar = repair.Grammar(rules, 10)
     assert len(body) < len(ids) / 2
     assert (grammar.expand(body) == ids).all()
@@ -89,6 +89,48 @@ def test_grammar_round_trip_and_random_access():
         assert (grammar.part(body, begin, end) == ids[begin:end]).all()
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_no_pair_is_left_twice(seed):
+    """What remains has no pair that could still be replaced, runs aside, and every rule is used."""
+    draw = np.random.default_rng(seed)
+    ids = draw.integers(0, 4 + seed, 3_000).astype(np.uint32)
+    ids[500:700] = 2
+    last = draw.random(3_000) < 0.002
+    last[-1] = True
+    rules, body, ends = repair.compress(ids, last, 20)
+    assert (repair.Grammar(rules, 20).expand(body) == ids).all()
+    assert ends.sum() == last.sum()
+    inner = [(int(a), int(b)) for a, b, e in zip(body[:-1], body[1:], ends[:-1]) if not e and a != b]
+    assert not inner or np.unique(inner, axis=0, return_counts=True)[1].max() < 2
+    assert set(range(20, 20 + len(rules))) <= set(rules.ravel().tolist()) | set(body.tolist())
+
+
+@pytest.mark.parametrize("symbols", [50_257, 1 << 31])
+def test_runs_and_blocks_shrink_to_their_rules(symbols):
+    """Also where pair and place do not fit one number."""
+    ids = {"run": np.full(100_000, 5, np.uint32), "blocks": np.tile(np.r_[np.full(50, 7), np.arange(10) + 100], 2_000).astype(np.uint32)}
+    for name, flat in ids.items():
+        last = np.zeros(len(flat), bool)
+        last[-1] = True
+        rules, body, _ = repair.compress(flat, last, symbols)
+        assert len(body) + 2 * len(rules) < 100, name
+    grammar = repair.Grammar(*repair.compress(ids["run"], np.arange(100_000) == 99_999, 10)[:1], 10)
+    assert len(grammar.rules) <= 17
+
+
+def test_random_access_opens_only_what_it_covers():
+    draw = np.random.default_rng(1)
+    ids = np.tile(draw.integers(0, 1_000, 4_000), 50).astype(np.uint32)
+    last = np.zeros(len(ids), bool)
+    last[-1] = True
+    rules, body, _ = repair.compress(ids, last, 1_000)
+    for begin in (0, 777, 123_456, len(ids) - 20):
+        grammar = repair.Grammar(rules, 1_000)
+        assert (grammar.part(body, begin, begin + 20) == ids[begin : begin + 20]).all()
+        assert grammar.opened < 20 + 4 * np.log2(len(ids))
+    assert len(rules) > 3_000
+
+
 def test_token_files_in_order(spark, documents, tmp_path):
     path = str(tmp_path / "tokens")
     repair.write_tokens(documents, TOKENIZER, path, parts=3, shard_ids=500)
