@@ -5,18 +5,20 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import column_slices, once_per_worker, work_table
+from featurespark.llm.common import column_slices, once_per_worker, starts, take_runs, work_table
+from featurespark.llm.lexicon import byte_table, replaced
 from featurespark.llm.merges import byte_signs
-from featurespark.llm.words import TextEncoder
+from featurespark.llm.words import Splitter, TextEncoder, WordIds, Words
 
-#: Windows that a worker remembers, and bytes of ids in the largest window that is remembered.
-MEMO_WINDOWS, MEMO_BYTES = 300_000, 256
+#: Windows that a worker remembers.
+MEMO_WINDOWS = 400_000
 
 #: A pair of ids is common when it holds more than one in so many links; hence there are at most so many common pairs.
 COMMON_PART = 1 << 18
@@ -31,8 +33,8 @@ class Vocabulary:
     """For each id of a tokenizer how many bytes its token has, and whether it begins with a space."""
 
     def __init__(self, tokens: list[bytes]) -> None:
-        self.tokens = tokens
-        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.tokens, self.table = tokens, byte_table(tokens)
+        self.size = self.table[2]
         self.spaced = np.array([t[:1] == b" " for t in tokens], bool)
 
 
@@ -52,30 +54,38 @@ def piece_tokens(pieces: list[str]) -> list[bytes]:
     ]
 
 
-class Window:
-    """The alignment of one window: its groups as text, how many, and the pairs of linked ids, one for each link."""
-
-    __slots__ = ("groups", "n_groups", "pairs")
-
-    def __init__(self, a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> None:
-        groups, pairs = [], []
-        i = j = from_a = from_b = 0
-        end_a, end_b = size_a[0], size_b[0]
-        while True:
-            pairs.append((a[i] << 32) | b[j])
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            if step_a and step_b:
-                groups.append(f"{','.join(map(str, a[from_a : i + 1]))}|{','.join(map(str, b[from_b : j + 1]))}")
-                from_a, from_b = i + 1, j + 1
-                if from_a == len(a):
-                    break
-            if step_a:
-                i += 1
-                end_a += size_a[i]
-            if step_b:
-                j += 1
-                end_b += size_b[j]
-        self.groups, self.n_groups, self.pairs = ";".join(groups), len(groups), pairs
+#: Marks in the first number of a link: its token of A, or of B, ends with it.
+ENDS_A, ENDS_B = np.uint32(1 << 31), np.uint32(1 << 30)
+
+#: What stands between the ids of A and those of B in the codes of a window.
+BETWEEN = np.uint32(0xFFFFFFF0)
+
+
+class Windows(Words):
+    """The windows of some texts as words whose codes are the ids of A, BETWEEN, and the ids of B.
+
+    Windows lie between anchors: ends that both tokenizations share and after which both go on with a token that begins
+    with a space. `a`, `b` are all ids; `cut_a`, `cut_b` say where in them each window ends.
+    """
+
+    def __init__(self, splitter: Splitter, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> None:
+        self.a, self.b = a, b
+        self.begin_a, self.begin_b = (np.concatenate(([0], cut[:-1])) for cut in (cut_a, cut_b))
+        self.size_a, self.size_b = cut_a - self.begin_a, cut_b - self.begin_b
+        at = np.arange(len(cut_a))
+        codes = np.full(len(a) + len(b) + len(at), BETWEEN, np.uint32)
+        codes[np.arange(len(a)) + np.repeat(self.begin_b + at, self.size_a)] = a
+        codes[np.arange(len(b)) + np.repeat(cut_a + at + 1, self.size_b)] = b
+        first = self.begin_a + self.begin_b + at
+        digest, number, self.lead = splitter.distinct(codes, first)
+        size = self.size_a[self.lead] + self.size_b[self.lead] + 1
+        super().__init__("", codes, first[self.lead], size, digest, number, at)
+
+    def strings(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Ids of A and of B of some distinct windows, and how many each has."""
+        lead = self.lead[which]
+        size_a, size_b = self.size_a[lead], self.size_b[lead]
+        return take_runs(self.a, self.begin_a[lead], size_a), size_a, take_runs(self.b, self.begin_b[lead], size_b), size_b
 
 
 class Aligner:
@@ -86,46 +96,87 @@ class Aligner:
 
         self._a = TextEncoder(byte_level, plain=True)
         self._b = SentencePieceProcessor(model_file=pieces)
-        known = self._b.get_piece_size()
         self.a = Vocabulary(byte_level_tokens(self._a.tokenizer.get_vocab(with_added_tokens=True)))
-        self.b = Vocabulary(piece_tokens([self._b.id_to_piece(i) for i in range(known)]))
-        self._known: dict[tuple[bytes, bytes], Window] = {}
-
-    def tokens(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of each whole text by both; none where the bytes that they stand for aren't the text's."""
-        flat, count = self._a.encode([f" {t}" for t in texts])
-        nothing = np.zeros(0, np.uint32)
-        for text, a, b in zip(texts, np.split(flat, np.cumsum(count)[:-1]), self._b.encode(texts, num_threads=1), strict=True):
-            raw = b" " + text.encode()
-            same = text and all(
-                b"".join(map(v.tokens.__getitem__, ids)) == raw for v, ids in ((self.a, a.tolist()), (self.b, b))
-            )
-            yield (a, np.array(b, np.uint32)) if same else (nothing, nothing)
-
-    def windows(self, a: np.ndarray, b: np.ndarray) -> Iterator[Window]:
-        """Windows between anchors: ends that both share and after which both go on with a token that begins with a space."""
+        self.b = Vocabulary(piece_tokens([self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]))
+        self.known = WordIds(self._align, MEMO_WINDOWS)
+        self._ids = max(len(self.a.tokens), len(self.b.tokens))
+        self._digits = byte_table([b"%d%c" % (i, sign) for sign in b",|;" for i in range(self._ids)])
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Ids of all texts by A, how many each has, and the same by B; none where they don't spell the text's bytes."""
+        a, count_a = self._a.encode([f" {t}" for t in texts])
+        found = self._b.encode(texts, num_threads=1)
+        count_b = np.array([len(x) for x in found], np.int64)
+        b = np.fromiter(chain.from_iterable(found), np.uint32, int(count_b.sum()))
+        spelt = zip(replaced(a, count_a, self.a.table), replaced(b, count_b, self.b.table), texts, strict=True)
+        same = np.array([bool(t) and x == y == b" " + t.encode() for x, y, t in spelt], bool)
+        return a[np.repeat(same, count_a)], count_a * same, b[np.repeat(same, count_b)], count_b * same
+
+    def windows(self, a: np.ndarray, count_a: np.ndarray, b: np.ndarray) -> Windows:
+        """Texts one after the other spell the same bytes by both, so their ends are shared as well."""
+        end_a, end_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
+        at_b = np.searchsorted(end_b, end_a)
+        spaced_a, spaced_b = (np.append(v.spaced[ids[1:]], True) for v, ids in ((self.a, a), (self.b, b)))
+        whole = np.zeros(len(a), bool)
+        whole[np.cumsum(count_a)[count_a > 0] - 1] = True
+        anchor = (end_b[at_b] == end_a) & (whole | (spaced_a & spaced_b[at_b]))
+        return Windows(self._a.splitter, a, b, np.flatnonzero(anchor) + 1, at_b[anchor] + 1)
+
+    def _align(self, new: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Links of windows: two numbers each, the id of A with its marks and the id of B.
+
+        Between two neighbouring ends of either tokenization lies exactly one link.
+        """
+        a, size_a, b, size_b = new
+        end_a, end_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
+        ends = np.union1d(end_a, end_b)
+        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        links = np.empty((len(ends), 2), np.uint32)
+        links[:, 0] = a[at_a] | np.where(end_a[at_a] == ends, ENDS_A, 0) | np.where(end_b[at_b] == ends, ENDS_B, 0)
+        links[:, 1] = b[at_b]
+        window = np.searchsorted(end_a[np.cumsum(size_a) - 1], ends)
+        return links.ravel(), 2 * np.bincount(window, minlength=len(size_a))
+
+    def _listed(self, links: np.ndarray, link_count: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> list[bytes]:
+        """The groups of each text: ids of A and of B in the order of groups, with the signs that follow them."""
+        closed = ends_a & ends_b
+        group = np.cumsum(closed) - closed
+        group_a, group_b = group[ends_a], group[ends_b]
+        groups = int(closed.sum())
+        of_a, of_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
+        place_a = np.arange(len(group_a)) + starts(of_b)[group_a]
+        place_b = np.arange(len(group_b)) + np.cumsum(of_a)[group_b]
+        stream = np.empty(len(place_a) + len(place_b), np.int64)
+        stream[place_a] = links[ends_a, 0] & ~(ENDS_A | ENDS_B)
+        stream[place_b] = links[ends_b, 1]
+        stream[place_a[np.cumsum(of_a) - 1]] += self._ids
+        stream[place_b[np.cumsum(of_b) - 1]] += 2 * self._ids
+        text = np.repeat(np.arange(len(link_count)), link_count)
+        tokens = np.bincount(text, ends_a.astype(np.int64) + ends_b, len(link_count)).astype(np.int64)
+        return replaced(stream, tokens, self._digits)
+
+    def rows(self, texts: list[str]) -> Iterator[tuple]:
+        """n_a, n_b, n_groups, n_links, groups_sha256, distinct pairs and their times of each text."""
+        a, count_a, b, count_b = self.tokens(texts)
         if not len(a):
+            yield from ((0, 0, 0, 0, "", b"", b"") for _ in texts)
             return
-        end_a, end_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
-        at_a = np.flatnonzero(self.a.spaced[a[1:]])
-        at_b = np.searchsorted(end_b, end_a[at_a])
-        fits = end_b[at_b] == end_a[at_a]
-        at_a, at_b = at_a[fits], at_b[fits]
-        fits = self.b.spaced[b[at_b + 1]]
-        cut_a, cut_b = (4 * np.concatenate(([0], at[fits] + 1, [len(ids)])) for at, ids in ((at_a, a), (at_b, b)))
-        raw_a, raw_b, cut_a, cut_b = a.tobytes(), b.tobytes(), cut_a.tolist(), cut_b.tolist()
-        known = self._known
-        for low_a, high_a, low_b, high_b in zip(cut_a, cut_a[1:], cut_b, cut_b[1:]):
-            key = raw_a[low_a:high_a], raw_b[low_b:high_b]
-            window = known.get(key)
-            if window is None:
-                ids_a, ids_b = a[low_a // 4 : high_a // 4], b[low_b // 4 : high_b // 4]
-                window = Window(ids_a.tolist(), ids_b.tolist(), self.a.size[ids_a].tolist(), self.b.size[ids_b].tolist())
-                if len(known) >= MEMO_WINDOWS:
-                    known.clear()
-                if len(key[0]) + len(key[1]) <= MEMO_BYTES:
-                    known[key] = window
-            yield window
+        windows = self.windows(a, count_a, b)
+        flat, begin, length = self.known.of(windows)
+        size = length[windows.number]
+        links = take_runs(flat, begin[windows.number], size).reshape(-1, 2)
+        text = np.searchsorted(np.cumsum(count_a), windows.begin_a, "right")
+        link_count = np.bincount(text, size // 2, len(texts)).astype(np.int64)
+        ends_a, ends_b = (links[:, 0] & mark > 0 for mark in (ENDS_A, ENDS_B))
+        owner = np.repeat(np.arange(len(texts)), link_count)
+        groups = np.bincount(owner, ends_a & ends_b, len(texts)).astype(np.int64)
+        listed = self._listed(links, link_count, ends_a, ends_b)
+        pairs = ((links[:, 0] & ~(ENDS_A | ENDS_B)).astype(np.uint64) << np.uint64(32)) | links[:, 1]
+        high = np.cumsum(link_count)
+        for i, (one, two) in enumerate(zip(count_a.tolist(), count_b.tolist(), strict=True)):
+            distinct, times = np.unique(pairs[high[i] - link_count[i] : high[i]], return_counts=True)
+            digest = hashlib.sha256(listed[i][:-1]).hexdigest() if one else ""
+            yield one, two, int(groups[i]), int(link_count[i]), digest, distinct.tobytes(), times.astype("<u4").tobytes()
 
 
 def aligned_documents(documents: DataFrame, byte_level: str, pieces: str) -> DataFrame:
@@ -134,19 +185,12 @@ def aligned_documents(documents: DataFrame, byte_level: str, pieces: str) -> Dat
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = once_per_worker("alignment", Aligner, byte_level, pieces)
         names = [x.split()[0] for x in DOCUMENT_SCHEMA.split(", ")]
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
         for batch, texts in column_slices(batches, 2):
-            rows = []
-            for a, b in aligner.tokens(texts):
-                found = list(aligner.windows(a, b))
-                links = np.array([p for w in found for p in w.pairs], np.uint64)
-                pairs, times = np.unique(links, return_counts=True)
-                listed = hashlib.sha256(";".join(w.groups for w in found).encode()).hexdigest() if found else ""
-                rows.append(
-                    (len(a), len(b), sum(w.n_groups for w in found), len(links), listed, pairs.tobytes(), times.astype("<u4").tobytes())
-                )
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names)
+            columns = zip(*aligner.rows(texts), strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names
+            )
 
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(task, DOCUMENT_SCHEMA)

@@ -237,7 +237,7 @@ def _cut(raw: bytes, size: np.ndarray) -> list[bytes]:
     return [raw[b : b + n] for b, n in zip(first.tolist(), size.tolist(), strict=True)]
 
 
-def _table(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def byte_table(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte strings one after the other, and where each begins and how long it is."""
     size = np.array([len(p) for p in pieces], np.int64)
     return np.frombuffer(b"".join(pieces), np.uint8), starts(size), size
@@ -245,14 +245,14 @@ def _table(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _token_bytes(tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     known = once_per_worker("lexicon", Merger, tokenizer).bytes_of
-    return _table([known.get(i, b"") for i in range(max(known) + 1)])
+    return byte_table([known.get(i, b"") for i in range(max(known) + 1)])
 
 
 def _token_digits(tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return _table([b"%d," % i for i in range(max(once_per_worker("lexicon", Merger, tokenizer).bytes_of) + 1)])
+    return byte_table([b"%d," % i for i in range(max(once_per_worker("lexicon", Merger, tokenizer).bytes_of) + 1)])
 
 
-def _replaced(flat: np.ndarray, count: np.ndarray, table: tuple[np.ndarray, ...]) -> list[bytes]:
+def replaced(flat: np.ndarray, count: np.ndarray, table: tuple[np.ndarray, ...]) -> list[bytes]:
     """What the ids of each text are replaced by."""
     pieces, begin, size = table
     length = size[flat]
@@ -263,11 +263,11 @@ def _replaced(flat: np.ndarray, count: np.ndarray, table: tuple[np.ndarray, ...]
 
 def decode_ids(flat: np.ndarray, count: np.ndarray, tokenizer: str) -> pa.Array:
     """Decoded texts; bytes that are not UTF-8 become replacement signs."""
-    raw = _replaced(flat, count, once_per_worker("lexicon", _token_bytes, tokenizer))
+    raw = replaced(flat, count, once_per_worker("lexicon", _token_bytes, tokenizer))
     return pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())
 
 
 def list_ids(flat: np.ndarray, count: np.ndarray, tokenizer: str) -> pa.Array:
     """The ids of each text as decimal numbers with commas between."""
-    raw = _replaced(flat, count, once_per_worker("lexicon", _token_digits, tokenizer))
+    raw = replaced(flat, count, once_per_worker("lexicon", _token_digits, tokenizer))
     return pa.array([r[:-1].decode("ascii") for r in raw], pa.string())

@@ -24,8 +24,8 @@ _SIGNS = dict(enumerate(byte_signs()))
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
-#: Words that the memory of one worker holds before it starts anew.
-MEMO_WORDS = 1_000_000
+#: Words that the memory of one worker holds before it starts anew, and codes of a word on the average.
+MEMO_WORDS, MEMO_CODES = 1_000_000, 32
 
 
 def load_tokenizer(path: str):
@@ -98,7 +98,7 @@ class Splitter:
             kinds = self._kinds[codes]
         first = np.flatnonzero(_word_starts(codes, kinds))
         code = codes[first]
-        digest, number, lead = self._distinct(codes, first)
+        digest, number, lead = self.distinct(codes, first)
         begin, size = first[lead], np.append(first, len(codes))[lead + 1] - first[lead]
         ended = code == TEXT_END
         text = np.cumsum(ended) - ended
@@ -106,8 +106,9 @@ class Splitter:
         kept = ~ended & (code != SKIPPED)
         return Words(joined, codes, begin, size, digest, number[kept], text[kept])
 
-    def _distinct(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Equal words get equal numbers: by a running hash, then compared sign by sign."""
+    def distinct(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Equal runs of codes, each from one of `first` to the next, get equal numbers: by a running hash, then compared
+        code by code. Returns digest of each number, numbers, and a run of each number."""
         n = len(codes)
         if n > len(self._power):
             self._powers(2 * n)
@@ -177,7 +178,7 @@ class WordIds:
 
     def of(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, and begin and length in them of each distinct word."""
-        if len(self._digest) > self._most:
+        if len(self._digest) > self._most or len(self._codes) > MEMO_CODES * self._most:
             self._clear()
         size = words.size
         if len(self._digest):

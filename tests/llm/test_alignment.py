@@ -79,12 +79,18 @@ def test_every_document(spark, monkeypatch, common):
     assert plain(found) == brute(rows)
 
 
-def test_windows_are_forgotten_and_met_again(monkeypatch):
+def test_windows_are_cut_at_anchors_forgotten_and_met_again(monkeypatch):
     monkeypatch.setattr(alignment, "MEMO_WINDOWS", 3)
     aligner = alignment.Aligner(TOKENIZER, PIECES)
-    texts = ["the cat sat on the mat and the cat sat", "the cat sat on the mat and the cat sat"]
-    found = [[(w.groups, w.pairs) for w in aligner.windows(a, b)] for a, b in aligner.tokens(texts)]
-    assert found[0] == found[1] and len(found[0]) == 10 and len(aligner._known) <= 3
+    texts = ["the cat sat on the mat and the cat sat", "", "the cat sat on the mat and the cat sat"]
+    for _ in range(3):
+        rows = list(aligner.rows(texts))
+        assert rows[0] == rows[2] and rows[1] == (0, 0, 0, 0, "", b"", b"")
+    a, count_a, b, _ = aligner.tokens(texts)
+    windows = aligner.windows(a, count_a, b)
+    assert len(windows.number) == 20 and len(windows.begin) == 6
+    words = [b"".join(aligner.a.tokens[i] for i in a[s : s + n]) for s, n in zip(windows.begin_a, windows.size_a)]
+    assert words[:10] == [b" " + w.encode() for w in texts[0].split()]
 
 
 def test_empty_table(spark):
