@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import column_slices, once_per_worker, starts, take_runs, work_table
+from featurespark.llm.common import Scratch, column_slices, once_per_worker, starts, take_runs
 from featurespark.llm.lexicon import byte_table, replaced
 from featurespark.llm.merges import byte_signs
 from featurespark.llm.words import Splitter, TextEncoder, WordIds, Words
@@ -239,12 +239,13 @@ def align_tokens(documents: DataFrame, byte_level: str, pieces: str) -> DataFram
     at most COMMON_PART, are broadcast with their counts; other pairs are joined by a shuffle, where none is hot.
     """
     spark = documents.sparkSession
-    aligned = work_table(aligned_documents(documents, byte_level, pieces), "aligned")
-    counts = work_table(_link_counts(aligned), "counts")
+    work = Scratch(spark)
+    aligned = work.table(aligned_documents(documents, byte_level, pieces), "aligned")
+    counts = work.table(_link_counts(aligned), "counts")
     # One row per id of B, a number that the vocabulary bounds.
     best = counts.groupBy(F.col("pair").bitwiseAND(0xFFFFFFFF).alias("b")).agg(F.max("n").alias("most"))
     joined = counts.join(F.broadcast(best), F.col("pair").bitwiseAND(0xFFFFFFFF) == F.col("b"))
-    weighed = work_table(joined.select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "weighed")
+    weighed = work.table(joined.select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "weighed")
     total = weighed.agg(F.sum("n")).first()[0] or 0
     often = F.col("n") > total // COMMON_PART
     frequent = sorted(tuple(r) for r in weighed.filter(often).collect())
@@ -292,7 +293,8 @@ def align_tokens(documents: DataFrame, byte_level: str, pieces: str) -> DataFram
     )
     schema = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, own_best long, own_sum long"
     rows = aligned.mapInArrow(common, schema).join(tail, "row", "left")
-    return rows.select(
+    result = rows.select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", (F.col("own_best") + F.coalesce("rare_best", F.lit(0))).alias("n_best"),
         (F.col("own_sum") + F.coalesce("rare_sum", F.lit(0))).alias("count_sum"), "groups_sha256",
     )
+    return work.result(result, "alignment")

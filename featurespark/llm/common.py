@@ -39,6 +39,40 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Work tables of one operator, removed from the shared folder when its result is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark, self._paths = spark, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = work_path(self._spark, name)
+        self._paths.append(path)
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """Write the result and remove everything that led to it."""
+        written = work_table(df, name)
+        context = self._spark.sparkContext
+        for path in self._paths:
+            place = context._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        self._paths.clear()
+        return written
+
+
+def filtered(df: DataFrame, keeps: Callable[[list[str]], np.ndarray], text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose texts (null: empty) `keeps` tells to keep; nothing is shuffled."""
+    place = df.columns.index(text_column)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in column_slices(batches, place):
+            yield batch.filter(pa.array(keeps(texts), pa.bool_()))
+
+    return df.mapInArrow(task, df.schema)
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     """The table written with the number of each row in reading order, and the name of that column.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import work_table
+from featurespark.llm.common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,14 +30,15 @@ def components(edges: DataFrame) -> DataFrame:
     number of rounds that grows with the logarithm of the longest path. Each round is written to the shared folder.
     Loops, repeated and reversed edges do no harm; null ends are left out; no edges give no rows.
     """
+    work = Scratch(edges.sparkSession)
     edges = edges.select("u", "v").filter("u is not null and v is not null and u <> v").distinct()
-    edges = work_table(edges, "edges")
+    edges = work.table(edges, "edges")
     state = None
     while True:
-        edges = work_table(_small_star(_large_star(edges)), "edges")
+        edges = work.table(_small_star(_large_star(edges)), "edges")
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if mark == state or not mark[0]:
             break
         state = mark
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    return work.result(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")

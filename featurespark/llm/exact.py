@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import join_groups, numbered, without_rows, work_table
+from featurespark.llm.common import Scratch, join_groups, numbered, without_rows
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -135,12 +135,12 @@ def exact_groups(
     of one and are not shuffled; the others are counted before they meet, and groups with many rows are joined
     without a shuffle. The filter has a fixed number of bits per document. An empty table gives no rows.
     """
-    row = F.monotonically_increasing_id() if row is None else row
-    digests = work_table(_digests(documents, id_column, text_column, row), "digests")
+    row, work = F.monotonically_increasing_id() if row is None else row, Scratch(documents.sparkSession)
+    digests = work.table(_digests(documents, id_column, text_column, row), "digests")
     total = digests.count()
     segments = max(1, -(-total * BITS_PER_DOCUMENT // SEGMENT_BITS))
-    filters = work_table(repeated_filter(digests, segments), "filter")
-    probed = work_table(_probe(digests, filters, segments), "probed")
+    filters = work.table(repeated_filter(digests, segments), "filter")
+    probed = work.table(_probe(digests, filters, segments), "probed")
     alone = probed.filter("not maybe").select(
         "doc_id", "row", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "sha",
@@ -152,7 +152,7 @@ def exact_groups(
         "doc_id", "row", F.col("first.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("first.row")).alias("kept"), "sha",
     )
-    return alone.unionByName(joined).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
+    return work.result(alone.unionByName(joined).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha"), "groups")
 
 
 def drop_exact_copies(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import column_slices, numbered, once_per_worker, without_rows
+from featurespark.llm.common import column_slices, filtered, once_per_worker
 from featurespark.llm.gru import LONGEST, Network, pad
 
 #: Bounds of what the network learns from: documents of each language, and words of each document.
@@ -122,22 +122,32 @@ def _labeller(name: str, weights: object) -> Labeller:
     return Labeller(network, held["out"].shape[1])
 
 
+def _predicting(documents: DataFrame, languages: list[str], weights: dict[str, np.ndarray]) -> Callable:
+    """A function for tasks that gives the labels and scores of texts."""
+    packed, name = documents.sparkSession.sparkContext.broadcast(weights), uuid.uuid4().hex
+
+    def predicted(texts: list[str]) -> tuple[list[str], np.ndarray]:
+        labeller = once_per_worker("language", _labeller, name, using=(packed,))
+        mean, lettered = labeller(texts)
+        known = lettered & (len(languages) > 0)
+        best = mean.argmax(1)
+        label = [languages[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist(), strict=True)]
+        return label, np.where(known, np.minimum(mean.max(1), 1.0), 0.0)
+
+    return predicted
+
+
 def predict(documents: DataFrame, languages: list[str], weights: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, `lang_pred` and `score`, the pooled probability of that language, for every whole text.
 
     Texts without a letter, null texts, and all texts when nothing was learned are `und` with score 0. Of equally
     probable languages the first by name is taken. Ids may be null or repeated; other columns are not read.
     """
-    packed, name = documents.sparkSession.sparkContext.broadcast(weights), uuid.uuid4().hex
+    predicted = _predicting(documents, languages, weights)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = once_per_worker("language", _labeller, name, using=(packed,))
         for batch, texts in column_slices(batches):
-            mean, lettered = labeller(texts)
-            known = lettered & (len(languages) > 0)
-            best = mean.argmax(1)
-            label = [languages[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-            score = np.where(known, np.minimum(mean.max(1), 1.0), 0.0)
+            label, score = predicted(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(label, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]
             )
@@ -152,10 +162,12 @@ def keep_known(documents: DataFrame, trusted: Column) -> DataFrame:
 
     All columns are kept, whatever their names. Null and empty texts and texts without a letter have no language and
     go; repeated rows are judged each by itself, rows with a null id as well; an empty table stays empty. When nothing
-    can be learned no language is known, and all rows go.
+    can be learned no language is known, and all rows go. Each row is judged where it is read.
     """
-    held, row = numbered(documents)
-    languages, weights = fit(documents.filter(trusted))
-    found = predict(held.select(F.col(row).alias("doc_id"), "text"), languages, weights)
-    unknown = found.filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_SCORE))
-    return without_rows(held, row, unknown.select("doc_id"))
+    predicted = _predicting(documents, *fit(documents.filter(trusted)))
+
+    def keeps(texts: list[str]) -> np.ndarray:
+        label, score = predicted(texts)
+        return np.array([x != UNDETERMINED for x in label], bool) & (score >= LEAST_SCORE)
+
+    return filtered(documents, keeps)

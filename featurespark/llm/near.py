@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import join_groups, numbered, once_per_worker, slices, without_rows, work_table
+from featurespark.llm.common import Scratch, join_groups, numbered, once_per_worker, slices, without_rows
 from featurespark.llm.components import components
 
 #: Two collections of so many keys of so many minhashes each; a table is a pair of keys, one of each collection.
@@ -155,7 +155,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     found.append((u, v))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)] or [pa.array([], pa.int64())] * 2, ["u", "v"])
 
-    pairs = work_table(pairs.select("u", "v"), "pairs")
     blocks = pairs.groupBy("u").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     leads = sets.withColumnRenamed("node", "u").join(blocks, "u").select("u", F.lit(None).cast("long").alias("v"), "members", every)
@@ -244,6 +243,7 @@ def near_groups(
     numbers them for good, they are first written down with their numbers. Other columns are not read; an empty table
     gives no rows.
     """
+    work = Scratch(documents.sparkSession)
     if row is None:
         documents, name = numbered(documents.select(id_column, text_column))
         row = F.col(name)
@@ -251,43 +251,43 @@ def near_groups(
         F.col(id_column).cast("long").alias("doc_id"), row.alias("row"),
         F.col(text_column).alias("text"),
     )
-    profiles = work_table(_profiles(rows, width), "profiles")
+    profiles = work.table(_profiles(rows, width), "profiles")
     total = profiles.count()
     filled = profiles.filter("n_shingles > 0")
     groups = filled.groupBy("digest").agg(
         F.min("row").alias("node"), F.count("*").alias("copies"),
         F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first"),
     )
-    groups = work_table(groups, "groups")
+    groups = work.table(groups, "groups")
     nodes = filled.join(groups.select(F.col("node").alias("row"), "first"), "row").select(
         F.col("row").alias("node"), F.col("n_shingles").alias("size"), "digest", "keys"
     )
-    nodes = work_table(nodes, "nodes")
+    nodes = work.table(nodes, "nodes")
     keys = _first_keys(nodes)
     shared = keys.join(keys.groupBy("key").count().filter("count > 1"), "key", "left_semi")
     owners = shared.groupBy("node").agg(F.collect_list("i").alias("shared"))
     members = _tables(nodes.join(owners, "node"))
     buckets = members.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"), F.count("*").alias("n"))
     members = members.join(buckets.filter("n > 1").select("key", "lead"), "key")
-    members = work_table(members, "members")
+    members = work.table(members, "members")
     fits = "100 * least(u_size, v_size) >= {0} * greatest(u_size, v_size)".format(percent)
     stars = members.filter("node <> lead.node").select(
         F.col("lead.node").alias("u"), F.col("node").alias("v"), F.col("lead.size").alias("u_size"), F.col("size").alias("v_size")
     )
-    stars = work_table(stars.filter(fits).select("u", "v").distinct(), "stars")
+    stars = work.table(stars.filter(fits).select("u", "v").distinct(), "stars")
     sets = _sets(rows, nodes.join(members.select("node").distinct(), "node"), width)
-    sets = work_table(sets, "sets")
-    links = work_table(_confirmed(stars, sets, percent), "links")
+    sets = work.table(sets, "sets")
+    links = work.table(_confirmed(stars, sets, percent), "links")
     first = components(links)
     placed = members.join(first, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    placed = work_table(placed.select("key", "first_key", "i", "node", "part"), "placed")
+    placed = work.table(placed.select("key", "first_key", "i", "node", "part"), "placed")
     mixed_keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
     open_ = placed.join(mixed_keys.select("key"), "key", "left_semi").select("first_key", "i", "node", "part").distinct()
-    later = _across(work_table(open_, "open"), nodes, sets, percent)
+    later = _across(work.table(open_, "open"), nodes, sets, percent)
     final = components(links.unionByName(later))
     named = groups.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = named.groupBy("component").agg(F.min("first").alias("lead"))
-    named = work_table(named.join(parts, "component").select("digest", "copies", "lead"), "named")
+    named = work.table(named.join(parts, "component").select("digest", "copies", "lead"), "named")
     joined = join_groups(filled.select("doc_id", "row", "n_shingles", "digest"), named, "digest", "copies", total)
     linked = joined.select(
         "doc_id", "row", "n_shingles", F.col("lead.doc_id").alias("component_id"), (F.col("row") == F.col("lead.row")).alias("kept")
@@ -295,7 +295,7 @@ def near_groups(
     empty = profiles.filter("n_shingles = 0").select(
         "doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")
     )
-    return linked.unionByName(empty)
+    return work.result(linked.unionByName(empty), "near")
 
 
 def drop_near_copies(documents: DataFrame, percent: int = 80, width: int = 2) -> DataFrame:

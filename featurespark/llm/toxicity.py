@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import column_slices, numbered, once_per_worker, without_rows
+from featurespark.llm.common import column_slices, filtered, once_per_worker
 
 #: Labelled documents that voters, label model and classifier are fitted on, the first by a hash of their id.
 TRAIN_DOCUMENTS = 6_000
@@ -259,8 +259,9 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, trusted: Column) -> Data
     """The documents that the classifier, fitted on the `trusted` labels, does not call toxic.
 
     All columns are kept, whatever their names. Null and empty texts stay unless all trusted labels are toxic; repeated
-    rows are judged each by itself, rows with a null id as well; an empty table stays empty.
+    rows are judged each by itself, rows with a null id as well; an empty table stays empty. Each row is judged where it
+    is read.
     """
-    held, row = numbered(documents)
-    found = score(held.select(F.col(row).alias("doc_id"), "text"), fit(documents, labels, trusted))
-    return without_rows(held, row, found.filter("predicted = 1").select("doc_id"))
+    model = fit(documents, labels, trusted)
+    packed, name = documents.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    return filtered(documents, lambda texts: once_per_worker("toxicity", Scorer, name, using=(packed,))(texts) < 0.5)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import work_table
+from featurespark.llm.common import Scratch
 
 #: Bytes of the id of a turn, the first ones of a SHA-256.
 ID_BYTES = 16
@@ -96,13 +96,13 @@ def _ends(rebuilt: DataFrame) -> DataFrame:
     return dealt.select("key", "decimals").mapInArrow(task, "key binary, ends string")
 
 
-def _suffixes(rebuilt: DataFrame) -> DataFrame:
+def _suffixes(rebuilt: DataFrame, work: Scratch) -> DataFrame:
     """One row for each distinct conversation below the root: its turns, members, smallest member and digest of ends."""
-    keyed = work_table(rebuilt.withColumn("key", F.unhex(F.md5("ids"))), "rebuilt")
+    keyed = work.table(rebuilt.withColumn("key", F.unhex(F.md5("ids"))), "rebuilt")
     merged = keyed.groupBy("key").agg(
         F.count("*").alias("n"), F.min("conv_id").alias("least"), F.first("ids").alias("ids"), F.first("chars").alias("chars")
     )
-    merged = work_table(merged, "merged")
+    merged = work.table(merged, "merged")
     many = keyed.select("key", "conv_id").join(merged.filter("n > 1").select("key"), "key", "left_semi")
     ends = F.coalesce("ends", F.sha2(F.col("least").cast("string").cast("binary"), 256)).alias("ends")
     root = F.lit(b"").alias("head")
@@ -236,7 +236,8 @@ def prefix_trie(sequences: DataFrame, container_turns: int = CONTAINER_TURNS) ->
     ends_sha256. An empty table has no nodes; sequences without a turn are members of the root alone.
     """
     spark = sequences.sparkSession
-    rows = work_table(_suffixes(sequences).withColumn("depth", F.lit(0).cast("long")), "suffixes")
+    work = Scratch(spark)
+    rows = work.table(_suffixes(sequences, work).withColumn("depth", F.lit(0).cast("long")), "suffixes")
     total = rows.agg(F.sum(F.size("chars")), F.count("*")).first()
     if not total[1]:
         return spark.createDataFrame([], NODE_SCHEMA).drop("head", "parent")
@@ -247,7 +248,7 @@ def prefix_trie(sequences: DataFrame, container_turns: int = CONTAINER_TURNS) ->
             F.sum(F.size("chars") + 1).alias("size"), F.first("parent").alias("parent"), F.first("last_chars").alias("last_chars")
         )
         large = sizes if not depth else sizes.filter(F.col("size") > most)
-        heads = work_table(large.select("head", "parent", "last_chars"), "heads")
+        heads = work.table(large.select("head", "parent", "last_chars"), "heads")
         if not heads.take(1):
             closed.append(rows)
             break
@@ -258,19 +259,19 @@ def prefix_trie(sequences: DataFrame, container_turns: int = CONTAINER_TURNS) ->
         else:
             bursting = rows
         below, stops = _burst(bursting, depth)
-        rounds.append((heads, work_table(stops, "stops")))
-        rows, depth = work_table(below, "below"), depth + 1
+        rounds.append((heads, work.table(stops, "stops")))
+        rows, depth = work.table(below, "below"), depth + 1
     containers = closed[0]
     for part in closed[1:]:
         containers = containers.unionByName(part)
-    swept = work_table(_swept(containers), "swept")
+    swept = work.table(_swept(containers), "swept")
     tops = swept.filter("head is not null")
     inner, below = [], None
     for depth in reversed(range(len(rounds))):
         heads, stops = rounds[depth]
         here = tops.filter(F.col("depth") == depth + 1)
         below = here if below is None else here.unionByName(below)
-        below = work_table(_above(below, stops, heads, depth), "inner")
+        below = work.table(_above(below, stops, heads, depth), "inner")
         inner.append(below)
     burst = inner[0]
     for part in inner[1:]:
@@ -278,4 +279,4 @@ def prefix_trie(sequences: DataFrame, container_turns: int = CONTAINER_TURNS) ->
     named = F.broadcast(burst.select(F.col("head").alias("parent"), F.col("conv_id").alias("above")))
     upper = tops.unionByName(burst).join(named, "parent", "left").withColumn("parent_conv_id", F.col("above"))
     nodes = swept.filter("head is null").unionByName(upper.select(*swept.columns))
-    return nodes.drop("head", "parent")
+    return work.result(nodes.drop("head", "parent"), "nodes")

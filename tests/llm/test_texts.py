@@ -88,22 +88,22 @@ def test_links_are_found_though_files_are_split_otherwise_later(spark, tmp_path,
     rows.write.parquet(str(tmp_path / "documents"))
     for first, then in (("128m", "1"), ("1", "128m")):
         written = []
-        plain = near.work_table
+        plain = common.Scratch.table
 
-        def counted(df, name):
-            out = plain(df, name)
+        def counted(self, df, name):
+            out = plain(self, df, name)
             written.append(name)
             spark.conf.set(SPLITS[0], then)
             spark.conf.set(SPLITS[1], "1")
             return out
 
-        monkeypatch.setattr(near, "work_table", counted)
+        monkeypatch.setattr(common.Scratch, "table", counted)
         try:
             spark.conf.set(SPLITS[0], first)
             groups = near.near_groups(spark.read.parquet(str(tmp_path / "documents")))
             assert groups.select("component_id").distinct().count() == 45 and written
         finally:
-            monkeypatch.setattr(near, "work_table", plain)
+            monkeypatch.setattr(common.Scratch, "table", plain)
             for name in SPLITS:
                 spark.conf.unset(name)
 
