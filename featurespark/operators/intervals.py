@@ -46,11 +46,16 @@ def stack_by_interval(df: DataFrame, cuts: Mapping[str, Sequence[float]]) -> Dat
 
     ``column`` is the position of the name in ``cuts``. Cuts are padded to a full binary search tree.
     """
-    names = list(cuts)
+    numbers = [number_of(field_of(df.schema, name)) for name in cuts]
+    long = df.select(F.posexplode(F.array(*numbers)).alias("column", "value")).where(F.col("value").isNotNull())
+    return with_interval(long, cuts).select("column", "value", "interval")
+
+
+def with_interval(long: DataFrame, cuts: Mapping[str, Sequence[float]]) -> DataFrame:
+    """Rows with `column` (a position in ``cuts``) and `value`, and the `interval` that the value falls into."""
+    names, kept = list(cuts), long.columns
     depth = max(len(cuts[name]) for name in names).bit_length()
     width = 2**depth - 1
-    numbers = [number_of(field_of(df.schema, name)) for name in names]
-    long = df.select(F.posexplode(F.array(*numbers)).alias("column", "value")).where(F.col("value").isNotNull())
     interval = F.lit(0)
     if depth:
         padded = [list(cuts[name]) + [float("inf")] * (width - len(cuts[name])) for name in names]
@@ -62,7 +67,7 @@ def stack_by_interval(df: DataFrame, cuts: Mapping[str, Sequence[float]]) -> Dat
             above = F.col("value") > F.get("cuts", interval + (step - 1))
             long = long.withColumn(f"interval{level}", F.when(above, interval + step).otherwise(interval))
             interval = F.col(f"interval{level}")
-    return long.select("column", "value", interval.alias("interval"))
+    return long.select(*kept, interval.alias("interval"))
 
 
 def interval_statistics(

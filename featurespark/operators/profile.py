@@ -1,7 +1,8 @@
 """Column profiles: nulls, distinct counts, moments, quartiles, mode, histogram, duplicates.
 
-Everything is an aggregate over pruned columns. Statistics that need only sums run without a
-group key, so each task returns one row; only the exact distinct counts shuffle values.
+A profile reads its columns twice. The first read folds them into one mergeable state per column; the second counts
+values, exactly, and takes distinct counts, modes, histograms and quartiles from the counts. Columns that could be
+equal are compared in a third, and a mode that is a long text is read in one more.
 """
 
 from __future__ import annotations
@@ -16,15 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featurespark.errors import DataAccessError
-from featurespark.functions.columns import chunks, field_of, is_numeric, number_of, ref, type_class, value_of
+from featurespark.functions.columns import field_of, is_numeric, number_of, ref, type_class, value_of
 from featurespark.functions.numeric import equal_width_edges, sample_kurtosis, sample_skewness, sample_std
 from featurespark.functions.text import value_text
 from featurespark.operators.duplicates import duplicate_of
 from featurespark.operators.intervals import Interval, interval_statistics
-from featurespark.operators.quantiles import open_targets, propose_cuts, settle
-from featurespark.operators.value_counts import approximate_distinct, distinct_and_mode
+from featurespark.operators.quantiles import MAX_INSIDE, Target, open_targets, settle
+from featurespark.operators.states import column_states, ranks_of
+from featurespark.operators.value_counts import NumberPlan, ValueSummary, frequent_modes, value_summary
 
-COLUMNS_PER_JOB = 40
+# Part of the rows by which a sketch may misplace a quartile; beyond it the search goes on in further reads.
+SKETCH_ERROR = 0.01
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 HISTOGRAM_BINS = 10
 
@@ -79,12 +82,13 @@ def _field_of(name: str, kind: type | None) -> tuple:
     return name, object, field(default=_START.get(name))
 
 
-# One field for each column of the schema; `size_bytes` and `rows` are kept beside them for the table's size.
+# One field for each column of the schema; `size_bytes` and `rows` are kept beside them for the table's size, and the
+# `state` of the first read for the second.
 ColumnProfile = make_dataclass(
     "ColumnProfile",
     [("name", str), ("dtype", str)]
     + [_field_of(f.name, type(f.dataType)) for f in PROFILE_SCHEMA.fields if f.name not in ("name", "dtype")]
-    + [_field_of("size_bytes", None), _field_of("rows", None)],
+    + [_field_of("size_bytes", None), _field_of("rows", None), _field_of("state", None)],
     bases=(_ProfileBase,),
     module=__name__,
 )
@@ -110,50 +114,41 @@ _FIXED_WIDTHS = {
 }
 
 
-def _size_column(member: T.StructField) -> Column:
-    """Bytes of a column: its fixed width per row, else the bytes of its values."""
-    width = _FIXED_WIDTHS.get(type(member.dataType))
-    if width is not None:
-        return F.count("*") * F.lit(width)
+def _size_of(member: T.StructField) -> Column:
+    """Bytes of a value, null where it is missing: its text's, or those of its type."""
     plain = (T.StringType, T.CharType, T.VarcharType, T.BinaryType)
-    text = ref(member.name) if isinstance(member.dataType, plain) else value_text(member)
-    return F.coalesce(F.sum(F.octet_length(text).cast("bigint")), F.lit(0).cast("bigint"))
+    if type(member.dataType) in _FIXED_WIDTHS:
+        return F.when(value_of(member).isNotNull(), F.lit(_FIXED_WIDTHS[type(member.dataType)])).cast("bigint")
+    return F.octet_length(ref(member.name) if isinstance(member.dataType, plain) else value_text(member)).cast("bigint")
 
 
-def basic_statistics(df: DataFrame, columns: Iterable[str]) -> tuple[int, dict[str, ColumnProfile]]:
-    """First pass: rows, nulls, size, mean, least and greatest value."""
+def basic_statistics(df: DataFrame, columns: Iterable[str], distinct: str = "exact") -> tuple[int, dict[str, ColumnProfile]]:
+    """First read: rows, nulls, size, moments, least and greatest value, and a quantile sketch, one state per column."""
     columns = list(columns)
     members = {name: field_of(df.schema, name) for name in columns}
-    numeric = [name for name in columns if is_numeric(members[name])]
-    whole = interval_statistics(df, {name: [] for name in numeric}, {}) if numeric else {}
-    others = [name for name in columns if name not in whole]
-    filled: dict[str, int] = {name: part[0].rows if part else 0 for name, part in whole.items()}
-    sizes: dict[str, int] = {}
-    for names in chunks(others, COLUMNS_PER_JOB) or [[]]:
-        aggregates = [F.count("*").alias("rows")]
-        for index, name in enumerate(names):
-            aggregates += [
-                F.count(value_of(members[name])).alias(f"filled{index}"),
-                _size_column(members[name]).alias(f"bytes{index}"),
-            ]
-        row = df.agg(*aggregates).first()
-        rows = row["rows"]
-        for index, name in enumerate(names):
-            filled[name], sizes[name] = row[f"filled{index}"], row[f"bytes{index}"]
+    numbers = {name: number_of(m) for name, m in members.items() if is_numeric(m)}
+    sizes = {name: _size_of(m) for name, m in members.items() if name not in numbers}
+    hashes = {}
+    if distinct == "approx":
+        plain = {name: value_of(m) if is_numeric(m) else value_text(m) for name, m in members.items()}
+        hashes = {name: F.when(value.isNotNull(), F.xxhash64(value)) for name, value in plain.items()}
+    states = column_states(df, numbers, sizes, hashes)
+    rows = states[columns[0]].rows if columns else df.count()
     result = {}
     for name in columns:
-        nulls = rows - filled[name]
+        state, width = states[name], _FIXED_WIDTHS.get(type(members[name].dataType))
+        nulls = rows - state.filled
         profile = ColumnProfile(
             name=name,
             dtype=type_class(members[name]),
             null_count=nulls,
             null_percentage=round(nulls / rows * 100, 4) if rows else 0.0,
-            size_bytes=sizes[name] if name in sizes else rows * _FIXED_WIDTHS[type(members[name].dataType)],
+            size_bytes=state.size if width is None else rows * width,
             rows=rows,
+            state=state,
         )
-        if filled[name] and name in whole:
-            part = whole[name][0]
-            profile.mean, profile.min, profile.max = part.sums[0] / part.rows, part.least, part.greatest
+        if state.filled and name in numbers:
+            profile.mean, profile.min, profile.max = state.average, state.least, state.most
         result[name] = profile
     return rows, result
 
@@ -166,28 +161,16 @@ def _histogram_edges(profile: ColumnProfile) -> list[float]:
     return edges if len(edges) > 1 else []
 
 
-def _centre(profile: ColumnProfile) -> float:
-    """Where powers are taken around: the mean, but within the values, which a rounded mean may leave."""
-    if math.isinf(profile.min) or math.isinf(profile.max):
-        return 0.0
-    return min(max(profile.mean, profile.min), profile.max)
-
-
 def _read_shape(profile: ColumnProfile, intervals: Mapping[int, Interval]) -> None:
-    n = profile.rows - profile.null_count
+    state = profile.state
     if math.isinf(profile.min) or math.isinf(profile.max):
         profile.std = profile.skewness = profile.kurtosis = math.nan
     elif profile.min == profile.max:
         profile.std = profile.skewness = profile.kurtosis = 0.0
     else:
-        s1, s2, s3, s4 = (math.fsum(part.sums[power] for part in intervals.values()) for power in range(4))
-        shift = s1 / n  # what rounding left in the mean
-        m2 = max(0.0, s2 - n * shift**2)
-        m3 = s3 - 3 * shift * s2 + 2 * n * shift**3
-        m4 = s4 - 4 * shift * s3 + 6 * shift**2 * s2 - 3 * n * shift**4
-        profile.std = sample_std(n, m2)
-        profile.skewness = sample_skewness(n, m2, m3)
-        profile.kurtosis = sample_kurtosis(n, m2, m4)
+        profile.std = sample_std(state.finite, state.m2)
+        profile.skewness = sample_skewness(state.finite, state.m2, state.m3)
+        profile.kurtosis = sample_kurtosis(state.finite, state.m2, state.m4)
     edges = profile.histogram_bins
     if edges:
         counts = [0] * (len(edges) - 1)
@@ -198,51 +181,76 @@ def _read_shape(profile: ColumnProfile, intervals: Mapping[int, Interval]) -> No
         profile.histogram_counts = counts
 
 
-def add_numeric_statistics(df: DataFrame, profiles: Iterable[ColumnProfile]) -> None:
-    """Second pass: quartiles, moments and histograms of the numeric columns."""
+def _number_plan(profile: ColumnProfile, targets: Iterable[Target]) -> NumberPlan:
+    """Cuts at the inner edges of the histogram and around the quartiles, where the sketch has them.
+
+    A sketch that lost nothing settles the quartiles at once. Else the values of the intervals around a quartile are
+    to be ranked, unless these hold more rows than one window should.
+    """
+    state = profile.state
+    cuts, ranks, near = set(profile.histogram_bins[1:-1]), set(), []
+    for target in targets:
+        if state.lossless:
+            for rank, value in zip(target.ranks, ranks_of(state, target.ranks)):
+                target.place(rank, rank, value)
+            continue
+        ranks |= set(target.ranks)
+        slack = max(1, math.ceil(SKETCH_ERROR * state.filled))
+        low, *inner, high = ranks_of(state, [max(0, target.ranks[0] - slack), *target.ranks, min(state.filled - 1, target.ranks[1] + slack)])
+        around = {math.nextafter(low, -math.inf), high}
+        # A value that repeats often has an interval of its own.
+        cuts |= around | {point for value in (low, *inner, high) for point in (math.nextafter(value, -math.inf), value)}
+        if 2 * slack <= MAX_INSIDE:
+            near.append((low, high))
+    points = sorted(cuts)
+    inside = {bisect_left(points, value) for low, high in near for value in points if low <= value <= high}
+    return NumberPlan(points, inside, ranks, max(-profile.min, profile.max) >= 2**53)
+
+
+def add_value_statistics(df: DataFrame, profiles: Iterable[ColumnProfile], distinct: str) -> None:
+    """Second read: quartiles, histograms, distinct counts, and modes of the columns that are not numeric."""
+    if distinct not in ("exact", "approx"):
+        raise DataAccessError("distinct must be 'exact' or 'approx'")
+    profiles = list(profiles)
     numeric = [profile for profile in profiles if profile.mean is not None]
-    if not numeric:
-        return
+    others = [profile.name for profile in profiles if not is_numeric(field_of(df.schema, profile.name))]
     wanted = {profile.name: list(QUARTILES.values()) for profile in numeric}
     known = {profile.name: (profile.rows - profile.null_count, profile.min, profile.max) for profile in numeric}
     targets = open_targets(wanted, known)
-    cuts: dict[str, set[float]] = {}
+    plans = {}
     for profile in numeric:
         profile.histogram_bins = _histogram_edges(profile)
-        cuts[profile.name] = set(profile.histogram_bins[1:-1])
-    for name, proposed in propose_cuts(df, targets).items():
-        cuts[name] |= proposed
-    points = {name: sorted(values) for name, values in cuts.items()}
-    statistics = interval_statistics(df, points, {profile.name: _centre(profile) for profile in numeric})
+        plans[profile.name] = _number_plan(profile, [t for t in targets if t.column == profile.name])
+    if distinct == "exact":
+        plans |= {p.name: NumberPlan([]) for p in profiles if p.name not in others and p.name not in plans}
+        found = value_summary(df, plans, others)
+    else:
+        if any(profile.state.registers is None for profile in profiles):
+            _, again = basic_statistics(df, [profile.name for profile in profiles], distinct)
+            for profile in profiles:
+                profile.state = again[profile.name].state
+        found = ValueSummary({p.name: p.state.distinct() if p.state.filled else 0 for p in profiles})
+        if plans:
+            found.intervals = interval_statistics(df, {name: plan.cuts for name, plan in plans.items()}, {})
+        filled = [p.name for p in profiles if p.name in others and p.state.filled]
+        found.mode = frequent_modes(df, filled) if filled else {}
     for target in targets:
-        target.read(statistics[target.column])
+        for first, last, value in found.hits.get(target.column, ()):
+            target.place(first, last, value)
+        if not target.solved:
+            target.read(found.intervals[target.column])
     settle(df, targets)
     answers = {(target.column, target.fraction): target.answer() for target in targets}
     for profile in numeric:
-        _read_shape(profile, statistics[profile.name])
+        _read_shape(profile, found.intervals[profile.name])
         profile.quantiles = {label: answers[profile.name, fraction] for label, fraction in QUARTILES.items()}
         profile.median = profile.quantiles["p50"]
-
-
-def add_distinct_and_mode(df: DataFrame, profiles: Iterable[ColumnProfile], distinct: str) -> None:
-    """Third pass: distinct counts, and modes of the columns that are not numeric."""
-    profiles = list(profiles)
-    if distinct == "exact":
-        counted = [profile.name for profile in profiles]
-        rough: dict[str, int] = {}
-    elif distinct == "approx":
-        counted = [profile.name for profile in profiles if not is_numeric(field_of(df.schema, profile.name))]
-        rough = approximate_distinct(df, [p.name for p in profiles if p.name not in counted])
-    else:
-        raise DataAccessError("distinct must be 'exact' or 'approx'")
-    exact = distinct_and_mode(df, counted)
     for profile in profiles:
-        unique, mode = exact.get(profile.name, (rough.get(profile.name, 0), None))
-        profile.unique_count = unique
-        profile.cardinality_ratio = round(unique / profile.rows, 6) if profile.rows else 0.0
-        profile.is_constant = unique <= 1
-        if not is_numeric(field_of(df.schema, profile.name)):
-            profile.mode = mode
+        profile.unique_count = found.distinct[profile.name]
+        profile.cardinality_ratio = round(profile.unique_count / profile.rows, 6) if profile.rows else 0.0
+        profile.is_constant = profile.unique_count <= 1
+        if profile.name in others:
+            profile.mode = found.mode.get(profile.name)
 
 
 def mark_duplicates(df: DataFrame, profiles: Iterable[ColumnProfile]) -> None:
@@ -255,17 +263,15 @@ def mark_duplicates(df: DataFrame, profiles: Iterable[ColumnProfile]) -> None:
 
 def complete_profiles(df: DataFrame, basics: Iterable[ColumnProfile], distinct: str = "exact") -> None:
     """Fill in everything but duplicates, starting from basic statistics."""
-    basics = list(basics)
-    add_numeric_statistics(df, basics)
-    add_distinct_and_mode(df, basics, distinct)
+    add_value_statistics(df, basics, distinct)
 
 
 def profile_columns(
     df: DataFrame, columns: Iterable[str] | None = None, distinct: str = "exact", duplicates: bool = True
 ) -> list[ColumnProfile]:
-    """Full profiles in table order; ``distinct="approx"`` sketches the numeric distinct counts."""
+    """Full profiles in table order; ``distinct="approx"`` estimates distinct counts and modes without shuffling values."""
     names = list(df.columns if columns is None else columns)
-    _, basics = basic_statistics(df, names)
+    _, basics = basic_statistics(df, names, distinct)
     profiles = [basics[name] for name in names]
     complete_profiles(df, profiles, distinct)
     if duplicates:

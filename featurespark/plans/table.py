@@ -136,7 +136,7 @@ class TableHandle:
         state = self._versions[self.version]
         missing = [name for name in names if name not in state.basics]
         if missing:
-            state.basics.update(basic_statistics(state.df, missing)[1])
+            state.basics.update(basic_statistics(state.df, missing, self._distinct)[1])
         return [state.basics[name] for name in names]
 
     def _profiles(self, names: Sequence[str]) -> list[ColumnProfile]:
