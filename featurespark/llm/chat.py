@@ -16,13 +16,17 @@ from featurespark.llm.words import load_tokenizer
 
 #: Fixed values of the template: what stands before and after the text of a turn, by role.
 TEMPLATE = {
-    "system": ("<<SYS>> ", " <</SYS>>"),
-    "user": ("[INST] ", " [/INST]"),
+    "system": ("<<SYS>> ", " <</SYS>></s>"),
+    "user": ("[INST] ", " [/INST]</s>"),
     "assistant": ("[OUT] ", "</s>"),
 }
 OTHER_ROLE = ("[ROLE] ", " [/ROLE]", "</s>")
 BEGIN = "<s>"
 
+#: Every turn ends with this letter and sign. Byte-level tokenizers cut words between letters and signs, so a text cut
+#: before the sign has the ids of the whole text.
+LAST_SIGN = ">"
+
 #: A control string, with any number of backslashes after its first sign; in texts each gets one more.
 CONTROL = re.compile(r"([\[<])(\\*)(/?INST\]|OUT\]|/?ROLE\]|/?s>|<SYS>>|</SYS>>)")
 ESCAPED = re.compile(r"([\[<])\\(\\*)(/?INST\]|OUT\]|/?ROLE\]|/?s>|<SYS>>|</SYS>>)")
@@ -30,7 +34,8 @@ ESCAPED = re.compile(r"([\[<])\\(\\*)(/?INST\]|OUT\]|/?ROLE\]|/?s>|<SYS>>|</SYS>
 #: Roles whose text is learned.
 LEARNED = ("assistant",)
 
-#: Turns of one rendered part, and characters after which a part is closed; they bound what a task holds.
+#: Turns of one rendered part, and characters after which a part is closed; they bound what a task holds and change
+#: neither text nor ids of a conversation.
 PART_TURNS, PART_CHARS = 256, 1 << 20
 
 
@@ -94,21 +99,28 @@ def mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray,
 def format_conversations(turns: DataFrame, tokenizer: str) -> DataFrame:
     """Rendered and encoded conversations, one row per part of a conversation.
 
-    Input: conv_id, turn, role, text. Turns are taken by number, ties by role and text; null texts and roles are
-    empty, null turns come first, rows with a null conv_id are one conversation, repeated rows are repeated turns.
-    Short conversations are one part; others are cut between turns every PART_TURNS turn numbers and PART_CHARS
-    characters, so that no conversation has to fit one task. Columns: conv_id, part and piece (their order), `text`,
-    `ids` and `learned` (one byte a token), `spans` (pairs of 64-bit places in `text` under the mask). Control
-    strings inside texts get a backslash that `unescape` takes away. An empty table gives no rows.
+    Input: conv_id, turn, role, text; other columns are not read. Turns are taken by number, ties by role and text; null
+    texts and roles are empty, null turns come first, rows with a null conv_id are one conversation, repeated rows are
+    repeated turns. Short conversations are one part. Others are cut every PART_TURNS turn numbers and PART_CHARS
+    characters, so that no conversation has to fit one task, and always before the last sign of a turn: there the
+    tokenizer begins a new word, so the parts in order have the text and the ids that the whole conversation has when
+    it is rendered and encoded at once. Columns: conv_id, part and piece (their order), `text`, `ids` and `learned`
+    (one byte a token), `spans` (pairs of 64-bit places in `text` under the mask). Control strings inside texts get a
+    backslash that `unescape` takes away. An empty table gives no rows.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = once_per_worker("chat", load_tokenizer, tokenizer)
-        now, held, size, piece = None, [], 0, 0
-
-        def done() -> pa.RecordBatch:
-            text, spans = render(held, now[1] == lowest and piece == 0)
+        now, lowest, highest, held, size, piece = None, None, None, [], 0, 0
+
+        def done(more: bool) -> pa.RecordBatch:
+            """One part; `more` says that the same part of the conversation goes on."""
+            begins, ends = now[1] == lowest and piece == 0, now[1] == highest and not more
+            text, spans = render(held, begins)
+            before = "" if begins else LAST_SIGN
+            text = before + (text if ends else text[: -len(LAST_SIGN)])
             encoding = encoder.encode(text, add_special_tokens=False)
+            spans = [(low + len(before), high + len(before)) for low, high in spans]
             learned, covered = mask(np.array(encoding.offsets, np.int64).reshape(-1, 2), spans)
             values = [
                 now[0], now[1], piece, text, np.array(encoding.ids, "<u4").tobytes(), learned.tobytes(),
@@ -119,34 +131,34 @@ def format_conversations(turns: DataFrame, tokenizer: str) -> DataFrame:
 
         names = ["conv_id", "part", "piece", "text", "ids", "learned", "spans"]
         for batch in batches:
-            for conv, part, first, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and ((conv, part) != now or size >= PART_CHARS):
-                    yield done()
-                    piece = piece + 1 if (conv, part) == now else 0
+            for conv, part, first, last, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                same = (conv, part) == now
+                if held and (not same or size >= PART_CHARS):
+                    yield done(same)
+                    piece = piece + 1 if same else 0
                     held, size = [], 0
-                elif not held:
-                    piece = 0
-                now, lowest = (conv, part), first
+                now, lowest, highest = (conv, part), first, last
                 held.append((role or "", text or ""))
                 size += len(text or "") + 32
         if held:
-            yield done()
+            yield done(False)
 
     part = F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(-1)).cast("long")
     rows = turns.select(F.col("conv_id").cast("long"), "turn", "role", "text").withColumn("part", part)
-    first = rows.groupBy("conv_id").agg(F.min("part").alias("first"))
-    long_ = rows.filter("part <> 0").select("conv_id").distinct()
-    starts = first.join(long_, first.conv_id.eqNullSafe(long_.conv_id), "left_semi")
-    joined = rows.join(
-        starts.select(F.col("conv_id").alias("id"), "first"), rows.conv_id.eqNullSafe(F.col("id")), "left"
-    ).withColumn("first", F.coalesce("first", "part"))
+    bounds = rows.groupBy("conv_id").agg(F.min("part").alias("first"), F.max("part").alias("last"))
+    long_ = bounds.filter("first <> last").withColumnRenamed("conv_id", "id")
+    joined = rows.join(long_, rows.conv_id.eqNullSafe(F.col("id")), "left")
+    joined = joined.withColumns({"first": F.coalesce("first", "part"), "last": F.coalesce("last", "part")})
     dealt = joined.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "role", "text")
     schema = "conv_id long, part long, piece long, text string, ids binary, learned binary, spans binary"
-    return dealt.select("conv_id", "part", "first", "role", "text").mapInArrow(task, schema)
+    return dealt.select("conv_id", "part", "first", "last", "role", "text").mapInArrow(task, schema)
 
 
 def digest_conversations(formatted: DataFrame) -> DataFrame:
-    """One row per conversation, read back from its parts: turns and learned text as running hashes and counts."""
+    """One row per conversation, read back from its parts: turns and learned text as running hashes and counts.
+
+    Input: what `format_conversations` gives; parts may come in any order, an empty table gives no rows.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -162,11 +174,13 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
 
         for batch in batches:
             for conv, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not open_ or conv != now:
+                begins = not open_ or conv != now
+                if begins:
                     if open_:
                         out.append(row())
                     open_, now, turns, loss, counts = True, conv, hashlib.sha256(), hashlib.sha256(), [0, 0, 0]
-                for role, said in parse(text):
+                whole = text if begins else text.removeprefix(LAST_SIGN)
+                for role, said in parse(whole if whole.endswith(OTHER_ROLE[2]) else whole + LAST_SIGN):
                     turns.update(f"{role}\n{said}\n".encode())
                     counts[0] += 1
                 for low, high in np.frombuffer(spans, "<i8").reshape(-1, 2).tolist():

@@ -82,16 +82,18 @@ def training_words(labelled: DataFrame, documents: int = TRAIN_DOCUMENTS, words:
     """(language, word) from a bounded number of documents per language and words per document.
 
     Documents are taken in the order of a hash of their id, first within 64 slots of a language, so that a frequent
-    language does not meet in one task; words at even steps through the whole text.
+    language does not meet in one task; words at even steps through the whole text, long ones in parts of LONGEST signs
+    that are drawn like words.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in column_slices(batches):
             found = []
             for text in texts:
-                all_ = [w for w in text.lower().split() if any(map(str.isalpha, w))]
+                parts = (w[i : i + LONGEST] for w in text.lower().split() for i in range(0, len(w), LONGEST))
+                all_ = [p for p in parts if any(map(str.isalpha, p))]
                 picked = [all_[i * len(all_) // words] for i in range(words)] if len(all_) > words else all_
-                found.append(" ".join(w[:LONGEST] for w in picked))
+                found.append(" ".join(picked))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["lang", "words"])
 
     digest = F.xxhash64("doc_id")

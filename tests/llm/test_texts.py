@@ -15,6 +15,7 @@ from featurespark.llm import chat, common, exact, language, licences, near, toxi
 from featurespark.llm.components import components
 from featurespark.llm.gru import Network, pad
 from featurespark.llm.near import shingles
+from featurespark.llm.words import load_tokenizer
 from tests.llm.conftest import TEXTS, TOKENIZER
 
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
@@ -343,6 +344,32 @@ def test_conversations(spark, monkeypatch):
     assert chat.format_conversations(table.filter("false"), TOKENIZER).count() == 0
 
 
+@pytest.mark.parametrize(("turns", "length"), [(600, 30), (40, 80_000)])
+def test_long_conversations_have_the_ids_of_their_whole_text(spark, turns, length):
+    """Whatever stands at the cuts: nothing, signs, quotes, blanks."""
+    draw = random.Random(turns)
+    ends = ["", "s", "'", " ", "[", "]", ">", "<", "\n", "/", "é", "1", "<|endoftext|>"]
+    said = [draw.choice(ends) + " ".join(draw.choice(["so", "it's", "[x]", "a>"]) for _ in range(length // 5)) + draw.choice(ends) for _ in range(turns)]
+    roles = [draw.choice(["user", "assistant", "system", "tool"]) for _ in said]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(roles, said, strict=True))]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = chat.format_conversations(table, TOKENIZER).orderBy("part", "piece").collect()
+    assert len(parts) > 2
+    whole = chat.render(list(zip(roles, said, strict=True)), True)
+    assert "".join(p.text for p in parts) == whole[0]
+    encoding = load_tokenizer(TOKENIZER).encode(whole[0], add_special_tokens=False)
+    assert np.concatenate([np.frombuffer(p.ids, "<u4") for p in parts]).tolist() == encoding.ids
+    learned, _ = chat.mask(np.array(encoding.offsets, np.int64), whole[1])
+    assert b"".join(p.learned for p in parts) == learned.tobytes()
+
+
+def test_training_draws_from_all_of_a_long_word(spark):
+    word = "".join(chr(97 + i // 30) for i in range(600))
+    rows = spark.createDataFrame([(1, "aa", word), (2, "aa", "x " + word)], "doc_id long, lang string, text string")
+    drawn = [w for _, w in language.training_words(rows)]
+    assert {word[i : i + language.LONGEST] for i in range(0, 600, language.LONGEST)} <= set(drawn)
+
+
 def test_pipeline_keeps_clean_documents_and_drops_the_rest(spark, tmp_path):
     random.seed(8)
     rows = [(i, tongue(["aa", "bb"][i % 2], 1000 + i), ["aa", "bb"][i % 2]) for i in range(60)]
