@@ -11,6 +11,7 @@ however often one value repeats.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -26,7 +27,6 @@ SKETCH_ACCURACY = 2_000
 CUT_OFFSETS = (-4.0, -2.0, -1.0, -0.4, 0.0, 0.4, 1.0, 2.0, 4.0)
 MAX_INSIDE = 2_000_000
 INTERVALS_PER_JOB = 60
-DRAW = "featurespark_draw"
 
 
 @dataclass
@@ -112,12 +112,13 @@ def propose_cuts(df: DataFrame, targets: Iterable[Target]) -> dict[str, set[floa
     cuts: dict[str, set[float]] = {}
     for part in chunks(list(shared.items()), INTERVALS_PER_JOB):
         sketches = []
-        drawn = df.withColumn(DRAW, F.rand(17))
+        draw = f"draw_{uuid.uuid4().hex}"  # no column of the table
+        drawn = df.withColumn(draw, F.rand(17))
         for index, ((name, least, greatest), members) in enumerate(part):
             number = number_of(field_of(df.schema, name))
             taken = (number >= F.lit(least)) & (number <= F.lit(greatest))
             if members[0].inside > SAMPLE_ROWS:
-                taken = (F.col(DRAW) < SAMPLE_ROWS / members[0].inside) & taken
+                taken = (F.col(draw) < SAMPLE_ROWS / members[0].inside) & taken
             points = []
             for target in members:
                 spread = 0.5 / math.sqrt(min(SAMPLE_ROWS, target.inside)) + 1.0 / SKETCH_ACCURACY

@@ -90,12 +90,13 @@ VOTE_TYPE = "struct<stage_name:string,category:string,confidence:double,explanat
 Detector = tuple[str, Callable[[DataFrame], DataFrame]]
 
 
-def name_category(column_name: str) -> str:
-    """Category hinted at by a column name, or none."""
-    for category, parts in NAME_HINTS.items():
-        if re.search("|".join(map(re.escape, parts)), column_name, re.IGNORECASE):
-            return category
-    return NONE
+def name_hints(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """Rows (column, category, place): every category whose hints a column name holds, in the order of the hints."""
+    hints = [(place, category, part) for place, (category, parts) in enumerate(NAME_HINTS.items()) for part in parts]
+    listed = F.explode(F.array(*[F.struct(*map(F.lit, hint)).cast("struct<place:int,category:string,part:string>") for hint in hints]))
+    columns = spark.createDataFrame([(name,) for name in names], "column string").select("column", listed.alias("hint"))
+    held = columns.where(F.contains(F.lower("column"), F.col("hint.part")))
+    return held.select("column", "hint.category", "hint.place").distinct()
 
 
 # Characters that Python's strip() removes.
@@ -159,11 +160,13 @@ def pattern_votes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         "column", F.col("ratio").alias("ratio"), sure.alias("confidence"), order.alias("place"), "category",
         F.lit(BASES["value"]).alias("basis"),
     )
-    hints = [(name, name_category(name)) for name in names]
-    stated = [(name, 0.0, NAME_CONFIDENCE, 100, kind, BASES["name"]) for name, kind in hints if kind != NONE]
-    stated += [(name, 0.0, 0.0, 200, NONE, BASES["none"]) for name in names]
+    hints = name_hints(spark, names).select(
+        "column", F.lit(0.0).alias("ratio"), F.lit(NAME_CONFIDENCE).alias("confidence"), (F.col("place") + 100).alias("place"),
+        "category", F.lit(BASES["name"]).alias("basis"),
+    )
+    stated = [(name, 0.0, 0.0, 1_000, NONE, BASES["none"]) for name in names]
     schema = "column string, ratio double, confidence double, place long, category string, basis string"
-    candidates = forms.unionByName(spark.createDataFrame(stated, schema))
+    candidates = forms.unionByName(hints).unionByName(spark.createDataFrame(stated, schema))
     rank = F.struct(F.col("confidence"), F.col("ratio"), -F.col("place"))
     best = candidates.groupBy("column").agg(F.max_by(F.struct("category", "confidence", "basis"), rank).alias("vote"))
     votes = [(r["column"], *r["vote"]) for r in best.collect()]  # one row per column

@@ -8,6 +8,9 @@ of several independent steps in one aggregate and turns them into a small, JSON-
 from __future__ import annotations
 
 import json
+import re
+import uuid
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -247,15 +250,44 @@ def one_hot_positions(df: DataFrame, name: str, dictionary: DataFrame | None = N
     """
     found = value_dictionary(df, name) if dictionary is None else dictionary
     value, output = value_of(field_of(df.schema, name)), f"{name}_position"
+    hot_value, hot_place, own_value, place = (f"one_hot_{uuid.uuid4().hex}" for _ in range(4))
     total = df.count()
     counts = df.select(value.alias("value")).where("value is not null").groupBy("value").count()
     hot = counts.where(F.col("count") > max(1, total // 1_000)).select("value")
-    common = F.broadcast(found.join(hot, "value", "left_semi").select(F.col("value").alias("_hot"), F.col("position").alias("_at")))
-    marked = df.join(common, value == F.col("_hot"), "left")
-    rest = marked.where("_at is null").drop("_hot", "_at")
-    other = found.withColumnsRenamed({"value": "_value", "position": output})
-    rare = rest.join(other, value == F.col("_value"), "left").drop("_value")
-    return marked.where("_at is not null").withColumn(output, F.col("_at")).drop("_hot", "_at").unionByName(rare)
+    common = found.join(hot, "value", "left_semi").select(F.col("value").alias(hot_value), F.col("position").alias(hot_place))
+    marked = df.join(F.broadcast(common), value == F.col(hot_value), "left")
+    rest = marked.where(F.col(hot_place).isNull()).drop(hot_value, hot_place)
+    rare = rest.join(found.toDF(own_value, place), value == F.col(own_value), "left").drop(own_value)
+    often = marked.where(F.col(hot_place).isNotNull()).withColumn(place, F.col(hot_place)).drop(hot_value, hot_place)
+    return often.unionByName(rare).withColumnRenamed(place, output)
+
+
+def one_hot_vectors(df: DataFrame, name: str, dictionary: DataFrame | None = None) -> DataFrame:
+    """The table with `<name>_vector`, its one-hot row in sparse form: (size, indices, values).
+
+    `size` is the number of values in the dictionary; a missing or unknown value has no index. The form for columns
+    with very many values.
+    """
+    found = value_dictionary(df, name) if dictionary is None else dictionary
+    size, position, output = found.count(), F.col(f"`{name}_position`"), f"{name}_vector"
+    sparse = F.struct(
+        F.lit(size).cast("bigint").alias("size"),
+        F.array_compact(F.array(position)).alias("indices"),
+        F.array_compact(F.array(F.when(position.isNotNull(), F.lit(1.0)))).alias("values"),
+    )
+    return one_hot_positions(df, name, found).withColumn(output, sparse).drop(f"{name}_position")
+
+
+def cased_name(text: str) -> str:
+    """A name that tells upper from lower case though names are compared without it: `^` before what is not lower.
+
+    `plain_name` takes it back; a `^` of the text becomes two.
+    """
+    return "".join("^^" if c == "^" else c if c == c.lower() else f"^{c}" for c in text)
+
+
+def plain_name(name: str) -> str:
+    return re.sub(r"\^(.)", r"\1", name, flags=re.DOTALL)
 
 
 def fitted_columns(schema: T.StructType, fitted: Fitted) -> dict[str, Column]:
@@ -411,8 +443,9 @@ class StandardScale(_NumericTransformation):
 class OneHotEncode(Transformation):
     """One boolean column per distinct value, in sorted order; a missing value is false everywhere.
 
-    The values are all that occur, or the given ``values``; ``max_values`` refuses columns with more. For columns
-    with very many values use ``one_hot_positions``.
+    The values are all that occur, or the given ``values``; ``max_values`` refuses columns with more. Values that
+    differ by case only get names that say so, see ``cased_name``. For columns with very many values use
+    ``one_hot_vectors`` or ``one_hot_positions``.
     """
 
     def needs(self, schema: T.StructType, params: dict[str, Any]) -> Needs:
@@ -425,10 +458,14 @@ class OneHotEncode(Transformation):
         name = params["column"]
         values = [(v, _literal_text(v)) for v in params["values"]] if "values" in params else found.values[name]
         taken = {column.lower() for column in schema.fieldNames()}
+        folded = Counter(str(value).lower() for value, _ in values)  # column names ignore case
         outputs = []
         for value, text in values:
-            output = f"{name}_{value}"
-            if output.lower() in taken:  # column names ignore case
+            shown = str(value)
+            if folded[shown.lower()] > 1 or (f"{name}_{value}".lower() in taken and shown != shown.lower()):
+                shown = cased_name(shown)
+            output = f"{name}_{shown}"
+            if output.lower() in taken:
                 raise DataAccessError(f"Column '{output}' exists already, or differs from another by case only")
             taken.add(output.lower())
             outputs.append([output, text])

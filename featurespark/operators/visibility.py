@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Collection, Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,8 @@ from featurespark.functions.text import value_text
 
 PREVIEW_CAP = 5
 SAMPLE_SIZE = 20
+#: So many times the sample's rows are looked at first.
+HEAD_ROWS = 10
 
 
 def check_visible(df: DataFrame, columns: Iterable[str], hidden: Collection[str]) -> None:
@@ -57,33 +59,32 @@ def sample_values(
 ) -> dict[str, list[str]]:
     """The first ``size`` non-missing values of each column as text.
 
-    The first rows serve all columns that have few gaps there; each other column gets a read of
-    its own, which stops early when no order is asked for.
+    The first rows serve all columns that have few gaps there. The others are stacked, and every task sends the first
+    ``size`` values of each, so that one more read serves them all, however many there are and however sparse.
     """
     names = list(df.columns if columns is None else columns)
-
-    def first_rows(table: DataFrame, wanted: Sequence[str], rows: int) -> list:
-        ordered = table if order_by is None else table.orderBy(ref(order_by))
-        texts = []
-        for index, name in enumerate(wanted):
-            field = field_of(df.schema, name)
-            texts.append(F.when(value_of(field).isNotNull(), value_text(field)).alias(f"v{index}"))
-        return ordered.limit(rows).select(*texts).collect()
-
+    texts = []
+    for index, name in enumerate(names):
+        field = field_of(df.schema, name)
+        texts.append(F.when(value_of(field).isNotNull(), value_text(field)).alias(f"v{index}"))
+    ordered = df if order_by is None else df.orderBy(ref(order_by))
+    head = ordered.limit(HEAD_ROWS * size).select(*texts).collect()
     found: dict[str, list[str]] = {}
-    for rows in (size, 10 * size):
-        waiting = [name for name in names if name not in found]
-        if not waiting:
-            break
-        head = first_rows(df, waiting, rows)
-        for index, name in enumerate(waiting):
-            values = [row[index] for row in head if row[index] is not None]
-            if len(values) >= size or len(head) < rows:
-                found[name] = values[:size]
-    for name in names:
-        if name not in found:
-            gap_free = df.where(value_of(field_of(df.schema, name)).isNotNull())
-            found[name] = [row[0] for row in first_rows(gap_free, [name], size)]
+    for index, name in enumerate(names):
+        values = [row[index] for row in head if row[index] is not None]
+        if len(values) >= size or len(head) < HEAD_ROWS * size:
+            found[name] = values[:size]
+    sparse = [index for index, name in enumerate(names) if name not in found]
+    if sparse:
+        place = F.monotonically_increasing_id()
+        order = [F.lit(None) if order_by is None else ref(order_by), place]
+        rows = df.select(F.array(*[texts[index] for index in sparse]).alias("texts"), *[o.alias(f"o{k}") for k, o in enumerate(order)])
+        long = rows.select("o0", "o1", F.posexplode("texts").alias("column", "text")).where("text IS NOT NULL")
+        number = F.row_number().over(Window.partitionBy("column").orderBy("o0", "o1"))
+        for row in long.withColumn("number", number).where(F.col("number") <= size).collect():
+            found.setdefault(names[sparse[row["column"]]], []).append((row["number"], row["text"]))
+        for index in sparse:
+            found[names[index]] = [text for _, text in sorted(found.get(names[index], []))]
     return {name: found[name] for name in names}
 
 

@@ -9,10 +9,11 @@ from functools import reduce
 from operator import and_
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from featurespark.errors import DataAccessError
+from featurespark.functions.columns import ref
 from featurespark.operators.transforms import Fitted, WholeTableFunction, fit_steps, get_transformation
 from featurespark.operators.visibility import check_visible
 from featurespark.plans.table import TableHandle
@@ -111,6 +112,9 @@ class PlanRun:
     steps: list[StepResult]
     version_before: int
     version_after: int
+    #: Known after a validated run: rows computed, and missing values in the columns that a step added.
+    rows: int | None = None
+    missing: dict[str, int] = field(default_factory=dict)
 
     @property
     def executed(self) -> list[str]:
@@ -137,22 +141,40 @@ def run_plan(
     """Run the approved proposals in order, each as a version; a failing step is logged and the rest go on.
 
     ``approved`` holds names, one name, or "all"; by default nothing runs. Neighbouring steps that do not read each
-    other's output are fitted together in one scan. ``guard`` refuses steps that read blocked or sensitive columns.
-    ``validate`` computes the columns of each step at once, so that a failure on the data is logged where it happens
-    and the version taken back; else they are computed when read.
+    other's output are fitted together in one scan. ``guard`` refuses steps that read blocked or sensitive columns; only
+    the columns that steps read are judged. ``validate`` computes the columns of all steps in one read, which also
+    counts the missing values of each step's columns. If that read fails on the data the plan starts again, and each
+    step is computed at once, so that the failure is logged where it happens and the version taken back. Without it
+    columns are computed when read.
     """
     wanted = list(proposals)
     if approved != "all":
         names = {approved} if isinstance(approved, str) else set(approved)
         wanted = [proposal for proposal in wanted if proposal.name in names]
     start = table.version
+    steps, added = _run_steps(table, wanted, guard, validate=False)
+    if not validate or not added:
+        return PlanRun(steps, start, table.version)
+    try:
+        return PlanRun(steps, start, table.version, *_computed(table, steps, added))
+    except Exception:  # some step fails on the data: find out which
+        table.rollback(start)
+        steps, _ = _run_steps(table, wanted, guard, validate=True)
+        return PlanRun(steps, start, table.version)
+
+
+def _run_steps(
+    table: TableHandle, wanted: Sequence[Proposal], guard: bool, validate: bool
+) -> tuple[list[StepResult], dict[int, list[str]]]:
+    """The log of the steps, and the columns that each executed one wrote."""
     steps: list[StepResult] = []
+    added: dict[int, list[str]] = {}
     waiting = list(enumerate(wanted))
     while waiting:
         batch = _independent_prefix(table, [proposal for _, proposal in waiting], guard)
         fitted = _fit_batch(table, batch)
         for (index, proposal), ready in zip(waiting[: max(1, len(batch))], fitted or [None]):
-            before = table.version
+            before, columns = table.version, table.df.columns
             try:
                 if ready is None:
                     table.apply(proposal.operation, dict(proposal.params), guard=guard)
@@ -161,6 +183,7 @@ def run_plan(
                 if validate:
                     table.df.write.format("noop").mode("overwrite").save()
                 status, message = EXECUTED, EXECUTED_TEXT.format(name=proposal.name, operation=proposal.operation)
+                added[index] = [name for name in table.df.columns if name not in columns]
             except Exception as error:  # the log, not the caller, gets a step's failure
                 table.rollback(before)
                 status, message = FAILED, FAILED_TEXT.format(name=proposal.name, error=error)
@@ -168,12 +191,29 @@ def run_plan(
                 StepResult(index, proposal.name, proposal.operation, status, message, before, table.version)
             )
         waiting = waiting[max(1, len(batch)) :]
-    return PlanRun(steps, start, table.version)
+    return steps, added
+
+
+def _computed(table: TableHandle, steps: Sequence[StepResult], added: dict[int, list[str]]) -> tuple[int, dict[str, int]]:
+    """Compute all columns once: rows, and missing values in the columns that each step wrote."""
+    columns = set(table.df.columns)
+    watched = Observation()
+    counts = {step.name: [name for name in added.get(step.step, ()) if name in columns] for step in steps}
+    missing = [
+        sum((F.count_if(ref(name).isNull()) for name in names), F.lit(0).cast("bigint")).alias(f"m{index}")
+        for index, names in enumerate(counts.values())
+    ]
+    table.df.observe(watched, F.count("*").alias("rows"), *missing).write.format("noop").mode("overwrite").save()
+    found = watched.get
+    return found["rows"], {name: found[f"m{index}"] for index, name in enumerate(counts) if counts[name]}
 
 
 def _independent_prefix(table: TableHandle, proposals: Sequence[Proposal], guard: bool) -> list[Proposal]:
     """The longest run of leading steps that pass their checks and read only columns of the current version."""
-    schema, hidden, written, batch = table.df.schema, None, set(), []
+    schema, hidden, judged, written, batch = table.df.schema, set(), set(), set(), []
+    if guard:
+        judged = _inputs(proposals) & set(schema.fieldNames())
+        hidden = table.hidden_columns(judged)
     for proposal in proposals:
         try:
             step = get_transformation(proposal.operation)
@@ -184,7 +224,8 @@ def _independent_prefix(table: TableHandle, proposals: Sequence[Proposal], guard
                 break
             step.check(schema, proposal.params)
             if guard:
-                hidden = table.hidden_columns() if hidden is None else hidden
+                hidden |= table.hidden_columns(reads) if set(reads) - judged else set()
+                judged |= set(reads)
                 check_visible(table.df, reads, hidden)
         except Exception:  # runs, and fails, as a step of its own
             break
@@ -195,6 +236,17 @@ def _independent_prefix(table: TableHandle, proposals: Sequence[Proposal], guard
     return batch
 
 
+def _inputs(proposals: Sequence[Proposal]) -> set[str]:
+    """Columns that steps read; of a step that can't be asked, none."""
+    names: set[str] = set()
+    for proposal in proposals:
+        try:
+            names.update(get_transformation(proposal.operation).inputs(proposal.params))
+        except Exception:  # runs, and fails, as a step of its own
+            continue
+    return names
+
+
 def _fit_batch(table: TableHandle, batch: Sequence[Proposal]) -> list[Fitted] | None:
     if len(batch) < 2:
         return None

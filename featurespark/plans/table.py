@@ -37,7 +37,8 @@ from featurespark.operators.visibility import (
     sample_values,
     visible_columns,
 )
-from featurespark.sources.tables import write_snapshot
+from featurespark.session import remove_folder
+from featurespark.sources.tables import write_recipe, write_snapshot
 
 # Text of an error.
 NO_VERSION = "No such dataset version: {}"
@@ -58,17 +59,25 @@ class _Version:
     profiles: dict[str, ColumnProfile] = field(default_factory=dict)
     sensitive: dict[str, bool] = field(default_factory=dict)
     duplicates_marked: bool = False
+    base: str | None = None
+    folder: str | None = None
+    steps: tuple[Fitted, ...] = ()
 
 
 class TableHandle:
     """The only way through which a table's columns are read: summaries, capped previews, transformations.
 
     Versions are lazy plans, not copies. Profiles and classifications are computed when first asked
-    for and carried over to later versions for columns that did not change. With ``snapshot_path``
-    every version is written as Parquet and read back. Columns are judged by all their values; ``sample_size``
-    judges them by so many first values instead.
+    for and carried over to later versions for columns that did not change. Columns are judged by all their values;
+    ``sample_size`` judges them by so many first values instead.
+
+    With ``snapshot_path`` versions are kept. The table is written once; a fitted step is kept as its few numbers and
+    applied again when the version is read, and only functions on whole tables, and the ``COMPACT_AFTER``th step in a
+    row, write a table anew. ``remove_versions`` deletes what no kept version reads.
     """
 
+    COMPACT_AFTER = 50
+
     def __init__(
         self,
         df: DataFrame,
@@ -101,10 +110,12 @@ class TableHandle:
 
     # -- classification and guard
 
-    def sensitive(self) -> dict[str, bool]:
-        """Whether each column looks like personal data; only columns not yet judged are read."""
+    def sensitive(self, names: Iterable[str] | None = None) -> dict[str, bool]:
+        """Whether each column, or each of the named ones, looks like personal data; only columns not yet judged are
+        read."""
         state = self._versions[self.version]
-        missing = [name for name in state.df.columns if name not in state.sensitive]
+        asked = state.df.columns if names is None else [name for name in state.df.columns if name in set(names)]
+        missing = [name for name in asked if name not in state.sensitive]
         if missing:
             values = state.df.select(*[ref(name) for name in missing])
             if self._sample_size is not None:
@@ -117,10 +128,11 @@ class TableHandle:
                 values = sample_table(state.df, samples, unread)
             for row in aggregate_votes(values, self._detectors, self._threshold).collect():
                 state.sensitive[row["column_name"]] = row["is_sensitive"]
-        return {name: state.sensitive[name] for name in state.df.columns}
+        return {name: state.sensitive[name] for name in asked}
 
-    def hidden_columns(self) -> set[str]:
-        return self._blocked | {name for name, flag in self.sensitive().items() if flag}
+    def hidden_columns(self, names: Iterable[str] | None = None) -> set[str]:
+        """Blocked columns, and sensitive ones of the table or of the named columns."""
+        return self._blocked | {name for name, flag in self.sensitive(names).items() if flag}
 
     def visible_columns(self) -> list[str]:
         return visible_columns(self.df, self.hidden_columns())
@@ -162,7 +174,7 @@ class TableHandle:
         return profiles_to_frame(self._spark, [p for p in self._complete_profiles() if p.name in shown])
 
     def column_profile(self, column: str) -> DataFrame:
-        check_visible(self.df, [column], self.hidden_columns())
+        check_visible(self.df, [column], self.hidden_columns([column]))
         state = self._versions[self.version]
         profile = self._profiles([column])[0]
         if not state.duplicates_marked:
@@ -196,7 +208,7 @@ class TableHandle:
         self, columns: Sequence[str], max_rows: int | None = None, order_by: str | None = None
     ) -> DataFrame:
         order = order_by or self._order_by
-        return preview(self.df, columns, max_rows, self._preview_row_cap, self.hidden_columns(), order)
+        return preview(self.df, columns, max_rows, self._preview_row_cap, self.hidden_columns(columns), order)
 
     def analyze(self) -> dict[str, DataFrame | CorrelationSummary]:
         """Metadata, schema, visible profiles and correlation of the current version."""
@@ -220,7 +232,8 @@ class TableHandle:
         """
         step = get_transformation(name)
         if guard:
-            check_visible(self.df, step.inputs(params), self.hidden_columns())
+            inputs = step.inputs(params)
+            check_visible(self.df, inputs, self.hidden_columns(inputs))
             if isinstance(step, WholeTableFunction) and not step.declared and self.hidden_columns():
                 raise DataAccessError(f"'{name}' does not declare what it reads, and the table has hidden columns")
         if isinstance(step, WholeTableFunction):
@@ -229,24 +242,52 @@ class TableHandle:
 
     def apply_fitted(self, fitted: Fitted) -> int:
         changed = list(fitted_columns(self.df.schema, fitted))
-        return self._advance(apply_fitted(self.df, fitted), changed)
+        return self._advance(apply_fitted(self.df, fitted), changed, fitted)
 
-    def _advance(self, df: DataFrame, changed: list[str] | None) -> int:
+    def _advance(self, df: DataFrame, changed: list[str] | None, step: Fitted | None = None) -> int:
         """The next number after the current version; a version of that number left by a rollback is replaced."""
-        before = self._versions[self.version]
         number = self.version + 1
+        before, base, folder, steps = self._versions[self.version], None, None, ()
         if self._snapshot_path is not None:
-            df = write_snapshot(df, self._snapshot_path, self.dataset_id, number)
+            df, base, folder, steps = self._keep(df, number, step)
         kept = [] if changed is None else [name for name in df.columns if name not in changed]
         basics = {name: before.basics[name] for name in kept if name in before.basics}
         profiles = {
             name: replace(before.profiles[name], is_duplicate_of=None) for name in kept if name in before.profiles
         }
         sensitive = {name: before.sensitive[name] for name in kept if name in before.sensitive}
-        self._versions[number] = _Version(df, basics, profiles, sensitive)
+        self._versions[number] = _Version(df, basics, profiles, sensitive, base=base, folder=folder, steps=steps)
         self.version = number
         return number
 
+    def _keep(self, df: DataFrame, number: int, step: Fitted | None) -> tuple[DataFrame, str, str, tuple[Fitted, ...]]:
+        """Write the version: as one more step after the last whole table, or as a whole table."""
+        before = self._versions[self.version]
+        if step is not None and before.folder is None:
+            before.df, before.base = write_snapshot(before.df, self._snapshot_path, self.dataset_id, self.version)
+            before.folder = before.base
+        if step is not None and len(before.steps) + 1 < self.COMPACT_AFTER:
+            steps = (*before.steps, step)
+            folder = write_recipe(self._spark, self._snapshot_path, self.dataset_id, number, before.base, steps)
+            return apply_fitted(before.df, step), before.base, folder, steps
+        df, folder = write_snapshot(df, self._snapshot_path, self.dataset_id, number)
+        return df, folder, folder, ()
+
+    def remove_versions(self, keep: Iterable[int]) -> list[int]:
+        """Forget all versions but the current one and those to ``keep``, and delete what none of them reads.
+
+        Returns the numbers that are left.
+        """
+        kept = {self.version, *keep}
+        unknown = kept - set(self._versions)
+        if unknown:
+            raise DataAccessError(NO_VERSION.format(sorted(unknown)[0]))
+        gone = [self._versions.pop(number) for number in sorted(set(self._versions) - kept)]
+        read = {folder for state in self._versions.values() for folder in (state.base, state.folder)}
+        for folder in {folder for state in gone for folder in (state.base, state.folder) if folder} - read:
+            remove_folder(self._spark, folder)
+        return self.list_versions()
+
     def rollback(self, to_version: int) -> int:
         if to_version not in self._versions:
             raise DataAccessError(NO_VERSION.format(to_version))

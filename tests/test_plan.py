@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from featurespark import Proposal, TableHandle, read_plan, register, run_plan
 from featurespark.errors import DataAccessError
@@ -11,9 +12,9 @@ from featurespark.plans.plan import approved_names, parse_plan, run_summary
 from featurespark.plans.report import pair_lines, profile_lines, report, report_sections
 from featurespark.operators.profile import profile_table
 
-LOG_STEP = {
-    "name": "income_log", "operation": "log_transform", "source_columns": ["income"],
-    "rationale": "incomes spread over several powers of ten", "risk_level": "medium", "params": {"column": "income"},
+AGES_STEP = {
+    "name": "age_groups", "operation": "binning", "source_columns": ["age"],
+    "rationale": "four groups are enough", "risk_level": "medium", "params": {"column": "age", "bins": 4},
 }
 
 
@@ -27,21 +28,21 @@ def numbers(people):
 
 
 def test_plan_texts(spark):
-    assert parsed(spark, json.dumps([LOG_STEP])) == [
-        Proposal("income_log", "log_transform", ["income"], LOG_STEP["rationale"], "medium", {"column": "income"})
+    assert parsed(spark, json.dumps([AGES_STEP])) == [
+        Proposal("age_groups", "binning", ["age"], AGES_STEP["rationale"], "medium", {"column": "age", "bins": 4})
     ]
-    assert parsed(spark, f"```json\n{json.dumps([LOG_STEP])}\n```") == parsed(spark, json.dumps([LOG_STEP]))
+    assert parsed(spark, f"```json\n{json.dumps([AGES_STEP])}\n```") == parsed(spark, json.dumps([AGES_STEP]))
     for text in ("not json", "", "{}", json.dumps({"a": 1}), "[]"):
         assert parsed(spark, text) == []
-    incomplete = [{key: value for key, value in LOG_STEP.items() if key != missing} for missing in LOG_STEP]
-    assert len(parsed(spark, json.dumps([*incomplete, LOG_STEP]))) == 3  # risk_level and params may be left out
-    binned = {**LOG_STEP, "params": {"column": "income", "bins": [0, 1.5, 3], "new_column": "5"}}
+    incomplete = [{key: value for key, value in AGES_STEP.items() if key != missing} for missing in AGES_STEP]
+    assert len(parsed(spark, json.dumps([*incomplete, AGES_STEP]))) == 3  # risk_level and params may be left out
+    binned = {**AGES_STEP, "params": {"column": "income", "bins": [0, 1.5, 3], "new_column": "5"}}
     assert parsed(spark, json.dumps([binned]))[0].params == {"column": "income", "bins": [0, 1.5, 3], "new_column": "5"}
 
 
 def test_plan_file(spark, tmp_path):
-    (tmp_path / "plan.json").write_text(json.dumps([LOG_STEP], indent=1))
-    assert [proposal.name for proposal in read_plan(spark, str(tmp_path / "plan.json"))] == ["income_log"]
+    (tmp_path / "plan.json").write_text(json.dumps([AGES_STEP], indent=1))
+    assert [proposal.name for proposal in read_plan(spark, str(tmp_path / "plan.json"))] == ["age_groups"]
 
 
 def test_decisions():
@@ -55,15 +56,15 @@ def test_decisions():
 
 
 def test_approved_plan_runs(spark, numbers):
-    run = run_plan(numbers, parsed(spark, json.dumps([LOG_STEP])), "income_log")
-    assert (run.executed, run.version_before, run.version_after) == (["income_log"], 0, 1)
-    assert run.log == ["Executed 'income_log' via log_transform"]
-    assert run_summary(run) == "Executed 1 feature(s): income_log. Dataset moved from version 0 to 1."
+    run = run_plan(numbers, parsed(spark, json.dumps([AGES_STEP])), "age_groups")
+    assert (run.executed, run.version_before, run.version_after) == (["age_groups"], 0, 1)
+    assert run.log == ["Executed 'age_groups' via binning"]
+    assert run_summary(run) == "Executed 1 feature(s): age_groups. Dataset moved from version 0 to 1."
     assert run.log_table(spark).first()["status"] == "executed"
 
 
 def test_rejected_plan_changes_nothing(spark, numbers):
-    run = run_plan(numbers, parsed(spark, json.dumps([LOG_STEP])))
+    run = run_plan(numbers, parsed(spark, json.dumps([AGES_STEP])))
     assert run.steps == [] and numbers.version == 0
     assert run_summary(run) == "Executed 0 feature(s): none. Dataset moved from version 0 to 0."
     assert run_summary(None) == "No transformations were executed this round."
@@ -107,10 +108,10 @@ def test_shared_fits_equal_single_steps(people, monkeypatch):
 
 
 def test_items_are_judged_one_by_one(spark):
-    text = json.dumps([LOG_STEP, 5, {**LOG_STEP, "name": "listed", "params": [1]}, {**LOG_STEP, "name": "typed",
+    text = json.dumps([AGES_STEP, 5, {**AGES_STEP, "name": "listed", "params": [1]}, {**AGES_STEP, "name": "typed",
                        "params": {"value": "true", "bins": "1e3", "empty": "null", "flag": True, "n": 3}}])
     found = {p.name: p.params for p in parsed(spark, text)}
-    assert set(found) == {"income_log", "typed"}
+    assert set(found) == {"age_groups", "typed"}
     assert found["typed"] == {"value": "true", "bins": "1e3", "empty": "null", "flag": True, "n": 3}
 
 
@@ -169,3 +170,28 @@ def test_report_within_a_budget(people):
     assert not truncated and "email" not in text
     short, used, cut = report(sections, 60, 20)
     assert cut and used <= 40 and "Column profiles" not in short and "Plan!" in short
+
+
+def test_validation_computes_all_steps_in_one_read(spark, people):
+    counter = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        counter.add(1)
+        return x
+
+    seen = F.udf(counted, "double")
+    df = people.select("age", "income").coalesce(1).withColumn("income", seen(F.col("income").cast("double")))
+    plan = steps(*[("log_transform", {"column": "income", "new_column": f"log{k}"}) for k in range(5)], ("ratio", {"numerator": "income", "denominator": "age"}))
+    table = TableHandle(df)
+    run = run_plan(table, plan, "all", guard=False, validate=True)
+    assert len(run.executed) == 6 and table.version == 6
+    # One row is read for each of the 12; the projections on it may ask for the value again.
+    assert counter.value <= 12 * 7
+    assert run.rows == 12 and list(run.missing.values()) == [0, 0, 0, 0, 0, 1]
+
+
+def test_only_read_columns_are_judged(spark, people):
+    table = TableHandle(people)
+    run = run_plan(table, steps(("log_transform", {"column": "income"})), "all")
+    assert len(run.executed) == 1
+    assert set(table._versions[0].sensitive) == {"income"}

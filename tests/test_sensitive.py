@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from featurespark.errors import DataAccessError
-from featurespark.operators.sensitive import PATTERN_DETECTOR, aggregate_votes, match_ratios, name_category
+from featurespark.operators.sensitive import PATTERN_DETECTOR, aggregate_votes, match_ratios, name_hints
 from featurespark.operators.visibility import sample_table, sample_values
 
 
@@ -21,8 +21,13 @@ def judge(spark, name, values, **options):
         ("Surname", "name"), ("imei", "device_id"),
     ],
 )
-def test_names(name, category):
-    assert name_category(name) == category
+def test_names(spark, name, category):
+    assert judge(spark, name, ["-"])["category"] == category
+
+
+def test_names_hold_several_hints(spark):
+    found = {(r["column"], r["category"]) for r in name_hints(spark, ["email_address", "x"]).collect()}
+    assert found == {("email_address", "email"), ("email_address", "address")}
 
 
 @pytest.mark.parametrize(

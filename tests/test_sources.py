@@ -12,7 +12,7 @@ from featurespark.errors import DataAccessError, FeatureSparkError
 from featurespark.functions.text import double_text, token_estimate, value_text
 from featurespark.operators.transforms import apply_fitted, get_transformation
 from featurespark.session import cut_lineage, shared_folder
-from featurespark.sources.csv import read_csv
+from featurespark.sources.csv import inferred_kinds, read_csv, split_records
 from featurespark.streaming.apply import transform_stream, write_stream
 
 CSV = '''id,count,price,flag,text,empty,big,inf,mixed
@@ -62,6 +62,65 @@ def test_csv_columns_go_by_name_and_quotes_hold_line_breaks(spark, tmp_path):
         read_csv(spark, str(path), "c int")
 
 
+def messy_csv(seed, rows=120, end="\n"):
+    """Records with quotes, doubled quotes, separators and line breaks inside of values, blank lines, long values."""
+    rng = random.Random(seed)
+    pieces = ["x", "y z", '"', ",", "\n", "\n\n", "été", '""', "1", ""]
+    records = []
+    for i in range(rows):
+        cells = ["".join(rng.choice(pieces) for _ in range(rng.randrange(5))) for _ in range(2)]
+        cells[1] += "long\n" * 40 if i % 29 == 7 else ""
+        records.append([str(i), *cells])
+    text = "\n".join(",".join('"' + c.replace('"', '""') + '"' if set(c) & set('",\n') else c for c in r) for r in [["id", "a", "b\nb"], *records])
+    return (text + "\n\n").replace("\n", end)
+
+
+@pytest.mark.parametrize(("size", "end"), [(37, "\n"), (400, "\n"), (90, "\r\n"), (1 << 20, "\n")])
+def test_csv_in_byte_ranges_equals_one_task(spark, tmp_path, size, end):
+    for seed in (1, 2):
+        (tmp_path / f"{seed}.csv").write_bytes(messy_csv(seed, end=end).encode())
+    expected = spark.read.options(header="true", escape='"', multiLine="true").csv(str(tmp_path))
+    before = {key: spark.conf.get(key) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        found = read_csv(spark, str(tmp_path), missing_words=())
+        assert found.columns == expected.columns and len(found.columns) == 3
+        if size < 1000:
+            assert found.rdd.getNumPartitions() > 10
+        rows = sorted((int(r[0]), r[1] or "", r[2] or "") for r in found.collect())
+        assert rows == sorted((int(r[0]), r[1] or "", r[2] or "") for r in expected.collect())
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize(
+    "text", ['a,b\n1,5" pipe\n2,6" pipe\n3,"x\ny"\n', 'a,b\n1,"odd\n', 'a,b\n1,x"y\n2,"z"\n', 'a,b\n1,"p" q\n2,r\n']
+)
+def test_csv_with_other_quotes_is_read_by_one_task(spark, tmp_path, text):
+    path = tmp_path / "odd.csv"
+    path.write_text(text)
+    expected = spark.read.options(header="true", escape='"', multiLine="true").csv(str(path)).collect()
+    assert split_records(spark, str(path)) is None
+    assert [r["b"] for r in read_csv(spark, str(path)).collect()] == [r["b"] for r in expected]
+
+
+def test_csv_types_of_many_columns_in_one_read(spark, tmp_path):
+    cells = [("i", "7"), ("d", "1.5"), ("b", "true"), ("t", "x"), ("e", "")]
+    path = tmp_path / "wide.csv"
+    header = ",".join(f"{kind}{k}" for k in range(24) for kind, _ in cells)
+    path.write_text(header + "\n" + (",".join(v for _ in range(24) for _, v in cells) + "\n") * 3)
+    tracker, group = spark.sparkContext.statusTracker(), "one read"
+    text = spark.read.option("header", "true").csv(str(path))
+    spark.sparkContext.setJobGroup(group, "")
+    kinds = inferred_kinds(text)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup(group)) <= 2  # the read, and the rows that it sent
+    want = {"i": "integer", "d": "double", "b": "boolean", "t": "text", "e": "double"}
+    assert kinds == {name: want[name[0]] for name in header.split(",")}
+
+
 NUMBERS = [
     0.0, 1.0, -1.5, 1e7, 12345678.9, 1e15, 1e16, 1.5e16, 1e-3, 1e-4, 1.5e-4, 1e-5, -2.5e-7, 1e100,
     1.7976931348623157e308, math.inf, -math.inf, 0.1, 9999999.0, -12345678.25, 1e22,

@@ -3,7 +3,9 @@ from __future__ import annotations
 import pytest
 
 from featurespark import DataAccessError, PolicyViolationError, TableHandle
+from featurespark.operators.transforms import CATALOGUE, register
 from featurespark.operators.visibility import preview
+from featurespark.sources.tables import read_version
 
 
 def test_sensitive_columns_are_hidden(people):
@@ -105,6 +107,54 @@ def test_snapshots(people, tmp_path):
     assert table.df.inputFiles() and table.df.count() == 12
 
 
+def size(folder):
+    return sum(x.stat().st_size for x in folder.rglob("*") if x.is_file())
+
+
+def test_versions_cost_their_steps_only(spark, tmp_path):
+    rows = spark.range(0, 20_000, 1, 2).selectExpr("id", "rand(1) AS a", "rand(2) AS b")
+    table = TableHandle(rows, snapshot_path=str(tmp_path))
+    for k in range(10):
+        table.apply("log_transform", {"column": "a", "new_column": f"log{k}"})
+    kept = tmp_path / table.dataset_id
+    whole = size(next(kept.glob("version=0-*")))
+    assert size(kept) < 1.2 * whole
+    again = read_version(spark, str(next(kept.glob("version=10-*"))))
+    assert again.columns == table.df.columns
+    assert sorted(again.collect()) == sorted(table.df.collect())
+    # The values don't change when the source does: they come from the snapshot.
+    assert table.df.where("a <> b").count() == 20_000 and table.df.inputFiles()
+
+
+def test_removed_versions(spark, people, tmp_path):
+    register("shuffled_rows", reads=["column"])(lambda df, params: df.orderBy(params["column"]))
+    table = TableHandle(people.select("age", "income"), snapshot_path=str(tmp_path))
+    table.apply("log_transform", {"column": "income"})
+    table.apply("shuffled_rows", {"column": "income"}, guard=False)
+    table.apply("standard_scale", {"column": "income"})
+    kept = tmp_path / table.dataset_id
+    with pytest.raises(DataAccessError):
+        table.remove_versions([7])
+    assert table.remove_versions([2]) == [2, 3] == table.list_versions()
+    assert {x.name.split("-")[0] for x in kept.iterdir()} == {"version=2", "version=3"}
+    assert table.df.count() == 12 and table.rollback(2) == 2 and table.df.count() == 12
+    with pytest.raises(DataAccessError):
+        table.rollback(1)
+    table.rollback(3)
+    assert table.remove_versions([]) == [3]
+    assert {x.name.split("-")[0] for x in kept.iterdir()} == {"version=2", "version=3"}  # version 3 reads the table of 2
+    del CATALOGUE["shuffled_rows"]
+
+
+def test_long_chains_of_steps_end_in_a_table(people, tmp_path, monkeypatch):
+    monkeypatch.setattr(TableHandle, "COMPACT_AFTER", 3)
+    table = TableHandle(people.select("income"), snapshot_path=str(tmp_path))
+    for k in range(7):
+        table.apply("log_transform", {"column": "income", "new_column": f"log{k}"})
+    assert [len(table._versions[k].steps) for k in range(8)] == [0, 1, 2, 0, 1, 2, 0, 1]
+    assert len(table.df.columns) == 8 and table.df.count() == 12
+
+
 def test_size_and_analysis(spark):
     df = spark.createDataFrame([("ab", 1, True), ("é", 2, None), (None, 3, False)], "s string, n bigint, b boolean")
     table = TableHandle(df)

@@ -16,7 +16,10 @@ from featurespark.operators.transforms import (
     fit_steps,
     get_transformation,
     list_transformations,
+    cased_name,
     one_hot_positions,
+    one_hot_vectors,
+    plain_name,
     register,
     transform,
 )
@@ -209,6 +212,28 @@ def test_apply_is_a_projection(spark):
     assert "Exchange" not in plan and "Python" not in plan and "Window" not in plan
 
 
+def test_one_hot_of_values_that_differ_by_case(spark):
+    df = spark.createDataFrame([("Yes",), ("yes",), ("YES",), ("no",), ("^No",), (None,)], "s string").coalesce(1)
+    out = transform(df, "one_hot_encode", {"column": "s"})
+    assert out.columns == ["s", "s_^Y^E^S", "s_^Yes", "s_^No", "s_no", "s_yes"]
+    ones = [[c for c in out.columns[1:] if r[c]] for r in out.collect()]
+    assert ones == [["s_^Yes"], ["s_yes"], ["s_^Y^E^S"], ["s_no"], ["s_^No"], []]
+    taken = transform(df.withColumn("s_yes", F.lit(1)).where("s = 'Yes'"), "one_hot_encode", {"column": "s"})
+    assert taken.columns == ["s", "s_yes", "s_^Yes"]
+    for text in ("Yes", "yes", "^", "a^B", "İß", "^^A"):
+        assert plain_name(cased_name(text)) == text
+    assert len({cased_name(x).lower() for x in ("Yes", "yes", "YES", "^Yes", "^yes")}) == 5
+
+
+def test_one_hot_on_tables_with_any_column_names(spark):
+    df = spark.createDataFrame([("a", 1, 2, 3, 4), ("b", 5, 6, 7, 8), (None, 0, 0, 0, 0)], "_value string, _at int, _hot int, value int, position int")
+    found = {r["_value"]: r for r in one_hot_positions(df, "_value").collect()}
+    assert {k: r["_value_position"] for k, r in found.items()} == {"a": 0, "b": 1, None: None}
+    assert tuple(found["b"])[:5] == ("b", 5, 6, 7, 8)
+    vectors = {r["_value"]: r["_value_vector"] for r in one_hot_vectors(df, "_value").collect()}
+    assert {k: tuple(v) for k, v in vectors.items()} == {"a": (2, [0], [1.0]), "b": (2, [1], [1.0]), None: (2, [], [])}
+
+
 def test_one_hot_of_many_values(spark):
     df = spark.createDataFrame([(i, None if i % 10 == 0 else f"v{i % 700:04}") for i in range(4000)], "k int, v string")
     assert len(transform(df, "one_hot_encode", {"column": "k"}).columns) == 4002
