@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurespark.session import shared_folder
+from featurespark.session import remove_folder, shared_folder
 
 #: Characters that one step inside a task handles at once; it bounds memory, not what is read.
 BATCH_CHARS = 1_000_000
@@ -45,19 +45,28 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self._spark, self._paths = spark, []
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = work_path(self._spark, name)
-        self._paths.append(path)
-        df.write.parquet(path)
+    def table(self, df: DataFrame, name: str, *folders: str) -> DataFrame:
+        """The table as written; `folders` names columns whose values get folders of their own."""
+        path = self._path(name)
+        df.write.partitionBy(*folders).parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
+    def table_of(self, parts: Iterable[DataFrame], schema: str, name: str) -> DataFrame:
+        """Parts written one after the other into one table."""
+        path = self._path(name)
+        for part in parts:
+            part.write.mode("append").parquet(path)
+        return self._spark.read.schema(schema).parquet(path)
+
+    def _path(self, name: str) -> str:
+        self._paths.append(work_path(self._spark, name))
+        return self._paths[-1]
+
     def result(self, df: DataFrame, name: str) -> DataFrame:
         """Write the result and remove everything that led to it."""
         written = work_table(df, name)
-        context = self._spark.sparkContext
         for path in self._paths:
-            place = context._jvm.org.apache.hadoop.fs.Path(path).getParent()
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+            remove_folder(self._spark, path.rsplit("/", 1)[0])
         self._paths.clear()
         return written
 

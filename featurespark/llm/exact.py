@@ -91,37 +91,49 @@ def repeated_filter(digests: DataFrame, segments: int) -> DataFrame:
     return dealt.mapInArrow(merged, "segment long, bits binary")
 
 
-def _probe(digests: DataFrame, filters: DataFrame, segments: int) -> DataFrame:
-    """Second pass: mark the rows whose places are all repeated, as many segments at a time as may be broadcast."""
-    context = digests.sparkSession.sparkContext
+def _probe(digests: DataFrame, filters: DataFrame, segments: int, work: Scratch) -> DataFrame:
+    """Second pass: mark the rows whose places are all repeated, as many segments at a time as may be broadcast.
+
+    When the filter takes several rounds the digests are written once more, each row to the folder of its round, without
+    a shuffle; a round reads its own folder, so that every digest is read a fixed number of times at any size.
+    """
+    spark, kind = digests.sparkSession, digests.schema["doc_id"].dataType.simpleString()
+    context = spark.sparkContext
     each = max(1, ROUND_BYTES // (SEGMENT_BITS // 8))
-    out = None
-    for low in range(0, segments, each):
+    rounds, schema = range(0, segments, each), f"doc_id {kind}, row long, sha binary, maybe boolean"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            segment = _places(batch.column(3).to_numpy().astype(np.uint64), segments)[0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(segment // each)], [*batch.schema.names, "round"])
+
+    def probed(rows: DataFrame, low: int) -> DataFrame:
         found = filters.filter((F.col("segment") >= low) & (F.col("segment") < low + each)).collect()
         held = context.broadcast({r.segment: bytes(r.bits) for r in found})
 
-        def task(batches: Iterator[pa.RecordBatch], low: int = low, held=held) -> Iterator[pa.RecordBatch]:
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = sorted(held.value)
             table = np.frombuffer(b"".join(held.value[n] for n in names), np.uint8).reshape(len(names), SEGMENT_BITS // 8)
             row_of = np.full(each, -1, np.int64)
             row_of[np.array(names, np.int64) - low] = np.arange(len(names))
             for batch in batches:
                 segment, places = _places(batch.column(3).to_numpy().astype(np.uint64), segments)
-                here = np.flatnonzero((segment >= low) & (segment < low + each))
-                row = row_of[segment[here] - low]
+                row = row_of[segment - low]
                 maybe = row >= 0
                 if len(names):
-                    for place in places[:, here]:
+                    for place in places:
                         maybe &= (table[row, place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-                kept = batch.take(pa.array(here))
-                yield pa.RecordBatch.from_arrays(
-                    [*kept.columns[:3], pa.array(maybe)], ["doc_id", "row", "sha", "maybe"]
-                )
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(maybe)], ["doc_id", "row", "sha", "maybe"])
+
+        return rows.mapInArrow(task, schema)
 
-        kind = digests.schema["doc_id"].dataType.simpleString()
-        part = digests.mapInArrow(task, f"doc_id {kind}, row long, sha binary, maybe boolean")
-        out = part if out is None else out.unionByName(part)
-    return out
+    if len(rounds) == 1:
+        return work.table(probed(digests, 0), "probed")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in digests.schema.fields)
+    dealt = work.table(digests.mapInArrow(deal, f"{fields}, round long"), "dealt", "round")
+    return work.table_of(
+        (probed(dealt.filter(F.col("round") == r).select(*digests.columns), low) for r, low in enumerate(rounds)), schema, "probed"
+    )
 
 
 def exact_groups(
@@ -140,7 +152,7 @@ def exact_groups(
     total = digests.count()
     segments = max(1, -(-total * BITS_PER_DOCUMENT // SEGMENT_BITS))
     filters = work.table(repeated_filter(digests, segments), "filter")
-    probed = work.table(_probe(digests, filters, segments), "probed")
+    probed = _probe(digests, filters, segments, work)
     alone = probed.filter("not maybe").select(
         "doc_id", "row", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "sha",

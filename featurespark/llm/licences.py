@@ -17,13 +17,29 @@ TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("CC-BY-3.0", "Licensed under CC BY 3.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-3.0", "Licensed under CC BY-SA 3.0."),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0 Universal."),
@@ -33,6 +49,10 @@ TEMPLATES = (
 #: Passages of licence texts and file headers that the notices above don't tell apart or don't reach; looked for as
 #: passages only. Of licences whose passages overlap the one most alike counts.
 PASSAGES = (
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("GPL-2.0", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("LGPL-2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
     ("LGPL-3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License"),
     ("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
@@ -42,6 +62,9 @@ PASSAGES = (
     ("CC-BY-NC-4.0", "You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-NonCommercial 4.0 International Public License"),
 )
 
+#: Licences whose texts hold the whole text of another one, which isn't named beside them.
+HOLDS = {"BSD-3-Clause": "BSD-2-Clause"}
+
 #: Bigrams alike, in hundredths of the Dice coefficient.
 LEAST_PERCENT = 80
 
@@ -89,14 +112,21 @@ class Scanner:
         self._known = frozenset().union(*(w for _, w in self._sought))
 
     def unit(self, words: list[bytes], found: dict[str, tuple[float, int]]) -> dict[str, float]:
-        """Add what one line or text matches: the best coefficient and the number of matches by licence. Its own ones."""
-        had, names = _bigrams(words, self._most), {}
+        """Add what one line or text is most alike: coefficient and number of templates by licence. Its own ones.
+
+        Versions of one licence have much in common, so only the licence of the best template counts; of equal ones all.
+        """
+        had, alike = _bigrams(words, self._most), []
         for name, wanted in self._fits.get(len(had), ()):
             common, both = len(had & wanted), len(had) + len(wanted)
             if 200 * common >= self._percent * both:
+                alike.append((name, 2 * common / both))
+        top = max((dice for _, dice in alike), default=0.0)
+        names = {name: dice for name, dice in alike if dice == top}
+        for name, dice in alike:
+            if name in names:
                 best, n = found.get(name, (0.0, 0))
-                found[name] = max(best, 2 * common / both), n + 1
-                names[name] = max(names.get(name, 0.0), 2 * common / both)
+                found[name] = max(best, dice), n + 1
         return names
 
     def _windows(self, words: list[bytes], hits: list[int], wanted: frozenset) -> Iterator[tuple[float, int, int]]:
@@ -165,6 +195,9 @@ class Scanner:
             whole = self.unit([w for words in lines for w in words], found)
             taken = [names | whole for names in taken] if whole else taken
         self.passages(lines, taken, found)
+        for name, held in HOLDS.items():
+            if name in found:
+                found.pop(held, None)
         return found
 
 
@@ -180,7 +213,8 @@ def scan_licences(
     matches is searched for passages of any words next to each other, over the ends of lines too, that are as much
     alike (see Scanner.passages). A text that begins and ends elsewhere than a notice thus still counts. The Dice coefficient is twice the
     common bigrams over all bigrams of both; as common ones are at most the smaller set, a unit is compared only with
-    templates whose size leaves `percent` in reach, and its bigrams are counted only as far as any template goes.
+    templates whose size leaves `percent` in reach, and its bigrams are counted only as far as any template goes. Of
+    several licences that one unit is like, the most alike counts.
     `dice` is the best of a licence in a document, n_units counts its units and passages in reach. Null, empty and one-word texts
     match nothing; rows with equal ids count as one document; an empty table gives no rows.
     """
@@ -216,15 +250,18 @@ def licence_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int
         ),
         line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t FROM documents),
         unit AS (
-            SELECT * FROM line
-            UNION ALL
-            SELECT doc_id, text FROM documents WHERE contains(text, chr(10))
+            SELECT row_number() OVER () AS u, * FROM (
+                SELECT * FROM line
+                UNION ALL
+                SELECT doc_id, text FROM documents WHERE contains(text, chr(10)))
         ),
-        had AS (SELECT doc_id, {pairs} AS had FROM (SELECT doc_id, {words} AS w FROM unit)),
+        had AS (SELECT u, doc_id, {pairs} AS had FROM (SELECT u, doc_id, {words} AS w FROM unit)),
         scored AS (
-            SELECT doc_id, license, len(list_intersect(had, wanted)) AS c, len(had) + len(wanted) AS s
+            SELECT u, doc_id, license, len(list_intersect(had, wanted)) AS c, len(had) + len(wanted) AS s
             FROM had JOIN template ON len(had) BETWEEN len(wanted) / 2 AND len(wanted) * 2 AND len(had) > 0
-        )
-        SELECT doc_id, license, max(CAST(2 * c AS DOUBLE) / s) AS dice, count(*) AS n_units
-        FROM scored WHERE 200 * c >= {percent} * s GROUP BY doc_id, license
+        ),
+        alike AS (SELECT *, CAST(2 * c AS DOUBLE) / s AS dice FROM scored WHERE 200 * c >= {percent} * s),
+        first AS (SELECT *, max(dice) OVER (PARTITION BY u, license) AS own, max(dice) OVER (PARTITION BY u) AS top FROM alike)
+        SELECT doc_id, license, max(dice) AS dice, count(*) AS n_units
+        FROM first WHERE own = top GROUP BY doc_id, license
     """
