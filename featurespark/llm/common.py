@@ -93,8 +93,12 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
 
 
 def without_rows(held: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
-    """The numbered table without the rows named by the one column of `dropped`, and without their numbers."""
-    return held.join(dropped.toDF(row), row, "left_anti").drop(row)
+    """The numbered table without the rows named by the one column of `dropped`, and without their numbers.
+
+    The dropped numbers are written down first: Spark then knows their size, and sends them to the documents while they
+    are few, else it joins by a shuffle.
+    """
+    return held.join(work_table(dropped.toDF(row), "dropped"), row, "left_anti").drop(row)
 
 
 def slices(texts: Sequence[str | None], most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:

@@ -207,8 +207,8 @@ def _across(open_: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -
     return full.groupBy("first_key", "low", "high").applyInPandas(group, "u long, v long")
 
 
-def _sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """The full sets of the rows that take part in a pair."""
+def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """The full sets of the rows that take part in a pair, by `wanted` (row, digest), whose size Spark can see."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -222,7 +222,6 @@ def _sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                     [batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "members"]
                 )
 
-    wanted = nodes.select(F.col("node").alias("row"), "digest")
     return rows.join(wanted, "row").select("row", "text", "digest").mapInArrow(task, "node long, members binary")
 
 
@@ -275,7 +274,8 @@ def near_groups(
         F.col("lead.node").alias("u"), F.col("node").alias("v"), F.col("lead.size").alias("u_size"), F.col("size").alias("v_size")
     )
     stars = work.table(stars.filter(fits).select("u", "v").distinct(), "stars")
-    sets = _sets(rows, nodes.join(members.select("node").distinct(), "node"), width)
+    wanted = nodes.join(members.select("node").distinct(), "node").select(F.col("node").alias("row"), "digest")
+    sets = _sets(rows, work.table(wanted, "wanted"), width)
     sets = work.table(sets, "sets")
     links = work.table(_confirmed(stars, sets, percent), "links")
     first = components(links)
