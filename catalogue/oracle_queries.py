@@ -105,6 +105,13 @@ ORACLES["profile_categorical"] = """WITH o AS (
 )
 
 
+ORACLES["profile_texts"] = "WITH turns AS (SELECT role, text AS said FROM conversations)\n" + union(
+    [categorical_profile("documents", c, "string") for c in ("text", "lang", "source")]
+    + [categorical_profile("pages", c, "string") for c in ("url", "html")]
+    + [categorical_profile("turns", c, "string") for c in ("role", "said")]
+)
+
+
 def histogram(column: str) -> str:
     return f"""SELECT '{column}' AS name, bin, round(low, 6) AS low_edge, round(high, 6) AS high_edge,
   (SELECT count(*) FROM lineitem WHERE {column}::DOUBLE > low AND {column}::DOUBLE <= high) AS row_count
@@ -486,6 +493,10 @@ FROM t, {bounds('t', 'l_quantity', 'b')}"""
 ORACLES["version_snapshot"] = """WITH v AS (SELECT event_id, value, ln(1 + greatest(value, 0)) AS logged FROM events)
 SELECT event_id, value, round(logged, 6) AS value_log,
   round((logged - avg(logged) OVER ()) / stddev_samp(logged) OVER (), 6) AS value_log_scaled FROM v"""
+ORACLES["version_steps"] = f"""WITH v AS (SELECT event_id, value, ln(1 + greatest(value, 0)) AS logged FROM events)
+SELECT event_id, value, round(logged, 6) AS value_log,
+  round((logged - avg(logged) OVER ()) / stddev_samp(logged) OVER (), 6) AS value_log_scaled,
+  {equal_width('value', 4)} AS value_bin, 2::BIGINT AS versions_left FROM v, {bounds('events', 'value', 'b')}"""
 ORACLES["csv_source"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 1 THEN o_custkey END AS customer,
   CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price, o_totalprice > 250000 AS is_large,
   o_orderpriority || ', "so"' || chr(10) || 'and so' AS priority, o_orderdate::VARCHAR AS ordered FROM orders"""
@@ -556,6 +567,13 @@ SELECT 'note' AS name, least(0.95, 0.5 + 0.45 * hits / n) >= 0.6 AND hits > 0 AS
 UNION ALL SELECT 'o_orderstatus', false, 0, 0.0"""
 ORACLES["one_hot_many"] = """SELECT l_orderkey, l_linenumber, l_partkey,
   dense_rank() OVER (ORDER BY l_partkey) - 1 AS l_partkey_position FROM lineitem"""
+ORACLES["one_hot_cases"] = """WITH o AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'yes' WHEN 2 THEN 'YES'
+  ELSE 'no' END AS answer FROM orders)
+SELECT *, answer = 'YES' AS "answer_^Y^E^S", answer = 'Yes' AS "answer_^Yes", answer = 'no' AS answer_no,
+  answer = 'yes' AS answer_yes FROM o"""
+ORACLES["one_hot_names"] = """SELECT l_orderkey, l_linenumber AS _at, l_quantity AS _hot, l_suppkey AS _value,
+  (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS vector_size, dense_rank() OVER (ORDER BY l_suppkey) - 1 AS vector_index,
+  1.0::DOUBLE AS vector_value FROM lineitem"""
 ORACLES["date_features_formats"] = """SELECT o_orderkey,
   CASE WHEN o_orderkey % 10 = 0 THEN 'junk' ELSE strftime(o_orderdate, '%m/%d/%Y') END AS ordered,
   CASE WHEN o_orderkey % 10 <> 0 THEN year(o_orderdate) END AS ordered_year,

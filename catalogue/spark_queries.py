@@ -17,14 +17,20 @@ from featurespark.operators.correlation import correlation_table, high_correlati
 from featurespark.operators.duplicates import duplicate_of
 from featurespark.operators.profile import profile_table
 from featurespark.operators.sensitive import PATTERN_DETECTOR, aggregate_votes, match_ratios
-from featurespark.operators.transforms import get_transformation, list_transformations, one_hot_positions, transform
+from featurespark.operators.transforms import (
+    get_transformation,
+    list_transformations,
+    one_hot_positions,
+    one_hot_vectors,
+    transform,
+)
 from featurespark.operators.visibility import preview, sample_table, sample_values
 from featurespark.plans.plan import approved_names, parse_plan, run_plan, run_summary
 from featurespark.plans.report import pair_lines, profile_lines
 from featurespark.plans.table import TableHandle
 from featurespark.session import shared_folder
 from featurespark.sources.csv import read_csv
-from featurespark.sources.tables import read_table
+from featurespark.sources.tables import read_table, read_version
 from featurespark.streaming.apply import transform_stream, write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +104,18 @@ def profile_categorical(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def profile_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns of long texts, counted by digest."""
+    documents = read_table(spark, folder, "documents").select("text", "lang", "source")
+    pages = read_table(spark, folder, "pages").select("url", "html")
+    turns = read_table(spark, folder, "conversations").select("role", F.col("text").alias("said"))
+    profiles = profile_table(documents).unionByName(profile_table(pages)).unionByName(profile_table(turns))
+    return profiles.select(
+        "name", "dtype", "null_count", "null_percentage", "unique_count", "cardinality_ratio", "is_constant", "mode"
+    )
+
+
 @query
 def histogram(spark: SparkSession, folder: str) -> DataFrame:
     lineitem = read_table(spark, folder, "lineitem")
@@ -449,6 +467,29 @@ def one_hot_many(spark: SparkSession, folder: str) -> DataFrame:
     return _as_bigint(one_hot_positions(lines, "l_partkey"), "l_partkey_position")
 
 
+@query
+def one_hot_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that differ by case only get a column each."""
+    key = F.col("o_orderkey") % 4
+    answer = F.when(key == 0, "Yes").when(key == 1, "yes").when(key == 2, "YES").otherwise("no")
+    orders = read_table(spark, folder, "orders").select("o_orderkey", answer.alias("answer"))
+    return transform(orders, "one_hot_encode", {"column": "answer"})
+
+
+@query
+def one_hot_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Sparse one-hot rows of a table whose columns have any names."""
+    lines = read_table(spark, folder, "lineitem").select(
+        "l_orderkey", F.col("l_linenumber").alias("_at"), F.col("l_quantity").alias("_hot"), F.col("l_suppkey").alias("_value")
+    )
+    vectors = one_hot_vectors(lines, "_value")
+    vector = F.col("_value_vector")
+    return vectors.select(
+        "l_orderkey", "_at", "_hot", "_value", vector["size"].alias("vector_size"), F.get(vector["indices"], F.lit(0)).alias("vector_index"),
+        F.get(vector["values"], F.lit(0)).alias("vector_value"),
+    )
+
+
 @query
 def one_hot_numbers(spark: SparkSession, folder: str) -> DataFrame:
     lines = read_table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
@@ -603,6 +644,19 @@ def version_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(table.df)
 
 
+@query
+def version_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """Versions kept as steps over one table, older ones removed, and the last one read back from its folder."""
+    events = read_table(spark, folder, "events").select("event_id", "value")
+    table = TableHandle(events, snapshot_path=work_folder(spark))
+    table.apply("log_transform", {"column": "value"})
+    table.apply("standard_scale", {"column": "value_log"})
+    table.apply("binning", {"column": "value", "bins": 4})
+    left = table.remove_versions([1])
+    again = _as_bigint(rounded(read_version(spark, table.version_folder())), "value_bin")
+    return again.withColumn("versions_left", F.lit(len(left)).cast("bigint"))
+
+
 @query
 def csv_source(spark: SparkSession, folder: str) -> DataFrame:
     """Orders written as CSV with some missing-value words, and read back with inferred types."""

@@ -273,6 +273,10 @@ class TableHandle:
         df, folder = write_snapshot(df, self._snapshot_path, self.dataset_id, number)
         return df, folder, folder, ()
 
+    def version_folder(self) -> str | None:
+        """Where the current version is kept, for `read_version`; None without ``snapshot_path`` or before a step."""
+        return self._versions[self.version].folder
+
     def remove_versions(self, keep: Iterable[int]) -> list[int]:
         """Forget all versions but the current one and those to ``keep``, and delete what none of them reads.
 
