@@ -53,6 +53,17 @@ def test_recall_and_blocks(spark, monkeypatch):
     assert hits / total >= 0.9
 
 
+def test_recall_beyond_the_sample(spark):
+    """Three of four rows are not in the sample that the parts and the router were learned from."""
+    rows = clustered(4 * partitions.SAMPLE, 9)
+    found = {}
+    for r in partitions.nearest(table(spark, rows), every=400).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(rows, every=400)
+    hits = sum(len({j for _, j in near} & found[key]) for key, near in want.items())
+    assert hits / sum(map(len, want.values())) >= 0.9
+
+
 def test_copies_and_close_vectors_far_from_zero_are_exact(spark):
     random = np.random.default_rng(5)
     for rows in (
