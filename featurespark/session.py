@@ -19,6 +19,8 @@ def get_session(app_name: str = "featurespark", master: str | None = None, **set
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        # Checkpoints go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **settings}.items():
         builder = builder.config(key, value)
