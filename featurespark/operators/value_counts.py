@@ -173,8 +173,8 @@ def _others_summary(df: DataFrame, columns: Iterable[str]) -> Iterator[DataFrame
 def _long_modes(df: DataFrame, ties: Mapping[str, tuple[int, str]]) -> dict[str, str]:
     """The first of the texts that occur `n` times and begin with `head`; only texts with that beginning are read on.
 
-    Where the count is 1 all of them do. Otherwise their digests are counted again and looked up; they are few unless
-    very many texts share count and beginning.
+    Where the counts are 1 all of them do. Otherwise their digests are counted again and looked up; they are few unless
+    very many texts share count and beginning. The columns of one call have counts of one of these kinds.
     """
     names = list(ties)
     heads, wanted = (F.array(*[F.lit(ties[name][k]) for name in names]) for k in (1, 0))
@@ -224,8 +224,9 @@ def value_summary(df: DataFrame, numbers: Mapping[str, NumberPlan], others: Iter
                 if row["kind"] == "text" and len(row["text"]) == HEAD:
                     result.mode[name] = (row["n"], row["text"])
     ties = {name: mode for name, mode in result.mode.items() if isinstance(mode, tuple)}
-    if ties:
-        result.mode.update(_long_modes(df, ties))
+    for part in ({k: v for k, v in ties.items() if v[0] == 1}, {k: v for k, v in ties.items() if v[0] > 1}):
+        if part:
+            result.mode.update(_long_modes(df, part))
     return result
 
 

@@ -7,8 +7,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from featurespark.functions.columns import numeric_columns, type_class
 from featurespark.functions.numeric import equal_width_edges
+from featurespark.operators import profile, states, value_counts
 from featurespark.operators.duplicates import duplicate_of
 from featurespark.operators.profile import profile_columns, profile_table
 from featurespark.errors import DataAccessError
@@ -183,3 +186,95 @@ def test_both_infinities(spark):
     assert math.isnan(found.mean) and math.isnan(found.std) and math.isnan(found.skewness)
     assert (found.min, found.max, found.median) == (-math.inf, math.inf, 1.0)
     assert found.histogram_bins == found.histogram_counts == []
+
+
+def test_modes_and_counts_of_long_texts(spark, monkeypatch):
+    """Texts of all lengths around those that are counted by digest, ties among long ones, common beginnings."""
+    rng = np.random.default_rng(4)
+    start = "the same sixteen characters and more "
+    columns = {
+        "unique": [f"{start}{i}" for i in rng.permutation(400)],
+        "tied": [f"{start}{'éx'[i % 2]}{i % 150}" for i in range(300)] + [None] * 100,
+        "short": [f"é{'y' * (i % 12)}" for i in range(400)],
+        "mixed": [("z" * (i % 33)) for i in range(400)],
+        "hot": [start * 3 if i % 3 else f"{start}{i}" for i in range(400)],
+        "one": ["x" * 16] * 400,
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} string" for c in columns)).repartition(5)
+    for few in (1_000_000, 0):
+        monkeypatch.setattr(value_counts, "FEW_DIGESTS", few)
+        for profile in profile_columns(df):
+            series = pd.Series(columns[profile.name])
+            counts = series.value_counts()
+            first = min((v for v, n in counts.items() if n == counts.max()), key=lambda v: v.encode())
+            assert (profile.unique_count, profile.mode) == (series.nunique(), first), profile.name
+
+
+def test_no_whole_text_is_shuffled(spark):
+    plans = []
+    df = spark.createDataFrame([("x" * 1000,), ("y" * 1000,)], "s string")
+    summary = value_counts._texts_summary(df, ["s"], {"s": 0})
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        if "Exchange" in line:
+            plans.append(line)
+    assert plans and all("text" not in line for line in plans)
+
+
+def test_approximate_profile_of_texts(spark):
+    rows = [(f"text number {i} of many that are all different", "often" if i % 3 else f"rare {i}", i % 7 == 0) for i in range(4000)]
+    df = spark.createDataFrame([*rows, (None, None, None)], "many string, some string, flag boolean").repartition(3)
+    many, some, flag = profile_columns(df, distinct="approx")
+    assert abs(many.unique_count - 4000) < 200 and abs(some.unique_count - 1335) < 80 and flag.unique_count == 2
+    assert some.mode == "often" and flag.mode == "False" and many.mode in {r[0] for r in rows}
+    assert [p.null_count for p in (many, some, flag)] == [1, 1, 1]
+
+
+@pytest.mark.parametrize("buffer", [2, 16])
+def test_quartiles_when_the_sketch_is_poor(spark, monkeypatch, buffer):
+    """A quartile that the sketch misplaced is found by further reads."""
+    rng = np.random.default_rng(buffer)
+    values = {"a": rng.normal(size=5000), "b": np.exp(rng.normal(0, 9, 5000)), "c": rng.integers(0, 3, 5000).astype(float)}
+    df = spark.createDataFrame(pd.DataFrame(values)).repartition(4)
+    monkeypatch.setattr(states, "BUFFER", buffer)
+    monkeypatch.setattr(states, "MERGED_BUFFER", buffer)
+    monkeypatch.setattr(profile, "SKETCH_ERROR", 1e-4)
+    for found in profile_columns(df):
+        expected = pandas_numbers(pd.Series(values[found.name]))
+        assert found.median == pytest.approx(expected["median"], rel=1e-12)
+        assert (found.quantiles["p25"], found.quantiles["p75"]) == pytest.approx((expected["p25"], expected["p75"]), rel=1e-12)
+        assert found.histogram_counts == expected["counts"]
+
+
+def test_states_merge_like_the_whole(spark):
+    rng = np.random.default_rng(6)
+    values = np.concatenate([rng.normal(1e9, 3, 4000), rng.normal(1e9 + 50, 0.1, 1000), [1e9 + 900]])
+    df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(9)
+    state = states.column_states(df, {"x": F.col("x")}, {})["x"]
+    series = pd.Series(values - 1e9)
+    assert state.average - 1e9 == pytest.approx(series.mean(), rel=1e-6)
+    assert state.m2 == pytest.approx(((series - series.mean()) ** 2).sum(), rel=1e-6)
+    assert state.m4 == pytest.approx(((series - series.mean()) ** 4).sum(), rel=1e-6)
+    kept, weight = state.weighted()
+    assert weight.sum() == len(values)
+    for share in (0.1, 0.5, 0.9):
+        place = (values < kept[np.searchsorted(np.cumsum(weight), share * weight.sum())]).mean()
+        assert abs(place - share) < 0.02
+
+
+def test_reads_of_a_profile(spark):
+    df = spark.range(0, 50_000, 1, 3).selectExpr("id", "id % 7 AS few", "rand(1) AS r", "cast(id % 10 AS string) AS s")
+    tracker, group = spark.sparkContext.statusTracker(), "profile"
+    spark.sparkContext.setJobGroup(group, "")
+    profile_columns(df)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Each read is a job for its tasks and one for every exchange after them.
+    assert len(tracker.getJobIdsForGroup(group)) <= 9
+
+
+def test_whole_numbers_that_one_double_stands_for(spark):
+    df = spark.createDataFrame([(2**60 + i,) for i in range(5)] + [(2**60,)], "n bigint")
+    found = one(df)
+    assert found.unique_count == 5 and found.min == float(2**60)
+    exact = spark.sql("SELECT explode(array(1.000000000000000001BD, 1.000000000000000002BD)) AS d")
+    assert one(exact).unique_count == 2
