@@ -15,11 +15,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.functions.columns import field_of, number_of
+from featurespark.functions.columns import chunks, field_of, number_of
 
 #: Columns on each side of a tile, and groups of tasks whose states of a tile are merged first.
 TILE, SALTS = 16, 64
 
+#: Columns whose pairs one task holds at once; wider tables are read once for each pair of blocks of half as many.
+WIDE = 1_000
+
 STATE_SCHEMA = "low int, high int, salt int, state binary"
 
 
@@ -29,6 +32,8 @@ def pair_correlations(df: DataFrame, columns: Sequence[str], digits: int = 6) ->
     Pairs use the rows in which both columns have a value. A coefficient is undefined when one of the columns
     does not vary in these rows or holds infinite values; a column is always fully correlated with itself.
     """
+    if len(columns) > WIDE:
+        return _wide(df, columns, digits)
     size, tile, salts = len(columns), TILE, SALTS
 
     # Nested so that the functions travel to the workers by value.
@@ -168,3 +173,18 @@ def pair_correlations(df: DataFrame, columns: Sequence[str], digits: int = 6) ->
     final = salted.repartition("low", "high").sortWithinPartitions(*keys)
     pairs = final.mapInArrow(coefficients, "a int, b int, corr double")
     return pairs.withColumn("corr", F.round("corr", digits) + F.lit(0.0))
+
+
+def _wide(df: DataFrame, columns: Sequence[str], digits: int) -> DataFrame:
+    """The pairs of many columns, block by block."""
+    blocks, whole = chunks(list(range(len(columns))), max(1, WIDE // 2)), None
+    for number, first in enumerate(blocks):
+        for second in blocks[number:]:
+            places = first if first is second else first + second
+            pairs = pair_correlations(df, [columns[place] for place in places], digits)
+            if first is not second:  # pairs within a block have their own turn
+                pairs = pairs.where((F.col("a") < len(first)) != (F.col("b") < len(first)))
+            place = F.array(*map(F.lit, places))
+            part = pairs.select(F.get(place, F.col("a")).alias("a"), F.get(place, F.col("b")).alias("b"), "corr")
+            whole = part if whole is None else whole.unionByName(part)
+    return whole

@@ -89,6 +89,13 @@ def test_average_ranks(spark):
         assert got == {v: r for v, r in expected.items() if r}
 
 
+def test_wide_tables_go_by_blocks(spark, monkeypatch):
+    data, df = wide(spark)
+    monkeypatch.setattr(gram, "WIDE", 5)
+    found = correlate(df)
+    np.testing.assert_allclose(np.array(found.matrix), data.corr().fillna(0.0).values, atol=1.1e-6)
+
+
 def jobs(spark, work):
     """How many jobs run in `work`."""
     tracker, group = spark.sparkContext.statusTracker(), f"count {id(work)}"
