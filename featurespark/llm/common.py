@@ -19,6 +19,9 @@ BATCH_CHARS = 1_000_000
 #: A key is hot when it holds more than one row in so many; hence there are at most so many hot keys.
 HOT_PART = 1_000
 
+#: Bits of a row's number that are its place in its file.
+FILE_BITS = 40
+
 #: Objects that one operator keeps in a Python worker.
 MOST_KEPT = 6
 
@@ -83,13 +86,32 @@ def filtered(df: DataFrame, keeps: Callable[[list[str]], np.ndarray], text_colum
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """The table written with the number of each row in reading order, and the name of that column.
+    """The table with a number for each row, the same whenever it is read, and the name of that column.
 
-    Whoever reads it sees the same numbers: numbers given in two scans differ when files are split otherwise in the
-    second, or when a plan deals its rows out anew. The name is a new one, so that no column of the table is hidden.
+    Rows of Parquet files are numbered by their file and their place in it, which does not depend on how the files are
+    split. Other tables are written down with their numbers, as numbers given in two readings differ when rows are dealt
+    out otherwise in the second. The name is a new one, so that no column of the table is hidden.
     """
-    name = f"row_{uuid.uuid4().hex}"
-    return work_table(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    name, path = f"row_{uuid.uuid4().hex}", f"path_{uuid.uuid4().hex}"
+    if not _reads_parquet(df):
+        return work_table(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    placed = df.select(*own, F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(name))
+    # One row per file.
+    files = sorted(r[0] for r in placed.select(path).distinct().collect())
+    listed = df.sparkSession.createDataFrame([(f, i << FILE_BITS) for i, f in enumerate(files)], f"{path} string, first long")
+    joined = placed.withColumnRenamed(name, f"{name}_").join(F.broadcast(listed.withColumnRenamed("first", f"{name}_first")), path)
+    return joined.select(*own, (F.col(f"{name}_first") + F.col(f"{name}_")).alias(name)), name
+
+
+def _reads_parquet(df: DataFrame) -> bool:
+    """Whether the plan is a scan of Parquet files with columns chosen and rows filtered the same way each time."""
+    node = df._jdf.queryExecution().analyzed()
+    if not node.deterministic():
+        return False
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.children().isEmpty() and "parquet" in node.simpleString(1_000).lower() and "relation" in node.nodeName().lower()
 
 
 def without_rows(held: DataFrame, row: str, dropped: DataFrame) -> DataFrame:

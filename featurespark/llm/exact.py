@@ -145,7 +145,8 @@ def exact_groups(
     the smallest id stays, null ids last, and of rows with equal ids the one read first. Columns: doc_id, `row` (the
     row's number in reading order), keep_id, group_size, kept, text_sha256. Rows that the filter clears are in groups
     of one and are not shuffled; the others are counted before they meet, and groups with many rows are joined
-    without a shuffle. The filter has a fixed number of bits per document. An empty table gives no rows.
+    without a shuffle. The filter has a fixed number of bits per document. Other columns are not read; an empty table
+    gives no rows.
     """
     row, work = F.monotonically_increasing_id() if row is None else row, Scratch(documents.sparkSession)
     digests = work.table(_digests(documents, id_column, text_column, row), "digests")

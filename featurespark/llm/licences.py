@@ -216,7 +216,8 @@ def scan_licences(
     templates whose size leaves `percent` in reach, and its bigrams are counted only as far as any template goes. Of
     several licences that one unit is like, the most alike counts.
     `dice` is the best of a licence in a document, n_units counts its units and passages in reach. Null, empty and one-word texts
-    match nothing; rows with equal ids count as one document; an empty table gives no rows.
+    match nothing; rows with equal ids count as one document, those without an id as well; other columns are not read; an
+    empty table gives no rows.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -134,35 +134,22 @@ def _tables(nodes: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough.
-
-    The pairs of a u are dealt out to blocks of about BLOCK, and its set is sent once to each of them, ahead of the
-    sets of the v; a task holds one u at a time.
-    """
+    """The pairs (u, v) whose full sets are similar enough."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = np.zeros(0, np.uint64)
         for batch in batches:
-            found = []
-            for u, v, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                members = np.frombuffer(raw, np.uint64)
-                if v is None:
-                    lead = members
-                    continue
-                both = np.sort(np.concatenate((lead, members)))
+            linked = []
+            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                one, two = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+                both = np.sort(np.concatenate((one, two)))
                 shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(both) - shared):
-                    found.append((u, v))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)] or [pa.array([], pa.int64())] * 2, ["u", "v"])
+                linked.append(100 * shared >= percent * (len(both) - shared))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(linked, pa.bool_()))
 
-    blocks = pairs.groupBy("u").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    leads = sets.withColumnRenamed("node", "u").join(blocks, "u").select("u", F.lit(None).cast("long").alias("v"), "members", every)
-    dealt = join_groups(pairs, blocks, "u", "n", pairs.count())
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    others = dealt.select("u", "v", "block").join(sets.withColumnRenamed("node", "v"), "v").select("u", "v", "members", "block")
-    rows = leads.unionByName(others).repartition("u", "block").sortWithinPartitions("u", "block", F.col("v").asc_nulls_first())
-    return rows.select("u", "v", "members").mapInArrow(task, "u long, v long")
+    left = sets.select(F.col("node").alias("u"), F.col("members").alias("left"))
+    right = sets.select(F.col("node").alias("v"), F.col("members").alias("right"))
+    held = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "left", "right")
+    return held.mapInArrow(task, "u long, v long")
 
 
 def _across(open_: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -207,8 +194,8 @@ def _across(open_: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -
     return full.groupBy("first_key", "low", "high").applyInPandas(group, "u long, v long")
 
 
-def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The full sets of the rows that take part in a pair, by `wanted` (row, digest), whose size Spark can see."""
+def _sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """The full sets of the rows that take part in a pair."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -222,6 +209,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     [batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "members"]
                 )
 
+    wanted = nodes.select(F.col("node").alias("row"), "digest")
     return rows.join(wanted, "row").select("row", "text", "digest").mapInArrow(task, "node long, members binary")
 
 
@@ -239,7 +227,7 @@ def near_groups(
     that every pair that shares a table is either confirmed, refuted, or already in one component. Sizes that rule a
     link out end a pair early. No words: no set, a component of its own. Rows with a null id take part in links but
     give no component its name; a component of such rows alone has a null name. The texts are read twice; unless `row`
-    numbers them for good, they are first written down with their numbers. Other columns are not read; an empty table
+    numbers them for good, they get numbers that stay, see `numbered`. Other columns are not read; an empty table
     gives no rows.
     """
     work = Scratch(documents.sparkSession)
@@ -274,8 +262,7 @@ def near_groups(
         F.col("lead.node").alias("u"), F.col("node").alias("v"), F.col("lead.size").alias("u_size"), F.col("size").alias("v_size")
     )
     stars = work.table(stars.filter(fits).select("u", "v").distinct(), "stars")
-    wanted = nodes.join(members.select("node").distinct(), "node").select(F.col("node").alias("row"), "digest")
-    sets = _sets(rows, work.table(wanted, "wanted"), width)
+    sets = _sets(rows, nodes.join(members.select("node").distinct(), "node"), width)
     sets = work.table(sets, "sets")
     links = work.table(_confirmed(stars, sets, percent), "links")
     first = components(links)

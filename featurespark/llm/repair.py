@@ -185,7 +185,8 @@ def write_tokens(
     a document staying whole. A shard is one row of a Parquet table: range and number (`part`, `shard`), ids before
     it in its range, ids, null marks and token counts of its documents, and the grammar: `rules` as pairs of symbols,
     `lengths` of what the rules stand for, the `body`, and its symbols per document. Null texts are empty; null ids
-    come first; an empty table gives an empty file set.
+    come first; repeated ids are documents of their own; other columns are not read; an empty table gives an empty file
+    set.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +256,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Read grammar shards back: doc_id, ids of all documents before it (`start`), `n_tokens`, the `ids` as bytes.
 
     What precedes a document is the sum over earlier ranges, one number per range and so a small table, plus what
-    its shard and its document have before them.
+    its shard and its document have before them. Null and repeated ids come back as they were written; an empty file set
+    gives no rows.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
