@@ -252,7 +252,7 @@ def test_dates_in_other_forms(spark, form, texts):
 def test_bad_constants_and_names_fail_at_once(spark):
     df = spark.createDataFrame([(None, "Yes"), (None, "yes")], "d date, INCOME string")
     for name, params in (
-        ("fill_missing", {"column": "d", "strategy": "constant"}), ("one_hot_encode", {"column": "INCOME"}),
+        ("fill_missing", {"column": "d", "strategy": "constant"}), ("one_hot_encode", {"column": "INCOME", "max_values": 1}),
         ("date_features", {"column": "INCOME", "format": "no {such} format"}),
     ):
         with pytest.raises(DataAccessError):
