@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,24 +124,28 @@ def without_rows(held: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
     return held.join(work_table(dropped.toDF(row), "dropped"), row, "left_anti").drop(row)
 
 
-def slices(texts: Sequence[str | None], most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
+def slices(sizes: Sequence[int] | np.ndarray, most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `most` characters each, one row at least."""
     begin, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text or "") + 1
+    for i, size in enumerate(np.asarray(sizes, np.int64).tolist()):
+        held += size + 1
         if held >= most:
             yield begin, i + 1
             begin, held = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def column_slices(batches: Iterable[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Arrow batches cut to a bounded number of characters, with their texts (null: empty) as a list."""
+    """Arrow batches cut to a bounded number of characters, with their texts (null: empty) as a list.
+
+    Only the texts of one cut are Python objects at a time.
+    """
     for batch in batches:
-        texts = [x or "" for x in batch.column(text).to_pylist()]
-        for begin, end in slices(texts):
-            yield batch.slice(begin, end - begin), texts[begin:end]
+        column = batch.column(text)
+        size = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
+        for begin, end in slices(size):
+            yield batch.slice(begin, end - begin), [x or "" for x in column.slice(begin, end - begin).to_pylist()]
 
 
 def take_runs(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import Scratch, join_groups, numbered, once_per_worker, slices, without_rows
+from featurespark.llm.common import Scratch, column_slices, join_groups, numbered, once_per_worker, without_rows
 from featurespark.llm.components import components
 
 #: Two collections of so many keys of so many minhashes each; a table is a pair of keys, one of each collection.
@@ -82,9 +82,9 @@ def _profiles(documents: DataFrame, width: int) -> DataFrame:
     """Per row: size and digest of its set of shingles, and its keys."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in column_slices(batches, 2):
             size, digest, keys = [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in texts:
                 found = shingles(text, width)
                 size.append(len(found))
                 digest.append(blake2b(found.tobytes(), digest_size=16).digest())
@@ -198,16 +198,14 @@ def _sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """The full sets of the rows that take part in a pair."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            texts = whole.column(1).to_pylist()
-            for begin, end in slices(texts):
-                batch, found = whole.slice(begin, end - begin), [shingles(t, width) for t in texts[begin:end]]
-                for members, digest in zip(found, batch.column(2).to_pylist(), strict=True):
-                    if blake2b(members.tobytes(), digest_size=16).digest() != digest:
-                        raise ValueError("the documents were read in another order the second time")
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "members"]
-                )
+        for batch, texts in column_slices(batches):
+            found = [shingles(t, width) for t in texts]
+            for members, digest in zip(found, batch.column(2).to_pylist(), strict=True):
+                if blake2b(members.tobytes(), digest_size=16).digest() != digest:
+                    raise ValueError("the documents were read in another order the second time")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "members"]
+            )
 
     wanted = nodes.select(F.col("node").alias("row"), "digest")
     return rows.join(wanted, "row").select("row", "text", "digest").mapInArrow(task, "node long, members binary")
