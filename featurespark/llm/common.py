@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from featurespark.session import remove_folder, shared_folder
 
 #: Characters that one step inside a task handles at once; it bounds memory, not what is read.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 400_000
 
 #: A key is hot when it holds more than one row in so many; hence there are at most so many hot keys.
 HOT_PART = 1_000
