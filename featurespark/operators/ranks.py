@@ -70,17 +70,15 @@ def _conditions(values: DataFrame, size: int) -> tuple[np.ndarray, list[int]]:
 
 
 def _presence(stands: Sequence[int]):
-    """A function from a batch to a row per value and a column per condition, 1 where it holds."""
+    """A function from marks to a row per value and a column per condition, 1 where it holds."""
 
-    def presence(batch):
+    def presence(marks):
         import numpy as np
 
-        there = np.ones((batch.num_rows, len(stands)), np.int64)
-        if len(stands) > 1:
-            words = batch.column("there").flatten().to_numpy().reshape(batch.num_rows, -1)
-            for k, column in enumerate(stands):
-                if k:
-                    there[:, k] = words[:, column // MARKS] >> (column % MARKS) & 1
+        there = np.ones((len(marks), len(stands)), np.int64)
+        for k, column in enumerate(stands):
+            if k:
+                there[:, k] = marks[:, column // MARKS] >> (column % MARKS) & 1
         return there
 
     return presence
@@ -100,7 +98,8 @@ def _summaries(values: DataFrame, stands: Sequence[int]) -> list:
             if not batch.num_rows:
                 continue
             part = batch.column("part")[0].as_py()
-            columns, numbers, there = batch.column("column").to_numpy(), batch.column("value").to_numpy(), presence(batch)
+            columns, numbers = batch.column("column").to_numpy(), batch.column("value").to_numpy()
+            there = presence(batch.column("there").flatten().to_numpy().reshape(batch.num_rows, -1))
             edges = np.flatnonzero(np.diff(columns, prepend=columns[0] - 1, append=columns[-1] + 1))
             for low, high in zip(edges[:-1], edges[1:]):
                 inside, counts = numbers[low:high], there[low:high]
@@ -151,47 +150,26 @@ def _offsets(summaries: list, size: int, width: int) -> tuple[dict, np.ndarray]:
     return offsets, totals
 
 
-def centred_ranks(values: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(row, column, ranks): the average rank of each value under each condition, less the mean rank; 0 where the
-    condition does not hold. Also the condition of each column and the counts per column and condition."""
-    condition, stands = _conditions(values, size)
-    width = len(stands)
-    # One row per partition and column.
-    offsets, totals = _offsets(_summaries(values, stands), size, width)
-    held = values.sparkSession.sparkContext.broadcast((offsets, (totals + 1) / 2))
-    presence = _presence(stands)
+def ranker(places, stands: Sequence[int]):
+    """A function from the batches of a partition to those of its ranks, none larger than the largest that came in.
+
+    `places` gives what `_offsets` found and the mean ranks. The rank of the last value of a batch is known only when
+    the value has ended; until then its row numbers and marks are kept, and counts instead of all else.
+    """
+    presence, width = _presence(stands), len(stands)
 
     def rank(batches):
         import numpy as np
         import pyarrow as pa
 
-        offsets, middle = held.value
-        waiting: list = []  # rows of the last value, which may go on in the next batch
+        offsets, middle = places()
         seen: dict = {}
+        waiting = None  # part, column, value, counts, and pieces of (rows, marks) of a value that may go on
 
-        def settle(part, column, numbers, rows, there, closed):
-            """Ranks of a column's values; the last value waits unless `closed`."""
-            start, earlier, later = offsets[part, column]
-            before = seen.get(column, np.zeros(width, np.int64))
-            edges = np.flatnonzero(np.diff(numbers, prepend=-np.inf) != 0)
-            edges = edges if len(edges) and edges[0] == 0 else np.concatenate(([0], edges))
-            if not closed:
-                cut = edges[-1]
-                waiting.append((part, column, numbers[cut:], rows[cut:], there[cut:]))
-                numbers, rows, there, edges = numbers[:cut], rows[:cut], there[:cut], edges[:-1]
-            if not len(numbers):
-                return None
-            sizes = np.add.reduceat(there, edges, 0)
-            smaller = start + before + np.cumsum(sizes, 0) - sizes
-            ties = sizes.copy()
-            if column not in seen:
-                smaller[0] -= earlier
-                ties[0] += earlier
-            seen[column] = before + sizes.sum(0)
-            if closed:
-                ties[-1] += later
-            ranks = smaller + (ties + 1) / 2 - middle[column]
-            found = np.repeat(ranks, np.diff(edges, append=len(numbers)), 0) * there
+        def begin_of_runs(values):
+            return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+
+        def given(column, rows, found):
             raw = pa.FixedSizeBinaryArray.from_buffers(
                 pa.binary(8 * width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(found, "<f8"))]
             )
@@ -199,36 +177,68 @@ def centred_ranks(values: DataFrame, size: int) -> tuple[DataFrame, np.ndarray,
                 [pa.array(rows), pa.array(np.full(len(rows), column, np.int32)), raw.cast(pa.binary())], ["row", "column", "ranks"]
             )
 
-        def taken(column):
-            """What waits of the column, or what waits of another one, which is closed."""
-            if not waiting:
-                return None, None
-            old = waiting.pop()
-            return (old, None) if old[1] == column else (None, settle(*old, True))
+        def averages(part, column, sizes, ends):
+            """Centred ranks of the next values of a column; `ends` when the partition has no further one."""
+            start, earlier, later = offsets[part, column]
+            smaller = start + seen.get(column, np.zeros(width, np.int64)) + np.cumsum(sizes, 0) - sizes
+            ties = sizes.copy()
+            if column not in seen:
+                smaller[0] -= earlier
+                ties[0] += earlier
+            if ends:
+                ties[-1] += later
+            seen[column] = seen.get(column, 0) + sizes.sum(0)
+            return smaller + (ties + 1) / 2 - middle[column]
+
+        def settle(ends):
+            """The rows of the waiting value, piece by piece."""
+            part, column, _, counts, pieces = waiting
+            own = averages(part, column, counts[None], ends)
+            while pieces:
+                rows, marks = pieces.pop(0)
+                yield given(column, rows, own * presence(marks))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = batch.column("part")[0].as_py()
-            columns, there = batch.column("column").to_numpy(), presence(batch)
+            part, columns = batch.column("part")[0].as_py(), batch.column("column").to_numpy()
             numbers, rows = batch.column("value").to_numpy(), batch.column("row").to_numpy()
-            edges = np.flatnonzero(np.diff(columns, prepend=columns[0] - 1, append=columns[-1] + 1))
-            for low, high in zip(edges[:-1], edges[1:]):
+            marks = batch.column("there").flatten().to_numpy().reshape(batch.num_rows, -1)
+            there = presence(marks)
+            begins = begin_of_runs(columns)
+            for low, high in zip(begins, np.append(begins[1:], len(columns))):
                 column = int(columns[low])
-                old, done = taken(column)
-                if done is not None:
-                    yield done
-                own = (numbers[low:high], rows[low:high], there[low:high])
-                if old is not None:
-                    own = tuple(np.concatenate(pair) for pair in zip(old[2:], own))
-                done = settle(part, column, *own, False)
-                if done is not None:
-                    yield done
-        if waiting:
-            done = settle(*waiting.pop(), True)
-            if done is not None:
-                yield done
+                edges = begin_of_runs(numbers[low:high]) + low
+                sizes = np.add.reduceat(there[:high], edges, 0)
+                if waiting is not None and waiting[1:3] == (column, numbers[low]):
+                    end = edges[1] if len(edges) > 1 else high
+                    waiting = (*waiting[:3], waiting[3] + sizes[0], waiting[4])
+                    waiting[4].append((rows[low:end].copy(), marks[low:end].copy()))
+                    edges, sizes = edges[1:], sizes[1:]
+                    if not len(edges):
+                        continue
+                if waiting is not None:
+                    yield from settle(waiting[1] != column)
+                cut = edges[-1]
+                if len(edges) > 1:
+                    own = averages(part, column, sizes[:-1], False)
+                    found = np.repeat(own, np.diff(edges), 0) * there[edges[0] : cut]
+                    yield given(column, rows[edges[0] : cut], found)
+                waiting = (part, column, numbers[cut], sizes[-1], [(rows[cut:high].copy(), marks[cut:high].copy())])
+        if waiting is not None:
+            yield from settle(True)
+
+    return rank
+
 
+def centred_ranks(values: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(row, column, ranks): the average rank of each value under each condition, less the mean rank; 0 where the
+    condition does not hold. Also the condition of each column and the counts per column and condition."""
+    condition, stands = _conditions(values, size)
+    # One row per partition and column.
+    offsets, totals = _offsets(_summaries(values, stands), size, len(stands))
+    held = values.sparkSession.sparkContext.broadcast((offsets, (totals + 1) / 2))
+    rank = ranker(lambda: held.value, stands)
     return values.mapInArrow(rank, "row bigint, column int, ranks binary"), condition, totals
 
 

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from featurespark.errors import DataAccessError
@@ -159,3 +162,40 @@ def test_infinite_empty_and_unknown_method(spark):
     assert correlate(spark.createDataFrame([], "a double, b double")).matrix == [[0.0, 0.0], [0.0, 0.0]]
     with pytest.raises(DataAccessError, match="kendall"):
         correlate(df, "kendall")
+
+
+def test_a_hot_value_is_ranked_in_pieces():
+    """Rows of a value that fills a partition wait as numbers and marks, and leave in batches no larger than came in."""
+    size, batches, width = 1_000, 200, 8
+    whole = np.full(width, size * batches, np.int64)
+    offsets = {(0, 0): [np.zeros(width, np.int64)] * 3}
+    rank = ranks.ranker(lambda: (offsets, [(whole + 1) / 2]), list(range(-1, width - 1)))
+
+    def partition():
+        marks = np.full(size, (1 << width) - 1)
+        for k in range(batches):
+            lists = pa.ListArray.from_arrays(np.arange(size + 1, dtype=np.int32), marks)
+            columns = [pa.array(np.zeros(size, np.int32)), pa.array(np.full(size, 2.5)), pa.array(np.arange(size) + k * size)]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, lists, pa.array(np.zeros(size, np.int32))], ["column", "value", "row", "there", "part"]
+            )
+
+    tracemalloc.start()
+    try:
+        rows = 0
+        for batch in rank(partition()):
+            assert batch.num_rows <= size
+            assert not np.frombuffer(batch.column("ranks")[0].as_py()).any()
+            rows += batch.num_rows
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == size * batches
+    assert most < rows * 8 * width  # the ranks alone, were they made at once
+
+
+def test_infinite_values_tie(spark):
+    inf = float("inf")
+    data = pd.DataFrame({"a": [1.0, inf, 2.0, inf, -inf, -inf, 0.5], "b": [3.0, 1.0, 2.0, 6.0, 0.0, 4.0, 5.0]})
+    found = correlate(spark.createDataFrame(data).coalesce(1), "spearman")
+    np.testing.assert_allclose(np.array(found.matrix), data.rank().corr().values, atol=1.1e-6)
