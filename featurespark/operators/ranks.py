@@ -22,6 +22,15 @@ from featurespark.session import cut_lineage
 #: Columns whose presence one number tells.
 MARKS = 62
 
+#: Values that a task sorts, about; with fewer than so many such parts in all, Spark chooses the number of tasks.
+PART_VALUES, LEAST_PARTS = 1 << 19, 8
+
+
+def _parts(values: int) -> list[int]:
+    """The number of partitions that so many values need, as leading arguments of a repartition; none for a small table."""
+    parts = -(-values // PART_VALUES)
+    return [parts] if parts >= LEAST_PARTS else []
+
 
 def sorted_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, row, there, part): one row per value, in order over the partitions, held in a checkpoint.
@@ -41,7 +50,9 @@ def sorted_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     there = F.array(*[bit.cast("bigint") for bit in bits]).alias("there")
     long = slim.select("row", there, F.posexplode(F.array(*keys)).alias("column", "value")).where("value IS NOT NULL")
     order = ["column", "value", "row"]
-    placed = long.repartitionByRange(*order).sortWithinPartitions(*order)
+    filled = F.size(F.array_compact(F.array(*keys)))
+    parts = _parts(slim.agg(F.sum(filled)).first()[0] or 0)
+    placed = long.repartitionByRange(*parts, *order).sortWithinPartitions(*order)
     return cut_lineage(placed.select(*order, "there", F.spark_partition_id().alias("part")))
 
 

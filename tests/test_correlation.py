@@ -199,3 +199,13 @@ def test_infinite_values_tie(spark):
     data = pd.DataFrame({"a": [1.0, inf, 2.0, inf, -inf, -inf, 0.5], "b": [3.0, 1.0, 2.0, 6.0, 0.0, 4.0, 5.0]})
     found = correlate(spark.createDataFrame(data).coalesce(1), "spearman")
     np.testing.assert_allclose(np.array(found.matrix), data.rank().corr().values, atol=1.1e-6)
+
+
+def test_a_task_sorts_a_bounded_number_of_values(spark, monkeypatch):
+    data, df = wide(spark)
+    monkeypatch.setattr(ranks, "PART_VALUES", 400, raising=False)
+    values = ranks.sorted_values(df, list(data))
+    held = [r["count"] for r in values.groupBy("part").count().collect()]
+    assert sum(held) == int(data.notna().sum().sum()) and max(held) < 3 * 400
+    found = correlate(df, "spearman")
+    np.testing.assert_allclose(np.array(found.matrix), data.corr(method="spearman").fillna(0.0).values, atol=1.1e-6)
