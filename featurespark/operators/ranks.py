@@ -25,6 +25,9 @@ MARKS = 62
 #: Values that a task sorts, about; with fewer than so many such parts in all, Spark chooses the number of tasks.
 PART_VALUES, LEAST_PARTS = 1 << 19, 8
 
+#: Conditions whose ranks weigh as much as the rest of a value.
+PART_RANKS = 8
+
 
 def _parts(values: int) -> list[int]:
     """The number of partitions that so many values need, as leading arguments of a repartition; none for a small table."""
@@ -302,7 +305,8 @@ def rank_correlations(df: DataFrame, columns: Sequence[str], digits: int = 6) ->
         )
 
     schema = "a int, b int, cross double, left double, right double"
-    dealt = ranks.repartition("row").sortWithinPartitions("row")
+    parts = _parts(int(totals[:, 0].sum()) * -(-width // PART_RANKS))
+    dealt = ranks.repartition(*parts, "row").sortWithinPartitions("row")
     place = F.col("id")
     nothing = df.sparkSession.range(size * size).select(
         F.floor(place / size).cast("int").alias("a"), (place % size).cast("int").alias("b"),

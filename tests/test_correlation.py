@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 import tracemalloc
 
 import numpy as np
@@ -209,3 +210,12 @@ def test_a_task_sorts_a_bounded_number_of_values(spark, monkeypatch):
     assert sum(held) == int(data.notna().sum().sum()) and max(held) < 3 * 400
     found = correlate(df, "spearman")
     np.testing.assert_allclose(np.array(found.matrix), data.corr(method="spearman").fillna(0.0).values, atol=1.1e-6)
+
+
+def test_ranks_go_back_to_a_number_of_tasks_that_grows_with_the_rows(spark, monkeypatch):
+    data, df = wide(spark)
+    monkeypatch.setattr(ranks, "PART_VALUES", 100, raising=False)
+    two = ["few", "g1"]
+    plan = ranks.rank_correlations(df, two)._jdf.queryExecution().toString()
+    parts = -(-int(data[two].notna().sum().sum()) // 100)
+    assert re.search(rf"hashpartitioning\(row#\d+L, {parts}\)", plan)
