@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -198,6 +199,8 @@ def once_per_worker(owner: str, make: Callable, *key: object, using: tuple = ())
         _KEPT["owner"] = owner
         gc.collect()
         pa.default_memory_pool().release_unused()
+        if hasattr(_LIBC, "malloc_trim"):  # else freed arrays stay with the worker
+            _LIBC.malloc_trim(0)
     if name not in _KEPT:
         while len(_KEPT) > MOST_KEPT:
             del _KEPT[next(k for k in _KEPT if k != "owner")]
@@ -206,3 +209,4 @@ def once_per_worker(owner: str, make: Callable, *key: object, using: tuple = ())
 
 
 _KEPT: dict[object, object] = {}
+_LIBC = ctypes.CDLL(None)

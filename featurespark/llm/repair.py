@@ -113,9 +113,9 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, least: int = LEA
         first = spots[starts(often[frequent])]
         pairs = (body[first].astype(np.uint64) << np.uint64(32)) | body[first + 1]
         none = np.int32(len(pairs))
-        place = np.full(len(body), none, np.int32)
+        place = np.full(len(body) + 1, none, np.int32)
         place[spots] = np.repeat(rank, often[frequent])
-        chosen = _chosen(place, none)
+        chosen = _chosen(place, np.flatnonzero(live))
         used = np.bincount(place[chosen], minlength=len(pairs))
         kept = used >= 2
         if not kept.any():
@@ -156,18 +156,23 @@ def _by_pair(key: np.ndarray, spots: np.ndarray, symbols: int, size: int) -> tup
     return spots, np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
 
 
-def _chosen(place: np.ndarray, none: np.int32) -> np.ndarray:
-    """The places that rank before their neighbours, every second one of a run of equal places."""
-    spots = np.flatnonzero(place < none)
-    own = place[spots]
-    after = np.append(place, none)[spots + 1]
-    before = np.where(spots > 0, place[spots - 1], none)
-    begins = before != own
-    run = np.cumsum(begins) - 1
-    # A run that follows a better place begins one later.
-    start = spots[begins] + (before[begins] < own[begins])
-    offset = spots - start[run]
-    return spots[(offset >= 0) & (offset % 2 == 0) & ((after == own) | (after > own))]
+def _chosen(place: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """The places that rank before their neighbours, every second one of a run of equal places.
+
+    `spots` are the places with a rank; the last of `place` has none, so it stands before the first as well.
+    """
+    own, before, after = place[spots], place[spots - 1], place[spots + 1]
+    best = (own < before) & (own < after)
+    alike = np.flatnonzero((own == before) | (own == after))
+    if len(alike):
+        spot, own, before, after = spots[alike], own[alike], before[alike], after[alike]
+        begins = before != own
+        run = np.cumsum(begins) - 1
+        # A run that follows a better place begins one later.
+        start = spot[begins] + (before[begins] < own[begins])
+        offset = spot - start[run]
+        best[alike] = (offset >= 0) & (offset % 2 == 0) & (after >= own)
+    return spots[best]
 
 
 def write_tokens(

@@ -24,8 +24,8 @@ _SIGNS = dict(enumerate(byte_signs()))
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
-#: Words that the memory of one worker holds before it starts anew, and codes of a word on the average.
-MEMO_WORDS, MEMO_CODES = 1_000_000, 32
+#: Words that the memory of one worker holds before it forgets, and codes of a word on the average.
+MEMO_WORDS, MEMO_CODES = 300_000, 32
 
 
 def load_tokenizer(path: str):
@@ -159,9 +159,33 @@ def _word_starts(codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return start
 
 
+class Growing:
+    """An array that is added to at its end, with room to spare, so that adding does not copy what is there."""
+
+    def __init__(self, kind: type) -> None:
+        self._room, self._size = np.zeros(1 << 10, kind), 0
+
+    def __len__(self) -> int:
+        return self._size
+
+    def add(self, more: np.ndarray) -> None:
+        size = self._size + len(more)
+        if size > len(self._room):
+            room = np.empty(max(size, 2 * len(self._room)), self._room.dtype)
+            room[: self._size] = self.all
+            self._room = room
+        self._room[self._size : size] = more
+        self._size = size
+
+    @property
+    def all(self) -> np.ndarray:
+        return self._room[: self._size]
+
+
 class WordIds:
     """Ids of words, each encoded when first met; holds a bounded number of words.
 
+    A full memory keeps the words that were met again since the last time, if these are less than half, else nothing.
     Words are found by their digest and compared sign by sign with the word held under it.
     """
 
@@ -172,41 +196,61 @@ class WordIds:
     def _clear(self) -> None:
         self._digest = np.zeros(0, np.uint64)
         self._slot = np.zeros(0, np.int64)
-        self._begin, self._length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._from, self._size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._ids, self._codes = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self._begin, self._length = Growing(np.int64), Growing(np.int64)
+        self._from, self._size = Growing(np.int64), Growing(np.int64)
+        self._ids, self._codes = Growing(np.uint32), Growing(np.uint32)
+        self._again = Growing(np.bool_)
+
+    def _forget(self) -> None:
+        again, digest, slot = self._again.all, self._digest, self._slot
+        kept = np.flatnonzero(again)
+        length, size = self._length.all[kept], self._size.all[kept]
+        ids = take_runs(self._ids.all, self._begin.all[kept], length)
+        codes = take_runs(self._codes.all, self._from.all[kept], size)
+        self._clear()
+        if 2 * len(kept) > self._most or 2 * len(codes) > MEMO_CODES * self._most:
+            return
+        held = again[slot]
+        self._digest, self._slot = digest[held], (np.cumsum(again) - 1)[slot[held]]
+        self._hold(ids, length, codes, size)
+
+    def _hold(self, ids: np.ndarray, length: np.ndarray, codes: np.ndarray, size: np.ndarray) -> None:
+        self._begin.add(starts(length) + len(self._ids))
+        self._from.add(starts(size) + len(self._codes))
+        self._length.add(length)
+        self._size.add(size)
+        self._ids.add(ids)
+        self._codes.add(codes)
+        self._again.add(np.zeros(len(size), bool))
 
     def of(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, and begin and length in them of each distinct word."""
         if len(self._digest) > self._most or len(self._codes) > MEMO_CODES * self._most:
-            self._clear()
+            self._forget()
         size = words.size
         if len(self._digest):
             at = np.minimum(np.searchsorted(self._digest, words.digest), len(self._digest) - 1)
             slot = self._slot[at]
-            known = (self._digest[at] == words.digest) & (self._size[slot] == size)
+            known = (self._digest[at] == words.digest) & (self._size.all[slot] == size)
             same = take_runs(words.codes, words.begin[known], size[known]) == take_runs(
-                self._codes, self._from[slot[known]], size[known]
+                self._codes.all, self._from.all[slot[known]], size[known]
             )
             if not same.all():
                 known[np.flatnonzero(known)[np.repeat(np.arange(known.sum()), size[known])[~same]]] = False
         else:
             slot, known = np.zeros(len(size), np.int64), np.zeros(len(size), bool)
+        self._again.all[slot[known]] = True
         new = np.flatnonzero(~known)
         if len(new):
             flat, length = self._encode(words.strings(new))
             slot[new] = np.arange(len(new)) + len(self._length)
-            self._begin = np.concatenate((self._begin, starts(length) + len(self._ids)))
-            self._from = np.concatenate((self._from, starts(size[new]) + len(self._codes)))
-            self._length = np.concatenate((self._length, length))
-            self._size = np.concatenate((self._size, size[new]))
-            self._ids = np.concatenate((self._ids, flat.astype(np.uint32)))
-            self._codes = np.concatenate((self._codes, take_runs(words.codes, words.begin[new], size[new])))
+            self._hold(flat, length, take_runs(words.codes, words.begin[new], size[new]), size[new])
             order = np.argsort(words.digest[new], kind="stable")
             at = np.searchsorted(self._digest, words.digest[new][order])
             self._digest = np.insert(self._digest, at, words.digest[new][order])
             self._slot = np.insert(self._slot, at, slot[new][order])
-        return self._ids, self._begin[slot], self._length[slot]
+        length = self._length.all[slot]
+        return take_runs(self._ids.all, self._begin.all[slot], length), starts(length), length
 
 
 class TextEncoder:

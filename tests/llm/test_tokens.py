@@ -173,3 +173,43 @@ def test_lexicon_encodes_and_decodes_like_the_library(documents, monkeypatch, le
 
 def test_lexicon_of_nothing(spark):
     assert lexicon.encode(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER).count() == 0
+
+
+def letters(number: int, size: int) -> str:
+    """A word of letters only, another one for each number."""
+    return "".join(chr(97 + number // 26**k % 26) for k in range(size))
+
+
+def test_words_met_again_outlive_a_full_memory():
+    encoder, plain, asked = TextEncoder(TOKENIZER, most=200), load_tokenizer(TOKENIZER), []
+    encode = encoder.words._encode
+    encoder.words._encode = lambda words: asked.extend(words) or encode(words)
+    for k in range(40):
+        text = "always the same" + "".join(" " + letters(50 * k + i, 6) for i in range(50))
+        assert encoder.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(encoder.words._digest) <= 200 + 53
+    assert len(asked) == len(set(asked)) > 40 * 50
+
+
+def test_a_memory_of_mostly_common_words_stays_bounded():
+    encoder, plain = TextEncoder(TOKENIZER, most=100), load_tokenizer(TOKENIZER)
+    for k in (0, 1, 1, 2, 2, 0, 3):
+        text = "".join(" " + letters(60 * k + i, 6) for i in range(60))
+        assert encoder.encode([text, "", text])[0].tolist() == 2 * plain.encode(text, add_special_tokens=False).ids
+        assert len(encoder.words._digest) <= 160
+
+
+def test_new_words_do_not_copy_the_memory():
+    import tracemalloc
+
+    n = 50_000
+    encoder = TextEncoder(TOKENIZER, lambda words: (np.zeros(len(words), np.uint32), np.ones(len(words), np.int64)))
+    for words in (range(n), range(n, n + 5)):
+        encoder.encode(["".join(" " + letters(i, 24) for i in words)])
+    tracemalloc.start()
+    try:
+        encoder.encode(["".join(" " + letters(i, 24) for i in range(n + 5, n + 10))])
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 40 * n  # the signs of the words are 100 bytes each
