@@ -151,13 +151,18 @@ def column_slices(batches: Iterable[pa.RecordBatch], text: int = 1) -> Iterator[
 
 def take_runs(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The concatenation of flat[b : b + n] for each b of begin and n of length."""
-    length = length.astype(np.int64)
-    stop = np.cumsum(length)
-    if not len(stop) or not stop[-1]:
+    if len(length) and not length.all():
+        some = np.flatnonzero(length)
+        begin, length = begin[some], length[some]
+    if not len(length):
         return flat[:0]
-    shift = np.repeat(begin - (stop - length), length)
-    shift += np.arange(stop[-1])
-    return flat[shift]
+    begin, length = begin.astype(np.int64, copy=False), length.astype(np.int64, copy=False)
+    stop = np.cumsum(length)
+    # From one id to the next it is one step, but where a run begins.
+    step = np.ones(stop[-1], np.int64)
+    step[0] = begin[0]
+    step[stop[:-1]] = begin[1:] - begin[:-1] - length[:-1] + 1
+    return flat.take(np.cumsum(step, out=step))
 
 
 def starts(length: np.ndarray) -> np.ndarray:

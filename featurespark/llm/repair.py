@@ -97,63 +97,79 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, least: int = LEA
     while len(body) > 1:
         live[-1] = False
         live &= ~last
-        spots = np.flatnonzero(live)
-        key = (body[spots].astype(np.uint64) << np.uint64(32)) | body[spots + 1]
-        spots, edges = _by_pair(key, spots, terminals + made, len(body))
+        spots, edges = _by_pair(body, np.flatnonzero(live), terminals + made)
         often = np.diff(edges, append=len(spots))
-        frequent = often >= least
-        if not frequent.any():
+        frequent = np.flatnonzero(often >= least)
+        if not len(frequent):
             break
-        by_count = np.argsort(-often[frequent], kind="stable")
+        begin, often = edges[frequent], often[frequent]
+        by_count = _largest_first(often)
         rank = np.empty(len(by_count), np.int32)
         rank[by_count] = np.arange(len(by_count), dtype=np.int32)
-        repeated = np.repeat(frequent, often)
-        live[spots[~repeated]] = False
-        spots = spots[repeated]
-        first = spots[starts(often[frequent])]
-        pairs = (body[first].astype(np.uint64) << np.uint64(32)) | body[first + 1]
-        none = np.int32(len(pairs))
+        first = spots.take(begin)
+        spots = take_runs(spots, begin, often)
+        live = np.zeros(len(body), bool)
+        live[spots] = True
+        none = np.int32(len(first))
         place = np.full(len(body) + 1, none, np.int32)
-        place[spots] = np.repeat(rank, often[frequent])
+        place[spots] = np.repeat(rank, often)
         chosen = _chosen(place, np.flatnonzero(live))
-        used = np.bincount(place[chosen], minlength=len(pairs))
-        kept = used >= 2
+        pair = place.take(chosen)
+        kept = np.bincount(pair, minlength=len(first)) >= 2
         if not kept.any():
             break
-        chosen = chosen[kept[place[chosen]]]
-        name = np.cumsum(kept) - 1 + terminals + made
-        by_rank = pairs[by_count][kept]
-        rules.append(np.stack((by_rank >> np.uint64(32), by_rank & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
-        made += int(kept.sum())
-        body[chosen] = name[place[chosen]]
-        last[chosen] |= last[chosen + 1]
+        used = np.flatnonzero(kept.take(pair))
+        chosen, pair = chosen.take(used), pair.take(used)
+        name = (np.cumsum(kept) - 1 + terminals + made).astype(np.uint32)
+        by_rank = first.take(by_count.take(np.flatnonzero(kept)))
+        rules.append(np.stack((body.take(by_rank), body.take(by_rank + 1)), 1))
+        made += len(by_rank)
+        body[chosen] = name.take(pair)
+        last[chosen] |= last.take(chosen + 1)
         live[chosen] = True
         live[np.maximum(chosen - 1, 0)] = True
         stays = np.ones(len(body), bool)
         stays[chosen + 1] = False
         # A place before a replaced pair now stands before its new symbol.
-        moved = chosen[chosen >= 2] - 1
-        live[moved[~stays[moved]] - 1] = True
-        body, last, live = body[stays], last[stays], live[stays]
+        moved = chosen[np.searchsorted(chosen, 2) :] - 1
+        live[moved.take(np.flatnonzero(~stays.take(moved))) - 1] = True
+        # Numpy copies long runs of a mask at once, but is slow where a mask often turns.
+        left = stays if 16 * len(chosen) < len(body) else np.flatnonzero(stays)
+        body, last, live = body[left], last[left], live[left]
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return table, body, last
 
 
-def _by_pair(key: np.ndarray, spots: np.ndarray, symbols: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _by_pair(body: np.ndarray, spots: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """The places in the order of their pairs, and where in it each pair begins.
 
     Pair and place are sorted as one number where 64 bits hold both.
     """
-    bits, place_bits = int(symbols).bit_length(), int(size).bit_length()
-    if 2 * bits + place_bits <= 64:
-        pair = ((key >> np.uint64(32)) << np.uint64(bits)) | (key & np.uint64(0xFFFFFFFF))
-        ordered = np.sort((pair << np.uint64(place_bits)) | spots.astype(np.uint64))
-        spots = (ordered & np.uint64((1 << place_bits) - 1)).astype(np.int64)
-        ordered >>= np.uint64(place_bits)
+    bits, place_bits = int(symbols).bit_length(), len(body).bit_length()
+    packed = 2 * bits + place_bits <= 64
+    key = body.take(spots).astype(np.uint64)
+    key <<= np.uint64(bits if packed else 32)
+    key |= body.take(spots + 1)
+    if packed:
+        key <<= np.uint64(place_bits)
+        key |= spots.view(np.uint64)
+        key.sort()
+        spots = (key & np.uint64((1 << place_bits) - 1)).view(np.int64)
+        key >>= np.uint64(place_bits)
     else:
         order = np.argsort(key, kind="stable")
-        spots, ordered = spots[order], key[order]
-    return spots, np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
+        spots, key = spots[order], key[order]
+    begins = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=begins[1:])
+    return spots, np.flatnonzero(begins)
+
+
+def _largest_first(count: np.ndarray) -> np.ndarray:
+    """The places of the counts, the largest first and equal ones in their order; counts and places are below 2**31."""
+    key = (np.int64(1 << 31) - count) << np.int64(32)
+    key |= np.arange(len(count))
+    key.sort()
+    return key & np.int64(0xFFFFFFFF)
 
 
 def _chosen(place: np.ndarray, spots: np.ndarray) -> np.ndarray:
@@ -161,7 +177,7 @@ def _chosen(place: np.ndarray, spots: np.ndarray) -> np.ndarray:
 
     `spots` are the places with a rank; the last of `place` has none, so it stands before the first as well.
     """
-    own, before, after = place[spots], place[spots - 1], place[spots + 1]
+    own, before, after = place.take(spots), place.take(spots - 1, mode="wrap"), place.take(spots + 1)
     best = (own < before) & (own < after)
     alike = np.flatnonzero((own == before) | (own == after))
     if len(alike):
@@ -169,10 +185,11 @@ def _chosen(place: np.ndarray, spots: np.ndarray) -> np.ndarray:
         begins = before != own
         run = np.cumsum(begins) - 1
         # A run that follows a better place begins one later.
-        start = spot[begins] + (before[begins] < own[begins])
-        offset = spot - start[run]
+        begin = np.flatnonzero(begins)
+        start = spot.take(begin) + (before.take(begin) < own.take(begin))
+        offset = spot - start.take(run)
         best[alike] = (offset >= 0) & (offset % 2 == 0) & (after >= own)
-    return spots[best]
+    return spots.take(np.flatnonzero(best))
 
 
 def write_tokens(

@@ -6,6 +6,7 @@ import os
 import re
 from collections.abc import Callable
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -18,12 +19,21 @@ LETTER, NUMBER, OTHER, BLANK, END, UNKNOWN = 0, 1, 2, 3, 4, 255
 #: Codes beyond Unicode: the end of a text, an added token, the rest of an added token.
 TEXT_END, ADDED, SKIPPED = 0x110000, 0x110001, 0x110002
 
-#: The sign that stands for each byte, by the byte as a character.
-_SIGNS = dict(enumerate(byte_signs()))
+#: The sign that stands for each byte; the last byte is in no text.
+_SIGNS = np.array([ord(s) for s in byte_signs()], "<u4")
+
+#: Becomes the last byte where words are joined, and the sign of that byte.
+_BETWEEN, _BETWEEN_SIGN = "\udcff", byte_signs()[-1]
+
+#: Words that the library's model gets at once.
+JOINED = 16
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
+#: Spread digests over the places where a word may stand: the first one, and the way from each to the next.
+_SPREAD = np.array([[0xBF58476D1CE4E5B9], [0x94D049BB133111EB]], np.uint64)
+
 #: Words that the memory of one worker holds before it forgets, and codes of a word on the average.
 MEMO_WORDS, MEMO_CODES = 300_000, 32
 
@@ -120,9 +130,7 @@ class Splitter:
         number, values = pd.factorize(digest)
         lead = _leads(number, len(values))
         model = lead[number]
-        spots = np.repeat(first[model] - first, length)
-        spots += np.arange(n)
-        if (length != length[model]).any() or (codes[spots] != codes).any():
+        if (length != length[model]).any() or (take_runs(codes, first[model], length) != codes).any():
             pieces = [codes[b : b + n].tobytes() for b, n in zip(first.tolist(), length.tolist(), strict=True)]
             number, values = pd.factorize(np.array(pieces, object))
             lead = _leads(number, len(values))
@@ -186,7 +194,8 @@ class WordIds:
     """Ids of words, each encoded when first met; holds a bounded number of words.
 
     A full memory keeps the words that were met again since the last time, if these are less than half, else nothing.
-    Words are found by their digest and compared sign by sign with the word held under it.
+    Words are found by their digest, in a table of which half is free at least, and compared sign by sign with the word
+    held under it.
     """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = MEMO_WORDS) -> None:
@@ -194,27 +203,65 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self._digest = np.zeros(0, np.uint64)
-        self._slot = np.zeros(0, np.int64)
+        self._digest = Growing(np.uint64)
+        self._make_table(self._most)
         self._begin, self._length = Growing(np.int64), Growing(np.int64)
         self._from, self._size = Growing(np.int64), Growing(np.int64)
         self._ids, self._codes = Growing(np.uint32), Growing(np.uint32)
         self._again = Growing(np.bool_)
 
     def _forget(self) -> None:
-        again, digest, slot = self._again.all, self._digest, self._slot
-        kept = np.flatnonzero(again)
-        length, size = self._length.all[kept], self._size.all[kept]
+        kept = np.flatnonzero(self._again.all)
+        digest, length, size = self._digest.all[kept], self._length.all[kept], self._size.all[kept]
         ids = take_runs(self._ids.all, self._begin.all[kept], length)
         codes = take_runs(self._codes.all, self._from.all[kept], size)
         self._clear()
         if 2 * len(kept) > self._most or 2 * len(codes) > MEMO_CODES * self._most:
             return
-        held = again[slot]
-        self._digest, self._slot = digest[held], (np.cumsum(again) - 1)[slot[held]]
-        self._hold(ids, length, codes, size)
-
-    def _hold(self, ids: np.ndarray, length: np.ndarray, codes: np.ndarray, size: np.ndarray) -> None:
+        self._hold(digest, ids, length, codes, size)
+
+    def _make_table(self, words: int) -> None:
+        bits = (2 * words).bit_length()
+        self._table, self._shift = np.full(1 << bits, -1, np.int32), np.uint64(64 - bits)
+        self._enter(0)
+
+    def _places(self, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first place of each digest in the table, and the step to the next."""
+        place, step = ((digest * _SPREAD) >> self._shift).view(np.int64)
+        return place, step | 1
+
+    def _enter(self, begin: int) -> None:
+        """Put the words held from `begin` on into the table."""
+        slot = np.arange(begin, len(self._digest), dtype=np.int32)
+        place, step = self._places(self._digest.all[begin:])
+        while len(slot):
+            free = np.flatnonzero(self._table.take(place) < 0)
+            self._table[place[free]] = slot[free]
+            left = np.flatnonzero(self._table.take(place) != slot)
+            slot, step = slot[left], step[left]
+            place = (place[left] + step) & (len(self._table) - 1)
+
+    def _find(self, digest: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Where words of these digests and sizes are held, or -1."""
+        found, left = np.full(len(digest), -1, np.int64), np.arange(len(digest))
+        place, step = self._places(digest)
+        while len(left):
+            slot = self._table.take(place)
+            taken = np.flatnonzero(slot >= 0)
+            slot, left, place, step = slot[taken], left[taken], place[taken], step[taken]
+            same = (self._digest.all.take(slot) == digest[left]) & (self._size.all.take(slot) == size[left])
+            found[left[same]] = slot[same]
+            other = np.flatnonzero(~same)
+            left, step = left[other], step[other]
+            place = (place[other] + step) & (len(self._table) - 1)
+        return found
+
+    def _hold(
+        self, digest: np.ndarray, ids: np.ndarray, length: np.ndarray, codes: np.ndarray, size: np.ndarray
+    ) -> np.ndarray:
+        """Where the words are held from now on."""
+        slot = np.arange(len(digest)) + len(self._digest)
+        self._digest.add(digest)
         self._begin.add(starts(length) + len(self._ids))
         self._from.add(starts(size) + len(self._codes))
         self._length.add(length)
@@ -222,33 +269,30 @@ class WordIds:
         self._ids.add(ids)
         self._codes.add(codes)
         self._again.add(np.zeros(len(size), bool))
+        if 2 * len(self._digest) > len(self._table):
+            self._make_table(2 * len(self._digest))
+        else:
+            self._enter(len(self._digest) - len(digest))
+        return slot
 
     def of(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, and begin and length in them of each distinct word."""
         if len(self._digest) > self._most or len(self._codes) > MEMO_CODES * self._most:
             self._forget()
         size = words.size
-        if len(self._digest):
-            at = np.minimum(np.searchsorted(self._digest, words.digest), len(self._digest) - 1)
-            slot = self._slot[at]
-            known = (self._digest[at] == words.digest) & (self._size.all[slot] == size)
-            same = take_runs(words.codes, words.begin[known], size[known]) == take_runs(
-                self._codes.all, self._from.all[slot[known]], size[known]
-            )
-            if not same.all():
-                known[np.flatnonzero(known)[np.repeat(np.arange(known.sum()), size[known])[~same]]] = False
-        else:
-            slot, known = np.zeros(len(size), np.int64), np.zeros(len(size), bool)
+        slot = self._find(words.digest, size)
+        known = slot >= 0
+        same = take_runs(words.codes, words.begin[known], size[known]) == take_runs(
+            self._codes.all, self._from.all[slot[known]], size[known]
+        )
+        if not same.all():
+            known[np.flatnonzero(known)[np.repeat(np.arange(known.sum()), size[known])[~same]]] = False
         self._again.all[slot[known]] = True
         new = np.flatnonzero(~known)
         if len(new):
             flat, length = self._encode(words.strings(new))
-            slot[new] = np.arange(len(new)) + len(self._length)
-            self._hold(flat, length, take_runs(words.codes, words.begin[new], size[new]), size[new])
-            order = np.argsort(words.digest[new], kind="stable")
-            at = np.searchsorted(self._digest, words.digest[new][order])
-            self._digest = np.insert(self._digest, at, words.digest[new][order])
-            self._slot = np.insert(self._slot, at, slot[new][order])
+            codes = take_runs(words.codes, words.begin[new], size[new])
+            slot[new] = self._hold(words.digest[new], flat, length, codes, size[new])
         length = self._length.all[slot]
         return take_runs(self._ids.all, self._begin.all[slot], length), starts(length), length
 
@@ -269,14 +313,32 @@ class TextEncoder:
             raise ValueError("tokenizers with several added tokens are not handled")
         self.added_id, self.added = next(((k, v.content) for k, v in added.items()), (0, None))
         self.splitter = Splitter(self.tokenizer, self.added)
+        self._between = None if encode_words else self._sign_between()
         self.words = WordIds(encode_words or self._library, most)
 
     def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words are cut already, so the library's model gets them in its byte signs."""
-        cut = self.tokenizer.model.tokenize
-        ids = [[token.id for token in cut(w.encode().decode("latin-1").translate(_SIGNS))] for w in words]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum())), length
+        raw = np.frombuffer(_BETWEEN.join(words).encode(errors="surrogateescape"), np.uint8)
+        signs = _SIGNS.take(raw).tobytes().decode("utf-32-le").split(_BETWEEN_SIGN)
+        cut, number = self.tokenizer.model.tokenize, attrgetter("id")
+        if self._between is None:
+            tokens = list(map(cut, signs))
+            length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            return np.fromiter(map(number, chain.from_iterable(tokens)), np.uint32, int(length.sum())), length
+        # Each call has a cost of its own, so some words go together, each with the sign after it.
+        joined = [_BETWEEN_SIGN.join([*signs[i : i + JOINED], ""]) for i in range(0, len(signs), JOINED)]
+        ids = np.fromiter(map(number, chain.from_iterable(map(cut, joined))), np.uint32)
+        ends = ids == self._between
+        return ids[~ends], np.diff(np.flatnonzero(ends), prepend=-1) - 1
+
+    def _sign_between(self) -> int | None:
+        """The id of the sign that stands for the byte of no text, when the model never merges it with another."""
+        model, found = self.tokenizer.model, [t for t in self.tokenizer.get_vocab() if _BETWEEN_SIGN in t]
+        plain = type(model).__name__ == "BPE" and not (
+            model.ignore_merges or model.dropout or model.unk_token or model.byte_fallback
+            or model.continuing_subword_prefix or model.end_of_word_suffix
+        )
+        return model.token_to_id(_BETWEEN_SIGN) if plain and found == [_BETWEEN_SIGN] else None
 
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many belong to each text; `end_id` is added to each text."""

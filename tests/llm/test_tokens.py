@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from featurespark.llm import lexicon, packing, repair
 from featurespark.llm.lexicon import Transducer
-from featurespark.llm.merges import Merger
+from featurespark.llm.merges import Merger, byte_signs
 from featurespark.llm.words import TextEncoder, load_tokenizer
 from tests.llm.conftest import TEXTS, TOKENIZER
 
@@ -191,6 +192,37 @@ def test_words_met_again_outlive_a_full_memory():
     assert len(asked) == len(set(asked)) > 40 * 50
 
 
+def test_new_words_go_to_the_library_together():
+    encoder, cut, calls = TextEncoder(TOKENIZER), load_tokenizer(TOKENIZER).model.tokenize, []
+    counted = SimpleNamespace(tokenize=lambda signs: calls.append(signs) or cut(signs))
+    encoder.tokenizer = SimpleNamespace(model=counted)
+    texts = ["".join(" " + letters(i, 6) for i in range(4_000)), "été\x00ÿ 中文 ÿÿ"]
+    flat, count = encoder.encode(texts)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] == library(texts)
+    assert len(calls) <= 4_010 / 16 + 1
+
+
+def test_words_stay_apart_when_the_model_merges_every_sign(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    signs = byte_signs()
+    merges = [("a", signs[255]), (signs[255], signs[32])]
+    vocabulary = {t: i for i, t in enumerate([*signs, *map("".join, merges)])}
+    own = Tokenizer(models.BPE(vocabulary, merges))
+    own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    own.save(str(tmp_path / "own.json"))
+    text = "a a ba 1a"
+    found = TextEncoder(str(tmp_path / "own.json")).encode([text])[0].tolist()
+    assert found == own.encode(text).ids == [vocabulary[s] for s in text.replace(" ", signs[32])]
+
+
+def test_one_text_with_more_words_than_the_memory():
+    encoder = TextEncoder(TOKENIZER, most=10)
+    for begin in (0, 0, 700):
+        text = "".join(" " + letters(begin + i, 6) for i in range(900))
+        assert encoder.encode([text])[0].tolist() == library([text])[0]
+
+
 def test_a_memory_of_mostly_common_words_stays_bounded():
     encoder, plain = TextEncoder(TOKENIZER, most=100), load_tokenizer(TOKENIZER)
     for k in (0, 1, 1, 2, 2, 0, 3):
