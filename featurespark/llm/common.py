@@ -21,6 +21,9 @@ BATCH_CHARS = 400_000
 #: A key is hot when it holds more than one row in so many; hence there are at most so many hot keys.
 HOT_PART = 1_000
 
+#: Rows of a file of a work table that holds ids and numbers only.
+FILE_ROWS = 25_000
+
 #: Bits of a row's number that are its place in its file.
 FILE_BITS = 40
 
@@ -44,6 +47,15 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def files_for(rows: int) -> int:
+    """Files for at most so many rows of ids and numbers.
+
+    With one for each shuffle partition most files of a small table are next to empty; each takes a task, and on local
+    disks two processes that set its mode.
+    """
+    return max(1, -(-rows // FILE_ROWS))
+
+
 class Scratch:
     """Work tables of one operator, removed from the shared folder when its result is written."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import Scratch
+from featurespark.llm.common import Scratch, files_for
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,18 +27,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of edges (u, v) with long ends; a component is named by its smallest node.
 
     Alternating star contractions: neighbours are pointed at the smallest node in reach until nothing changes, in a
-    number of rounds that grows with the logarithm of the longest path. Each round is written to the shared folder.
+    number of rounds that grows with the logarithm of the longest path. Each round is written to the shared folder, in
+    files that follow the number of edges, which no round raises.
     Loops, repeated and reversed edges do no harm; null ends are left out; no edges give no rows.
     """
     work = Scratch(edges.sparkSession)
     edges = edges.select("u", "v").filter("u is not null and v is not null and u <> v").distinct()
     edges = work.table(edges, "edges")
-    state = None
+    state, files = None, files_for(edges.count())
     while True:
-        edges = work.table(_small_star(_large_star(edges)), "edges")
+        edges = work.table(_small_star(_large_star(edges)).coalesce(files), "edges")
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if mark == state or not mark[0]:
             break
         state = mark
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return work.result(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
+    named = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    return work.result(named.coalesce(2 * files), "components")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import Scratch, column_slices, join_groups, numbered, once_per_worker, without_rows
+from featurespark.llm.common import Scratch, column_slices, files_for, join_groups, numbered, once_per_worker, without_rows
 from featurespark.llm.components import components
 
 #: Two collections of so many keys of so many minhashes each; a table is a pair of keys, one of each collection.
@@ -243,7 +243,7 @@ def near_groups(
         F.min("row").alias("node"), F.count("*").alias("copies"),
         F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first"),
     )
-    groups = work.table(groups, "groups")
+    groups = work.table(groups.coalesce(files_for(total)), "groups")
     nodes = filled.join(groups.select(F.col("node").alias("row"), "first"), "row").select(
         F.col("row").alias("node"), F.col("n_shingles").alias("size"), "digest", "keys"
     )
@@ -255,11 +255,12 @@ def near_groups(
     buckets = members.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"), F.count("*").alias("n"))
     members = members.join(buckets.filter("n > 1").select("key", "lead"), "key")
     members = work.table(members, "members")
+    pair_files = files_for(members.count())
     fits = "100 * least(u_size, v_size) >= {0} * greatest(u_size, v_size)".format(percent)
     stars = members.filter("node <> lead.node").select(
         F.col("lead.node").alias("u"), F.col("node").alias("v"), F.col("lead.size").alias("u_size"), F.col("size").alias("v_size")
     )
-    stars = work.table(stars.filter(fits).select("u", "v").distinct(), "stars")
+    stars = work.table(stars.filter(fits).select("u", "v").distinct().coalesce(pair_files), "stars")
     sets = _sets(rows, nodes.join(members.select("node").distinct(), "node"), width)
     sets = work.table(sets, "sets")
     links = work.table(_confirmed(stars, sets, percent), "links")
@@ -268,11 +269,11 @@ def near_groups(
     placed = work.table(placed.select("key", "first_key", "i", "node", "part"), "placed")
     mixed_keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
     open_ = placed.join(mixed_keys.select("key"), "key", "left_semi").select("first_key", "i", "node", "part").distinct()
-    later = _across(work.table(open_, "open"), nodes, sets, percent)
+    later = _across(work.table(open_.coalesce(pair_files), "open"), nodes, sets, percent)
     final = components(links.unionByName(later))
     named = groups.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = named.groupBy("component").agg(F.min("first").alias("lead"))
-    named = work.table(named.join(parts, "component").select("digest", "copies", "lead"), "named")
+    named = work.table(named.join(parts, "component").select("digest", "copies", "lead").coalesce(files_for(total)), "named")
     joined = join_groups(filled.select("doc_id", "row", "n_shingles", "digest"), named, "digest", "copies", total)
     linked = joined.select(
         "doc_id", "row", "n_shingles", F.col("lead.doc_id").alias("component_id"), (F.col("row") == F.col("lead.row")).alias("kept")
@@ -280,7 +281,7 @@ def near_groups(
     empty = profiles.filter("n_shingles = 0").select(
         "doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")
     )
-    return work.result(linked.unionByName(empty), "near")
+    return work.result(linked.unionByName(empty).coalesce(files_for(total)), "near")
 
 
 def drop_near_copies(documents: DataFrame, percent: int = 80, width: int = 2) -> DataFrame:

@@ -147,6 +147,28 @@ def test_components(spark, edges):
     assert found == leader
 
 
+def test_files_of_small_work_tables_follow_their_rows(spark, monkeypatch):
+    written, plain = [], common.Scratch.table
+    monkeypatch.setattr(common.Scratch, "table", lambda *a: (table := plain(*a), written.append((a[2], len(table.inputFiles()))))[0])
+    texts = [" ".join(f"{w}{i // 4}" for w in "abcdefghij") + f" {i % 2}" for i in range(200)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        groups = near.near_groups(documents)
+        paths = spark.range(20).selectExpr("id u", "id + 1 v")
+        assert len(components(paths).inputFiles()) <= 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(groups.inputFiles()) == 1
+    assert [n for name, n in written if name in ("groups", "stars", "open", "named")] == [1] * 4
+    assert {n for (one, _), (name, n) in zip(written, written[1:], strict=False) if (one, name) == ("edges", "edges")} == {1}
+    assert {(r.doc_id, r.component_id) for r in groups.collect()} == {(i, i // 4 * 4) for i in range(200)}
+
+
 def copies(seed=1):
     """Texts in families at all similarities around the limit, short ones, and a chain whose ends differ."""
     random.seed(seed)
