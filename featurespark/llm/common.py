@@ -30,6 +30,10 @@ FILE_BITS = 40
 #: Objects that one operator keeps in a Python worker.
 MOST_KEPT = 6
 
+#: Parameters of the C library's mallopt, and their values in bytes: the end of the heap that stays when it is free, and
+#: from which size on a block is mapped by itself.
+HEAP_BOUNDS = {-1: 32 << 20, -3: 1 << 20}
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -149,7 +153,9 @@ def slices(sizes: Sequence[int] | np.ndarray, most: int = BATCH_CHARS) -> Iterat
         yield begin, len(sizes)
 
 
-def column_slices(batches: Iterable[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def column_slices(
+    batches: Iterable[pa.RecordBatch], text: int = 1, most: int = BATCH_CHARS
+) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Arrow batches cut to a bounded number of characters, with their texts (null: empty) as a list.
 
     Only the texts of one cut are Python objects at a time.
@@ -157,7 +163,7 @@ def column_slices(batches: Iterable[pa.RecordBatch], text: int = 1) -> Iterator[
     for batch in batches:
         column = batch.column(text)
         size = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
-        for begin, end in slices(size):
+        for begin, end in slices(size, most):
             yield batch.slice(begin, end - begin), [x or "" for x in column.slice(begin, end - begin).to_pylist()]
 
 
@@ -205,12 +211,8 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def once_per_worker(owner: str, make: Callable, *key: object, using: tuple = ()) -> object:
-    """make(*key, *using), kept under its key for later tasks of the same Python worker.
-
-    Workers outlive operators, so what another `owner` left is released first; of one owner the last few are kept.
-    """
-    name = (make.__module__, make.__qualname__, *key)
+def release_others(owner: str) -> None:
+    """Release what another `owner` left in this Python worker; from now on it keeps the objects of `owner`."""
     if _KEPT.get("owner") != owner:
         _KEPT.clear()
         _KEPT["owner"] = owner
@@ -218,6 +220,26 @@ def once_per_worker(owner: str, make: Callable, *key: object, using: tuple = ())
         pa.default_memory_pool().release_unused()
         if hasattr(_LIBC, "malloc_trim"):  # else freed arrays stay with the worker
             _LIBC.malloc_trim(0)
+
+
+def map_large_blocks() -> None:
+    """Have the C library map large blocks of this Python worker by themselves, so that they go when they are freed.
+
+    Else it takes the blocks of later Arrow batches from its heap, as soon as one as large was freed, and small blocks
+    that are put behind them keep their places from going back.
+    """
+    if hasattr(_LIBC, "mallopt"):
+        for parameter, size in HEAP_BOUNDS.items():
+            _LIBC.mallopt(parameter, size)
+
+
+def once_per_worker(owner: str, make: Callable, *key: object, using: tuple = ()) -> object:
+    """make(*key, *using), kept under its key for later tasks of the same Python worker.
+
+    Workers outlive operators, so what another `owner` left is released first; of one owner the last few are kept.
+    """
+    name = (make.__module__, make.__qualname__, *key)
+    release_others(owner)
     if name not in _KEPT:
         while len(_KEPT) > MOST_KEPT:
             del _KEPT[next(k for k in _KEPT if k != "owner")]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurespark.llm.common import Scratch, column_slices, files_for, join_groups, numbered, once_per_worker, without_rows
+from featurespark.llm.common import Scratch, column_slices, files_for, join_groups, numbered, once_per_worker, release_others, without_rows
 from featurespark.llm.components import components
 
 #: Two collections of so many keys of so many minhashes each; a table is a pair of keys, one of each collection.
@@ -101,6 +101,7 @@ def _first_keys(nodes: DataFrame) -> DataFrame:
     """A row for each key of the first collection."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others("near keys")
         for batch in batches:
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, 2 * KEYS)[:, :KEYS]
             rows = np.repeat(batch.column(0).to_numpy(), KEYS)
@@ -114,6 +115,7 @@ def _tables(nodes: DataFrame) -> DataFrame:
     """A row for each table: pairs of the first keys that are shared with others and all second keys."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others("near keys")
         for batch in batches:
             keys = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, 2 * KEYS)
             owner = np.repeat(np.arange(batch.num_rows), [len(x) for x in batch.column(2).to_pylist()])
@@ -137,6 +139,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others("near keys")
         for batch in batches:
             linked = []
             for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark import TaskContext
 
-from featurespark.llm.common import column_slices, once_per_worker
+from featurespark.llm.common import column_slices, map_large_blocks, once_per_worker
 from featurespark.llm.words import TextEncoder
 
 SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -17,6 +17,9 @@ SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long
 #: Bits of a sequence id that number the windows of one task.
 TASK_BITS = 40
 
+#: Characters that are encoded at once.
+SLICE_CHARS = 200_000
+
 
 class Packer:
     """Open windows of one task, counted by fill level.
@@ -120,11 +123,12 @@ def pack(
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        map_large_blocks()
         encoder = once_per_worker("packing", TextEncoder, tokenizer)
         packer = Packer(window, TaskContext.get().partitionId() << TASK_BITS)
 
         def rows() -> Iterator[list[tuple]]:
-            for batch, texts in column_slices(batches):
+            for batch, texts in column_slices(batches, most=SLICE_CHARS):
                 flat, count = encoder.encode(texts, end_id)
                 parts = np.split(flat, np.cumsum(count)[:-1])
                 keys = batch.column(0).to_pylist()

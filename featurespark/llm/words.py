@@ -308,6 +308,9 @@ class TextEncoder:
     ) -> None:
         self.tokenizer = load_tokenizer(path)
         self.tokenizer.encode_special_tokens = plain
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            # The library would keep 10,000 of the joined strings of `_library`, about 60 MB, though hardly one comes twice.
+            self.tokenizer.model._resize_cache(0)
         added = {} if plain else self.tokenizer.get_added_tokens_decoder()
         if len(added) > 1:
             raise ValueError("tokenizers with several added tokens are not handled")

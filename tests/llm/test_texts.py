@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -506,3 +507,13 @@ def test_workers_keep_the_objects_of_one_operator_only():
         common.once_per_worker("one", list, (i,))
     assert len(common._KEPT) <= common.MOST_KEPT + 1
     common._KEPT.clear()
+
+
+def test_steps_on_keys_release_the_words_of_near_copies():
+    rows = SimpleNamespace(select=lambda *_: rows, mapInArrow=lambda task, _: task, join=lambda *_: rows)
+    for task in (near._first_keys(rows), near._tables(rows)):
+        shingles("words that are remembered")
+        assert any(common._KEPT.get(k) for k in common._KEPT if k != "owner")
+        assert list(task(iter([]))) == []
+        assert [k for k in common._KEPT if k != "owner"] == []
+    common._KEPT.clear()

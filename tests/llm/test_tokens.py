@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -245,3 +248,81 @@ def test_new_words_do_not_copy_the_memory():
     finally:
         tracemalloc.stop()
     assert most < 40 * n  # the signs of the words are 100 bytes each
+
+
+#: Reads the memory of a process of its own, without mapped files, in MB.
+MEMORY = """
+import gc, re, sys
+import pyarrow as pa
+from featurespark.llm import common
+
+def held():
+    gc.collect()
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+"""
+
+
+def measured(code, *arguments):
+    """The number that the code prints at last in a process of its own."""
+    ran = [sys.executable, "-c", MEMORY + code, *arguments]
+    return float(subprocess.run(ran, cwd=Path(__file__).parents[2], check=True, capture_output=True, text=True).stdout.split()[-1])
+
+
+def test_the_library_keeps_no_words():
+    grown = measured(
+        """
+from featurespark.llm.words import TextEncoder
+letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(10))
+encoder = TextEncoder(sys.argv[1])
+encoder._library([letters(i) for i in range(16)])
+common._LIBC.malloc_trim(0)
+before = held()
+for begin in range(0, 160_000, 4_000):
+    encoder._library([letters(7 * i) for i in range(begin, begin + 4_000)])
+common._LIBC.malloc_trim(0)
+print(held() - before)
+""",
+        TOKENIZER,
+    )
+    assert grown < 15
+
+
+def test_a_packing_worker_gives_large_blocks_back():
+    grown = measured(
+        """
+from types import SimpleNamespace
+import numpy as np
+from featurespark.llm import packing
+
+kept = []
+
+class Encoder:
+    def __init__(self, path):
+        pass
+
+    def encode(self, texts, end_id):
+        return np.zeros(2 * len(texts), np.uint32), np.full(len(texts), 2)
+
+class Table:
+    schema = {"doc_id": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))}
+    __getitem__ = lambda self, name: SimpleNamespace(cast=lambda kind: None)
+    select = lambda self, *columns: self
+    mapInArrow = lambda self, task, schema: task
+
+def batches():
+    for size in (28, 24, 20, 16):
+        data = b"x" * (size << 20)
+        kept.append(bytes(100_000))
+        del data
+        yield pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a"])], ["doc_id", "text"])
+
+packing.TextEncoder = Encoder
+packing.TaskContext = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0))
+task = packing.pack(Table(), "")
+before = held()
+for _ in range(3):
+    list(task(batches()))
+print(held() - before)
+"""
+    )
+    assert grown < 15
